@@ -6,7 +6,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallybook.llm import bpe, packing, simhash
+from tallybook.llm import ann, bpe, embed_dedup, langid, packing, quality, secrets, simhash, token_counts, toxicity
 from tallybook.llm.common import table
 
 
@@ -17,6 +17,38 @@ def vocabulary(name: str) -> str:
     return Path(public_tokenizers.path(name)).read_text(encoding="utf-8")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.learnt(docs, table(spark, sf_dir, "labels")))
+
+
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scanned(table(spark, sf_dir, "documents"))
+
+
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op4_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts.counted(table(spark, sf_dir, "documents"), Path(public_tokenizers.path("piece_bpe_32k.model")).read_bytes())
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.scored(docs, quality.learnt(docs, table(spark, sf_dir, "labels")))
+
+
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identified(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -29,5 +61,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op8_simhash, op9_bpe, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_secrets, op3_ann, op4_embed_dedup, op5_token_counts, op6_quality, op7_langid, op8_simhash, op9_bpe, op10_packing)}
 ORACLES: dict[str, str] = {}
