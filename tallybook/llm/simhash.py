@@ -89,11 +89,12 @@ def links(distinct: DataFrame) -> DataFrame:
         # the segment without the wildcard bit, under the number of segment and wildcard
         F.expr("shiftleft(cast(p as bigint), 32) | (shiftrightunsigned(fp, 32 * (p div 32)) & 4294967295L & ~shiftleft(1L, cast(p % 32 as int)))").alias("key"),
     )
-    held = written(
-        variants.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("a"), F.max("rep").alias("b"), F.bit_xor("fp").alias("x")).where("n > 1"), "variants"
-    )
-    pairs = held.where(f"n = 2 and bit_count(x) <= {MAX_BITS}").select("a", "b")
-    more = written(variants.join(held.where("n > 2").select("key", "n"), "key"), "members")
+    # one shuffle serves both the counts and the members: only variants that several fingerprints share go on
+    dealt = variants.repartition("key")
+    sizes = dealt.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    held = written(dealt.join(sizes, "key").select("key", "n", "rep", "fp"), "members")
+    pairs = held.where("n = 2").groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("b"), F.bit_xor("fp").alias("x")).where(f"bit_count(x) <= {MAX_BITS}").select("a", "b")
+    more = held.where("n > 2")
     few = more.where(f"n <= {PAIR_JOIN}").select("key", "rep", "fp")
     joined = (
         few.alias("l").join(few.alias("r"), "key")
@@ -101,10 +102,10 @@ def links(distinct: DataFrame) -> DataFrame:
     )
     # many members: blocks of about BLOCK, each pair of blocks a group of its own
     many = more.where(f"n > {PAIR_JOIN}").withColumn("nb", F.expr(f"cast(ceil(n / {BLOCK}.0) as int)")).withColumn("i", F.expr("cast(pmod(xxhash64(fp), nb) as int)"))
-    dealt = many.select("key", "rep", "fp", "i", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("j")).select(
+    blocked = many.select("key", "rep", "fp", "i", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("j")).select(
         "key", "rep", "fp", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), F.when(F.col("i") <= F.col("j"), 0).otherwise(1).alias("side")
     )
-    blocks = dealt.groupBy("key", "i", "j").applyInPandas(_close, "a long, b long")
+    blocks = blocked.groupBy("key", "i", "j").applyInPandas(_close, "a long, b long")
     return pairs.unionByName(joined).unionByName(blocks).distinct()
 
 
