@@ -46,12 +46,12 @@ def _hadamard(x: np.ndarray) -> np.ndarray:
 
 
 def signatures(vectors: np.ndarray, hashes: int) -> tuple[np.ndarray, np.ndarray]:
-    """(own, visited): bucket numbers per table, and VISITS more per table."""
+    """(own, visited): bucket numbers per table, and up to VISITS more per table, -1 for none."""
     n = max(2, 1 << (vectors.shape[1] - 1).bit_length())
     padded = np.zeros((len(vectors), n))
     padded[:, : vectors.shape[1]] = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
     signs = np.random.default_rng(5).choice([-1.0, 1.0], size=(TABLES, hashes, 3, n))
-    own, visited = np.zeros((len(vectors), TABLES), np.int64), np.zeros((len(vectors), TABLES, VISITS), np.int64)
+    own, visited = np.zeros((len(vectors), TABLES), np.int64), np.full((len(vectors), TABLES, VISITS), -1, np.int64)
     at = np.arange(len(vectors))
     for t in range(TABLES):
         best, second, loss = [], [], []
@@ -71,7 +71,7 @@ def signatures(vectors: np.ndarray, hashes: int) -> tuple[np.ndarray, np.ndarray
         cheap = np.argsort(np.array(loss), axis=0)[:VISITS]
         other = np.array([code + (axis - best[h]) * (2 * n) ** h for h, axis in second])
         picked = other[cheap, at]
-        visited[:, t] = np.resize(picked, (VISITS, len(vectors))).T
+        visited[:, t, : len(picked)] = picked.T
     return own, visited
 
 
@@ -97,15 +97,22 @@ def _signed(dimensions: int, hashes: int):
     return run
 
 
-def _first_meeting(a_own, a_vis, b_own, b_vis) -> tuple[np.ndarray, np.ndarray]:
-    """For paired signatures: the first table in which they meet, and the bucket there (the smaller, if both visit)."""
-    a_in_b = (a_own[:, :, None] == b_vis).any(axis=2)
-    b_in_a = (b_own[:, :, None] == a_vis).any(axis=2)
-    meet = (a_own == b_own) | a_in_b | b_in_a
-    t = meet.argmax(axis=1)
-    at = np.arange(len(t))
-    x, y, xb, ya = a_own[at, t], b_own[at, t], a_in_b[at, t], b_in_a[at, t]
-    return t, np.where(x == y, x, np.where(xb & ya, np.minimum(x, y), np.where(xb, x, y)))
+def _first_here(table: int, bucket: int, left: tuple, right: tuple, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs (a, b) those that meet in no earlier table, and in this bucket of this one (the smaller, if each visits the other)."""
+    (lo, lw), (ro, rw) = left, right
+
+    def meet(s: int):
+        x, y = lo[a, s], ro[b, s]
+        return x, y, (rw[b, s] == x[:, None]).any(axis=1), (lw[a, s] == y[:, None]).any(axis=1)
+
+    for s in range(table):  # most pairs of near copies met in the first tables, so few are left for the others
+        x, y, xb, ya = meet(s)
+        keep = ~((x == y) | xb | ya)
+        a, b = a[keep], b[keep]
+    x, y, xb, ya = meet(table)
+    where = np.where(x == y, x, np.where(xb & ya, np.minimum(x, y), np.where(xb, x, y)))
+    mine = (where == bucket) & ((x == y) | xb | ya)
+    return a[mine], b[mine]
 
 
 def _verified(dimensions: int):
@@ -130,11 +137,8 @@ def _verified(dimensions: int):
         a, b = a[keep], b[keep]
         links = {}
         edges = []
-        for s in range(0, len(a), 20_000):
-            x, y = a[s: s + 20_000], b[s: s + 20_000]
-            t, where = _first_meeting(lo[x], lw[x], ro[y], rw[y])
-            mine = (t == table) & (where == bucket)
-            x, y = x[mine], y[mine]
+        for s in range(0, len(a), 50_000):
+            x, y = _first_here(table, bucket, (lo, lw), (ro, rw), a[s: s + 50_000], b[s: s + 50_000])
             if len(x):
                 for ids, weights in ((lr[x], rc[y]), (rr[y], lc[x])):
                     for i, n in zip(*_summed(ids, weights), strict=True):
@@ -177,7 +181,7 @@ def near_duplicates(table: DataFrame) -> DataFrame:
     hashes = max(1, math.ceil(math.log(max(2, total / BUCKET_ROWS)) / math.log(2 * max(2, 1 << (dimensions - 1).bit_length()))))
     signed = written(classes.mapInArrow(_signed(dimensions, hashes), "rep long, copies long, v array<double>, own array<long>, visited array<long>, s1 long, s2 long"), "signatures")
     at_home = signed.select("rep", "s1", "s2", F.posexplode("own").alias("t", "bucket"), F.lit(True).alias("home"))
-    visits = signed.select("rep", "s1", "s2", F.posexplode("visited").alias("p", "bucket")).select("rep", "s1", "s2", F.expr(f"cast(p div {VISITS} as int)").alias("t"), "bucket", F.lit(False).alias("home"))
+    visits = signed.select("rep", "s1", "s2", F.posexplode("visited").alias("p", "bucket")).select("rep", "s1", "s2", F.expr(f"cast(p div {VISITS} as int)").alias("t"), "bucket", F.lit(False).alias("home")).where("bucket >= 0")
     places = written(at_home.unionByName(visits), "places")
     # only who meets someone with a like sketch goes on: a semi join, which stops at the first such
     alike = F.expr(f"l.rep != r.rep and (l.home or r.home) and bit_count(l.s1 ^ r.s1) + bit_count(l.s2 ^ r.s2) <= {SKETCH_BITS}")
