@@ -53,9 +53,9 @@ def machine_tsv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 def machine_csv(spark: SparkSession, paths: str | list[str], scale: float = VALUE_SCALE) -> DataFrame:
     """(start_time, value, key, file): quoted value, machine and end time; the metric is in the header, the machine in a file's first good row."""
     lines = _text(spark, paths).withColumn("cells", F.transform(F.split("value", ","), lambda c: F.trim(F.replace(c, F.lit('"'), F.lit("")))))
-    head = F.lower(F.col("cells")[0])
+    head = F.lower(F.get("cells", F.lit(0)))
     heads = lines.where(head.rlike("cpu|mem")).groupBy("file").agg(F.max(F.when(head.contains("cpu"), 1).otherwise(2)).alias("metric"))
-    rows = lines.where(F.size("cells") >= 3).select("file", "pos", _number(F.col("cells")[0], "double").alias("v"), _number(F.col("cells")[1]).alias("machine"), _number(F.col("cells")[2]).alias("start_time"))
+    rows = lines.where(F.size("cells") >= 3).select("file", "pos", _number(F.get("cells", F.lit(0)), "double").alias("v"), _number(F.get("cells", F.lit(1))).alias("machine"), _number(F.get("cells", F.lit(2))).alias("start_time"))
     rows = rows.where("v >= 0 and not isnan(v) and v < double('infinity') and machine is not null and start_time is not null")
     first = rows.groupBy("file").agg(F.min_by("machine", "pos").alias("own"))
     return rows.join(heads, "file").join(first, "file").select("start_time", F.round(F.col("v") * scale).cast("long").alias("value"), key_from_metric(F.col("metric"), F.col("own")).alias("key"), "file", "pos")
@@ -70,7 +70,7 @@ def flow_text(spark: SparkSession, paths: str | list[str], on_error: str = "fail
     problem = F.when(~fine, F.concat(F.lit("not three numbers: "), "value"))
     rows = lines.select("file", "pos", *(c.alias(n) for c, n in zip(cells, ("src_ip", "dst_ip", "v"), strict=True)), problem.alias("problem"))
     if on_error == "fail":
-        rows = rows.withColumn("v", F.when(F.col("problem").isNotNull(), F.raise_error("problem").cast("long")).otherwise(F.col("v"))).drop("problem")
+        rows = rows.withColumn("v", F.when(F.col("problem").isNotNull(), F.raise_error(F.col("problem")).cast("long")).otherwise(F.col("v"))).drop("problem")
     rows = interleaved(rows)
     return rows.withColumn("value", F.col("v")).withColumn("key", key_from_flow(F.col("src_ip"), F.col("dst_ip"))).drop("v")
 
@@ -78,7 +78,7 @@ def flow_text(spark: SparkSession, paths: str | list[str], on_error: str = "fail
 def vehicle_csv(spark: SparkSession, paths: str | list[str], scale: float = 1.0) -> DataFrame:
     """(ts, value, key): model-year emissions; rows of fewer than 13 columns or with bad numbers are dropped; ordered by time."""
     lines = _text(spark, paths).withColumn("cells", F.transform(F.split("value", ","), lambda c: F.trim(F.replace(c, F.lit('"'), F.lit("")))))
-    c = [F.col("cells")[i] for i in range(13)]
+    c = [F.get("cells", F.lit(i)) for i in range(13)]
     rows = lines.where(F.size("cells") >= 13).select(
         "file", "pos", _number(c[0], "int").alias("year"), *(c[i].alias(n) for i, n in ((1, "make"), (2, "model"), (3, "vehicle"), (6, "transmission"), (7, "fuel"))),
         _number(c[4], "double").alias("engine"), _number(c[5]).alias("cylinders"), _number(c[12], "double").alias("co2"),

@@ -21,8 +21,9 @@ class EpochStore:
         at = self.spark._jvm.org.apache.hadoop.fs.Path(self._at(table))
         return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
 
-    def append(self, table: str, rows: DataFrame) -> None:
-        parts = [c for c in ("epoch_type", "aggregator_id") if c in rows.columns]
+    def append(self, table: str, rows: DataFrame, partitioned: bool = True) -> None:
+        """Adds rows; a table that may stay empty is not partitioned, so that its schema is written all the same."""
+        parts = [c for c in ("epoch_type", "aggregator_id") if partitioned and c in rows.columns]
         writer = rows.write.mode("append")
         (writer.partitionBy(*parts) if parts else writer).parquet(self._at(table))
 

@@ -130,7 +130,7 @@ def processed(store, assigned: DataFrame) -> None:
         good, bad = integrity.split_verified(checked)
         kept = events.join(good.select("source_id", "batch_seq"), ["source_id", "batch_seq"], "left_semi")
         entries = summaries.samples(kept)
-        store.append("raw_epochs_bad", bad)
+        store.append("raw_epochs_bad", bad, partitioned=False)
         store.append("source_tips", integrity.tips(checked))
         store.commit("samples_epoch", {"samples_entries": entries, "raw_events": kept, "epoch_header": summaries.headers(kept)})
     finally:
