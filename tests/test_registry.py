@@ -1,6 +1,7 @@
 """Every registered query against DuckDB over the same tables."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__
@@ -19,7 +20,7 @@ def duck(sf):
 
 def rows(df):
     df = df[sorted(df.columns)]
-    return sorted(tuple("null" if v is None or v != v else str(v) if isinstance(v, (str, bool)) or not hasattr(v, "__int__") else str(int(v)) for v in r) for r in df.itertuples(index=False))
+    return sorted(tuple("null" if pd.isna(v) else str(v) if isinstance(v, (str, bool)) or not hasattr(v, "__int__") else str(int(v)) for v in r) for r in df.itertuples(index=False))
 
 
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
