@@ -62,4 +62,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_secrets, op3_ann, op4_embed_dedup, op5_token_counts, op6_quality, op7_langid, op8_simhash, op9_bpe, op10_packing)}
-ORACLES: dict[str, str] = {}
+
+#: Exact links and components; the others' rows follow from trained models, tokenizers, hashes or searches that SQL can't express.
+ORACLES: dict[str, str] = {
+    "op4_embed_dedup": """
+with recursive v as (
+  select vec_id, cast(embedding as double[]) e from embeddings
+  where vec_id is not null and embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x != 0)) > 0
+), l as (
+  select a.vec_id x, b.vec_id y from v a join v b on a.vec_id != b.vec_id and list_cosine_similarity(a.e, b.e) >= 0.9
+), r as (
+  select vec_id x, vec_id y from embeddings union select r.x, l.y from r join l on r.y = l.x
+), n as (select x, count(*) n from l group by x), c as (select x, min(y) c from r group by x)
+select vec_id, coalesce(n.n, 0) n_links, c.c component_id, c.c = vec_id kept from embeddings left join n on n.x = vec_id join c on c.x = vec_id
+""",
+}

@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from tallybook.llm.common import id_remainder, labelled_sample, written
 
-#: Labelled rows learnt from at most; words in the lexicon at most; toxic documents a lexicon word is in at least.
-MAX_ROWS, MAX_WORDS, LEAST_DOCS = 12_000, 200, 5
+#: Labelled rows learnt from at most; words in the lexicon at most; toxic documents a lexicon word is in at least, and the share of them.
+MAX_ROWS, MAX_WORDS, LEAST_DOCS, LEAST_SHARE = 12_000, 200, 5, 0.01
 #: How much likelier, as a logarithm, a lexicon word is in toxic documents.
 LEAST_RATIO = 1.5
 #: Trees, their depth, and words within which a pronoun is near.
@@ -87,7 +87,7 @@ def learnt_lexicon(sample: DataFrame) -> frozenset[str]:
     words = sample.select("y", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}{3,30})"), 1))).alias("word"))
     counted = words.groupBy("word").agg(F.sum("y").alias("bad"), F.sum(1 - F.col("y")).alias("good"))
     ratio = F.log((F.col("bad") + 0.5) / (total.get(1, 0) + 1.0)) - F.log((F.col("good") + 0.5) / (total.get(0, 0) + 1.0))
-    best = counted.where(F.col("bad") >= LEAST_DOCS).withColumn("ratio", ratio).where(F.col("ratio") >= LEAST_RATIO).orderBy(F.desc(F.col("ratio") * F.sqrt("bad")), "word").limit(MAX_WORDS)
+    best = counted.where(F.col("bad") >= max(LEAST_DOCS, LEAST_SHARE * total.get(1, 0))).withColumn("ratio", ratio).where(F.col("ratio") >= LEAST_RATIO).orderBy(F.desc(F.col("ratio") * F.sqrt("bad")), "word").limit(MAX_WORDS)
     return frozenset(r["word"] for r in best.collect())
 
 
