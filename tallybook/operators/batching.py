@@ -10,10 +10,23 @@ from pyspark.sql.window import Window
 BATCH_EVENTS, EPOCH_BATCHES = 8, 16
 
 
-def with_batches(events: DataFrame, order: list[str], size: int = BATCH_EVENTS) -> DataFrame:
-    """events(source_id, ...) with batch_seq and pos: consecutive chunks of `size` (0: one batch) per source, from 0."""
-    w = Window.partitionBy("source_id").orderBy(*order)
-    nth = events.withColumn("n", F.row_number().over(w) - 1)
+def numbered(rows: DataFrame, by: list[str], order: list[str], slice_: str | None = None) -> DataFrame:
+    """rows with n, their place from 0 among those with the same `by`, in order.
+
+    slice_: a column that never falls along the order (a day, an hour). Each slice is then numbered on its own, from
+    where the counts of the slices before it end, so that one `by` with most of the rows is many tasks' work.
+    """
+    if slice_ is None:
+        return rows.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1)
+    before = Window.partitionBy(*by).orderBy(slice_).rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy(*by, slice_).agg(F.count("*").alias("c")).select(*by, slice_, F.coalesce(F.sum("c").over(before), F.lit(0)).alias("start"))
+    inside = rows.withColumn("k", F.row_number().over(Window.partitionBy(*by, slice_).orderBy(*order)) - 1)
+    return inside.join(starts, [*by, slice_]).withColumn("n", F.col("start") + F.col("k")).drop("start", "k").select(*rows.columns, "n")
+
+
+def with_batches(events: DataFrame, order: list[str], size: int = BATCH_EVENTS, slice_: str | None = None) -> DataFrame:
+    """events(source_id, ...) with batch_seq and pos: consecutive chunks of `size` (0: one batch) per source, from 0. slice_: see numbered."""
+    nth = numbered(events, ["source_id"], order, slice_)
     if not size:
         return nth.withColumn("batch_seq", F.lit(0).cast("long")).withColumn("pos", F.col("n")).drop("n")
     return nth.withColumn("batch_seq", F.expr(f"n div {size}")).withColumn("pos", F.expr(f"cast(n % {size} as int)")).drop("n")

@@ -66,15 +66,16 @@ def chained(commits: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 def verified(claimed: DataFrame, tips: DataFrame | None = None) -> DataFrame:
     """claimed(source_id, batch_seq, commit, batch_hash) with status ok, gap or bad_hash; tips(source_id, last_seq, chain_tip) say where a source stands."""
-    w = Window.partitionBy("source_id").orderBy("batch_seq")
-    df = claimed.withColumn("before_seq", F.lag("batch_seq").over(w)).withColumn("before_hash", F.lag("batch_hash").over(w))
+    before = claimed.select("source_id", (F.col("batch_seq") + 1).alias("batch_seq"), F.col("batch_hash").alias("before_hash"))
     if tips is not None:
-        df = df.join(tips.select("source_id", "last_seq", "chain_tip"), "source_id", "left")
-        df = df.withColumn("before_seq", F.coalesce("before_seq", "last_seq")).withColumn("before_hash", F.coalesce("before_hash", "chain_tip")).drop("last_seq", "chain_tip")
+        # where the tip's batch comes again, its row and the tip say the same or the chain is broken there
+        stand = tips.select("source_id", (F.col("last_seq") + 1).alias("batch_seq"), F.col("chain_tip").alias("before_hash"))
+        before = before.unionByName(stand.join(before.select("source_id", "batch_seq"), ["source_id", "batch_seq"], "left_anti"))
+    # an equi-join on source and sequence spreads a source's batches over all tasks
+    df = claimed.join(before, ["source_id", "batch_seq"], "left")
     prev = F.when(F.col("batch_seq") == 0, zero_hash()).otherwise(F.col("before_hash"))
-    fits = (F.col("batch_seq") == 0) | (F.col("batch_seq") == F.col("before_seq") + 1)
-    status = F.when(~F.coalesce(fits, F.lit(False)), "gap").when(linked(prev, F.col("commit")).eqNullSafe(F.col("batch_hash")), "ok").otherwise("bad_hash")
-    return df.withColumn("status", status).drop("before_seq", "before_hash")
+    status = F.when(prev.isNull(), "gap").when(linked(prev, F.col("commit")).eqNullSafe(F.col("batch_hash")), "ok").otherwise("bad_hash")
+    return df.withColumn("status", status).drop("before_hash")
 
 
 def split_verified(checked: DataFrame, fail_fast: bool = False) -> tuple[DataFrame, DataFrame]:

@@ -36,7 +36,7 @@ def tele_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def batched(events: DataFrame, order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
-    return batching.with_batches(events, list(order))
+    return batching.with_batches(events, list(order), slice_="sequence")
 
 
 def claimed_batches(events: DataFrame, order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
