@@ -13,14 +13,11 @@ doc_ids keep their rows; an empty table gives no rows.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -66,19 +63,13 @@ def features(text: str | None, lexicon: frozenset[str]) -> list[float]:
     ]
 
 
-def _featured(lexicon: frozenset[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = np.array([features(t.as_py(), lexicon) for t in batch.column(0)], dtype=np.float64).reshape(-1, len(NAMES))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *(pa.array(found[:, k]) for k in range(len(NAMES)))], names=[*batch.schema.names[1:], *NAMES])
+def with_features(df: DataFrame, text: str, lexicon: frozenset[str]) -> DataFrame:
+    """df with a vector `features` of its text column; only that column goes to Python."""
+    @F.pandas_udf("array<double>")
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series([features(t, lexicon) for t in texts], dtype="object")
 
-    return run
-
-
-def with_features(texts: DataFrame, lexicon: frozenset[str]) -> DataFrame:
-    """texts(text, ...) with its text replaced by the features."""
-    rest = [f"{f.name} {f.dataType.simpleString()}" for f in texts.schema.fields[1:]]
-    return texts.mapInArrow(_featured(lexicon), ", ".join([*rest, *(f"{n} double" for n in NAMES)]))
+    return df.withColumn("features", array_to_vector(of(F.col(text).cast("string"))))
 
 
 def learnt_lexicon(sample: DataFrame) -> frozenset[str]:
@@ -97,18 +88,16 @@ class Model:
     def __init__(self, lexicon: frozenset[str], trees=None, curve=None, share: float = 0.5):
         self.lexicon, self.trees, self.curve, self.share = lexicon, trees, curve, share
 
-    def scores(self, texts: DataFrame) -> DataFrame:
-        """texts(text, ...) with its text replaced by the score."""
-        rest = texts.columns[1:]
+    def scores(self, df: DataFrame, text: str, keep: list[str]) -> DataFrame:
+        """The columns `keep` of df, and the score of its text column."""
         if self.trees is None:
-            return texts.select(*rest, F.lit(self.share).alias("score"))
-        raw = _raw(self.trees, with_features(texts, self.lexicon), rest)
-        return self.curve.transform(raw).select(*rest, F.least(F.greatest(F.col("prediction"), F.lit(0.0)), F.lit(1.0)).alias("score"))
+            return df.select(*keep, F.lit(self.share).alias("score"))
+        raw = _raw(self.trees, with_features(df.select(*keep, F.col(text).alias("_scanned")), "_scanned", self.lexicon), keep)
+        return self.curve.transform(raw).select(*keep, F.least(F.greatest(F.col("prediction"), F.lit(0.0)), F.lit(1.0)).alias("score"))
 
 
 def _raw(trees, featured: DataFrame, keep: list[str]) -> DataFrame:
-    vectors = VectorAssembler(inputCols=NAMES, outputCol="features").transform(featured)
-    return trees.transform(vectors).select(*keep, vector_to_array("probability")[1].alias("raw"))
+    return trees.transform(featured).select(*keep, vector_to_array("probability")[1].alias("raw"))
 
 
 def learnt(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
@@ -118,14 +107,13 @@ def learnt(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Mode
     if not 0 < bad < n:
         return Model(frozenset(), share=(bad + 1.0) / (n + 2.0))
     lexicon = learnt_lexicon(sample)
-    featured = with_features(sample.select("text", "doc_id", F.col("y").cast("double").alias("y")), lexicon)
+    featured = with_features(sample.select("text", "doc_id", F.col("y").cast("double").alias("y")), "text", lexicon).drop("text")
     # the classes weigh nearly the same, so that the rare one shapes the trees; the curve undoes the shift
     weight = F.when(F.col("y") == 1, min(10.0, (n - bad) / bad)).otherwise(1.0)
     rows = written(featured.withColumn("weight", weight).withColumn("part", F.expr("pmod(xxhash64(doc_id, 1), 4)")), "features")
-    vectors = VectorAssembler(inputCols=NAMES, outputCol="features").transform(rows)
-    grow, apart = vectors.where("part != 0"), rows.where("part = 0")
+    grow, apart = rows.where("part != 0"), rows.where("part = 0")
     if grow.select("y").distinct().count() < 2 or apart.select("y").distinct().count() < 2:
-        grow, apart = vectors, rows
+        grow, apart = rows, rows
     trees = GBTClassifier(featuresCol="features", labelCol="y", weightCol="weight", maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, maxBins=64, minInstancesPerNode=5, seed=7).fit(grow.coalesce(2))
     curve = IsotonicRegression(featuresCol="raw", labelCol="y", predictionCol="prediction").fit(_raw(trees, apart, ["y"]))
     return Model(lexicon, trees, curve)
@@ -133,11 +121,11 @@ def learnt(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Mode
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted of every whole text."""
-    texts = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
-    return model.scores(texts).select("doc_id", (id_remainder("doc_id", MODULUS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return model.scores(texts, "text", ["doc_id"]).select("doc_id", (id_remainder("doc_id", MODULUS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
-    """docs without the toxic rows; all columns as they were."""
-    packed = docs.select(F.col("text").cast("string").alias("scanned"), F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("doc"))
-    return model.scores(packed).where(F.col("score") < TOXIC).select("doc.*")
+    """docs without the toxic rows; all columns as they were, whatever their names."""
+    packed = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("doc"))
+    return model.scores(packed, "doc.text", ["doc"]).where(F.col("score") < TOXIC).select("doc.*")
