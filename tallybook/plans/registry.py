@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallybook.functions.bits import unsigned_decimal
+from tallybook.functions import keys
 from tallybook.functions.keys import KeyMask, exact_key, key_hash, key_lo, key_pattern, partition_of, routed_source, sample_bucket, sketch_column
 from tallybook.functions.windows import selected
 from tallybook.operators import batching, integrity, ownership, privacy, recovery, summaries
 from tallybook.operators import window_queries as wq
 from tallybook.plans import telemetry as tele
+from tallybook.sources import messages
+from tallybook.streaming.epochs import sessions, windowed_samples
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -240,9 +243,9 @@ for _p in (50, 90, 95, 99):
 @query(f"""with {TE}, {_fnv_cte('te')} select key_lo, cast(h as varchar) key_hash, cast({_split('h', 0)} % 1024 as integer) c0, cast({_split('h', 1)} % 1024 as integer) c1, cast({_split('h', 2)} % 1024 as integer) c2,
  cast({_mix('h')} & 1023 as integer) sample_bucket, cast({_mix('key_lo::ubigint')} % 7 as bigint) source_of_7, cast(('0x' || substr(sha256(unhex(lpad(to_hex(h), 16, '0'))), 1, 16))::ubigint % 5 as bigint) partition_of_5 from kh""")
 def key_hashes(spark, d):
-    keys = _events(spark, d).select("key_lo", "key").distinct().withColumn("h", key_hash(F.col("key")))
+    distinct = _events(spark, d).select("key_lo", "key").distinct().withColumn("h", key_hash(F.col("key")))
     h = F.col("h")
-    return keys.select(
+    return distinct.select(
         "key_lo", unsigned_decimal(h).cast("string").alias("key_hash"), *(sketch_column(h, r).alias(f"c{r}") for r in range(3)), sample_bucket(h).alias("sample_bucket"),
         routed_source(F.col("key_lo"), 7).alias("source_of_7"), partition_of(h, 5).alias("partition_of_5"),
     )
@@ -261,9 +264,9 @@ _ASKED = f"select distinct key_lo from te where key_lo & {MASK} = {KEY & MASK}"
  select key_lo, cast(case when support < {LOW} then 0 else e end as bigint) estimate, cast(case when support < {LOW} then 0 else support end as bigint) support, support < {LOW} suppressed from q, s""")
 def cm_estimate(spark, d):
     e = _events(spark, d)
-    keys = e.where(KeyMask(KEY, MASK).matches()).select("key").distinct()
+    asked = e.where(KeyMask(KEY, MASK).matches()).select("key").distinct()
     support = e.agg(F.sum("value").alias("support"))
-    out = wq.sketch_estimate(summaries.sketch_cells_table(e), keys, support)
+    out = wq.sketch_estimate(summaries.sketch_cells_table(e), asked, support)
     return out.select(key_lo(F.col("key")).alias("key_lo"), "estimate", "support", "suppressed")
 
 
@@ -584,8 +587,8 @@ def merge_shards(spark, d):
  select source_key, source_id from old union all select source_key, cast(t + row_number() over (order by source_key) as bigint) from (select source_key from k where key_lo >= 40), top""")
 def source_dictionary(spark, d):
     name = F.concat(F.lit("u"), F.lpad(F.col("key_lo").cast("string"), 8, "0"))
-    keys = _events(spark, d).select(name.alias("source_key"), F.col("key_lo").alias("source_id")).distinct()
-    return recovery.source_dictionary(keys.where("source_id < 40"), keys.select("source_key"))
+    named = _events(spark, d).select(name.alias("source_key"), F.col("key_lo").alias("source_id")).distinct()
+    return recovery.source_dictionary(named.where("source_id < 40"), named.select("source_key"))
 
 
 # --- privacy --------------------------------------------------------------------------------------------------------
@@ -633,6 +636,121 @@ def facade_samples_sum(spark, d):
     return run_query(tele.epoch_summaries(_events(spark, d)), {"type": "samples_sum", "latest": LATEST})
 
 
+# --- encodings, order, joins ----------------------------------------------------------------------------------------
+@query(f"""with {TE} select event_id, repeat('00', 7) || lpad(to_hex(key_lo), 16, '0') || lpad(to_hex("value"), 8, '0') || lpad(to_hex(ts), 8, '0') commit_bytes,
+ lpad(to_hex(ts), 8, '0') || repeat('00', 7) || lpad(to_hex(key_lo), 16, '0') || lpad(to_hex("value"), 8, '0') wire_bytes,
+ '000000' || lpad(to_hex(source_id), 8, '0') || lpad(to_hex(key_lo), 16, '0') source_key, '01000000000000' || lpad(to_hex(key_lo), 16, '0') metric_key, repeat('00', 7) || lpad(to_hex(source_id), 8, '0') || lpad(to_hex(key_lo), 8, '0') flow_key,
+ cast(source_id as bigint) source_of_key, key_lo index_of_key from te""")
+def key_encodings(spark, d):
+    e = _events(spark, d)
+    by_source = keys.key_from_source(F.col("source_id"), F.col("key_lo"))
+
+    def hexed(b):
+        return F.upper(F.hex(b))
+
+    return e.select(
+        "event_id", hexed(keys.event_bytes(F.col("key"), F.col("value"), F.col("ts"))).alias("commit_bytes"), hexed(keys.wire_bytes(F.col("key"), F.col("value"), F.col("ts"))).alias("wire_bytes"),
+        hexed(by_source).alias("source_key"), hexed(keys.key_from_metric(F.lit(1), F.col("key_lo"))).alias("metric_key"), hexed(keys.key_from_flow(F.col("source_id"), F.col("key_lo"))).alias("flow_key"),
+        keys.source_of(by_source).alias("source_of_key"), key_lo(by_source).alias("index_of_key"),
+    )
+
+
+@query(f"""with {TE} select ts start_time, key_lo, sequence, "value" from te order by ts, key_lo, sequence, "value" limit 500""")
+def time_merge(spark, d):
+    rows = _events(spark, d).select(F.col("ts").alias("start_time"), "key", "key_lo", F.col("sequence").alias("file"), "value")
+    return batching.merged_by_time(rows, 500).select("start_time", "key_lo", F.col("file").alias("sequence"), "value")
+
+
+@query(f"""with {TE} select event_id, cast((row_number() over (partition by sequence order by ts, event_id) - 1) % 5 as integer) source_id from te""")
+def round_robin(spark, d):
+    return batching.round_robin(_events(spark, d), ["ts", "event_id"], 5, "sequence").select("event_id", "source_id")
+
+
+@query(f"""with {TE} select aggregator_id, sequence, count(*) n_events, count(*) total_count, cast(sum("value") as bigint) total_sum from te group by 1, 2""")
+def header_bodies(spark, d):
+    e = tele.batched(_events(spark, d))
+    bodies = summaries.samples_totals(summaries.samples(e)).withColumn("epoch_type", F.lit("samples_epoch"))
+    return recovery.header_bodies(summaries.headers(e), bodies).select("aggregator_id", "sequence", "n_events", "total_count", "total_sum")
+
+
+@query(f"""with {_HEADS} select aggregator_id, sequence from hd where (sequence + aggregator_id) % 7 != 6""")
+def complete_epochs(spark, d):
+    e = _events(spark, d)
+    rows = e.select("aggregator_id", "sequence").distinct().withColumn("epoch_type", F.lit("samples_epoch"))
+    return recovery.complete(rows, _done(e)).select("aggregator_id", "sequence")
+
+
+@query(f"""with {TE}, s as (select distinct source_id from te) select source_id, cast(7 as bigint) at_epoch, case when source_id % 2 = 0 then 'tip' when source_id < 6 then 'handoff' else 'cold' end origin,
+ cast(case when source_id % 2 = 0 then 9 when source_id < 6 then 4 else -1 end as bigint) last_seq, case when source_id % 2 = 0 then (case when source_id % 4 = 2 then 'kept' else 'moved' end) when source_id < 6 then 'moved' else 'new' end "class" from s""")
+def tip_inheritance(spark, d):
+    sources = _events(spark, d).select("source_id").distinct()
+    tip = F.unhex(F.sha2(F.col("source_id").cast("string"), 256))
+    even = F.col("source_id") % 2 == 0
+    tips = sources.select("source_id", F.when(even, tip).otherwise(integrity.zero_hash()).alias("chain_tip"), F.when(even, 9).otherwise(-1).cast("long").alias("last_seq"), (F.col("source_id") % 4).alias("owner"))
+    handoffs = sources.where("source_id < 6").select("source_id", F.lit(7).cast("long").alias("at_epoch"), tip.alias("chain_tip"), F.lit(4).cast("long").alias("last_seq"), F.lit(0).alias("from_aggregator"))
+    incoming = sources.select("source_id", F.lit(7).cast("long").alias("at_epoch"), F.lit(2).alias("reader"))
+    return ownership.inherited(incoming, tips, handoffs).select("source_id", "at_epoch", "origin", "last_seq", "class")
+
+
+@query(f"""with {TE}, t as (select source_id, max(sequence) e from te where sequence % 3 != 0 or event_id % 2 = 0 group by 1) select source_id, e updated_at_epoch, e last_seq from t where e > 0""")
+def merge_tips(spark, d):
+    e = _events(spark, d)
+
+    def store(part):
+        tips = part.groupBy("source_id").agg(F.max("sequence").alias("updated_at_epoch"))
+        return tips.select("source_id", "updated_at_epoch", F.col("updated_at_epoch").alias("last_seq"), F.unhex(F.sha2(F.col("source_id").cast("string"), 256)).alias("chain_tip"))
+
+    stores = [store(e.where("sequence % 3 != 0")), store(e.where("sequence % 3 = 0 and event_id % 2 = 0")), store(e).withColumn("chain_tip", integrity.zero_hash())]
+    return ownership.merged_state(stores, ["source_id"]).select("source_id", "updated_at_epoch", "last_seq")
+
+
+@query(f"""with {_MAPS}, n as (select distinct source_id from te) select cast(1000 as bigint) epoch_seq, source_id, cast(source_id % 3 as integer) "owner" from n""")
+def reshard_install(spark, d):
+    e = _events(spark, d)
+    new = e.select("source_id").distinct().select(F.lit(1000).cast("long").alias("epoch_seq"), "source_id", (F.col("source_id") % 3).cast("int").alias("owner"))
+    return ownership.installed(tele.ownership(spark, d), new, 500)
+
+
+@query(f"""with recursive {ENTRIES}, p as (select key_lo, sequence, sum(s) s from en group by 1, 2), k as (select key_lo, row_number() over (partition by key_lo order by sequence) n, sha256(unhex(lpad(to_hex(cast(s as bigint)), 16, '0'))) c from p),
+ ch as (select key_lo, n, sha256(unhex('{integrity.TAGS['chain'].hex()}{integrity.ZERO}' || c)) h from k where n = 1 union all select k.key_lo, k.n, sha256(unhex('{integrity.TAGS['chain'].hex()}' || ch.h || k.c)) from k join ch on k.key_lo = ch.key_lo and k.n = ch.n + 1)
+ select key_lo, lower(arg_max(h, n)) chain_tip from ch group by 1""")
+def key_chains(spark, d):
+    per_epoch = _events(spark, d).groupBy("key", "key_lo", F.col("sequence").alias("batch_seq")).agg(F.sum("value").alias("s"))
+    chain = integrity.chained(per_epoch.select("key_lo", "batch_seq", integrity.sha(keys.be(F.col("s"), 8)).alias("commit")), ["key_lo"])
+    return chain.groupBy("key_lo").agg(F.lower(F.hex(F.max_by("batch_hash", "batch_seq"))).alias("chain_tip"))
+
+
+@query(f"""with {ENTRIES} select aggregator_id, sequence, lower(sha256(unhex('{integrity.TAGS['output'].hex()}' || hex('samples_epoch'::blob) || lpad(to_hex(cast(sum(s) as bigint)), 16, '0') || lpad(to_hex(cast(sum(c) as bigint)), 16, '0')))) output_commit from en group by 1, 2""")
+def output_commits(spark, d):
+    totals = summaries.samples_totals(summaries.samples(_events(spark, d)))
+    commit = integrity.output_commit("samples_epoch", keys.be(F.col("total_sum"), 8), keys.be(F.col("total_count"), 8))
+    return totals.select("aggregator_id", "sequence", F.lower(F.hex(commit)).alias("output_commit"))
+
+
+@query(f"""with {TE} select ts // 21600 * 21600 window_start, key_lo, cast(sum("value") as bigint) "sum", count(*) "count" from te group by 1, 2""")
+def event_windows(spark, d):
+    e = _events(spark, d).withColumn("event_time", F.timestamp_seconds("ts"))
+    out = windowed_samples(e, "6 hours", "1 hour")
+    return out.select(F.unix_seconds("window_start").alias("window_start"), key_lo(F.col("key")).alias("key_lo"), "sum", "count")
+
+
+@query(f"""with {TE}, g as (select key_lo, ts, "value", case when ts - lag(ts) over (partition by key_lo order by ts) < 7200 then 0 else 1 end n from te), s as (select *, sum(n) over (partition by key_lo order by ts, n desc rows unbounded preceding) k from g)
+ select key_lo, min(ts) session_start, cast(sum("value") as bigint) "sum", count(*) "count" from s group by key_lo, k""")
+def event_sessions(spark, d):
+    e = _events(spark, d).withColumn("event_time", F.timestamp_seconds("ts"))
+    return sessions(e, "2 hours", "1 hour").select(key_lo(F.col("key")).alias("key_lo"), F.unix_seconds("session_start").alias("session_start"), "sum", "count")
+
+
+@query(f"with {BATCHED}, m as (select source_id, batch_seq, count(*) n from bt group by 1, 2) select 'src' || source_id \"key\", cast(source_id % 4 as integer) \"partition\", cast(batch_seq as bigint) batch_seq, n n_events from m")
+def batch_messages(spark, d):
+    b = tele.batched(_events(spark, d))
+    claimed = tele.claimed_batches(_events(spark, d)).select("source_id", "batch_seq", "batch_hash")
+    held = b.groupBy("source_id", "batch_seq").agg(F.max("ingest_time_ms").alias("ingest_time_ms"), F.array_sort(F.collect_list(F.struct("pos", "key", "value", "ts"))).alias("events")).join(claimed, ["source_id", "batch_seq"])
+    sent = messages.messages(held, 4)
+    back = messages.parsed(sent.select("key", "partition", "value"))
+    return back.select(F.concat(F.lit("src"), F.col("source_id").cast("string")).alias("key"), (F.col("source_id") % 4).cast("int").alias("partition"), "batch_seq", F.size("events").cast("long").alias("n_events"))
+
+
 # --- lines ----------------------------------------------------------------------------------------------------------
 @query("""with b as (select l_suppkey % 8 s, row_number() over (partition by l_suppkey % 8 order by l_orderkey, l_linenumber, (cast(l_suppkey as bigint) << 32) | l_partkey, l_quantity) - 1 n, * from lineitem)
  select cast(s as integer) source_id, cast(n // 8 as bigint) batch_seq, count(*) n_events, lower(sha256(unhex(string_agg(repeat('00', 7) || lpad(to_hex((cast(l_suppkey as bigint) << 32) | l_partkey), 16, '0') || lpad(to_hex(cast(l_quantity as bigint)), 8, '0')
