@@ -30,7 +30,7 @@ from tallybook.llm.common import written
 from tallybook.llm.embeddings import matrix, usable, width
 
 #: Trees, bits in a hash string, and the chance that a near row may be missed.
-TREES, BITS, MISS = 32, 48, 0.1
+TREES, BITS, MISS = 32, 48, 0.05
 #: Rows in a block's forest about, fewest blocks, and queries handled together.
 BLOCK_ROWS, LEAST_BLOCKS, TOGETHER = 8192, 12, 64
 #: Every row whose id is divisible by this is a query.
