@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tallybook.operators.batching import numbered
+
 KEY = ["epoch_type", "aggregator_id", "sequence"]
 #: Epochs around the newest complete one that recovery looks at.
 NEAR = 5
@@ -61,10 +63,11 @@ def store_statistics(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, facts)
 
 
-def source_dictionary(known: DataFrame, seen: DataFrame) -> DataFrame:
+def source_dictionary(known: DataFrame, seen: DataFrame, head: int = 7) -> DataFrame:
     """known(source_key, source_id) and, for new keys of seen(source_key), the next ids in order of key."""
     new = seen.select("source_key").distinct().join(known, "source_key", "left_anti")
     top = known.agg(F.coalesce(F.max("source_id"), F.lit(-1)).alias("top"))
-    # new sources are few beside events; their numbering is one ordered pass over new keys only
-    numbered = new.withColumn("n", F.row_number().over(Window.orderBy("source_key"))).crossJoin(F.broadcast(top)).select("source_key", (F.col("top") + F.col("n")).cast("long").alias("source_id"))
-    return known.select("source_key", F.col("source_id").cast("long").alias("source_id")).unionByName(numbered)
+    # numbered by slices of keys with the same beginning, not in one pass over all
+    sliced = new.withColumns({"all": F.lit(0), "head": F.substring("source_key", 1, head)})
+    ids = numbered(sliced, ["all"], ["source_key"], "head").crossJoin(F.broadcast(top)).select("source_key", (F.col("top") + 1 + F.col("n")).cast("long").alias("source_id"))
+    return known.select("source_key", F.col("source_id").cast("long").alias("source_id")).unionByName(ids)
