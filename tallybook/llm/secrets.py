@@ -148,6 +148,8 @@ def redacted(docs: DataFrame) -> DataFrame:
     found = spans(scans(docs, key)).groupBy("key").agg(F.collect_set("found").alias("secrets"))
     # the longest first: a secret may stand within another
     longest = F.array_sort(F.col("secrets"), lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).otherwise(0))
-    text = F.aggregate(longest, F.col("text").cast("string"), lambda t, s: F.replace(t, s, F.lit(REDACTED)))
-    joined = docs.withColumn("_key", key).join(found.select(F.col("key").alias("_key"), "secrets"), "_key", "left")
-    return joined.withColumn("text", F.when(F.col("secrets").isNull(), F.col("text")).otherwise(text)).select(*docs.columns)
+    own = F.col("doc.text").cast("string")
+    text = F.when(F.col("secrets").isNull(), own).otherwise(F.aggregate(longest, own, lambda t, s: F.replace(t, s, F.lit(REDACTED))))
+    # documents travel as one column, so that theirs can't clash with these
+    packed = docs.select(key.alias("key"), F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("doc"))
+    return packed.join(found, "key", "left").select(F.col("doc").withField("text", text).alias("doc")).select("doc.*")

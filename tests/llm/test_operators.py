@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallybook.llm import ann, bpe, embed_dedup, langid, packing, quality, secrets, simhash, token_counts, toxicity
 from tallybook.llm.common import components
@@ -244,6 +245,8 @@ def test_secrets_find_base_spans_and_random_tokens(spark):
     assert secrets.scanned(empty(spark)).count() == 0
     clean = {x.doc_id: x for x in secrets.redacted(documents(spark, texts)).collect()}
     assert len(clean) == len(texts) and clean[4].text is None and keys[0] not in clean[len(fixed)].text and clean[0].text.startswith("😀 [SECRET]") and clean[3].key == "k"
+    clash = documents(spark, fixed).withColumn("secrets", F.lit(1)).withColumn("doc", F.lit(2))
+    assert secrets.redacted(clash).columns == clash.columns and secrets.redacted(clash).where("secrets = 1 and doc = 2").count() == len(fixed)
 
 
 # --- embeddings ---------------------------------------------------------------------------------------------------
