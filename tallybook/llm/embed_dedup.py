@@ -30,6 +30,8 @@ from tallybook.llm.embeddings import matrix, usable, width
 LEAST_COSINE, TABLES, VISITS = 0.9, 12, 3
 #: Vectors in a bucket about, for the number of hashes joined in a table; members compared in one piece.
 BUCKET_ROWS, BLOCK = 8, 1024
+#: Rows that one call of the verification takes about (whole buckets or pairs of blocks), and the fewest calls.
+CALL_ROWS, LEAST_CALLS = 8192, 64
 #: Of 128 sketch bits, those that linked vectors may differ in: 18.4 are expected at the least cosine, so this leaves out one in some ten million.
 SKETCH_BITS = 40
 
@@ -116,46 +118,43 @@ def _first_here(table: int, bucket: int, left: tuple, right: tuple, a: np.ndarra
 
 
 def _verified(dimensions: int):
-    """Links inside one bucket, or between two of its blocks: counts per vector and edges that span what links."""
+    """Links inside buckets, or between two blocks of one, many to a call: counts per vector and edges that span what links."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        table, bucket = int(pdf["t"].iloc[0]), int(pdf["bucket"].iloc[0])
-        left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        one = bool((pdf["i"] == pdf["j"]).all())
-        right = left if one else right
-        if not len(left) or not len(right) or not (left["home"].any() or right["home"].any()):
-            return pd.DataFrame({"rep": [], "links": [], "root": []})
-
-        def of(part: pd.DataFrame):
-            v = np.stack([np.pad(x, (0, dimensions - len(x))) for x in part["v"]])
-            return part["rep"].to_numpy(), part["copies"].to_numpy(), v / np.linalg.norm(v, axis=1, keepdims=True), part["home"].to_numpy(bool), np.stack(part["own"]), np.stack(part["visited"]).reshape(len(part), TABLES, VISITS)
-
-        lr, lc, lv, lh, lo, lw = of(left)
-        rr, rc, rv, rh, ro, rw = (lr, lc, lv, lh, lo, lw) if one else of(right)
-        near = (lv @ rv.T >= LEAST_COSINE) & (lh[:, None] | rh[None, :])
-        a, b = np.nonzero(near)
-        keep = a < b if one else lr[a] != rr[b]
-        a, b = a[keep], b[keep]
-        links = {}
-        edges = []
-        for s in range(0, len(a), 50_000):
-            x, y = _first_here(table, bucket, (lo, lw), (ro, rw), a[s: s + 50_000], b[s: s + 50_000])
-            if len(x):
-                for ids, weights in ((lr[x], rc[y]), (rr[y], lc[x])):
-                    for i, n in zip(*_summed(ids, weights), strict=True):
-                        links[i] = links.get(i, 0) + n
-                edges.append(np.stack([lr[x], rr[y]], axis=1))
-        root = _roots(np.concatenate(edges)) if edges else {}
-        return pd.DataFrame({"rep": list(links), "links": list(links.values()), "root": [root[i] for i in links]})
-
-    def run_typed(pdf: pd.DataFrame) -> pd.DataFrame:
-        return run(pdf).astype({"rep": "int64", "links": "int64", "root": "int64"})
+        pdf = pdf.sort_values(["t", "bucket", "i", "j", "side"])
+        keys = pdf[["t", "bucket", "i", "j"]].to_numpy(dtype=np.int64)
+        cuts = [0, *(np.flatnonzero((np.diff(keys, axis=0) != 0).any(axis=1)) + 1).tolist(), len(pdf)]
+        rep, copies, home, side = pdf["rep"].to_numpy(), pdf["copies"].to_numpy(), pdf["home"].to_numpy(bool), pdf["side"].to_numpy()
+        v = matrix(pa.array(pdf["v"], type=pa.list_(pa.float64())), dimensions)
+        v = v / np.linalg.norm(v, axis=1, keepdims=True)
+        own, visited = np.stack(pdf["own"].to_numpy()), np.stack(pdf["visited"].to_numpy()).reshape(len(pdf), TABLES, VISITS)
+        links: list[tuple[np.ndarray, np.ndarray]] = []
+        edges: list[np.ndarray] = []
+        for start, end in zip(cuts, cuts[1:], strict=False):
+            table, bucket, i, j = keys[start].tolist()
+            middle = start + int(np.searchsorted(side[start:end], 1))
+            left, right = (slice(start, end),) * 2 if i == j else (slice(start, middle), slice(middle, end))
+            near = (v[left] @ v[right].T >= LEAST_COSINE) & (home[left][:, None] | home[right][None, :])
+            a, b = np.nonzero(near)
+            keep = a < b if i == j else rep[left][a] != rep[right][b]
+            a, b = a[keep] + left.start, b[keep] + right.start
+            for at in range(0, len(a), 50_000):
+                x, y = _first_here(table, bucket, (own, visited), (own, visited), a[at: at + 50_000], b[at: at + 50_000])
+                if len(x):
+                    links += [_summed(rep[x], copies[y]), _summed(rep[y], copies[x])]
+                    edges.append(np.stack([rep[x], rep[y]], axis=1))
+        if not links:
+            return pd.DataFrame({"rep": [], "links": [], "root": []}).astype("int64")
+        ids, counts = (np.concatenate(x) for x in zip(*links, strict=True))
+        ids, counts = _summed(ids, counts)
+        root = _roots(np.concatenate(edges))
+        return pd.DataFrame({"rep": ids, "links": counts, "root": [root[i] for i in ids.tolist()]})
 
-    return run_typed
+    return run
 
 
-def _summed(ids: np.ndarray, weights: np.ndarray) -> tuple[list[int], list[int]]:
+def _summed(ids: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     distinct, at = np.unique(ids, return_inverse=True)
-    return distinct.tolist(), np.bincount(at, weights=weights).astype(np.int64).tolist()
+    return distinct, np.bincount(at, weights=weights).astype(np.int64)
 
 
 def _roots(edges: np.ndarray) -> dict[int, int]:
@@ -188,11 +187,12 @@ def near_duplicates(table: DataFrame) -> DataFrame:
     met_one = places.alias("l").join(places.alias("r"), (F.col("l.t") == F.col("r.t")) & (F.col("l.bucket") == F.col("r.bucket")) & alike, "left_semi")
     kept = written(met_one.select("t", "bucket", "rep", "home"), "kept")
     sizes = kept.groupBy("t", "bucket").agg(F.count("*").alias("n"))
+    calls = max(LEAST_CALLS, -(-(sizes.agg(F.sum(F.expr(f"n * cast(ceil(n / {BLOCK}.0) as bigint)"))).first()[0] or 0) // CALL_ROWS))
     held = kept.join(sizes, ["t", "bucket"]).withColumn("nb", F.expr(f"cast(ceil(n / {BLOCK}.0) as int)")).withColumn("b", F.expr("cast(pmod(xxhash64(rep), nb) as int)"))
     dealt = held.select("t", "bucket", "rep", "home", "b", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o")).select(
         "t", "bucket", "rep", "home", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), F.when(F.col("b") <= F.col("o"), 0).otherwise(1).alias("side")
     )
-    met = dealt.join(signed.drop("s1", "s2"), "rep").groupBy("t", "bucket", "i", "j").applyInPandas(_verified(dimensions), "rep long, links long, root long")
+    met = dealt.join(signed.drop("s1", "s2"), "rep").withColumn("call", F.expr(f"pmod(xxhash64(t, bucket, i, j), {calls})")).groupBy("call").applyInPandas(_verified(dimensions), "rep long, links long, root long")
     met = written(met, "links")
     counts = met.groupBy("rep").agg(F.sum("links").alias("others"))
     named = components(met.select(F.col("rep").alias("a"), F.col("root").alias("b")))
