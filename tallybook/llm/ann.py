@@ -6,6 +6,10 @@ time, so that the rows sharing a shorter prefix become candidates. Ascending sto
 nearer than the query's k-th candidate has been missed in every tree: near rows share long prefixes, so clustered
 data stop early, while vectors without structure are followed up to short prefixes.
 
+Hash bits tell angles, and the measure is the inner product: each row gets one more component, sqrt(M^2 - |v|^2) with
+its block's largest norm M, and queries 0 there. All rows are then as long as M, so that the angle orders as the inner
+product does, whatever the norms. Rows much shorter than M lie near a right angle and are followed to short prefixes.
+
 Rows are dealt by id into blocks of bounded size, each with a forest of its own; queries pass through every block in
 bounded batches, and the k best of each block are merged. The score is the inner product of the original vectors in
 double precision.
@@ -40,8 +44,8 @@ LEVELS = [48, 32, 24, 18, 14, 12, 10, 9, 8, 7, 6, 5, 4, 3, 2, 1, 0]
 
 
 def planes(dimensions: int) -> np.ndarray:
-    """The projections of all trees, the same in every task."""
-    return np.random.default_rng(11).standard_normal((dimensions, TREES * BITS)).astype(np.float32)
+    """The projections of all trees, the same in every task; the last row is for the component that evens the norms."""
+    return np.random.default_rng(11).standard_normal((dimensions + 1, TREES * BITS)).astype(np.float32)
 
 
 def hashes(vectors: np.ndarray, directions: np.ndarray) -> np.ndarray:
@@ -59,26 +63,28 @@ class Forest:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, directions: np.ndarray):
         self.ids, self.vectors, self.directions = ids, vectors, directions
-        self.norms = np.linalg.norm(vectors, axis=1)
-        codes = hashes(vectors, directions)
+        norms = np.linalg.norm(vectors, axis=1)
+        self.longest = norms.max()
+        lift = np.sqrt(np.maximum(0.0, 1 - (norms / self.longest) ** 2))
+        codes = hashes(np.column_stack([vectors / self.longest, lift]), directions)
         self.order = np.argsort(codes, axis=0, kind="stable").astype(np.int32)
         self.sorted = np.ascontiguousarray(np.take_along_axis(codes, self.order, axis=0).T)
         self.order = np.ascontiguousarray(self.order.T)
 
     def nearest(self, query_ids: np.ndarray, queries: np.ndarray, k: int, share: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(query id, vec_ids, scores) with the k best candidates of each query; about share of the k nearest of all are expected here."""
-        codes = hashes(queries, self.directions)
+        sizes = np.linalg.norm(queries, axis=1)
+        codes = hashes(queries / sizes[:, None], self.directions[:-1])
         bounds = np.empty((len(LEVELS), 2, TREES, len(queries)), dtype=np.int32)
         for t in range(TREES):
             for i, level in enumerate(LEVELS):
                 free = np.uint64((1 << (BITS - level)) - 1)
                 bounds[i, 0, t] = np.searchsorted(self.sorted[t], codes[:, t] & ~free, side="left")
                 bounds[i, 1, t] = np.searchsorted(self.sorted[t], codes[:, t] | free, side="right")
-        sizes = np.linalg.norm(queries, axis=1)
         for q, query in enumerate(queries):
             seen = np.zeros(len(self.ids), dtype=bool)
             seen[self.ids == query_ids[q]] = True
-            ids, scores, cosines = np.empty(0, np.int64), np.empty(0), np.empty(0)
+            ids, scores = np.empty(0, np.int64), np.empty(0)
             last = None
             for i, level in enumerate(LEVELS):
                 low, high = bounds[i, 0, :, q].tolist(), bounds[i, 1, :, q].tolist()
@@ -94,13 +100,13 @@ class Forest:
                         seen[fresh] = True
                         ids = np.concatenate([ids, self.ids[fresh]])
                         scores = np.concatenate([scores, self.vectors[fresh] @ query])
-                        cosines = np.concatenate([cosines, scores[len(cosines):] / (self.norms[fresh] * sizes[q])])
                         if len(scores) > 4 * k:
                             best = np.lexsort((ids, -scores))[:k]
-                            ids, scores, cosines = ids[best], scores[best], cosines[best]
+                            ids, scores = ids[best], scores[best]
                 if level and len(scores) >= share:
                     # a row as near as the last of the share agrees on each bit with this chance
-                    agree = 1 - np.arccos(np.clip(np.partition(cosines, -share)[-share], -1, 1)) / np.pi
+                    cosine = np.partition(scores, -share)[-share] / (self.longest * sizes[q])
+                    agree = 1 - np.arccos(np.clip(cosine, -1, 1)) / np.pi
                     if (1 - agree ** level) ** TREES <= MISS:
                         break
             best = np.lexsort((ids, -scores))[:k]

@@ -6,6 +6,8 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -275,6 +277,24 @@ def test_ann_recall_and_scores(spark, vectors):
     assert ann.nearest(table.where("vec_id in (0, 1, 2)")).count() == 2 and ann.nearest(table.where("false")).count() == 0
 
 
+def test_ann_recall_on_mixed_norms(spark, tmp_path):
+    """Clusters whose norms differ widely: the largest inner products are often not at the smallest angles."""
+    r = np.random.default_rng(8)
+    centers = r.standard_normal((100, 32))
+    v = centers[r.integers(0, 100, 24_000)] + 0.25 * r.standard_normal((24_000, 32))
+    v *= (r.lognormal(0, 1, 24_000) / np.linalg.norm(v, axis=1))[:, None]
+    pq.write_table(pa.table({"vec_id": np.arange(24_000), "embedding": list(v)}), tmp_path / "v.parquet")
+    got = {}
+    for x in ann.nearest(spark.read.parquet(str(tmp_path / "v.parquet")), k=20, query_every=500).collect():
+        got.setdefault(x.query_id, set()).add(x.vec_id)
+    shares = []
+    for q in range(0, 24_000, 500):
+        scores = v @ v[q]
+        scores[q] = -np.inf
+        shares.append(len(got[q] & set(np.argsort(-scores)[:20].tolist())) / 20)
+    assert np.mean(shares) >= 0.95
+
+
 def test_embedding_links_are_brute_force(spark, vectors, monkeypatch):
     x, table = vectors
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
