@@ -144,12 +144,11 @@ def scanned(docs: DataFrame) -> DataFrame:
 
 def redacted(docs: DataFrame) -> DataFrame:
     """docs with every secret found in a document's text replaced, wherever in that text it stands; columns stay as they are."""
-    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.xxhash64("text").cast("string")))
-    found = spans(scans(docs, key)).groupBy("key").agg(F.collect_set("found").alias("secrets"))
+    # documents travel as one column, so that theirs can't clash with these; a written row's number stays the same, and ids may repeat
+    rows = written(docs.select(F.monotonically_increasing_id().alias("key"), F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("doc")), "documents")
+    found = spans(scans(rows.select("key", "doc.doc_id", "doc.text"), F.col("key"))).groupBy("key").agg(F.collect_set("found").alias("secrets"))
     # the longest first: a secret may stand within another
     longest = F.array_sort(F.col("secrets"), lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).otherwise(0))
     own = F.col("doc.text").cast("string")
     text = F.when(F.col("secrets").isNull(), own).otherwise(F.aggregate(longest, own, lambda t, s: F.replace(t, s, F.lit(REDACTED))))
-    # documents travel as one column, so that theirs can't clash with these
-    packed = docs.select(key.alias("key"), F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("doc"))
-    return packed.join(found, "key", "left").select(F.col("doc").withField("text", text).alias("doc")).select("doc.*")
+    return rows.join(found, "key", "left").select(F.col("doc").withField("text", text).alias("doc")).select("doc.*")

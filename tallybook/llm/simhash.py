@@ -6,6 +6,9 @@ position, remaining bits); pairs that share a variant are verified with a bit co
 fingerprint and never meet as pairs; variants that hold many fingerprints are verified block by block in numpy
 and give a spanning forest, not all pairs.
 
+Fingerprints, not ids, are linked: texts that share an id stay apart, and those without one still link others. Ids
+come in at the end, as the names of components.
+
 Nulls and edges: a null text counts as empty (fingerprint 0, linked like any other). A null doc_id keeps its row,
 is never a component's name unless no other id is in it. Repeated rows keep their rows. An empty table gives none.
 """
@@ -19,7 +22,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallybook.llm.common import components, written
@@ -46,13 +49,19 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = np.fromiter((fingerprint(t.as_py()) for t in batch.column(1)), dtype=np.uint64, count=batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+        found = np.fromiter((fingerprint(t.as_py()) for t in batch.column(2)), dtype=np.uint64, count=batch.num_rows)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], names=["doc_id", "text_hash", "fp"])
+
+
+def text_hash() -> Column:
+    """Tells the texts that share an id apart."""
+    return F.xxhash64(F.col("text").cast("string"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): fp holds the fingerprint's bits as a signed long."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    """(doc_id, text_hash, fp): fp holds the fingerprint's bits as a signed long."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("text_hash"), F.col("text").cast("string").alias("text"))
+    return texts.mapInArrow(_fingerprints, "doc_id long, text_hash long, fp long")
 
 
 def _close(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -109,16 +118,23 @@ def links(distinct: DataFrame) -> DataFrame:
     return pairs.unionByName(joined).unionByName(blocks).distinct()
 
 
+def _named(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, fp, component_id) of every row; component_id is the smallest doc_id whose fingerprint is reachable."""
+    found = written(fingerprints(docs), "fingerprints")
+    distinct = written(found.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    linked = written(components(links(distinct.select(F.col("fp").alias("rep"), "fp"))).join(distinct, F.col("node") == F.col("fp")).select("fp", "component", "least"), "linked")
+    names = linked.groupBy("component").agg(F.min("least").alias("name"))
+    whole = distinct.join(linked.join(names, "component").select("fp", "name"), "fp", "left").select("fp", F.coalesce("name", "least").alias("component_id"))
+    return found.join(whole, "fp")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable by links)."""
-    found = written(fingerprints(docs), "fingerprints")
-    distinct = written(found.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
-    named = components(links(distinct.where("rep is not null")))
-    whole = distinct.join(named, distinct["rep"] == named["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return found.join(whole, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return _named(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs without all but the smallest doc_id of each component; rows whose doc_id is null stay."""
-    drop = near_duplicates(docs).where("doc_id is not null and doc_id != component_id").select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti").select(*docs.columns)
+    """docs without all but the smallest doc_id of each component; rows whose doc_id is null stay, as do repeats of that smallest."""
+    drop = _named(docs).where("doc_id is not null and doc_id != component_id").select("doc_id", "text_hash").distinct()
+    packed = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("doc"), F.col("doc_id").cast("long").alias("own_id"), text_hash().alias("own_hash"))
+    return packed.join(drop, (F.col("own_id") == F.col("doc_id")) & (F.col("own_hash") == F.col("text_hash")), "left_anti").select("doc.*")

@@ -95,6 +95,30 @@ def test_simhash_keeps_rows_without_id_and_repeats(spark):
     assert simhash.deduplicated(docs).count() == 4
 
 
+def test_simhash_tells_texts_with_one_id_apart(spark):
+    a, b = prose(41, 60), prose(42, 60)
+    docs = spark.createDataFrame([(7, a), (3, a), (7, b)], "doc_id long, text string")
+    assert sorted(simhash.deduplicated(docs).collect()) == [(3, a), (7, b)]
+    assert sorted(r.component_id for r in simhash.near_duplicates(docs).collect()) == [3, 3, 7]
+
+
+def test_simhash_links_through_rows_without_id(spark, monkeypatch):
+    """x and z are four bits apart, the text without an id is two bits from both."""
+    prints = {"x": 0b1111, "y": 0b11, "z": 0}
+    found = spark.createDataFrame([(9, 1, prints["x"]), (None, 2, prints["y"]), (4, 3, prints["z"])], "doc_id long, text_hash long, fp long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs: found)
+    assert [r.component_id for r in simhash.near_duplicates(None).collect()] == [4, 4, 4]
+
+
+def test_secrets_redact_rows_that_share_an_id(spark):
+    """A base span of another text with the same id doesn't hide a secret."""
+    r = random.Random(9)
+    keys = ["".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(40)) for _ in range(12)]
+    rows = [(i, t) for i, k in enumerate(keys) for t in (f"é {k} ,", "token=" + "x" * 60)]
+    clean = [r.text for r in secrets.redacted(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len(clean) == 24 and sum(k in t for k in keys for t in clean) <= 2
+
+
 # --- bpe ----------------------------------------------------------------------------------------------------------
 @pytest.fixture(scope="module")
 def library():
