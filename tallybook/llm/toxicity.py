@@ -54,11 +54,12 @@ def features(text: str | None, lexicon: frozenset[str]) -> list[float]:
     letters = max(1, capitals + int(raw[97:123].sum()))
     hits = [i for i, w in enumerate(words) if w in lexicon]
     near = sum(any(words[j] in SECOND for j in range(max(0, i - NEAR), min(len(words), i + NEAR + 1))) for i in hits)
-    hidden = [m for m in OBFUSCATED.findall(text) if m.lower().translate(WRITTEN_FOR) in lexicon] if digits or raw[33] or raw[36] or raw[42] or raw[64] else []
-    odd = len(OBFUSCATED.findall(text)) if digits or signs else 0
+    # every match has a digit or sign
+    odd = OBFUSCATED.findall(text) if digits or signs else []
+    hidden = [m for m in odd if m.lower().translate(WRITTEN_FOR) in lexicon]
     return [
         len(hits) / n, len({words[i] for i in hits}) / n, len(hidden) / n, near / n, sum(map(SECOND.__contains__, words)) / n,
-        capitals / letters, sum(map(str.isupper, text.split())) / n, signs / size, int(raw[33]) / size, digits / size, odd / n,
+        capitals / letters, sum(map(str.isupper, text.split())) / n, signs / size, int(raw[33]) / size, digits / size, len(odd) / n,
         sum(map(str.__eq__, words, words[1:])) / n, float(np.log1p(len(words))), float(np.log1p(len(hits) + len(hidden))),
     ]
 

@@ -363,6 +363,12 @@ def test_quality_on_held_out_rows(spark):
     assert quality.scored(docs, quality.learnt(docs, labels.where("false"))).first().score == 0.5
 
 
+def test_toxicity_sees_words_split_by_any_sign():
+    for text in ("what an i.d.i.o.t", "what an i-d-i-o-t", "what an i_d_i_o_t", "what an i*d*i*o*t", "what an id1ot"):
+        got = dict(zip(toxicity.NAMES, toxicity.features(text, frozenset({"idiot"})), strict=True))
+        assert got["lexicon_hidden"] > 0 and got["lexicon_count"] > 0
+
+
 def test_toxicity_on_held_out_rows(spark):
     docs, labels = labelled(spark)
     model = toxicity.learnt(docs, labels)
