@@ -30,6 +30,9 @@ ACCESS, HEX = r"AKIA[A-Z0-9]{14,}", r"[0-9a-f]{16,}"
 LEAST_ASSIGNED = 12
 #: Runs that the battery looks at.
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+LEAST = 20
+#: What it looks at within a run, since names and paths may be glued to a secret: the run, and its parts between '=', '=' or '/', '=' or '_' or '-', and all four.
+PARTS = [CANDIDATE, r"[A-Za-z0-9+/_-]{20,}", r"[A-Za-z0-9+_-]{20,}", r"[A-Za-z0-9+/]{20,}", r"[A-Za-z0-9+]{20,}"]
 #: Share of false finds that each class of lengths may have; longest length of each class but the last.
 FALSE_SHARE, CLASSES = 0.001, [27, 35, 47, 63]
 #: Ordinary tokens: chance that two characters are the same, that three are, and that the kind changes from one to the next.
@@ -113,14 +116,40 @@ def discovered(candidates: DataFrame) -> DataFrame:
     return tested.join(F.broadcast(least), "class").where("bin >= from_bin and bin > 0").select(*columns)
 
 
+def parts(runs: DataFrame, base: DataFrame) -> DataFrame:
+    """(key, kind, run, run_start, start, end, found): the runs' pieces outside of base spans, and the parts of these; each place once."""
+    # base spans of a key without overlaps, in order
+    before = Window.partitionBy("key").orderBy("start", "end")
+    apart = base.withColumn("reached", F.max("end").over(before.rowsBetween(Window.unboundedPreceding, -1)))
+    islands = apart.withColumn("island", F.sum(F.when(F.col("start") < F.col("reached"), 0).otherwise(1)).over(before.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = islands.groupBy("key", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    covered = merged.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("base"))
+    within = F.expr("coalesce(filter(base, b -> b.start < end and start < b.end), array())")
+    cut = runs.join(covered, "key", "left").select("key", "kind", F.col("found").alias("run"), F.col("start").alias("run_start"), "end", within.alias("base"))
+    edges = F.expr("transform(sequence(0, size(base)), i -> struct(if(i = 0, run_start, base[i - 1].end) as start, if(i = size(base), end, base[i].start) as end))")
+    pieces = cut.select("key", "kind", "run", "run_start", F.explode(edges).alias("p")).where(F.col("p.end") - F.col("p.start") >= LEAST)
+    texts = pieces.select("key", "kind", "run", "run_start", F.col("p.start").alias("piece_start"), F.expr("substring(run, cast(p.start - run_start + 1 as int), cast(p.end - p.start as int))").alias("piece"))
+    of = [_matches(F.col("piece"), str(i), p) for i, p in enumerate(PARTS)]
+    placed = located(texts.select(F.struct("key", "kind", "run", "run_start", "piece_start").alias("key"), F.filter(F.array(*of), lambda m: F.size(m["found"]) > 0).alias("s")))
+    at = F.col("key.piece_start")
+    return placed.select("key.key", "key.kind", "key.run", "key.run_start", (at + F.col("start")).alias("start"), (at + F.col("end")).alias("end"), "found").distinct()
+
+
+def joined_up(accepted: DataFrame) -> DataFrame:
+    """(key, kind, start, end, found): accepted parts of a run that overlap are one."""
+    before = Window.partitionBy("key", "run_start").orderBy("start", "end")
+    apart = accepted.withColumn("reached", F.max("end").over(before.rowsBetween(Window.unboundedPreceding, -1)))
+    islands = apart.withColumn("island", F.sum(F.when(F.col("start") < F.col("reached"), 0).otherwise(1)).over(before.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = islands.groupBy("key", "kind", "run_start", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.first("run").alias("run"))
+    return whole.select("key", "kind", "start", "end", F.expr("substring(run, cast(start - run_start + 1 as int), cast(end - start as int))").alias("found"))
+
+
 def spans(scanned: DataFrame) -> DataFrame:
     """(key, kind, start, end, found): base spans, and what the battery adds outside of them."""
     places = written(located(scanned), "matches")
     base = places.where("kind != 'random'")
-    covered = base.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("base"))
-    # a key's spans come from one text
-    free = places.where("kind = 'random'").join(covered, "key", "left").where("base is null or not exists(base, b -> b.start < end and start < b.end)")
-    return base.unionByName(discovered(free.select("key", "kind", "start", "end", "found")))
+    candidates = written(parts(places.where("kind = 'random'"), base), "candidates")
+    return base.unionByName(joined_up(discovered(candidates)))
 
 
 def scanned(docs: DataFrame) -> DataFrame:

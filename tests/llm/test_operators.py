@@ -275,6 +275,18 @@ def test_secrets_find_base_spans_and_random_tokens(spark):
     assert secrets.redacted(clash).columns == clash.columns and secrets.redacted(clash).where("secrets = 1 and doc = 2").count() == len(fixed)
 
 
+def test_secrets_find_what_names_and_paths_are_glued_to(spark):
+    r = random.Random(12)
+    signs = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    keys = ["".join(r.choice(signs) for _ in range(40)) for _ in range(30)]
+    glued = [f"{g}{k}" for k, g in zip(keys, ("AWS_CREDENTIAL_ACCESS_NAME=", "www/example/download/release/", "0123456789abcdef-") * 10, strict=True)]
+    plain = ["usr/local/share/lib2/python/site", "Introduction-to-the-2nd-chapter-of-law", "some_long_identifier_name_v2_of_things"]
+    clean = {x.doc_id: x.text for x in secrets.redacted(documents(spark, [f"see {t} there" for t in [*glued, *plain]])).collect()}
+    for kind in range(3):
+        assert sum(keys[i] in clean[i] for i in range(kind, 30, 3)) <= 1
+    assert all(p in clean[30 + i] for i, p in enumerate(plain))
+
+
 # --- embeddings ---------------------------------------------------------------------------------------------------
 @pytest.fixture(scope="module")
 def vectors(spark):
