@@ -44,7 +44,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Colu
     """(doc_id, text, y) of at most max_rows labelled rows of docs, the same rows for the same ids at every run.
 
     Only ids are ordered and cut; their texts follow by a join with those at most max_rows ids.
-    Rows whose label is null are left out; of an id with several labels the smallest counts.
+    Rows whose label is null are left out; of an id with several labels the smallest counts, of one with several texts the first by order.
     """
     there = docs.select("doc_id").where(F.col("doc_id").isNotNull())
     picked = (
@@ -54,7 +54,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Colu
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     )
     # max_rows bounds the broadcast side: a documented parameter of each caller, some 20 bytes a row
-    return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
+    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y"))
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallybook.llm import ann, bpe, embed_dedup, langid, packing, quality, secrets, simhash, token_counts, toxicity
-from tallybook.llm.common import components
+from tallybook.llm.common import components, labelled_sample
 from tallybook.llm.entries import vocabulary
 
 DOCS = "doc_id long, text string, lang string, key string, score double"
@@ -360,6 +360,12 @@ def labelled(spark):
     return spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
 
 
+def test_labelled_sample_has_one_row_for_each_id(spark):
+    docs = spark.createDataFrame([(1, f"text {i % 9}") for i in range(300)] + [(2, "b"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, quality int")
+    assert sorted(labelled_sample(docs, labels, "quality", F.lit(True), 3).collect()) == [(1, "text 0", 1), (2, "b", 0), (3, "", 1)]
+
+
 def test_quality_on_held_out_rows(spark):
     docs, labels = labelled(spark)
     model = quality.learnt(docs, labels)
