@@ -3,13 +3,16 @@
 DataFrame functions only. A match's place follows from the lengths of the gaps and matches before it: the text is
 split by a pattern and its matches are extracted, so every place counts characters, whatever they are.
 
-The battery takes every long run of encoding characters with letters and digits in it, infers the encoding (hex,
-base32, base64) and asks how likely an ordinary token of that length is as random: fewer repeated characters than
-words have (the chi-squared statistic of the alphabet, by coincident pairs) and more changes between kinds of
-characters than names have (runs). The two give one normal score and its p-value. A candidate must also pass for
-random itself: uniform over its alphabet, enough runs, no serial correlation. Of those, each class of lengths
-accepts as many as keep the share of false ones below FALSE_SHARE (Benjamini-Hochberg over binned p-values, counted
-over the whole table).
+The battery takes every run of LEAST or more encoding characters that has both letters and digits or both cases,
+infers its encoding (hex, base32, base64) and makes three tests of it: the chi-squared statistic of its characters over
+the alphabet, the number of changes between kinds of characters (runs), and the correlation of each character's place
+in the alphabet with the next one's. Each test gives two p-values. Against what ordinary tokens of that encoding are
+like (names and words repeat their characters, keep their kinds, and hold like places together) a small one speaks for
+a secret; against random characters a small one speaks for an ordinary token. The three p-values of a side are combined
+by Fisher's method. A candidate that random characters explain badly (below LEAST_RANDOM) has p-value 1; of all
+candidates, each class of lengths accepts as many as keep the share of false ones below FALSE_SHARE
+(Benjamini-Hochberg over binned p-values, counted over the whole table): short tokens, which tell less, are not held
+against long ones, nor long ones against short.
 
 Nulls and edges: a null text counts as empty. Null and repeated doc_ids keep their rows. Long texts are scanned
 whole. An empty table gives no rows.
@@ -17,6 +20,8 @@ whole. An empty table gives no rows.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -28,17 +33,24 @@ KINDS = ["assign", "access", "hex", "random"]
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS, HEX = r"AKIA[A-Z0-9]{14,}", r"[0-9a-f]{16,}"
 LEAST_ASSIGNED = 12
+#: Characters that a candidate has at least, the same as a base hex span's.
+LEAST = 16
 #: Runs that the battery looks at.
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
-LEAST = 20
+CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{LEAST},}}"
 #: What it looks at within a run, since names and paths may be glued to a secret: the run, and its parts between '=', '=' or '/', '=' or '_' or '-', and all four.
-PARTS = [CANDIDATE, r"[A-Za-z0-9+/_-]{20,}", r"[A-Za-z0-9+_-]{20,}", r"[A-Za-z0-9+/]{20,}", r"[A-Za-z0-9+]{20,}"]
+PARTS = [CANDIDATE, *(rf"[A-Za-z0-9{signs}]{{{LEAST},}}" for signs in ("+/_-", "+_-", "+/", "+"))]
 #: Share of false finds that each class of lengths may have; longest length of each class but the last.
-FALSE_SHARE, CLASSES = 0.001, [27, 35, 47, 63]
-#: Ordinary tokens: chance that two characters are the same, that three are, and that the kind changes from one to the next.
-PAIR, TRIPLE, CHANGE = 0.066, 0.0055, 0.2
-#: Scores beyond which a candidate is not random.
-NOT_RANDOM = 3.3
+FALSE_SHARE, CLASSES = 0.001, [19, 27, 35, 47, 63]
+#: Combined p-value below which random characters don't explain a candidate.
+LEAST_RANDOM = 0.005
+#: By encoding: its alphabet, and the chance that the kind changes between two random characters of it.
+ALPHABETS = {
+    "hex": ("0123456789ABCDEF", 0.469),
+    "base32": ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 0.305),
+    "base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 0.645),
+}
+#: By encoding, ordinary tokens: chance that two characters are the same, that three are, that the kind changes, and the correlation with the next place.
+ORDINARY = {"hex": (0.13, 0.03, 0.12, 0.3), "base32": (0.066, 0.0055, 0.1, 0.3), "base64": (0.066, 0.0055, 0.28, 0.35)}
 #: Width of the bins of -ln p, and their number.
 BIN, BINS = 0.25, 400
 REDACTED = "[SECRET]"
@@ -71,43 +83,84 @@ def _tail(z: Column) -> Column:
     return F.when(x > 30, x).otherwise(F.log1p(F.exp(F.least(x, F.lit(30.0)))))
 
 
-def battery(candidates: DataFrame) -> DataFrame:
-    """candidates(found, ...) with what the tests say: evidence (-ln p against ordinary tokens) and random (boolean)."""
+def _fisher(*logs: Column) -> Column:
+    """-ln of the combined p-value of three tests whose -ln p-values these are: chi-squared with six degrees of freedom."""
+    total = sum(logs[1:], logs[0])
+    return total - F.log1p(total + total * total / 2)
+
+
+def testable(candidates: DataFrame) -> DataFrame:
+    """Those of candidates(found, ...) that the battery is for, with encoding and body: enough characters beside the padding, of more than one kind."""
     s = F.col("found")
-    letters = F.upper(s)
-    kinds = F.when(s.rlike(r"^(?:[0-9a-f]+|[0-9A-F]+)$"), "hex").when(s.rlike("^(?:[A-Z2-7]+=*)$"), "base32").otherwise("base64")
-    alphabet = F.when(F.col("encoding") == "hex", "0123456789ABCDEF").when(F.col("encoding") == "base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567").otherwise("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_")
-    body = F.when(F.col("encoding") == "hex", letters).otherwise(F.regexp_replace(s, "=+$", ""))
-    df = candidates.withColumn("encoding", kinds).withColumn("alphabet", alphabet).withColumn("body", body)
-    df = df.withColumn("n", F.length("body").cast("double")).withColumn("size", F.when(F.col("encoding") == "base64", F.lit(64)).otherwise(F.length("alphabet")).cast("double"))
-    chars = F.split("body", "")
-    df = df.withColumn("chars", F.filter(chars, lambda c: c != "")).withColumn("places", F.transform("chars", lambda c: F.instr(F.col("alphabet"), c).cast("double")))
-    squares = F.aggregate(F.array_distinct("chars"), F.lit(0.0), lambda a, c: a + F.pow(F.col("n") - F.length(F.replace(F.col("body"), c, F.lit(""))), F.lit(2.0)))
-    runs = F.when(F.col("encoding") == "base64", F.regexp_count("body", F.lit("[a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9]+"))).otherwise(F.regexp_count("body", F.lit("[A-Z]+|[0-9]+"))).cast("double")
-    mean = F.aggregate("places", F.lit(0.0), lambda a, x: a + x) / F.col("n")
-    df = df.withColumn("squares", squares).withColumn("changes", runs - 1).withColumn("mean", mean)
-    df = df.withColumn("spread", F.aggregate("places", F.lit(0.0), lambda a, x: a + (x - F.col("mean")) * (x - F.col("mean"))))
-    nexts = F.zip_with(F.slice("places", 1, F.size("places") - 1), F.slice("places", 2, F.size("places")), lambda x, y: (x - F.col("mean")) * (y - F.col("mean")))
-    df = df.withColumn("serial", F.when(F.col("spread") > 0, F.aggregate(nexts, F.lit(0.0), lambda a, x: a + x) / F.col("spread")).otherwise(1.0) * F.sqrt("n"))
-    n, pairs = F.col("n"), F.col("n") * (F.col("n") - 1) / 2
-    same = (F.col("squares") - n) / 2
-    varied = F.sqrt(pairs * (PAIR + 2 * (n - 2) * TRIPLE - (2 * n - 3) * PAIR * PAIR))
-    few_repeats = (pairs * PAIR - same) / varied
-    many_runs = (F.col("changes") - CHANGE * (n - 1)) / F.sqrt(CHANGE * (1 - CHANGE) * (n - 1))
-    # hex has about as many repeats as words: its runs tell; in larger alphabets both do
-    score = F.when(F.col("encoding") == "hex", many_runs).otherwise((few_repeats + many_runs) / F.sqrt(F.lit(2.0)))
-    uniform = (F.col("size") / n * F.col("squares") - n - (F.col("size") - 1)) / F.sqrt(2 * (F.col("size") - 1))
-    turn = F.when(F.col("encoding") == "hex", 0.469).when(F.col("encoding") == "base32", 0.305).otherwise(0.65)
-    lacking = (turn * (n - 1) - F.col("changes")) / F.sqrt(turn * (1 - turn) * (n - 1))
+    encoding = F.when(s.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), "hex").when(s.rlike("^[A-Z2-7]+=*$"), "base32").otherwise("base64")
+    # base64 writes its last two characters in two ways
+    body = F.when(F.col("encoding") == "hex", F.upper(s)).otherwise(F.translate(F.regexp_replace(s, "=+$", ""), "-_", "+/"))
     mixed = s.rlike("[0-9]") & s.rlike("[A-Za-z]") | s.rlike("[a-z]") & s.rlike("[A-Z]")
-    return df.withColumn("evidence", _tail(score)).withColumn("random", mixed & (uniform <= NOT_RANDOM) & (lacking <= NOT_RANDOM) & (F.abs("serial") <= NOT_RANDOM))
+    return candidates.where(mixed).withColumn("encoding", encoding).withColumn("body", body).where(F.length("body") >= LEAST)
+
+
+def _let(x: Column, then) -> Column:
+    """then(x), with x worked out once whatever often it is used."""
+    return F.transform(F.array(x), then)[0]
+
+
+def _of_encoding(value) -> Column:
+    return F.when(F.col("encoding") == "hex", value("hex")).when(F.col("encoding") == "base32", value("base32")).otherwise(value("base64"))
+
+
+def _facts(alphabet: Column, body: Column) -> Column:
+    """A struct of what the tests need to know of a body: n, size, squares (of the characters' counts), changes (of kind), serial (correlation)."""
+    def counted(x: Column) -> Column:
+        squares = F.aggregate(F.array_distinct(x["chars"]), F.lit(0.0), lambda a, c: a + F.pow(x["n"] - F.length(F.replace(x["body"], c, F.lit(""))), F.lit(2.0)))
+        return F.struct(x["n"].alias("n"), x["size"].alias("size"), squares.alias("squares"), x["changes"].alias("changes"), x["places"].alias("places"), (F.aggregate(x["places"], F.lit(0.0), lambda a, p: a + p) / x["n"]).alias("mean"))
+
+    def correlated(x: Column) -> Column:
+        spread = F.aggregate(x["places"], F.lit(0.0), lambda a, p: a + (p - x["mean"]) * (p - x["mean"]))
+        # the sum so far and the place before
+        first = F.struct(F.lit(0.0).alias("sum"), F.lit(None).cast("double").alias("last"))
+        along = F.aggregate(x["places"], first, lambda a, p: F.struct((a["sum"] + F.coalesce((a["last"] - x["mean"]) * (p - x["mean"]), F.lit(0.0))).alias("sum"), p.alias("last")))["sum"]
+        return F.struct(x["n"].alias("n"), x["size"].alias("size"), x["squares"].alias("squares"), x["changes"].alias("changes"), F.coalesce(F.try_divide(along, spread), F.lit(1.0)).alias("serial"))
+
+    runs = F.when(F.length(alphabet) == 64, F.regexp_count(body, F.lit("[a-z]+|[A-Z]+|[0-9]+|[^A-Za-z0-9]+"))).otherwise(F.regexp_count(body, F.lit("[A-Z]+|[0-9]+"))).cast("double")
+    chars = F.filter(F.split(body, ""), lambda c: c != "")
+    seen = F.struct(
+        body.alias("body"), F.length(body).cast("double").alias("n"), F.length(alphabet).cast("double").alias("size"), (runs - 1).alias("changes"), chars.alias("chars"),
+        F.transform(chars, lambda c: F.instr(alphabet, c).cast("double")).alias("places"),
+    )
+    return _let(_let(seen, counted), correlated)
+
+
+def battery(tested: DataFrame) -> DataFrame:
+    """testable rows with what the tests say: evidence (-ln of the combined p-value against ordinary tokens) and doubt (the same against random characters)."""
+    def judged(x: Column) -> Column:
+        f, n, size, serial = x["facts"], x["facts"]["n"], x["facts"]["size"], x["facts"]["serial"]
+        pairs = n * (n - 1) / 2
+        # against ordinary tokens: fewer pairs of equal characters, more changes, less correlation
+        pair, triple, change, like = (x[name] for name in ("pair", "triple", "change", "like"))
+        few_repeats = (pairs * pair - (f["squares"] - n) / 2) / F.sqrt(pairs * (pair + 2 * (n - 2) * triple - (2 * n - 3) * pair * pair))
+        many_runs = (f["changes"] - change * (n - 1)) / F.sqrt(change * (1 - change) * (n - 1))
+        unlike = (like - serial) * F.sqrt(n / (1 - like * like))
+        # against random characters: counts beyond what chance gives (a cube-root form of chi-squared), too few changes, correlation either way
+        free = size - 1
+        uneven = (F.cbrt((size / n * f["squares"] - n) / free) - (1 - 2 / (9 * free))) / F.sqrt(2 / (9 * free))
+        few_runs = (x["turn"] * (n - 1) - f["changes"]) / F.sqrt(x["turn"] * (1 - x["turn"]) * (n - 1))
+        two_sided = F.greatest(_tail(F.abs(serial + 1 / n) * F.sqrt(n)) - math.log(2.0), F.lit(0.0))
+        logs = F.struct(*(_tail(z).alias(f"l{i}") for i, z in enumerate((few_repeats, many_runs, unlike, uneven, few_runs))), two_sided.alias("l5"))
+        return _let(logs, lambda v: F.struct(_fisher(v["l0"], v["l1"], v["l2"]).alias("evidence"), _fisher(v["l3"], v["l4"], v["l5"]).alias("doubt")))
+
+    alphabet = _of_encoding(lambda k: F.lit(ALPHABETS[k][0]))
+    known = [_of_encoding(lambda k, i=i: F.lit(ORDINARY[k][i])).alias(name) for i, name in enumerate(("pair", "triple", "change", "like"))]
+    facts = _let(F.struct(alphabet.alias("a"), F.col("body").alias("b")), lambda x: _facts(x["a"], x["b"]))
+    told = _let(F.struct(facts.alias("facts"), *known, _of_encoding(lambda k: F.lit(ALPHABETS[k][1])).alias("turn")), judged)
+    return tested.withColumn("told", told).select(*tested.columns, "told.evidence", "told.doubt")
 
 
 def discovered(candidates: DataFrame) -> DataFrame:
-    """Those of candidates(found, ...) that pass for random, as many in each class of lengths as FALSE_SHARE allows."""
+    """Those of candidates(found, ...) that ordinary tokens don't explain, as many in each class of lengths as FALSE_SHARE allows."""
     columns = candidates.columns
     group = sum((F.when(F.length("found") > at, 1).otherwise(0) for at in CLASSES), F.lit(0))
-    tested = battery(candidates).select(*columns, group.alias("class"), F.least(F.floor(F.when(F.col("random"), F.col("evidence")).otherwise(0.0) / BIN), F.lit(BINS)).cast("int").alias("bin"))
+    score = F.when(F.col("doubt") <= -math.log(LEAST_RANDOM), F.col("evidence")).otherwise(0.0)
+    tested = battery(testable(candidates)).select(*columns, group.alias("class"), F.least(F.floor(score / BIN), F.lit(BINS)).cast("int").alias("bin"))
     # a row for each class and bin: at most (len(CLASSES) + 1) * (BINS + 1), whatever the table
     counts = tested.groupBy("class", "bin").agg(F.count("*").alias("n"))
     down, all_of = Window.partitionBy("class").orderBy(F.desc("bin")), Window.partitionBy("class")
@@ -123,9 +176,14 @@ def parts(runs: DataFrame, base: DataFrame) -> DataFrame:
     apart = base.withColumn("reached", F.max("end").over(before.rowsBetween(Window.unboundedPreceding, -1)))
     islands = apart.withColumn("island", F.sum(F.when(F.col("start") < F.col("reached"), 0).otherwise(1)).over(before.rowsBetween(Window.unboundedPreceding, 0)))
     merged = islands.groupBy("key", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    covered = merged.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("base"))
-    within = F.expr("coalesce(filter(base, b -> b.start < end and start < b.end), array())")
-    cut = runs.join(covered, "key", "left").select("key", "kind", F.col("found").alias("run"), F.col("start").alias("run_start"), "end", within.alias("base"))
+    # runs and merged base spans of a key in one order: a run is cut by the span that reaches into it and by those that begin in it
+    order = Window.partitionBy("key").orderBy("start", "is_run").rowsBetween(Window.unboundedPreceding, -1)
+    both = runs.select("key", "kind", "start", "end", "found", F.lit(1).alias("is_run")).unionByName(merged.select("key", "start", "end", F.lit(0).alias("is_run")), allowMissingColumns=True)
+    lined = both.withColumn("reach", F.last(F.when(F.col("is_run") == 0, F.col("end")), True).over(order)).withColumn("own", F.last(F.when(F.col("is_run") == 1, F.struct("start", "end")), True).over(order))
+    begun = lined.where("is_run = 0 and own.end > start").groupBy("key", F.col("own.start").alias("start")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("begun"))
+    span = "array<struct<start:bigint,end:bigint>>"
+    within = F.expr(f"concat(if(coalesce(reach > start, false), array(struct(start, least(reach, end) as end)), cast(array() as {span})), coalesce(begun, cast(array() as {span})))")
+    cut = lined.where("is_run = 1").join(begun, ["key", "start"], "left").select("key", "kind", F.col("found").alias("run"), F.col("start").alias("run_start"), "end", within.alias("base"))
     edges = F.expr("transform(sequence(0, size(base)), i -> struct(if(i = 0, run_start, base[i - 1].end) as start, if(i = size(base), end, base[i].start) as end))")
     pieces = cut.select("key", "kind", "run", "run_start", F.explode(edges).alias("p")).where(F.col("p.end") - F.col("p.start") >= LEAST)
     texts = pieces.select("key", "kind", "run", "run_start", F.col("p.start").alias("piece_start"), F.expr("substring(run, cast(p.start - run_start + 1 as int), cast(p.end - p.start as int))").alias("piece"))

@@ -1,6 +1,8 @@
 """Operators against brute force and their libraries on small tables with nulls, empty and long texts, ties and repeats."""
 
+import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -275,6 +277,99 @@ def test_secrets_find_base_spans_and_random_tokens(spark):
     assert secrets.redacted(clash).columns == clash.columns and secrets.redacted(clash).where("secrets = 1 and doc = 2").count() == len(fixed)
 
 
+def plain_battery(found):
+    """(evidence, doubt) of one candidate by plain arithmetic, None if the battery isn't for it."""
+    def tail(z):
+        x = 1.5976 * z + 0.07056 * z ** 3
+        return x if x > 30 else math.log1p(math.exp(x))
+
+    def fisher(a, b, c):
+        return a + b + c - math.log1p(a + b + c + (a + b + c) ** 2 / 2)
+
+    kind = "hex" if re.fullmatch("[0-9a-f]+|[0-9A-F]+", found) else "base32" if re.fullmatch("[A-Z2-7]+=*", found) else "base64"
+    body = found.upper() if kind == "hex" else found.rstrip("=").replace("-", "+").replace("_", "/")
+    n = len(body)
+    has = {name: re.search(f"[{name}]", found) is not None for name in ("0-9", "a-z", "A-Z")}
+    if n < secrets.LEAST or not (has["0-9"] and (has["a-z"] or has["A-Z"]) or has["a-z"] and has["A-Z"]):
+        return None
+    alphabet, turn = secrets.ALPHABETS[kind]
+    pair, triple, change, like = secrets.ORDINARY[kind]
+    kinds = [0 if "a" <= c <= "z" else 1 if "A" <= c <= "Z" else 2 if "0" <= c <= "9" else 3 for c in body]
+    changes = sum(a != b for a, b in zip(kinds, kinds[1:]))
+    squares = sum(v * v for v in collections.Counter(body).values())
+    x = [alphabet.find(c) + 1 for c in body]
+    mean = sum(x) / n
+    spread = sum((v - mean) ** 2 for v in x)
+    serial = sum((v - mean) * (w - mean) for v, w in zip(x, x[1:])) / spread if spread else 1.0
+    pairs, free = n * (n - 1) / 2, len(alphabet) - 1
+    few = (pairs * pair - (squares - n) / 2) / math.sqrt(pairs * (pair + 2 * (n - 2) * triple - (2 * n - 3) * pair ** 2))
+    many = (changes - change * (n - 1)) / math.sqrt(change * (1 - change) * (n - 1))
+    uneven = (((len(alphabet) / n * squares - n) / free) ** (1 / 3) - (1 - 2 / (9 * free))) / math.sqrt(2 / (9 * free)) if len(alphabet) / n * squares > n else None
+    if uneven is None:
+        uneven = (-((n - len(alphabet) / n * squares) / free) ** (1 / 3) - (1 - 2 / (9 * free))) / math.sqrt(2 / (9 * free))
+    lacking = (turn * (n - 1) - changes) / math.sqrt(turn * (1 - turn) * (n - 1))
+    return fisher(tail(few), tail(many), tail((like - serial) * math.sqrt(n / (1 - like ** 2)))), fisher(tail(uneven), tail(lacking), max(0.0, tail(abs(serial + 1 / n) * math.sqrt(n)) - math.log(2)))
+
+
+def plain_random_spans(texts):
+    """By document the spans that the battery adds: parts of runs outside of base spans, tested, accepted by class of lengths, joined where they overlap."""
+    tested = []
+    for i, t in enumerate(texts):
+        base = [tuple(map(int, s.split(":")[1:])) for s in base_spans(t)]
+        covered = {p for a, e in base for p in range(a, e)}
+        for run in re.finditer(secrets.CANDIDATE, t):
+            places = set()
+            for piece in re.finditer("1+", "".join("0" if p in covered else "1" for p in range(run.start(), run.end()))):
+                a, e = run.start() + piece.start(), run.start() + piece.end()
+                if e - a >= secrets.LEAST:
+                    places |= {(a + m.start(), a + m.end()) for part in secrets.PARTS for m in re.finditer(part, t[a:e])}
+            for a, e in places:
+                told = plain_battery(t[a:e])
+                if told:
+                    score = told[0] if told[1] <= -math.log(secrets.LEAST_RANDOM) else 0.0
+                    tested.append((sum(e - a > c for c in secrets.CLASSES), min(secrets.BINS, int(score / secrets.BIN)), i, run.start(), a, e))
+    accepted = []
+    for group in {x[0] for x in tested}:
+        bins = sorted((x[1] for x in tested if x[0] == group), reverse=True)
+        fits = [b for b in set(bins) if math.exp(-b * secrets.BIN) <= secrets.FALSE_SHARE * sum(o >= b for o in bins) / len(bins)]
+        accepted += [x for x in tested if x[0] == group and fits and x[1] >= min(fits) and x[1] > 0]
+    spans = {}
+    for _, _, i, run, a, e in sorted(accepted, key=lambda x: (x[2], x[3], x[4], x[5])):
+        mine = spans.setdefault(i, [])
+        if mine and mine[-1][0] == run and a < mine[-1][2]:
+            mine[-1] = (run, mine[-1][1], max(e, mine[-1][2]))
+        else:
+            mine.append((run, a, e))
+    return {i: [f"random:{a}:{e}" for _, a, e in sorted(v)] for i, v in spans.items()}
+
+
+def test_secrets_battery_is_plain_arithmetic(spark):
+    """Random keys of every encoding and length among names, rows of signs, one character, nulls, repeated ids and very long runs."""
+    r = random.Random(21)
+    signs = {"base64": secrets.ALPHABETS["base64"][0], "base62": secrets.ALPHABETS["base64"][0][:62], "upper hex": "0123456789ABCDEF", "hex": "0123456789abcdef", "base32": secrets.ALPHABETS["base32"][0]}
+    keys = ["".join(r.choice(a) for _ in range(n)) for a in signs.values() for n in (16, 19, 24, 32, 40, 64, 90) for _ in range(3)]
+    names = ["getUserAccountByIdAndName2", "some_long_identifier_name_v2_of_things", "usr/local/share/lib2/python/site", "INTERNATIONALIZATION2", "2024-01-01T12-30-45Z0001", "a1" * 20, "Ab" * 15]
+    rows = ["=" * 20, "=" * 60, "-" * 40, "_" * 25, "/" * 25, "a" * 30, "a", "", "=" * 18 + "a1B2", "0" * 20 + "=" * 30, "x=" * 30 + "Z9", "token=" + "=" * 25]
+    glued = [f"{g}{k}" for k, g in zip(keys[::4], ("AWS_ACCESS_NAME=", "www/a/b/release/", "0123456789abcdef-", "secret: abcdefghijklm ", "password=") * 9)]
+    texts = [*(f"é {k} ," for k in keys), *names, *rows, *glued, " ".join(keys), "0123456789abcdef_" * 40 + keys[12], "".join(r.choice(signs["base62"]) for _ in range(20_000)), prose(5, 200)]
+    docs = spark.createDataFrame([(i // 2, t) for i, t in enumerate([*texts, None])], "doc_id long, text string")
+    got = sorted((x.doc_id, x.spans) for x in secrets.scanned(docs.repartition(3)).collect())
+    added = plain_random_spans(texts)
+    assert sum(map(len, added.values())) > 60
+    order = {k: n for n, k in enumerate(secrets.KINDS)}
+
+    def all_of(i):
+        return ",".join(sorted([*base_spans(texts[i]), *added.get(i, [])], key=lambda s: (int(s.split(":")[1]), order[s.split(":")[0]])))
+
+    assert got == sorted([*((i // 2, all_of(i)) for i in range(len(texts))), (len(texts) // 2, "")])
+
+
+def test_secrets_of_a_megabyte_run(spark):
+    long = "a1B2" * 260_000
+    rows = {x.doc_id: x.n_random for x in secrets.scanned(spark.createDataFrame([(1, long), (2, "=" * 1_000_000), (3, "short")], "doc_id long, text string")).collect()}
+    assert set(rows) == {1, 2, 3} and rows[2] == rows[3] == 0
+
+
 def test_secrets_find_what_names_and_paths_are_glued_to(spark):
     r = random.Random(12)
     signs = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
