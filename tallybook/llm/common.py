@@ -16,25 +16,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir).
 
-    Where the session names none, as in local tests, a temporary folder of this process is set.
+    Where a local session names none, as in tests, a temporary folder of this process is set. A cluster's session must
+    name one, since its executors write where the driver reads. What is written there goes when the application ends.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
-        context = spark.sparkContext
-        if not context.getCheckpointDir():
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="tallybook-"))
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tallybook-"))
         found = context.getCheckpointDir()
-    return f"{found.rstrip('/')}/{spark.sparkContext.applicationId}"
+    return f"{found.rstrip('/')}/{context.applicationId}"
+
+
+def _folder(spark: SparkSession, path: str):
+    """(file system, path) of a folder."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage, survives lost executors, keeps columns prunable."""
+    """df as a Parquet table in the shared folder: cuts the lineage, survives lost executors, keeps columns prunable.
+
+    The folder is deleted when the application ends, or by `dropped` before.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    files, at = _folder(spark, path)
+    files.deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(table: DataFrame) -> None:
+    """Deletes a table that `written` gave and that nothing reads any more."""
+    path = table.inputFiles()[0].rsplit("/", 1)[0] if table.inputFiles() else None
+    if path:
+        files, at = _folder(table.sparkSession, path)
+        files.delete(at, True)
+
+
 def id_remainder(doc_id: str, modulus: int) -> Column:
     """crc32 of the id's decimal text, mod modulus: the split between learning and held-out rows. A null id counts as the text ''."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % F.lit(modulus)
@@ -80,8 +101,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = linked(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")))
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*")
-        now = written(linked(small), "edges")
+        before, now = now, written(linked(small), "edges")
         last, seen = seen, mark(now)
+        dropped(before)
         if last == seen:
             break
     return nodes.join(now.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").select("node", F.coalesce("root", "node").alias("component"))
