@@ -4,6 +4,7 @@ Each n-gram indicator is scaled by its log-count ratio between the classes, rows
 linear hinge-loss model is fitted by dual coordinate descent. Margins become probabilities by a logistic curve
 fitted on sampled rows that the model didn't learn from.
 
+Whole texts of any length are read; an n-gram counts once however often it comes.
 Nulls and edges: a null text counts as empty and is scored by the bias alone; labels that are null are not learnt
 from; with no labelled rows, or one class only, every score is that class's share (0.5 without rows). Null and
 repeated doc_ids keep their rows; an empty table gives no rows.
@@ -27,8 +28,8 @@ from tallybook.llm.common import id_remainder, labelled_sample
 
 #: Hashed n-grams; labelled rows learnt from at most; share of them (one in so many) kept for the curve.
 BUCKETS, MAX_ROWS, CURVE_EVERY = 1 << 18, 6000, 5
-#: Penalty of the hinge loss, passes of the descent, smoothing of counts.
-PENALTY, PASSES, SMOOTH = 1.0, 12, 1.0
+#: Penalty of the hinge loss, passes of the descent at most, the largest slope at which it ends, smoothing of counts.
+PENALTY, PASSES, FLAT, SMOOTH = 1.0, 100, 0.02, 1.0
 #: Score from which a document is accepted; remainder and modulus of the ids held out.
 ACCEPT, HELD_OUT, MODULUS = 0.7, 2, 4
 #: Distinct words kept with their hashes at a time, by each Python worker.
@@ -65,7 +66,7 @@ def shape(word: str) -> str:
         return _letters(word)
     if word[:-1].isalpha() and not word[-1].isdigit():
         return _letters(word[:-1]) + word[-1]
-    return _SHAPE[1].sub("0", _SHAPE[0].sub(lambda m: _letters(m[0]), word[:64]))
+    return _SHAPE[1].sub("0", _SHAPE[0].sub(lambda m: _letters(m[0]), word))
 
 
 def features(text: str | None) -> np.ndarray:
@@ -103,14 +104,19 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, buckets: int = BUCKETS) -> d
     most = PENALTY * len(at) / (2 * np.maximum(1, n))
     alpha, weights, bias, random = np.zeros(len(labels)), np.zeros(buckets), 0.0, np.random.default_rng(7)
     for _ in range(PASSES):
+        steepest = 0.0
         for i in random.permutation(at):
             y, r, x = 2 * labels[i] - 1, rows[i], values[i]
-            new = min(max(alpha[i] - (y * (weights[r] @ x + bias) - 1) / (float(x @ x) + 1), 0.0), most[labels[i]])
+            slope = y * (weights[r] @ x + bias) - 1
+            new = min(max(alpha[i] - slope / (float(x @ x) + 1), 0.0), most[labels[i]])
             if new != alpha[i]:
+                steepest = max(steepest, abs(slope))
                 step = (new - alpha[i]) * y
                 weights[r] += step * x
                 bias += step
                 alpha[i] = new
+        if steepest < FLAT:
+            break
     scaled = weights * ratio
     apart = np.flatnonzero(~learn) if (~learn).any() else at
     m = np.array([_margin(rows[i], ratio, scaled, bias) for i in apart])
