@@ -218,30 +218,53 @@ def test_packing_plan_places_every_item_once():
 
 
 # --- token counts -------------------------------------------------------------------------------------------------
+def segmented(unigram, word):
+    """The pieces of a word's best segmentation, without a trie: None for a byte."""
+    text, best = token_counts.MARK + word, [(0.0, ())]
+    for end in range(1, len(text) + 1):
+        size = len(text[end - 1].encode())
+        top = (best[end - 1][0] + size * unigram.unknown, (*best[end - 1][1], *[None] * size))
+        for at in range(max(0, end - unigram.longest), end):
+            if text[at:end] in unigram.scores and best[at][0] + unigram.scores[text[at:end]] > top[0]:
+                top = (best[at][0] + unigram.scores[text[at:end]], (*best[at][1], text[at:end]))
+        best.append(top)
+    return best[-1][1]
+
+
 def test_token_counts_are_plain_viterbi(spark, texts):
     import public_tokenizers
 
     model = open(public_tokenizers.path("piece_bpe_32k.model"), "rb").read()
-    unigram = token_counts.Unigram.ranked(token_counts.pieces(model))
-
-    def plain(word):
-        text, best = token_counts.MARK + word, [(0.0, 0)]
-        for end in range(1, len(text) + 1):
-            size = len(text[end - 1].encode())
-            top = (best[end - 1][0] + size * token_counts.UNKNOWN, best[end - 1][1] + size)
-            for at in range(max(0, end - unigram.longest), end):
-                if text[at:end] in unigram.scores and best[at][0] + unigram.scores[text[at:end]] > top[0]:
-                    top = (best[at][0] + unigram.scores[text[at:end]], best[at][1] + 1)
-            best.append(top)
-        return best[-1][1]
-
-    got = {r.doc_id: r for r in token_counts.counted(documents(spark, texts), model).collect()}
-    for i, t in enumerate(texts):
-        words = (t or "").split()
-        assert (got[i].n_pretokens, got[i].n_tokens) == (len(words), sum(map(plain, words)))
+    texts = [*texts, "▁ a▁b " + "x" * 60 + " " + "ab" * 40]
+    docs = documents(spark, texts).withColumn("doc_id", F.expr("if(doc_id in (3, 4), null, if(doc_id = 7, 6, doc_id))"))
+    ranked = token_counts.Unigram.ranked(token_counts.pieces(model))
+    used = collections.Counter(p for t in texts for w in (t or "").split() for p in segmented(ranked, w) if p)
+    total = sum(used.values()) + token_counts.SMOOTH * len(ranked.scores)
+    unigram = token_counts.fitted(docs.repartition(3), model)
+    assert unigram.scores == {p: pytest.approx(math.log((used[p] + token_counts.SMOOTH) / total), abs=1e-12) for p in ranked.scores}
+    want = sorted((len((t or "").split()), sum(len(segmented(unigram, w)) for w in (t or "").split())) for t in texts)
+    got = token_counts.counted(docs, model).collect()
+    assert sorted((r.n_pretokens, r.n_tokens) for r in got) == want
+    assert sum(r.doc_id is None for r in got) == 2 and sum(r.doc_id == 6 for r in got) == 2
     assert token_counts.counted(empty(spark), model).count() == 0
 
 
+def test_token_count_tries_in_parts(monkeypatch):
+    """Small tries, and pre-tokens that walk alone, give what one trie gives."""
+    r = random.Random(3)
+    unigram = token_counts.Unigram({p: -r.random() * 9 for p in ["▁", "a", "b", "ab", "ba", "aab", "▁a", "▁ab", "é", "😀", "bbbb", "▁▁"]})
+    words = {"".join(r.choice("aabbé😀c") for _ in range(r.randint(1, 30))) for _ in range(500)}
+    want = {w: len(segmented(unigram, w)) for w in words}
+    assert unigram.counts(words) == want
+    monkeypatch.setattr(token_counts, "TRIE_CHARS", 120)
+    assert unigram.counts(words) == want
+    weights = {w: r.randint(1, 5) for w in words}
+    usage = unigram.usage(weights)
+    monkeypatch.setattr(token_counts, "LONG", 9)
+    assert unigram.counts(words) == want and unigram.usage(weights) == usage
+    assert usage == sum((collections.Counter({p: n * weights[w] for p, n in collections.Counter(filter(None, segmented(unigram, w))).items()}) for w in words), collections.Counter())
+
+
 # --- secrets ------------------------------------------------------------------------------------------------------
 ASSIGN = re.compile(r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
@@ -498,6 +521,81 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.scored(docs, none).first().score == 0.5
 
 
+def test_quality_fit_is_plain(spark):
+    """Ratios by plain counting; the descent comes as near to the least loss as many more passes do."""
+    r = random.Random(6)
+    rows = [np.array(sorted(r.sample(range(40), 12) if y else r.sample(range(20, 60), 12))) for y in (0, 1) * 60]
+    labels = np.array([0, 1] * 60)
+    model = quality.fit(rows, labels, 60)
+    learn = [i for i in range(120) if i % quality.CURVE_EVERY]
+    counts = [[quality.SMOOTH + sum(b in rows[i].tolist() for i in learn if labels[i] == k) for b in range(60)] for k in (0, 1)]
+    ratio = [math.log(counts[1][b] / sum(counts[1])) - math.log(counts[0][b] / sum(counts[0])) for b in range(60)]
+    assert np.allclose(model["ratio"], ratio, atol=1e-6)
+    x = np.zeros((120, 60))
+    for i, row in enumerate(rows):
+        x[i, row] = [ratio[b] for b in row]
+        x[i] /= np.linalg.norm(x[i])
+    n = [sum(labels[i] == k for i in learn) for k in (0, 1)]
+    penalty = [quality.PENALTY * len(learn) / (2 * m) for m in n]
+
+    def loss(w, bias):
+        return 0.5 * (w @ w + bias * bias) + sum(penalty[labels[i]] * max(0.0, 1 - (2 * labels[i] - 1) * (x[i] @ w + bias)) for i in learn)
+
+    w = np.array([s / q if q else 0.0 for s, q in zip(model["weights"].astype(float), ratio, strict=True)])
+    best, bias, step = np.zeros(60), 0.0, 0.5
+    least = loss(best, bias)
+    for k in range(4000):  # plain subgradient steps
+        grad, up = best.copy(), bias
+        for i in learn:
+            y = 2 * labels[i] - 1
+            if y * (x[i] @ best + bias) < 1:
+                grad, up = grad - penalty[labels[i]] * y * x[i], up - penalty[labels[i]] * y
+        best, bias = best - step / (k + 20) * grad, bias - step / (k + 20) * up
+        least = min(least, loss(best, bias))
+    assert loss(w, model["bias"]) <= 1.02 * least
+    docs = spark.createDataFrame([(1, prose(1, 9)), (2, None), (2, "a " * 200_000)], "doc_id long, text string")
+    whole = dict(model, weights=np.resize(model["weights"], quality.BUCKETS), ratio=np.resize(model["ratio"], quality.BUCKETS))
+    for row, text in zip(sorted(quality.scored(docs, whole).collect(), key=lambda v: (v.doc_id, v.score)), sorted([(1, prose(1, 9)), (2, None), (2, "a " * 200_000)], key=lambda v: (v[0], quality.score(v[1], whole))), strict=True):
+        grams = quality.features(text[1])
+        length = math.sqrt(sum(float(whole["ratio"][g]) ** 2 for g in grams))
+        margin = (sum(float(whole["weights"][g]) for g in grams) / length if length > 1e-9 else 0.0) + whole["bias"]
+        assert row.score == pytest.approx(1 / (1 + math.exp(-(whole["slope"] * margin + whole["offset"]))), abs=1e-5)
+
+
+def test_toxicity_scores_are_the_trees_and_their_curve(spark):
+    """Features by plain counting, trees asked one by one, the curve drawn by hand."""
+    from pyspark.ml.linalg import Vectors
+
+    docs, labels = labelled(spark)
+    model = toxicity.learnt(docs, labels)
+    xs, ys = list(model.curve.boundaries), list(model.curve.predictions)
+
+    def plain(text):
+        text = text or ""
+        words = re.findall(r"[^\W\d_]+", text.lower())
+        n, ascii_ = max(1, len(words)), [c for c in text if ord(c) < 128]
+        size = max(1, len(text.encode()))
+        upper, lower, digits = (sum(f(c) for c in ascii_) for f in (str.isupper, str.islower, str.isdigit))
+        signs = sum(not c.isalnum() and 32 < ord(c) < 127 for c in ascii_)
+        hits = [i for i, w in enumerate(words) if w in model.lexicon]
+        odd = toxicity.OBFUSCATED.findall(text)
+        hidden = [m for m in odd if m.lower().translate(toxicity.WRITTEN_FOR) in model.lexicon]
+        near = sum(any(w in toxicity.SECOND for w in words[max(0, i - toxicity.NEAR): i + toxicity.NEAR + 1]) for i in hits)
+        return [
+            len(hits) / n, len({words[i] for i in hits}) / n, len(hidden) / n, near / n, sum(w in toxicity.SECOND for w in words) / n, upper / max(1, upper + lower),
+            sum(w.isupper() for w in text.split()) / n, signs / size, text.count("!") / size, digits / size, len(odd) / n, sum(a == b for a, b in zip(words, words[1:])) / n, math.log1p(len(words)), math.log1p(len(hits) + len(hidden)),
+        ]
+
+    texts = {**{r.doc_id: r.text for r in docs.where("doc_id is not null and (doc_id % 17 = 1 or doc_id >= 900)").collect()}, 5000: "You GRONK! g.r.o.n.k 1d10t " * 4000, 5001: None, 5002: "é" * 50}
+    rows = toxicity.scored(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), model).collect()
+    assert len(rows) == len(texts)
+    for row in rows:
+        known = plain(texts[row.doc_id])
+        assert known == pytest.approx(toxicity.features(texts[row.doc_id], model.lexicon), abs=1e-12)
+        margin = sum(w * t.predict(Vectors.dense(known)) for t, w in zip(model.trees.trees, model.trees.treeWeights, strict=True))
+        assert row.score == pytest.approx(float(np.interp(1 / (1 + math.exp(-2 * margin)), xs, ys)), abs=1e-9)
+
+
 # --- language -----------------------------------------------------------------------------------------------------
 def test_languages_are_fused(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
