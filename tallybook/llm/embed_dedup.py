@@ -4,12 +4,18 @@ A hash rotates the vector pseudo-randomly (three rounds of random signs and a Ha
 nearest signed axis; a table joins HASHES of them. Each vector lives in its own bucket of every table and visits the
 buckets of the next-best axes (multiprobe). Pairs that meet are verified by their cosine, inside the task that holds
 the bucket: a pair that meets in several buckets counts in the first only, which both vectors' signatures tell, so
-no pairs are emitted or shuffled. Equal vectors are one vector with a multiplicity. Buckets of more than BLOCK
-members are compared block by block, each pair of blocks a group of its own.
+no pairs are emitted or shuffled. Equal vectors are one class with a number and a multiplicity, told by two 64-bit
+hashes, so that vectors are shuffled once each. Buckets of more than CROWDED members, whatever their vectors, are not
+joined but compared block by block, each pair of blocks of BLOCK a group of its own.
+
+As tables grow, more hashes are joined in each so that buckets stay small, and TABLES doubles with every hash beyond two:
+by simulation a pair at cosine 0.9 in 64 dimensions misses every bucket with chance 0.0001 with two hashes and twelve
+tables, 0.0001 with three and twenty-four; pairs with a larger cosine less often.
 
 Nulls and edges: vectors that are null, empty, zero or hold null or non-finite components link with nothing (not even
 equal ones) and are their own component; rows without an id stay with null ids. Vectors of different lengths compare
-as if filled with zeros. Repeated ids count as separate vectors. An empty table gives no rows.
+as if filled with zeros. Repeated ids are separate vectors, with equal or unlike content: each counts its own links, and
+components are named by the smallest id in them. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,10 +32,12 @@ from pyspark.sql import functions as F
 from tallybook.llm.common import components, written
 from tallybook.llm.embeddings import matrix, usable, width
 
-#: Cosine from which two vectors link; tables; buckets visited besides a vector's own in each table.
+#: Cosine from which two vectors link; tables with up to two hashes; buckets visited besides a vector's own in each table.
 LEAST_COSINE, TABLES, VISITS = 0.9, 12, 3
 #: Vectors in a bucket about, for the number of hashes joined in a table; members compared in one piece.
 BUCKET_ROWS, BLOCK = 8, 1024
+#: Members from which a bucket goes to the blocks without a join, and the tasks that such a bucket's members are looked up in.
+CROWDED, SPREAD = 256, 32
 #: Rows that one call of the verification takes about (whole buckets or pairs of blocks), and the fewest calls.
 CALL_ROWS, LEAST_CALLS = 8192, 64
 #: Of 128 sketch bits, those that linked vectors may differ in: 18.4 are expected at the least cosine, so this leaves out one in some ten million.
@@ -47,15 +55,21 @@ def _hadamard(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def tables_of(hashes: int) -> int:
+    """Tables, so that the chance of missing a pair stays what it is with two hashes."""
+    return TABLES << max(0, hashes - 2)
+
+
 def signatures(vectors: np.ndarray, hashes: int) -> tuple[np.ndarray, np.ndarray]:
     """(own, visited): bucket numbers per table, and up to VISITS more per table, -1 for none."""
+    tables = tables_of(hashes)
     n = max(2, 1 << (vectors.shape[1] - 1).bit_length())
     padded = np.zeros((len(vectors), n))
     padded[:, : vectors.shape[1]] = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-    signs = np.random.default_rng(5).choice([-1.0, 1.0], size=(TABLES, hashes, 3, n))
-    own, visited = np.zeros((len(vectors), TABLES), np.int64), np.full((len(vectors), TABLES, VISITS), -1, np.int64)
+    signs = np.random.default_rng(5).choice([-1.0, 1.0], size=(tables, hashes, 3, n))
+    own, visited = np.zeros((len(vectors), tables), np.int64), np.full((len(vectors), tables, VISITS), -1, np.int64)
     at = np.arange(len(vectors))
-    for t in range(TABLES):
+    for t in range(tables):
         best, second, loss = [], [], []
         for h in range(hashes):
             y = padded
@@ -126,7 +140,7 @@ def _verified(dimensions: int):
         rep, copies, home, side = pdf["rep"].to_numpy(), pdf["copies"].to_numpy(), pdf["home"].to_numpy(bool), pdf["side"].to_numpy()
         v = matrix(pa.array(pdf["v"], type=pa.list_(pa.float64())), dimensions)
         v = v / np.linalg.norm(v, axis=1, keepdims=True)
-        own, visited = np.stack(pdf["own"].to_numpy()), np.stack(pdf["visited"].to_numpy()).reshape(len(pdf), TABLES, VISITS)
+        own, visited = np.stack(pdf["own"].to_numpy()), np.stack(pdf["visited"].to_numpy()).reshape(len(pdf), -1, VISITS)
         links: list[tuple[np.ndarray, np.ndarray]] = []
         edges: list[np.ndarray] = []
         for start, end in zip(cuts, cuts[1:], strict=False):
@@ -173,41 +187,58 @@ def _roots(edges: np.ndarray) -> dict[int, int]:
 
 def near_duplicates(table: DataFrame) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row."""
-    rows = written(table.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").withColumn("row", F.monotonically_increasing_id()), "rows")
-    vectors = written(usable(rows), "vectors")
-    classes = written(vectors.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")).select("rep", "copies", "v"), "classes")
+    return _named(table.select("vec_id", "embedding").withColumn("row", F.monotonically_increasing_id())).select("vec_id", "n_links", "component_id", "kept")
+
+
+def _hashed() -> list:
+    """Two hashes that tell equal vectors."""
+    return [F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), "v").alias("h2")]
+
+
+def _named(numbered: DataFrame) -> DataFrame:
+    """row, vec_id, n_links, component_id, kept of numbered(row, vec_id, embedding)."""
+    rows = written(numbered.select("row", F.col("vec_id").cast("long").alias("vec_id"), "embedding"), "rows")
+    vectors = usable(rows, "row")
+    equal = vectors.groupBy(*_hashed()).agg(F.first("v").alias("v"), F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+    classes = written(equal.select(F.monotonically_increasing_id().alias("rep"), "h1", "h2", "least", "copies", "v"), "classes")
     dimensions, total = width(classes), classes.count()
     hashes = max(1, math.ceil(math.log(max(2, total / BUCKET_ROWS)) / math.log(2 * max(2, 1 << (dimensions - 1).bit_length()))))
-    signed = written(classes.mapInArrow(_signed(dimensions, hashes), "rep long, copies long, v array<double>, own array<long>, visited array<long>, s1 long, s2 long"), "signatures")
+    signed = written(classes.select("rep", "copies", "v").mapInArrow(_signed(dimensions, hashes), "rep long, copies long, v array<double>, own array<long>, visited array<long>, s1 long, s2 long"), "signatures")
     at_home = signed.select("rep", "s1", "s2", F.posexplode("own").alias("t", "bucket"), F.lit(True).alias("home"))
     visits = signed.select("rep", "s1", "s2", F.posexplode("visited").alias("p", "bucket")).select("rep", "s1", "s2", F.expr(f"cast(p div {VISITS} as int)").alias("t"), "bucket", F.lit(False).alias("home")).where("bucket >= 0")
     places = written(at_home.unionByName(visits), "places")
-    # only who meets someone with a like sketch goes on: a semi join, which stops at the first such
+    crowded = written(places.groupBy("t", "bucket").agg(F.count("*").alias("n")).where(F.col("n") > CROWDED), "crowded")
+    # a crowded bucket's members are looked up in SPREAD tasks, and go on as they are
+    spread = F.expr(f"cast(pmod(xxhash64(rep), {SPREAD}) as int)")
+    told = crowded.select("t", "bucket", "n", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("spread"))
+    looked = written(places.withColumn("spread", spread).join(told, ["t", "bucket", "spread"], "left").drop("spread"), "looked")
+    few, many = looked.where("n is null").drop("n"), looked.where("n is not null")
+    # of the others only who meets someone with a like sketch goes on: a semi join, which stops at the first such
     alike = F.expr(f"l.rep != r.rep and (l.home or r.home) and bit_count(l.s1 ^ r.s1) + bit_count(l.s2 ^ r.s2) <= {SKETCH_BITS}")
-    met_one = places.alias("l").join(places.alias("r"), (F.col("l.t") == F.col("r.t")) & (F.col("l.bucket") == F.col("r.bucket")) & alike, "left_semi")
-    kept = written(met_one.select("t", "bucket", "rep", "home"), "kept")
-    sizes = kept.groupBy("t", "bucket").agg(F.count("*").alias("n"))
-    calls = max(LEAST_CALLS, -(-(sizes.agg(F.sum(F.expr(f"n * cast(ceil(n / {BLOCK}.0) as bigint)"))).first()[0] or 0) // CALL_ROWS))
-    held = kept.join(sizes, ["t", "bucket"]).withColumn("nb", F.expr(f"cast(ceil(n / {BLOCK}.0) as int)")).withColumn("b", F.expr("cast(pmod(xxhash64(rep), nb) as int)"))
-    dealt = held.select("t", "bucket", "rep", "home", "b", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o")).select(
+    met_one = few.alias("l").join(few.alias("r"), (F.col("l.t") == F.col("r.t")) & (F.col("l.bucket") == F.col("r.bucket")) & alike, "left_semi")
+    alone = met_one.select("t", "bucket", "rep", "home", F.lit(1).alias("nb"))
+    held = written(alone.unionByName(many.select("t", "bucket", "rep", "home", F.expr(f"cast(ceil(n / {BLOCK}.0) as int)").alias("nb"))), "kept")
+    calls = max(LEAST_CALLS, -(-(held.agg(F.sum(F.col("nb").cast("long"))).first()[0] or 0) // CALL_ROWS))
+    dealt = held.withColumn("b", F.expr("cast(pmod(xxhash64(rep), nb) as int)")).select("t", "bucket", "rep", "home", "b", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o")).select(
         "t", "bucket", "rep", "home", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), F.when(F.col("b") <= F.col("o"), 0).otherwise(1).alias("side")
     )
     met = dealt.join(signed.drop("s1", "s2"), "rep").withColumn("call", F.expr(f"pmod(xxhash64(t, bucket, i, j), {calls})")).groupBy("call").applyInPandas(_verified(dimensions), "rep long, links long, root long")
     met = written(met, "links")
     counts = met.groupBy("rep").agg(F.sum("links").alias("others"))
-    named = components(met.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    of_class = (
-        classes.join(counts, "rep", "left").join(named.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("v", F.coalesce("component", "rep").alias("component"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
-    )
-    of_row = usable(rows, "row").join(of_class, "v").select("row", "component", "n_links")
+    named = components(met.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
+    # classes come with numbers of their own; a component's name is the smallest id in it
+    of_class = written(classes.select("rep", "h1", "h2", "least", "copies").join(counts, "rep", "left").join(named, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "of class")
+    names = of_class.groupBy("component").agg(F.min("least").alias("name"))
+    told = of_class.join(names, "component").select("h1", "h2", F.col("name").alias("component"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    of_row = vectors.select("row", *_hashed()).join(told, ["h1", "h2"]).select("row", "component", "n_links")
     return rows.select("row", "vec_id").join(of_row, "row", "left").select(
-        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        "row", "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("component", "vec_id").alias("component_id"), F.coalesce(F.coalesce("component", "vec_id") == F.col("vec_id"), F.lit(False)).alias("kept"),
     )
 
 
 def deduplicated(table: DataFrame) -> DataFrame:
-    """table without the rows that are not kept; rows without an id stay."""
-    drop = near_duplicates(table).where("vec_id is not null and not kept").select("vec_id").distinct()
-    return table.join(drop, "vec_id", "left_anti").select(*table.columns)
+    """table without the rows that are not kept; rows without an id stay. Columns stay as they are, whatever their names."""
+    held = written(table.select(F.monotonically_increasing_id().alias("row"), F.struct(*(table[f"`{c}`"] for c in table.columns)).alias("held")), "table")
+    named = _named(held.select("row", F.col("held").getField("vec_id").alias("vec_id"), F.col("held").getField("embedding").alias("embedding")))
+    return held.join(named.where("vec_id is not null and not kept").select("row"), "row", "left_anti").select("held.*")
