@@ -10,7 +10,8 @@ Fingerprints, not ids, are linked: texts that share an id stay apart, and those
 come in at the end, as the names of components.
 
 Nulls and edges: a null text counts as empty (fingerprint 0, linked like any other). A null doc_id keeps its row,
-is never a component's name unless no other id is in it. Repeated rows keep their rows. An empty table gives none.
+is never a component's name unless no other id is in it. Repeated rows keep their rows in near_duplicates; deduplicated
+keeps one row of each component, repeats and rows without an id included. An empty table gives none.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from tallybook.llm.common import components, written
 SEED, WORDS, MAX_BITS = 42, 3, 2
 #: Members of one variant up to which pairs are joined as rows; above, blocks of BLOCK members are compared in numpy.
 PAIR_JOIN, BLOCK = 32, 1024
+#: Fingerprints looked at for crowded variants about, and how many of them make one. This decides where a variant's members are compared, not whether.
+LOOKED_AT, CROWDED = 20_000, 64
 
 
 def fingerprint(text: str | None, words: int = WORDS) -> int:
@@ -98,10 +101,15 @@ def links(distinct: DataFrame) -> DataFrame:
         # the segment without the wildcard bit, under the number of segment and wildcard
         F.expr("shiftleft(cast(p as bigint), 32) | (shiftrightunsigned(fp, 32 * (p div 32)) & 4294967295L & ~shiftleft(1L, cast(p % 32 as int)))").alias("key"),
     )
-    # one shuffle serves both the counts and the members: only variants that several fingerprints share go on
-    dealt = variants.repartition("key")
+    # variants that so many fingerprints share that they would be one task's work: at most LOOKED_AT * 64 / CROWDED keys, known from a few fingerprints
+    every = max(1, distinct.count() // LOOKED_AT)
+    crowded = written(variants.where(f"pmod(xxhash64(fp), {every}) = 0").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= CROWDED).select("key"), "crowded")
+    counted = F.broadcast(variants.join(F.broadcast(crowded), "key", "left_semi").groupBy("key").agg(F.count("*").alias("n")))
+    # of the others one shuffle serves both the counts and the members: only variants that several fingerprints share go on
+    dealt = variants.join(F.broadcast(crowded), "key", "left_anti").repartition("key")
     sizes = dealt.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    held = written(dealt.join(sizes, "key").select("key", "n", "rep", "fp"), "members")
+    few = dealt.join(sizes, "key").select("key", "n", "rep", "fp")
+    held = written(few.unionByName(variants.join(counted, "key").select("key", "n", "rep", "fp")), "members")
     pairs = held.where("n = 2").groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("b"), F.bit_xor("fp").alias("x")).where(f"bit_count(x) <= {MAX_BITS}").select("a", "b")
     more = held.where("n > 2")
     few = more.where(f"n <= {PAIR_JOIN}").select("key", "rep", "fp")
@@ -119,12 +127,12 @@ def links(distinct: DataFrame) -> DataFrame:
 
 
 def _named(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, fp, component_id) of every row; component_id is the smallest doc_id whose fingerprint is reachable."""
+    """(doc_id, text_hash, fp, root, component_id) of every row, written: root tells components apart; component_id is the smallest doc_id whose fingerprint is reachable."""
     found = written(fingerprints(docs), "fingerprints")
     distinct = written(found.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     linked = written(components(links(distinct.select(F.col("fp").alias("rep"), "fp"))).join(distinct, F.col("node") == F.col("fp")).select("fp", "component", "least"), "linked")
     names = linked.groupBy("component").agg(F.min("least").alias("name"))
-    whole = distinct.join(linked.join(names, "component").select("fp", "name"), "fp", "left").select("fp", F.coalesce("name", "least").alias("component_id"))
+    whole = distinct.join(linked.join(names, "component").select("fp", "component", "name"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("root"), F.coalesce("name", "least").alias("component_id"))
     return found.join(whole, "fp")
 
 
@@ -134,7 +142,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs without all but the smallest doc_id of each component; rows whose doc_id is null stay, as do repeats of that smallest."""
-    drop = _named(docs).where("doc_id is not null and doc_id != component_id").select("doc_id", "text_hash").distinct()
+    """One row of docs for each component: that with the smallest doc_id, a null one last, then of its texts the first by hash.
+
+    Of rows that agree in doc_id and text one stays, whichever. Columns stay as they are, whatever their names.
+    """
+    named = written(_named(docs), "named")
+    texts = named.groupBy("doc_id", "text_hash").agg(F.first("root").alias("root"), F.count("*").alias("n"))
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
+    kept = texts.groupBy("root").agg(F.min_by(F.struct("doc_id", "text_hash", "n"), first).alias("k")).select("k.*")
+    once, more = (written(kept.where(f"n {how} 1").select("doc_id", "text_hash"), "kept") for how in ("=", ">"))
     packed = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("doc"), F.col("doc_id").cast("long").alias("own_id"), text_hash().alias("own_hash"))
-    return packed.join(drop, (F.col("own_id") == F.col("doc_id")) & (F.col("own_hash") == F.col("text_hash")), "left_anti").select("doc.*")
+    same = F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_hash") == F.col("text_hash"))
+    # repeats are few keys, maybe of many rows: each task brings one row of each
+    single = packed.join(more, same, "left_semi").groupBy("own_id", "own_hash").agg(F.first("doc").alias("doc")).select("doc")
+    return packed.join(once, same, "left_semi").select("doc").unionByName(single).select("doc.*")

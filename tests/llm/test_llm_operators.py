@@ -78,8 +78,10 @@ def test_simhash_is_brute_force(spark, texts):
     assert simhash.near_duplicates(empty(spark)).count() == 0
 
 
-def test_simhash_links_crowded_variants(spark):
-    """More fingerprints in a variant than are joined as pairs: blocks find the same components."""
+@pytest.mark.parametrize("crowded", [8, 1 << 30])
+def test_simhash_links_crowded_variants(spark, monkeypatch, crowded):
+    """More fingerprints in a variant than are joined as pairs: blocks find the same components, whether it is known as crowded or not."""
+    monkeypatch.setattr(simhash, "CROWDED", crowded)
     r = random.Random(3)
     base = r.getrandbits(64)
     prints = {base ^ (1 << a) ^ (1 << b) for a in range(0, 40, 3) for b in range(1, 64, 5)} | {r.getrandbits(64) for _ in range(30)}
@@ -94,7 +96,19 @@ def test_simhash_keeps_rows_without_id_and_repeats(spark):
     docs = spark.createDataFrame([(None, "a b c d"), (5, "a b c d"), (5, "a b c d"), (None, None)], "doc_id long, text string")
     rows = simhash.near_duplicates(docs).collect()
     assert len(rows) == 4 and all(r.component_id == 5 for r in rows if r.fingerprint != "0" * 16)
-    assert simhash.deduplicated(docs).count() == 4
+    # one row of each group: of the copies with and without an id, and of the empty text
+    assert sorted((r.doc_id or 0, r.text) for r in simhash.deduplicated(docs).collect()) == [(0, None), (5, "a b c d")]
+
+
+def test_simhash_keeps_one_row_of_each_group_and_all_columns(spark):
+    texts = [prose(7, 40), prose(8, 40), prose(9, 40)]
+    rows = [(i % 3 if i % 5 else None, texts[i % 3], i, f"x{i}") for i in range(60)] + [(2, texts[0], 60, "y"), (None, texts[1], 61, "y"), (0, "", 62, "y"), (0, None, 63, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` int, root string")
+    kept = simhash.deduplicated(docs)
+    assert kept.columns == docs.columns and kept.where("doc_id is null").count() == 0
+    assert sorted((r.doc_id, r.text or "") for r in kept.collect()) == sorted([(0, ""), (0, texts[0]), (1, texts[1]), (2, texts[2])])
+    assert set(map(tuple, kept.collect())) <= set(rows)
+    assert simhash.deduplicated(docs.where("false")).count() == 0
 
 
 def test_simhash_tells_texts_with_one_id_apart(spark):
@@ -455,6 +469,7 @@ def test_embedding_links_are_brute_force(spark, vectors, monkeypatch):
     near = unit @ unit.T >= 0.9
     np.fill_diagonal(near, False)
     monkeypatch.setattr(embed_dedup, "BLOCK", 4)  # several blocks to a bucket
+    monkeypatch.setattr(embed_dedup, "CROWDED", 5)
     got = {r.vec_id: r for r in embed_dedup.near_duplicates(table).collect()}
     assert [got[i].n_links for i in range(400)] == near.sum(axis=1).tolist()
     assert {i: got[i].component_id for i in range(400)} == {i: 50 if 50 <= i < 60 else 60 if 60 <= i < 64 else i for i in range(400)}
@@ -462,6 +477,50 @@ def test_embedding_links_are_brute_force(spark, vectors, monkeypatch):
     assert embed_dedup.near_duplicates(table.where("false")).count() == 0
 
 
+def test_embedding_links_of_repeated_ids(spark):
+    """Rows of one id with unlike vectors count their own links; near ones link with each other."""
+    r = np.random.default_rng(7)
+    a, b, c = r.standard_normal((3, 16))
+    rows = [(1, a), (1, b), (2, a + 0.01), (3, b + 0.01), (5, c), (5, c * 1.01 + 0.001), (5, c), (8, a * 2)]
+    table = spark.createDataFrame([(i, v.tolist(), 1, f"{n}") for n, (i, v) in enumerate(rows)], "vec_id long, embedding array<double>, row int, `held.x` string")
+    got = sorted((x.vec_id, x.n_links, x.component_id, x.kept) for x in embed_dedup.near_duplicates(table).collect())
+    assert got == sorted([(1, 2, 1, True), (1, 1, 1, True), (2, 2, 1, False), (3, 1, 1, False), (5, 2, 5, True), (5, 2, 5, True), (5, 2, 5, True), (8, 2, 1, False)])
+    kept = embed_dedup.deduplicated(table)
+    assert kept.columns == table.columns and sorted(x.vec_id for x in kept.collect()) == [1, 1, 5, 5, 5]
+
+
+def test_embedding_hashes_meet_at_the_least_cosine():
+    """Pairs at cosine 0.9 share a bucket that one of them is at home in, however many hashes a table joins."""
+    r = np.random.default_rng(1)
+    x = r.standard_normal((4000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = r.standard_normal((4000, 64))
+    side -= (side * x).sum(axis=1, keepdims=True) * x
+    y = 0.9 * x + math.sqrt(1 - 0.81) * side / np.linalg.norm(side, axis=1, keepdims=True)
+    for hashes in (1, 2, 3):
+        (own_x, seen_x), (own_y, seen_y) = embed_dedup.signatures(x, hashes), embed_dedup.signatures(y, hashes)
+        met = (own_x == own_y) | (seen_y == own_x[:, :, None]).any(axis=2) | (seen_x == own_y[:, :, None]).any(axis=2)
+        assert met.any(axis=1).mean() >= 0.999
+
+
+def test_ann_of_repeated_ids(spark):
+    """Each row with the asked id has ranks of its own; only its own row is left out."""
+    r = np.random.default_rng(2)
+    x = np.round(3 * r.standard_normal((60, 8)))  # whole numbers: ties are exact
+    ids = [20, 20, 40, *range(100, 157)]
+    x[1], x[5], x[6] = x[0], x[4], x[4]
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    got = {}
+    for row in ann.nearest(table).collect():
+        got.setdefault(row.query_id, []).append((row["rank"], row.vec_id, round(row.score, 9)))
+    for q in sorted({i for i in ids if i % 20 == 0}):
+        want = []
+        for k in (k for k, i in enumerate(ids) if i == q):
+            scores = sorted((-round(float(x[j] @ x[k]), 9), ids[j]) for j in range(60) if j != k)
+            want += [(n + 1, i, -s) for n, (s, i) in enumerate(scores[:20])]
+        assert sorted(got[q]) == sorted(want)
+
+
 # --- classifiers --------------------------------------------------------------------------------------------------
 def labelled(spark):
     docs, labels = [], []
