@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -656,6 +657,63 @@ def test_toxicity_scores_are_the_trees_and_their_curve(spark):
 
 
 # --- language -----------------------------------------------------------------------------------------------------
+def test_visible_text():
+    assert langid.visible("<p>a &amp; b&#233;</p><SCRIPT src='x'>no < p</script ><!-- no <p> --><style>no</style>c<br>d &lt;e") == " a & bé    c d <e"
+    assert langid.visible("<script>left open <b>x</b>").split() == ["left", "open", "x"] and langid.visible("a <!-- left <i>b</i>").split() == ["a", "b"]
+    assert langid.visible("a < b") == "a < b" and langid.visible(None) == ""
+    began = time.perf_counter()
+    for piece in ("<", "<!--", "<script>", "<script></style>", "<!-- -", "&", "</"):
+        langid.visible(piece * (1_000_000 // len(piece)))
+    assert time.perf_counter() - began < 20
+
+
+def test_languages_are_fused_plainly(spark):
+    """Every page's sums of logs by hand: text, declaration, suffix, and host priors without the page itself."""
+    r = random.Random(4)
+    vocabularies = {lang: ["".join(r.choice(letters) for _ in range(r.randint(2, 7))) for _ in range(60)] for lang, letters in (("de", "abcdeghinrstuß"), ("en", "adehilnorstwy"), ("fr", "aceilmnoprstué"))}
+
+    def text(lang, n):
+        return " ".join(r.choice(vocabularies[lang]) for _ in range(n))
+
+    docs = spark.createDataFrame([(i, text(lang, 80), lang) for i, lang in enumerate(["de", "en", "fr"] * 20)] + [(3, "x y z", "zz"), (None, "q", "de"), (99, None, "en")], "doc_id long, text string, lang string")
+    langs, table = langid.learnt(docs.where("lang != 'zz'"))
+    table = table.astype(np.float32).astype(np.float64)
+    hosts = ["a.de", "b.de", "c.org", "d.org", "e.fr", "f.uk", ""]
+    pages = []
+    for i in range(60):
+        host, lang = r.choice(hosts), r.choice(["de", "en", "fr"])
+        declared = r.choice(["", "", " lang=de", " lang='fr'", ' LANG="en"', " lang=xx"])
+        pages.append((i // 2, f"https://{host}/p" if host else None, f"<html{declared}><p>{text(lang, r.choice([0, 1, 3, 40]))}</p>" if i % 11 else None))
+    got = langid.identified(spark.createDataFrame(pages, "page_id long, url string, html string"), docs.where("lang != 'zz'")).collect()
+
+    known = []
+    for page_id, url, body in pages:
+        grams = langid.trigrams(langid.visible(body))
+        s = [sum(float(table[k][g]) for g in grams) * (min(1.0, langid.MOST_GRAMS / len(grams)) if len(grams) else 0.0) for k in range(3)]
+        s = [v - max(s) for v in s]
+        total = sum(map(math.exp, s))
+        host = url.split("/")[2] if url else ""
+        found = re.search(r"(?i)lang=['\"]?([a-z]+)", body or "")
+        known.append((page_id, host, host.split(".")[-1], found[1].lower() if found else "", s, [math.exp(v) / total for v in s]))
+    want = []
+    for page_id, host, suffix, declared, s, mine in known:
+        logs = []
+        for k, lang in enumerate(langs):
+            base = (sum(o[5][k] for o in known) - mine[k] + 1) / (len(known) - 1 + 3)
+            alike = [o for o in known if o[2] == suffix]
+            of_suffix = (sum(o[5][k] for o in alike) - mine[k] + langid.SUFFIX_WEIGHT * base) / (len(alike) - 1 + langid.SUFFIX_WEIGHT)
+            same = [o for o in known if o[1] == host]
+            prior = (sum(o[5][k] for o in same) - mine[k] + langid.HOST_WEIGHT * of_suffix) / (len(same) - 1 + langid.HOST_WEIGHT)
+            log = s[k] + math.log(prior)
+            for named, right in ((declared, langid.DECLARED_RIGHT), (langid.SUFFIX_LANG.get(suffix, ""), langid.SUFFIX_RIGHT)):
+                if named in langs:
+                    log += math.log(right if named == lang else (1 - right) / 2)
+            logs.append(log)
+        best = max(logs)
+        want.append((page_id, langs[logs.index(best)], round(1 / sum(math.exp(v - best) for v in logs), 5), host))
+    assert sorted((x.page_id, x.lang, round(x.confidence, 5), x.host) for x in got) == sorted(want)
+
+
 def test_languages_are_fused(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     text = {r.lang: r.text for r in docs.where("length(text) > 800").select("lang", "text").collect()}
