@@ -6,7 +6,11 @@ chain. `lookahead` is the longest such chain in symbols. The encoder reads symbo
 recent position the last token of the encoding that ends there, and emits tokens as soon as every encoding that
 may still be continued shares them. What it keeps is bounded by the longest token and the lookahead.
 
-Pre-tokens repeat, so encodings of short chunks are kept in a table of fixed size.
+A pre-token of at most `lookahead` symbols ends before any of its tokens is sure, so `word` runs the same steps over it
+whole; longer ones are streamed. Pre-tokens repeat, so encodings of short chunks are kept in tables of fixed size
+(KEPT_CHUNKS, KEPT_WORDS; nothing longer than KEPT_CHARS is kept, and what was not asked for lately goes). A text is
+read in stretches of some STRETCH characters cut at blanks, whose ids are digested and decoded before the next is read,
+so that beside the text itself memory stays the same however long it is.
 """
 
 from __future__ import annotations
@@ -31,8 +35,8 @@ PRE_TOKEN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\
 KEPT_CHUNKS, KEPT_WORDS, KEPT_CHARS, KEPT_PAIRS = 100_000, 200_000, 48, 300_000
 #: Longest beginning of a pre-token whose last token is kept.
 KEPT_PREFIX = 10
-#: Ids decoded at a time.
-BLOCK = 8192
+#: Characters of a text encoded at a time, about.
+STRETCH = 1 << 16
 
 
 def byte_symbols() -> list[str]:
@@ -54,6 +58,7 @@ class MergeList:
         self.numbers = {**self.ids, **self.special}
         self.packed = {t: i.to_bytes(4, "little") for t, i in self.numbers.items()}
         self.names = {i: t for t, i in self.numbers.items()}
+        self.special_ids = frozenset(self.special.values())
         self.symbol = byte_symbols()
         self.byte = {c: b for b, c in enumerate(self.symbol)}
         self.shown = dict(enumerate(self.symbol))
@@ -61,6 +66,8 @@ class MergeList:
         self.rank = {m: i for i, m in enumerate(merges)}
         self.parts = {a + b: (a, b) for a, b in merges}
         self.longest = max(self.width(t) for t in self.ids)
+        # what a token stands for: its bytes, and a space where it ends a word
+        self.raw = {i: bytes(self.byte[c] for c in t[: self.width(t)]) + (b" " if self.end and t.endswith(self.end) else b"") for t, i in self.ids.items() if t not in self.special}
         self.lookahead = self._lookahead(merges)
         order = {t: i for i, t in enumerate(self.parts)}
         if any(order.get(x, -1) >= i for i, m in enumerate(merges) for x in m):
@@ -255,19 +262,19 @@ class Decoder:
 
     def feed(self, tokens: Iterable[int]) -> str:
         """The text that these further ids complete; ids that the vocabulary lacks give nothing."""
-        names, raw = self.merges.names, []
+        names = self.merges.names
         if self.joined:
             known = [names[t] for t in tokens if t in names]
             lead, self.first = " " if known and not self.first else "", self.first and not known
             return lead + " ".join(known)
-        out = []
-        for name in (names[t] for t in tokens if t in names):
-            if name in self.merges.special:
-                out.append(self.state.decode(b"".join(raw), final=True) + name)
-                raw = []
-            else:
-                raw += [bytes(self.merges.byte[c] for c in name[: self.merges.width(name)]), b" " if self.merges.end and name.endswith(self.merges.end) else b""]
-        return "".join(out) + self.state.decode(b"".join(raw))
+        special, raw, out, run = self.merges.special_ids, self.merges.raw, [], []
+        for t in tokens:
+            if t in special:  # ends what bytes there are
+                out += [self.state.decode(b"".join(run), final=True), names[t]]
+                run = []
+            elif t in raw:
+                run.append(raw[t])
+        return "".join(out) + self.state.decode(b"".join(run))
 
     def finish(self) -> str:
         return self.state.decode(b"", final=True)
@@ -308,9 +315,14 @@ class Encoder:
             return self._ids(self.merges.tokens(chunk))
         return b"".join([self.words[pre] for pre in self.merges.words(chunk)])
 
-    def ids(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids of a whole text."""
-        return b"".join(map(self.chunks.__getitem__, text.split(" ")))
+    def stretches(self, text: str) -> Iterator[bytes]:
+        """Little-endian unsigned 32-bit ids of a whole text, a stretch of it at a time."""
+        start = 0
+        while start <= len(text):
+            end = text.find(" ", start + STRETCH)
+            end = len(text) if end < 0 else end
+            yield b"".join(map(self.chunks.__getitem__, text[start:end].split(" ")))
+            start = end + 1
 
 
 @functools.lru_cache(maxsize=1)
@@ -320,8 +332,9 @@ def encoder(content: str) -> Encoder:
 
 
 def encoded(docs: DataFrame, content: str, with_ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text, and ids (array<int>) if asked for.
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, restored_sha256 of every whole text, and ids (array<int>) if asked for.
 
+    decoded_sha256 is of the text as the library decodes it, restored_sha256 of what the byte-to-text machine gives.
     content: the vocabulary file's text, a fixed few MB, broadcast to the executors. A null text counts as empty:
     no ids, and the digests of nothing. Rows keep null and repeated doc_ids; an empty table gives no rows.
     """
@@ -330,24 +343,30 @@ def encoded(docs: DataFrame, content: str, with_ids: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = encoder(shared.value)
         for batch in batches:
-            rows: list[list] = [[], [], [], []]
+            rows: list[list] = [[], [], [], [], []]
             for t in batch.column(1):
-                ids = of.ids(t.as_py() or "")
-                back, digest = Decoder(of.merges, joined=True), hashlib.sha256()
-                for at in range(0, len(ids), 4 * BLOCK):
-                    digest.update(back.feed(np.frombuffer(ids[at: at + 4 * BLOCK], dtype="<u4").tolist()).encode())
-                rows[0].append(len(ids) // 4)
-                rows[1].append(hashlib.sha256(ids).hexdigest())
-                rows[2].append(digest.hexdigest())
+                back, plain, size, held = Decoder(of.merges, joined=True), Decoder(of.merges), 0, []
+                digests = [hashlib.sha256() for _ in range(3)]
+                for ids in of.stretches(t.as_py() or ""):
+                    tokens = np.frombuffer(ids, dtype="<u4").tolist()
+                    size += len(tokens)
+                    for digest, part in zip(digests, (ids, back.feed(tokens).encode(), plain.feed(tokens).encode()), strict=True):
+                        digest.update(part)
+                    if with_ids:
+                        held.append(ids)
+                digests[2].update(plain.finish().encode())
+                rows[0].append(size)
+                for row, digest in zip(rows[1:4], digests, strict=True):
+                    row.append(digest.hexdigest())
                 if with_ids:
-                    rows[3].append(np.frombuffer(ids, dtype="<u4").astype(np.int32))
-            names, kinds = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"], [None, pa.int64(), pa.string(), pa.string()]
-            arrays = [batch.column(0), *(pa.array(r, type=k) for r, k in zip(rows[:3], kinds[1:], strict=True))]
+                    rows[4].append(np.frombuffer(b"".join(held), dtype="<u4").astype(np.int32))
+            names, kinds = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "restored_sha256"], [None, pa.int64(), *[pa.string()] * 3]
+            arrays = [batch.column(0), *(pa.array(r, type=k) for r, k in zip(rows[:4], kinds[1:], strict=True))]
             if with_ids:
-                names, arrays = [*names, "ids"], [*arrays, pa.array(rows[3], type=pa.list_(pa.int32()))]
+                names, arrays = [*names, "ids"], [*arrays, pa.array(rows[4], type=pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, restored_sha256 string" + (", ids array<int>" if with_ids else "")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 

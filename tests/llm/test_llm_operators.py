@@ -155,6 +155,23 @@ def test_bpe_is_the_library(spark, texts, library):
     assert bpe.encoded(empty(spark), vocabulary("word_bpe_49k.json")).count() == 0
 
 
+def test_bpe_reads_stretches_and_restores_bytes(spark, texts, library, monkeypatch):
+    """Short stretches give the same ids; the byte-to-text machine gives the bytes of all tokens together; ids may repeat or be null."""
+    monkeypatch.setattr(bpe, "STRETCH", 7)
+    merges = bpe.MergeList(vocabulary("word_bpe_49k.json"))
+    of = bpe.Encoder(merges)
+    byte = {c: b for b, c in enumerate(bpe.byte_symbols())}
+    for t in texts:
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        assert np.frombuffer(b"".join(of.stretches(t or "")), dtype="<u4").tolist() == ids
+        plain = b"".join(n.encode() if n in merges.special else bytes(byte[c] for c in n.removesuffix("</w>")) + b" " * n.endswith("</w>") for n in map(library.id_to_token, ids))
+        machine = bpe.Decoder(merges)
+        assert "".join(machine.feed([i]) for i in ids) + machine.finish() == plain.decode(errors="replace")
+    rows = bpe.encoded(spark.createDataFrame([(None, "a"), (1, "Größe 😀"), (1, "Größe 😀"), (1, "b")], "doc_id long, text string"), vocabulary("word_bpe_49k.json")).collect()
+    assert len(rows) == 4 and sum(r.doc_id is None for r in rows) == 1
+    assert [r.restored_sha256 for r in rows if r.doc_id and r.n_tokens > 1] == [hashlib.sha256("größe 😀 ".encode()).hexdigest()] * 2
+
+
 def test_bpe_streams_long_words_in_constant_memory(library):
     merges = bpe.encoder(vocabulary("word_bpe_49k.json")).merges
     r = random.Random(5)
