@@ -32,10 +32,9 @@ def with_batches(events: DataFrame, order: list[str], size: int = BATCH_EVENTS,
     return nth.withColumn("batch_seq", F.expr(f"n div {size}")).withColumn("pos", F.expr(f"cast(n % {size} as int)")).drop("n")
 
 
-def round_robin(events: DataFrame, order: list[str], sources: int, by: str) -> DataFrame:
-    """events with source_id dealt in turn within each value of `by` (a file, a day)."""
-    w = Window.partitionBy(by).orderBy(*order)
-    return events.withColumn("source_id", F.pmod(F.row_number().over(w) - 1, F.lit(sources)).cast("int"))
+def round_robin(events: DataFrame, order: list[str], sources: int, by: str, slice_: str | None = None) -> DataFrame:
+    """events with source_id dealt in turn within each value of `by` (a file, a day). slice_: see numbered."""
+    return numbered(events, [by], order, slice_).withColumn("source_id", F.pmod("n", F.lit(sources)).cast("int")).drop("n")
 
 
 def merged_by_time(events: DataFrame, max_events: int | None = None) -> DataFrame:
@@ -44,12 +43,12 @@ def merged_by_time(events: DataFrame, max_events: int | None = None) -> DataFram
     return out if max_events is None else out.limit(max_events)
 
 
-def interleaved(rows: DataFrame) -> DataFrame:
-    """rows(file, pos, ...) in turn from each file: order_key = nth in its file * number of files + number of the file."""
+def interleaved(rows: DataFrame, slice_: str | None = None) -> DataFrame:
+    """rows(file, pos, ...) in turn from each file: order_key = nth in its file * number of files + number of the file. slice_: see numbered."""
     files = rows.select("file").distinct()
-    numbered = files.withColumn("file_no", F.row_number().over(Window.orderBy("file")) - 1).withColumn("files", F.count("*").over(Window.partitionBy()))  # one row a file
-    nth = rows.withColumn("nth", F.row_number().over(Window.partitionBy("file").orderBy("pos")) - 1)
-    return nth.join(F.broadcast(numbered), "file").withColumn("order_key", F.col("nth").cast("long") * F.col("files") + F.col("file_no")).drop("nth", "files", "file_no")
+    counted = files.withColumn("file_no", F.row_number().over(Window.orderBy("file")) - 1).withColumn("files", F.count("*").over(Window.partitionBy()))  # one row a file
+    nth = numbered(rows, ["file"], ["pos"], slice_)
+    return nth.join(counted, "file").withColumn("order_key", F.col("n").cast("long") * F.col("files") + F.col("file_no")).drop("n", "files", "file_no")
 
 
 def sequence_report(batches: DataFrame) -> DataFrame:
@@ -81,10 +80,13 @@ def contiguous(batches: DataFrame, expected: DataFrame, allow_gaps: bool = False
     return held.withColumn("n", F.row_number().over(w) - 1).where("batch_seq - next_seq = n").drop("n", "next_seq")
 
 
-def epochs(batches: DataFrame, threshold: int = EPOCH_BATCHES, min_sources: int = 1) -> DataFrame:
-    """batches(aggregator_id, ingest_time_ms, source_id, batch_seq) with epoch_seq: up to `threshold` a epoch, in order; epochs of fewer sources than min_sources are left out."""
-    w = Window.partitionBy("aggregator_id").orderBy("ingest_time_ms", "source_id", "batch_seq")
-    out = batches.withColumn("n", F.row_number().over(w) - 1).withColumn("epoch_seq", F.expr(f"n div {threshold}")).drop("n")
+def epochs(batches: DataFrame, threshold: int = EPOCH_BATCHES, min_sources: int = 1, slice_ms: int = 3_600_000) -> DataFrame:
+    """batches(aggregator_id, ingest_time_ms, source_id, batch_seq) with epoch_seq: up to `threshold` a epoch, in order; epochs of fewer sources than min_sources are left out.
+
+    Batches are numbered slice by slice of slice_ms of ingest time, so that an aggregator is many tasks' work.
+    """
+    sliced = batches.withColumn("slice", F.expr(f"ingest_time_ms div {slice_ms}"))
+    out = numbered(sliced, ["aggregator_id"], ["ingest_time_ms", "source_id", "batch_seq"], "slice").withColumn("epoch_seq", F.expr(f"n div {threshold}")).drop("n", "slice")
     if min_sources <= 1:
         return out
     enough = out.groupBy("aggregator_id", "epoch_seq").agg(F.count_distinct("source_id").alias("s")).where(F.col("s") >= min_sources)

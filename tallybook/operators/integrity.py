@@ -1,16 +1,23 @@
 """Batch commitments, hash chains, state commitments, Merkle trees, and their verification as table jobs.
 
-Hashes are SHA-256 over tagged, big-endian encodings. Building a chain is a fold per source; checking one takes only
-each row's predecessor, so it runs in parallel over all rows.
+Hashes are SHA-256 over tagged, big-endian encodings. A chain is built in one pass over its rows in order, which holds
+the last hash only and may go on from a stored tip; checking one takes only each row's predecessor, so it runs in
+parallel over all rows.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallybook.functions.keys import SKETCH_COLUMNS, SKETCH_SEEDS, be, checkpoint_leaf, event_bytes
+from tallybook.functions.keys import KEY_BYTES, SKETCH_COLUMNS, SKETCH_SEEDS, be, checkpoint_leaf, event_bytes
+from tallybook.operators.batching import BATCH_EVENTS
 from tallybook.operators.summaries import EPOCH
 
 ZERO = "00" * 32
@@ -42,26 +49,95 @@ def batch_commits(events: DataFrame) -> DataFrame:
     return rows.groupBy("source_id", "batch_seq").agg(F.count("*").alias("n_events"), joined_bytes("b", "pos").alias("all")).select("source_id", "batch_seq", "n_events", sha(F.col("all")).alias("commit"))
 
 
+def _event_matrix(key: pa.Array, value: np.ndarray, ts: np.ndarray) -> np.ndarray:
+    """Events in commit order, a row of bytes each."""
+    joined = b"".join(key.to_pylist())
+    return np.concatenate([np.frombuffer(joined, dtype=np.uint8).reshape(-1, KEY_BYTES), value.astype(">u4").view(np.uint8).reshape(-1, 4), ts.astype(">u4").view(np.uint8).reshape(-1, 4)], axis=1)
+
+
+def _committed(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come slice by slice: first where the slice's numbers start, then its events in order."""
+        source, after = 0, 0  # of the event that would come next
+        for batch in batches:
+            begins = ~batch.column(1).is_null().to_numpy(zero_copy_only=False)
+            sources, starts = batch.column(0).to_numpy(), batch.column(1).fill_null(0).to_numpy()
+            at = np.arange(batch.num_rows)
+            head = np.maximum.accumulate(np.where(begins, at, -1))
+            own = np.where(head >= 0, starts[head], after) + at - head - (head >= 0)
+            source, after = (int(sources[-1]), int(own[-1] + 1)) if batch.num_rows else (source, after)
+            events = batch.filter(pa.array(~begins))
+            if not events.num_rows:
+                continue
+            sources, nth, own = sources[~begins], own[~begins], None
+            raw = _event_matrix(events.column(2), events.column(3).to_numpy(), events.column(4).to_numpy())
+            number = nth // size if size else np.zeros_like(nth)
+            cuts = np.flatnonzero((np.diff(number) != 0) | (np.diff(sources) != 0) | (np.diff(nth) != 1)) + 1
+            first, last = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(nth)]])
+            data, width = raw.tobytes(), raw.shape[1]
+            whole = (last - first == size) if size else np.zeros(len(first), dtype=bool)
+            parts = [data[a * width: b * width] for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([
+                pa.array(sources[first], type=pa.int32()), pa.array(number[first], type=pa.int64()), pa.array(nth[first], type=pa.int64()), pa.array(last - first, type=pa.int64()),
+                pa.array([hashlib.sha256(p).digest() if w else None for p, w in zip(parts, whole, strict=True)], type=pa.binary()), pa.array([None if w else p for p, w in zip(parts, whole, strict=True)], type=pa.binary()),
+            ], names=["source_id", "batch_seq", "first", "n", "commit", "piece"])
+
+    return run
+
+
+def committed(events: DataFrame, order: list[str], slice_: str, size: int = BATCH_EVENTS) -> DataFrame:
+    """(source_id, batch_seq, n_events, commit) of events(source_id, key, value, ts), cut into batches of `size` in order (0: one a source).
+
+    The same as batch_commits of batching.with_batches, with one shuffle of the events: slice_ never falls along the
+    order; each slice is numbered from where those before it end, and hashed as it passes. Batches that lie across
+    slices, or across the runs in which a task gets its rows, are put together from their pieces.
+    """
+    by = ["source_id", slice_]
+    before = Window.partitionBy("source_id").orderBy(slice_).rowsBetween(Window.unboundedPreceding, -1)
+    starts = events.groupBy(*by).agg(F.count("*").alias("c")).select(*by, F.coalesce(F.sum("c").over(before), F.lit(0)).alias("start"))
+    names = [f"o{i}" for i in range(len(order))]
+    rows = events.select(F.col("source_id").cast("int").alias("source_id"), F.col(slice_).alias("slice"), *(F.col(c).alias(n) for c, n in zip(order, names, strict=True)), F.col("key").alias("k"), F.col("value").cast("long").alias("v"), F.col("ts").cast("long").alias("t"))
+    heads = starts.select(F.col("source_id").cast("int").alias("source_id"), F.col(slice_).alias("slice"), "start")
+    dealt = heads.unionByName(rows, allowMissingColumns=True).repartition("source_id", "slice").sortWithinPartitions("source_id", "slice", F.col("start").isNull(), *names)
+    found = dealt.select("source_id", "start", "k", "v", "t").mapInArrow(_committed(size), "source_id int, batch_seq long, first long, n long, commit binary, piece binary")
+    whole = found.groupBy("source_id", "batch_seq").agg(F.sum("n").alias("n_events"), F.max("commit").alias("whole"), joined_bytes("piece", "first").alias("pieces"))
+    return whole.select("source_id", "batch_seq", "n_events", F.coalesce("whole", sha(F.col("pieces"))).alias("commit"))
+
+
 def linked(prev: Column, commit: Column) -> Column:
     return sha(_tag("chain"), prev, commit)
 
 
-def folded(commits: DataFrame, by: list[str], order: str, commit: str, link) -> DataFrame:
-    """(by, order, commit, prev_hash, hash): chains from zero. A fold holds one chain's commits (some 40 bytes each) in one row."""
-    items = F.array_sort(F.collect_list(F.struct(F.col(order).cast("long").alias("o"), F.col(commit).alias("c"))))
-    start = F.array(F.struct(F.lit(-1).cast("long").alias("o"), zero_hash().alias("c"), zero_hash().alias("p"), zero_hash().alias("h")))
+def folded(commits: DataFrame, by: list[str], order: str, commit: str, tag: str, tips: DataFrame | None = None) -> DataFrame:
+    """(by, order, commit, prev_hash, hash): chains from zero, or from tips(by, tip) on.
 
-    def step(out: Column, x: Column) -> Column:
-        last = F.element_at(out, -1)["h"]
-        return F.concat(out, F.array(F.struct(x["o"].alias("o"), x["c"].alias("c"), last.alias("p"), link(last, x["c"]).alias("h"))))
+    One pass over a chain's rows in order; a task holds the last hash of the chain that passes.
+    """
+    start, prefix = bytes.fromhex(ZERO), TAGS[tag]
+    kinds = dict(commits.dtypes)
+    rows = commits.select(*by, F.col(order).cast("long").alias("nth"), F.col(commit).alias("commit"))
+    rows = rows.withColumn("tip", F.lit(None).cast("binary")) if tips is None else rows.join(tips.select(*by, "tip"), by, "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chain, last = None, start
+        for batch in batches:
+            prev, out = [], []
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(len(by))), strict=True))
+            for key, c, tip in zip(keys, batch.column(len(by) + 1).to_pylist(), batch.column(len(by) + 2).to_pylist(), strict=True):
+                if key != chain:
+                    chain, last = key, tip or start
+                prev.append(last)
+                last = hashlib.sha256(prefix + last + c).digest()
+                out.append(last)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(by) + 2], pa.array(prev, pa.binary()), pa.array(out, pa.binary())], names=[*by, order, commit, "prev_hash", "hash"])
 
-    links = commits.groupBy(*by).agg(items.alias("items")).select(*by, F.explode(F.slice(F.aggregate("items", start, step), 2, 1 << 30)).alias("x"))
-    return links.select(*by, F.col("x.o").alias(order), F.col("x.c").alias(commit), F.col("x.p").alias("prev_hash"), F.col("x.h").alias("hash"))
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in by), f"`{order}` long, `{commit}` binary, prev_hash binary, hash binary"])
+    return rows.repartition(*by).sortWithinPartitions(*by, "nth").mapInArrow(run, schema)
 
 
-def chained(commits: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """(by, batch_seq, commit, prev_hash, batch_hash) of commits(by, batch_seq, commit). by: source_id, or key for chains per key."""
-    return folded(commits, by or ["source_id"], "batch_seq", "commit", linked).withColumnRenamed("hash", "batch_hash")
+def chained(commits: DataFrame, by: list[str] | None = None, tips: DataFrame | None = None) -> DataFrame:
+    """(by, batch_seq, commit, prev_hash, batch_hash) of commits(by, batch_seq, commit). by: source_id, or key for chains per key; tips(by, tip): where chains go on from."""
+    return folded(commits, by or ["source_id"], "batch_seq", "commit", "chain", tips).withColumnRenamed("hash", "batch_hash")
 
 
 def verified(claimed: DataFrame, tips: DataFrame | None = None) -> DataFrame:
@@ -112,9 +188,7 @@ def samples_commits(entries: DataFrame, totals: DataFrame, prev: DataFrame | Non
 
 def histogram_commits(wide: DataFrame, keys: DataFrame) -> DataFrame:
     """(epoch, state_commit) of the histograms: all slots of every key, by key."""
-    slots = F.unhex(F.array_join(F.transform("counts", lambda n: F.lpad(F.hex(n), 8, "0")), ""))
-    rows = wide.join(keys, [*EPOCH, "key"]).select(*EPOCH, "key", F.concat("key", be(F.col("count"), 8), be(F.col("sum"), 8), slots).alias("b"))
-    return rows.groupBy(*EPOCH).agg(joined_bytes("b", "key").alias("all")).select(*EPOCH, sha(_tag("histogram"), F.col("all")).alias("state_commit"))
+    return histogram_bytes(wide, keys).groupBy(*EPOCH).agg(joined_bytes("b", "key").alias("all")).select(*EPOCH, sha(_tag("histogram"), F.col("all")).alias("state_commit"))
 
 
 def sketch_commits(cells: DataFrame, slots: DataFrame, columns: int = SKETCH_COLUMNS) -> DataFrame:
@@ -131,9 +205,9 @@ def epoch_linked(prev: Column, commit: Column) -> Column:
     return sha(_tag("epoch"), prev, commit)
 
 
-def epoch_chain(commits: DataFrame) -> DataFrame:
-    """(epoch, prev_hash, state_commit, final_hash): one chain per aggregator, from zero; one small row an epoch."""
-    return folded(commits, ["aggregator_id"], "sequence", "state_commit", epoch_linked).withColumnRenamed("hash", "final_hash")
+def epoch_chain(commits: DataFrame, tips: DataFrame | None = None) -> DataFrame:
+    """(epoch, prev_hash, state_commit, final_hash): one chain per aggregator, from zero or from tips(aggregator_id, tip); one small row an epoch."""
+    return folded(commits, ["aggregator_id"], "sequence", "state_commit", "epoch", tips).withColumnRenamed("hash", "final_hash")
 
 
 def epoch_chain_verified(chain: DataFrame, states: DataFrame | None = None, mode: str = "strict") -> DataFrame:
@@ -187,6 +261,23 @@ def ranked_leaves(rows: DataFrame, bytes_: Column, order: list[str], by: list[st
     return rows.select(*by, (F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).alias("idx"), bytes_.alias("b"))
 
 
+def sketch_leaves(cells: DataFrame, columns: int = SKETCH_COLUMNS) -> DataFrame:
+    """Leaves (epoch, row, idx, b) of a sketch's rows, a tree each: every column's count, zeros included."""
+    rows = cells.select(*EPOCH, "row").distinct().select(*EPOCH, "row", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))).alias("idx"), F.lit(0).cast("long").alias("n"))
+    return rows.unionByName(cells.select(*EPOCH, "row", F.col("col").alias("idx"), "n")).groupBy(*EPOCH, "row", "idx").agg(be(F.sum("n"), 4).alias("b"))
+
+
+def slot_leaves(slots: DataFrame) -> DataFrame:
+    """Leaves (epoch, idx, b) of a sketch's slots."""
+    return slots.select(*EPOCH, F.col("slot").alias("idx"), F.concat("key", be(F.col("est"), 8)).alias("b"))
+
+
+def histogram_bytes(wide: DataFrame, keys: DataFrame) -> DataFrame:
+    """(epoch, key, b): a key's histogram as bytes: key, count, sum and all slots."""
+    slots = F.unhex(F.array_join(F.transform("counts", lambda n: F.lpad(F.hex(n), 8, "0")), ""))
+    return wide.join(keys, [*EPOCH, "key"]).select(*EPOCH, "key", F.concat("key", be(F.col("count"), 8), be(F.col("sum"), 8), slots).alias("b"))
+
+
 def dense_trees(leaves: DataFrame, by: list[str], max_leaves: int) -> DataFrame:
     """(by, levels): all levels of small trees (at most 4096 leaves, padded) as arrays in one row each, without shuffles beyond the first."""
     if max_leaves > 4096:

@@ -74,15 +74,15 @@ def inherited(incoming: DataFrame, tips: DataFrame, handoffs: DataFrame) -> Data
     )
 
 
-def coverage(owned: DataFrame, aggregators: int) -> DataFrame:
-    """One row: sources, uncovered (no owner), out_of_range, idle aggregators, covered."""
-    per = owned.groupBy("owner").agg(F.count("*").alias("n"))  # one row an owner
-    busy = per.where(F.col("owner").between(0, aggregators - 1)).agg(F.count("*").alias("busy"))
-    facts = per.agg(
+def coverage(owned: DataFrame, aggregators: int, by: list[str] | None = None) -> DataFrame:
+    """One row (one for each value of `by`): sources, uncovered (no owner), out_of_range, idle aggregators, covered."""
+    per = owned.groupBy(*(by or []), "owner").agg(F.count("*").alias("n"))  # one row an owner
+    facts = per.groupBy(*(by or [])).agg(
         F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("sources"), F.coalesce(F.sum(F.when(F.col("owner").isNull(), F.col("n"))), F.lit(0)).cast("long").alias("uncovered"),
         F.coalesce(F.sum(F.when((F.col("owner") < 0) | (F.col("owner") >= aggregators), F.col("n"))), F.lit(0)).cast("long").alias("out_of_range"),
+        F.count_if(F.col("owner").between(0, aggregators - 1)).alias("busy"),
     )
-    return facts.crossJoin(busy).select("sources", "uncovered", "out_of_range", (F.lit(aggregators) - F.col("busy")).cast("long").alias("idle"), ((F.col("uncovered") == 0) & (F.col("out_of_range") == 0) & (F.col("busy") == aggregators)).alias("covered"))
+    return facts.select(*(by or []), "sources", "uncovered", "out_of_range", (F.lit(aggregators) - F.col("busy")).cast("long").alias("idle"), ((F.col("uncovered") == 0) & (F.col("out_of_range") == 0) & (F.col("busy") == aggregators)).alias("covered"))
 
 
 def continuity(handoffs: DataFrame) -> DataFrame:

@@ -77,13 +77,13 @@ def laplace(epsilon: float, sensitivity: float, seed: int | None = None) -> Colu
     return F.transform(F.array(u), lambda x: F.when(F.abs(x) >= 0.5, F.when(x >= 0, scale * 10).otherwise(-scale * 10)).otherwise(-scale * F.signum(x) * F.log(1 - 2 * F.abs(x))))[0]
 
 
-def released(result: DataFrame, value: str, kind: str, seed: int | None = None, audit: bool = False, mode: str = "laplace") -> DataFrame:
-    """value with noise of its class, never below 0; `audit` keeps the noise beside it. mode "offset": the fixed offset instead, value unchanged."""
+def released(result: DataFrame, value: str, kind: str, seed: int | None = None, audit: bool = False, mode: str = "laplace", signed: bool = False) -> DataFrame:
+    """value with noise of its class, never below 0 unless signed; `audit` keeps the noise beside it. mode "offset": the fixed offset instead, value unchanged."""
     epsilon, sensitivity, offset = CALIBRATION[kind]
     if mode == "offset":
         return result.withColumn("dp_offset", F.lit(offset))
     # one draw: value and audit see the same
-    noisy = result.withColumn("noise", F.round(laplace(epsilon, sensitivity, seed)).cast("long")).withColumn(value, F.greatest(F.lit(0), F.col(value) + F.col("noise")))
+    noisy = result.withColumn("noise", F.round(laplace(epsilon, sensitivity, seed)).cast("long")).withColumn(value, F.col(value) + F.col("noise") if signed else F.greatest(F.lit(0), F.col(value) + F.col("noise")))
     return noisy if audit else noisy.drop("noise")
 
 

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallybook.functions.keys import HIST_BUCKETS, SKETCH_SEEDS, hist_bucket, key_hash, sketch_cells
+from tallybook.functions.hashing import sketch_cells
+from tallybook.functions.keys import HIST_BUCKETS, SKETCH_COLUMNS, SKETCH_SEEDS, hist_bucket
 
 EPOCH = ["aggregator_id", "sequence"]
 U32, SLOTS = (1 << 32) - 1, 100
@@ -53,22 +54,26 @@ def histogram_wide(cells: DataFrame) -> DataFrame:
 def sketch_cells_table(events: DataFrame, weight: str | None = "value") -> DataFrame:
     """Per epoch, row and column: n, the sum of the weights (1 each, if None) of the keys that fall there, saturating."""
     add = F.sum(weight) if weight else F.count("*")
-    # keys are totalled before their three cells are made
-    per_key = events.groupBy(*EPOCH, "key").agg(add.alias("w")).withColumn("h", key_hash(F.col("key")))
-    cells = per_key.select(*EPOCH, "w", F.explode(sketch_cells(F.col("h"))).alias("c"))
+    # keys are totalled before their three cells are made, in Arrow batches
+    per_key = events.groupBy(*EPOCH, "key").agg(add.alias("w"))
+    cells = per_key.select(*EPOCH, "w", F.explode(sketch_cells(F.col("key"), SKETCH_SEEDS, SKETCH_COLUMNS)).alias("c"))
     return cells.groupBy(*EPOCH, F.col("c.row").alias("row"), F.col("c.col").alias("col")).agg(capped(F.sum("w")).alias("n"))
 
 
 def with_cells(keys: DataFrame) -> DataFrame:
     """keys(key, ...) with one row for each of the key's cells: row, col."""
-    hashed = keys.withColumn("h", key_hash(F.col("key")))
-    return hashed.select("*", F.explode(sketch_cells(F.col("h"))).alias("c")).select("*", F.col("c.row").alias("row"), F.col("c.col").alias("col")).drop("c", "h")
+    return keys.select("*", F.explode(sketch_cells(F.col("key"), SKETCH_SEEDS, SKETCH_COLUMNS)).alias("c")).select("*", F.col("c.row").alias("row"), F.col("c.col").alias("col")).drop("c")
 
 
 def estimates(cells: DataFrame, keys: DataFrame, by: list[str] = EPOCH) -> DataFrame:
     """(by, key, est): the least of each key's cells; a cell that the sketch lacks counts 0. keys has the columns of by, and key."""
-    found = with_cells(keys.select(*by, "key").distinct()).join(cells, [*by, "row", "col"], "left")
-    return found.groupBy(*by, "key").agg(F.min(F.coalesce("n", F.lit(0))).alias("est"))
+    distinct = keys.select(*by, "key").distinct()
+    if by:
+        found = with_cells(distinct).join(cells, [*by, "row", "col"], "left")
+        return found.groupBy(*by, "key").agg(F.min(F.coalesce("n", F.lit(0))).alias("est"))
+    # one sketch: at most rows x columns cells, whatever the table
+    found = with_cells(distinct).join(F.broadcast(cells), ["row", "col"], "left")
+    return found.groupBy("key").agg(F.min(F.coalesce("n", F.lit(0))).alias("est"))
 
 
 def ranked_slots(events: DataFrame, cells: DataFrame, slots: int = SLOTS) -> DataFrame:
@@ -77,19 +82,21 @@ def ranked_slots(events: DataFrame, cells: DataFrame, slots: int = SLOTS) -> Dat
     return estimates(cells, events).withColumn("slot", rank).where(F.col("slot") <= slots).select(*EPOCH, "key", "est", (F.col("slot") - 1).alias("slot"))
 
 
-def replayed_slots(events: DataFrame, slots: int = SLOTS) -> DataFrame:
+def replayed_slots(events: DataFrame, slots: int = SLOTS, by: tuple[str, ...] = ("idx",)) -> DataFrame:
     """Per epoch the slots as an in-order pass leaves them: an event's estimate replaces the least slot if larger.
 
-    Order dependent by definition, so each epoch (bounded by its batches) is one group; `ranked_slots` has no such bound.
+    by: the columns that order an epoch's events. Order dependent by definition, so each epoch (bounded by its batches) is one group; `ranked_slots` has no such bound.
     """
-    hashed = events.withColumn("h", key_hash(F.col("key"))).withColumn("cols", F.transform(sketch_cells(F.col("h")), lambda c: c["col"])).select(*EPOCH, "idx", "key", "value", "cols")
+    cells = sketch_cells(F.col("key"), SKETCH_SEEDS, SKETCH_COLUMNS)
+    order = [f"o{i}" for i in range(len(by))]
+    hashed = events.withColumn("c", cells).select(*EPOCH, "key", "value", F.transform("c", lambda c: c["col"]).alias("cols"), *(F.col(c).alias(o) for c, o in zip(by, order, strict=True)))
 
     def replay(pdf: pd.DataFrame) -> pd.DataFrame:
         table = [dict() for _ in SKETCH_SEEDS]
         keys: list[bytes] = []
         score: list[int] = []
         place: dict[bytes, int] = {}
-        for key, value, cols in pdf.sort_values("idx")[["key", "value", "cols"]].itertuples(index=False):
+        for key, value, cols in pdf.sort_values(order)[["key", "value", "cols"]].itertuples(index=False):
             key = bytes(key)
             for t, c in zip(table, cols, strict=True):
                 t[c] = min(U32, t.get(c, 0) + int(value))
@@ -118,6 +125,19 @@ def headers(events: DataFrame, epoch_type: str = "samples_epoch") -> DataFrame:
     ).withColumn("epoch_type", F.lit(epoch_type))
 
 
+def merged_slots(parts: list[DataFrame], cells: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """The slots of an epoch from those of its partial sketches: their keys, ranked anew by the merged sketch's cells."""
+    keys = parts[0].select(*EPOCH, "key")
+    for p in parts[1:]:
+        keys = keys.unionByName(p.select(*EPOCH, "key"))
+    return ranked_slots(keys, cells, slots)
+
+
+def merged_cells(parts: list[DataFrame]) -> DataFrame:
+    """One sketch of several partial ones, saturating like each."""
+    return merged(parts, ["row", "col"], "n").withColumn("n", capped(F.col("n")))
+
+
 def merged(parts: list[DataFrame], cell: list[str], *values: str) -> DataFrame:
     """One summary of several partial ones: values add up cell by cell."""
     whole = parts[0]

@@ -12,11 +12,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallybook.functions.bits import unsigned_decimal
-from tallybook.functions.keys import KeyMask, hist_bucket, key_hash, key_hi, key_lo, sketch_column
+from tallybook.functions.hashing import key_hash
+from tallybook.functions.keys import KeyMask, hist_bucket, key_hi, key_lo, sketch_column
 from tallybook.operators.privacy import MIN_SUPPORT, suppressed
 from tallybook.operators.summaries import capped, estimates
 
 TOP = 100
+#: Values in a range that percentiles look at as one.
+WIDTH = 4096
 
 
 def _zero(x: Column) -> Column:
@@ -78,10 +81,21 @@ def samples_count(totals: DataFrame, min_support: int = MIN_SUPPORT) -> DataFram
 
 
 def raw_extremes(events: DataFrame, percentiles: tuple[float, ...] = (0.5, 0.9, 0.95, 0.99), min_support: int = MIN_SUPPORT) -> DataFrame:
-    """Least, greatest and discrete percentiles of raw values (summaries can't give them)."""
-    named = [F.expr(f"cast(percentile_disc({q}) within group (order by value) as bigint)").alias(f"p{round(q * 100)}") for q in percentiles]
-    out = events.agg(_zero(F.min("value")).alias("min"), _zero(F.max("value")).alias("max"), *named, F.count("*").alias("support"))
-    return suppressed(out, ["min", "max", *(f"p{round(q * 100)}" for q in percentiles)], min_support)
+    """Least, greatest and discrete percentiles of raw values (summaries can't give them).
+
+    Values are counted first; ranges of WIDTH values are summed, so that a value's place is known from its range's
+    start and the values before it in the range, and no task or buffer holds all values.
+    """
+    counts = events.groupBy("value").agg(F.count("*").alias("n")).withColumn("range", F.floor(F.col("value") / WIDTH))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.groupBy("range").agg(F.sum("n").alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))  # a row for each range
+    placed = counts.join(starts, "range").withColumn("upto", F.col("start") + F.sum("n").over(Window.partitionBy("range").orderBy("value")))
+    total = events.agg(F.count("*").alias("support"))
+    found = placed.crossJoin(F.broadcast(total)).agg(
+        _zero(F.min("value")).alias("min"), _zero(F.max("value")).alias("max"),
+        *(_zero(F.min(F.when(F.col("upto") >= F.ceil(F.col("support") * q), F.col("value")))).alias(f"p{round(q * 100)}") for q in percentiles), _zero(F.max("support")).alias("support"),
+    )
+    return suppressed(found, ["min", "max", *(f"p{round(q * 100)}" for q in percentiles)], min_support)
 
 
 def histogram_bucket(cells: DataFrame, bucket: int, min_support: int = MIN_SUPPORT) -> DataFrame:
@@ -195,3 +209,7 @@ def raw_events_by_sequence(events: DataFrame, sequences: list[int], limit: int |
     return found if limit is None else found.limit(limit)
 
 
+def first_of_epochs(events: DataFrame, cap: int) -> DataFrame:
+    """At most `cap` events of each epoch, the first in order."""
+    nth = F.row_number().over(Window.partitionBy("aggregator_id", "sequence").orderBy("idx"))
+    return events.withColumn("nth", nth).where(F.col("nth") <= cap).drop("nth")
