@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,13 +10,17 @@ from pyspark.sql import functions as F
 
 from tallybook.functions.bits import unsigned_decimal
 from tallybook.functions import keys
+from tallybook.functions.hashing import hash_buckets
 from tallybook.functions.keys import KeyMask, exact_key, key_hash, key_lo, key_pattern, partition_of, routed_source, sample_bucket, sketch_column
 from tallybook.functions.windows import selected
 from tallybook.operators import batching, integrity, ownership, privacy, recovery, summaries
 from tallybook.operators import window_queries as wq
 from tallybook.plans import telemetry as tele
-from tallybook.sources import messages
-from tallybook.streaming.epochs import sessions, windowed_samples
+from tallybook.plans.facade import run_query
+from tallybook.sources import files, messages
+from tallybook.sources.shared import shared_dir
+from tallybook.sources.tables import EpochStore
+from tallybook.streaming.epochs import epochs, run, sessions, use_rocksdb, windowed_samples
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -94,6 +99,18 @@ def _latest(table: DataFrame, events: DataFrame) -> DataFrame:
     return selected(table, events.select("sequence"), latest=LATEST)
 
 
+def _stored(spark: SparkSession, d: str, name: str, latest: bool = False) -> DataFrame:
+    """A stored summary table of complete epochs; of the latest ones, if asked for."""
+    store = tele.stored(spark, d)
+    table = store.read(name, tele.TYPE_OF[name])
+    return selected(table, store.read("epoch_header", "samples_epoch"), latest=LATEST) if latest else table
+
+
+def _asked_support(spark: SparkSession, d: str) -> DataFrame:
+    """What a sketch of all epochs adds up to."""
+    return _stored(spark, d, "samples_entries").agg(F.sum("sum").alias("support"))
+
+
 # --- samples --------------------------------------------------------------------------------------------------------
 @query(f"with {ENTRIES} select aggregator_id, sequence, key_lo, cast(s as bigint) \"sum\", c \"count\" from en")
 def samples_epoch(spark, d):
@@ -102,59 +119,57 @@ def samples_epoch(spark, d):
 
 @query(f"with {ENTRIES}, {SEL} select {_low('s')} from (select coalesce(sum(s), 0) s, coalesce(sum(c), 0) c from en semi join sel using (sequence))")
 def samples_sum(spark, d):
-    e = _events(spark, d)
-    return wq.samples_sum(_latest(summaries.samples_totals(summaries.samples(e)), e))
+    return wq.samples_sum(summaries.samples_totals(_stored(spark, d, "samples_entries", latest=True)))
 
 
 @query(f"with {ENTRIES}, {SEL} select {_low('s // greatest(c, 1)', name='avg')} from (select coalesce(sum(s), 0) s, coalesce(sum(c), 0) c from en semi join sel using (sequence))")
 def samples_avg(spark, d):
-    e = _events(spark, d)
-    return wq.samples_avg(_latest(summaries.samples_totals(summaries.samples(e)), e))
+    return wq.samples_avg(summaries.samples_totals(_stored(spark, d, "samples_entries", latest=True)))
 
 
 @query(f"with {TE} select {_low('c', name='count')} from (select count(*) c from te)")
 def samples_count(spark, d):
-    return wq.samples_count(summaries.samples_totals(summaries.samples(_events(spark, d))))
+    return wq.samples_count(summaries.samples_totals(_stored(spark, d, "samples_entries")))
 
 
 @query(f"with {ENTRIES} select {_low('s')} from (select coalesce(sum(s), 0) s, coalesce(sum(c), 0) c from en where key_lo = {KEY})")
 def samples_sum_exact_key(spark, d):
-    return wq.samples_sum_key(summaries.samples(_events(spark, d)), exact_key(KEY))
+    return wq.samples_sum_key(_stored(spark, d, "samples_entries"), exact_key(KEY))
 
 
 @query(f"with {ENTRIES} select {_low('s')} from (select coalesce(sum(s), 0) s, coalesce(sum(c), 0) c from en where key_lo & {MASK} = {KEY & MASK})")
 def samples_sum_key_mask(spark, d):
-    return wq.samples_sum_key(summaries.samples(_events(spark, d)), KeyMask(KEY, MASK))
+    return wq.samples_sum_key(_stored(spark, d, "samples_entries"), KeyMask(KEY, MASK))
 
 
 @query(f"with {ENTRIES} select {_low('s // greatest(c, 1)', name='avg')} from (select coalesce(sum(s), 0) s, coalesce(sum(c), 0) c from en where key_lo & {MASK} = {KEY & MASK})")
 def samples_avg_key_mask(spark, d):
-    return wq.samples_avg_key(summaries.samples(_events(spark, d)), KeyMask(KEY, MASK))
+    return wq.samples_avg_key(_stored(spark, d, "samples_entries"), KeyMask(KEY, MASK))
 
 
 @query(f"with {ENTRIES} select {_low('s', name='max')} from (select coalesce(max(s), 0) s, coalesce(sum(c), 0) c from en where key_lo & {MASK} = {KEY & MASK})")
 def samples_max_key_sum(spark, d):
-    return wq.samples_max_key(summaries.samples(_events(spark, d)), KeyMask(KEY, MASK))
+    return wq.samples_max_key(_stored(spark, d, "samples_entries"), KeyMask(KEY, MASK))
 
 
 @query(f"""with {ENTRIES} select cast(row_number() over (order by s desc, key_lo) as integer) "rank", cast(s as bigint) "sum", cast(support as bigint) support
  from (select key_lo, sum(s) s from en where key_lo != 0 group by 1 order by s desc, key_lo limit 20), (select sum(c) support from en)""")
 def samples_sum_topk(spark, d):
-    return wq.samples_topk(summaries.samples(_events(spark, d)), 20)
+    return wq.samples_topk(_stored(spark, d, "samples_entries"), 20)
 
 
 @query(f"""with {ENTRIES}, {_fnv_cte('te')} select cast(case when c < {LOW} then 0 else t end as varchar) sum_key_ids, cast(case when c < {LOW} then 0 else c end as bigint) support, c < {LOW} suppressed
  from (select sum(h::hugeint) % 18446744073709551616::hugeint t, sum(c) c from en join kh using (key_lo) where key_lo >> 4 = 0)""")
 def samples_sum_key_ids(spark, d):
     # the pattern fixes all but the last hex digit at zero
-    out = wq.samples_sum_key_ids(summaries.samples(_events(spark, d)), key_pattern("000000000000000?"))
+    out = wq.samples_sum_key_ids(_stored(spark, d, "samples_entries"), key_pattern("000000000000000?"))
     return out.withColumn("sum_key_ids", F.col("sum_key_ids").cast("string"))
 
 
 @query(f"""with {TE} select cast(min("value") as bigint) "min", cast(max("value") as bigint) "max", cast(quantile_disc("value", 0.5) as bigint) p50, cast(quantile_disc("value", 0.9) as bigint) p90,
  cast(quantile_disc("value", 0.95) as bigint) p95, cast(quantile_disc("value", 0.99) as bigint) p99, count(*) support, count(*) < {LOW} suppressed from te""")
 def raw_extremes(spark, d):
-    return wq.raw_extremes(_events(spark, d))
+    return wq.raw_extremes(_stored(spark, d, "raw_events"))
 
 
 @query(f"""with {TE} select {_low('s')} from (select coalesce(sum("value"), 0) s, count(*) c from te where starts_with(event_type, '{PREFIX}'))""")
@@ -177,14 +192,14 @@ def time_window(spark, d):
 
 @query(f"""with {TE}, w as (select max(ingest_time_ms) e from te) select event_id, key_lo, "value", ts, sequence from te, w where ingest_time_ms between e - 86400000 and e""")
 def raw_scan_time(spark, d):
-    e = tele.batched(_events(spark, d)).withColumn("idx", F.col("event_id"))
-    end = e.agg(F.max("ingest_time_ms")).first()[0] or 0
+    e = _stored(spark, d, "raw_events")
+    end = _stored(spark, d, "epoch_header").agg(F.max("ingest_time_ms")).first()[0] or 0
     return wq.raw_events_by_time(e, end - 86_400_000, end).select("event_id", "key_lo", "value", "ts", "sequence")
 
 
 @query(f"""with {TE} select event_id, key_lo, "value", ts, sequence from te where sequence in (1, 3, 5)""")
 def raw_scan_sequences(spark, d):
-    return wq.raw_events_by_sequence(_events(spark, d).withColumn("idx", F.col("event_id")), [1, 3, 5]).select("event_id", "key_lo", "value", "ts", "sequence")
+    return wq.raw_events_by_sequence(_stored(spark, d, "raw_events"), [1, 3, 5]).select("event_id", "key_lo", "value", "ts", "sequence")
 
 
 @query(f"""with {BATCHED} select aggregator_id, sequence, min(ts) min_ts, max(ts) max_ts, max(ingest_time_ms) ingest_time_ms, count(*) n_events, count(distinct (source_id, batch_seq)) n_batches,
@@ -201,26 +216,23 @@ def histogram_epoch(spark, d):
 
 @query(f"with {CELLS}, {SEL} select {_low('b', name='count')} from (select coalesce(sum(case when bucket = 12 then n end), 0) b, coalesce(sum(n), 0) c from hc semi join sel using (sequence))")
 def histogram_bucket(spark, d):
-    e = _events(spark, d)
-    return wq.histogram_bucket(_latest(summaries.histogram_cells(e), e), 12)
+    return wq.histogram_bucket(_stored(spark, d, "hist_cells", latest=True), 12)
 
 
 @query(f"""with {CELLS}, t as (select count(*) total_count, cast(sum("value") as bigint) total_sum from te) select bucket, cast(sum(n) as bigint) "count", total_count, total_sum from hc, t group by all""")
 def histogram_all(spark, d):
-    e = _events(spark, d)
-    return wq.histogram_all(summaries.histogram_cells(e), summaries.histogram_keys(e))
+    return wq.histogram_all(_stored(spark, d, "hist_cells"), _stored(spark, d, "hist_keys"))
 
 
 @query(f"""with {CELLS}, t as (select count(*) total_count, cast(sum("value") as bigint) total_sum from te where key_lo & {MASK} = {KEY & MASK})
  select bucket, cast(sum(n) as bigint) "count", total_count, total_sum from hc, t where key_lo & {MASK} = {KEY & MASK} group by all""")
 def histogram_all_key(spark, d):
-    e = _events(spark, d)
-    return wq.histogram_all(summaries.histogram_cells(e), summaries.histogram_keys(e), KeyMask(KEY, MASK))
+    return wq.histogram_all(_stored(spark, d, "hist_cells"), _stored(spark, d, "hist_keys"), KeyMask(KEY, MASK))
 
 
 @query(f"""with {TE} select cast(sum("value") as bigint) "sum", count(*) "count", count(*) support, count(*) < {LOW} suppressed from te""")
 def histogram_totals(spark, d):
-    return wq.histogram_totals(summaries.histogram_keys(_events(spark, d)))
+    return wq.histogram_totals(_stored(spark, d, "hist_keys"))
 
 
 def _percentile(percent: int) -> None:
@@ -229,7 +241,7 @@ def _percentile(percent: int) -> None:
  select cast(k as bigint) bucket, cast(case when k < 2 then k else 1::bigint << (k - 1) end as bigint) "value", cast(c as bigint) support, c < {LOW} suppressed from f, t"""
 
     def run(spark, d):
-        return wq.histogram_percentile(summaries.histogram_cells(_events(spark, d)), percent)
+        return wq.histogram_percentile(_stored(spark, d, "hist_cells"), percent)
 
     run.__name__ = f"histogram_p{percent}"
     query(sql)(run)
@@ -263,10 +275,8 @@ _ASKED = f"select distinct key_lo from te where key_lo & {MASK} = {KEY & MASK}"
  q as (select key_lo, min(coalesce(n, 0)) e from kc left join c using ("row", col) where key_lo in ({_ASKED}) group by 1)
  select key_lo, cast(case when support < {LOW} then 0 else e end as bigint) estimate, cast(case when support < {LOW} then 0 else support end as bigint) support, support < {LOW} suppressed from q, s""")
 def cm_estimate(spark, d):
-    e = _events(spark, d)
-    asked = e.where(KeyMask(KEY, MASK).matches()).select("key").distinct()
-    support = e.agg(F.sum("value").alias("support"))
-    out = wq.sketch_estimate(summaries.sketch_cells_table(e), asked, support)
+    asked = _stored(spark, d, "samples_entries").where(KeyMask(KEY, MASK).matches()).select("key").distinct()
+    out = wq.sketch_estimate(_stored(spark, d, "cm_cells"), asked, _asked_support(spark, d))
     return out.select(key_lo(F.col("key")).alias("key_lo"), "estimate", "support", "suppressed")
 
 
@@ -276,23 +286,18 @@ def cm_estimate(spark, d):
  q as (select key_lo, min(n) e from kc join c using ("row", col) where key_lo in (select key_lo from sl) and key_lo != 0 group by 1 order by e desc, key_lo limit 20)
  select cast(row_number() over (order by e desc, key_lo) as integer) "rank", key_lo, cast(e as bigint) estimate, cast(support as bigint) support from q, s""")
 def cm_topk(spark, d):
-    e = _events(spark, d)
-    cells = summaries.sketch_cells_table(e)
-    support = e.agg(F.sum("value").alias("support"))
-    out = wq.sketch_topk(cells, summaries.ranked_slots(e, cells), support, 20)
+    out = wq.sketch_topk(_stored(spark, d, "cm_cells"), _stored(spark, d, "cm_slots"), _asked_support(spark, d), 20)
     return out.select("rank", key_lo(F.col("key")).alias("key_lo"), "estimate", "support")
 
 
 @query(f"with {TE} select {_low('t', 't', 'total')} from (select cast(sum(\"value\") as bigint) t from te)")
 def cm_total(spark, d):
-    return wq.sketch_total(summaries.sketch_cells_table(_events(spark, d)))
+    return wq.sketch_total(_stored(spark, d, "cm_cells"))
 
 
 @query()
 def cm_replayed_slots(spark, d):
-    e = _events(spark, d).withColumn("idx", F.struct("ts", "event_id"))
-    e = e.withColumn("idx", F.col("ts") * 1_000_000 + F.col("event_id") % 1_000_000)
-    return summaries.replayed_slots(e, 16).select("aggregator_id", "sequence", key_lo(F.col("key")).alias("key_lo"), "est", "slot")
+    return summaries.replayed_slots(_events(spark, d), 16, ("ts", "event_id")).select("aggregator_id", "sequence", key_lo(F.col("key")).alias("key_lo"), "est", "slot")
 
 
 @query(f"with {CELLS} select aggregator_id, sequence, key_lo, bucket, n from hc")
@@ -302,29 +307,41 @@ def merge_partials(spark, d):
     return summaries.merged(parts, ["key", "bucket"], "n").select("aggregator_id", "sequence", key_lo(F.col("key")).alias("key_lo"), "bucket", "n")
 
 
+@query(f"""with {SKETCH} select aggregator_id, sequence, cast("row" as integer) "row", col, cast(n as bigint) n from cm""")
+def merge_sketches(spark, d):
+    e = _events(spark, d)
+    parts = [summaries.sketch_cells_table(e.where(F.col("event_id") % 3 == k)) for k in range(3)]
+    return summaries.merged_cells(parts).select("aggregator_id", "sequence", "row", "col", "n")
+
+
 # --- raw ------------------------------------------------------------------------------------------------------------
 _MATCH = f"key_lo & {MASK} = {KEY & MASK}"
 
 
 @query(f"""with {TE}, m as (select * from te where {_MATCH}) select key_lo, max("value") "max", support from m, (select count(*) support from m) group by all""")
 def raw_max_key(spark, d):
-    return wq.raw_max_key(_events(spark, d), KeyMask(KEY, MASK)).select(key_lo(F.col("key")).alias("key_lo"), "max", "support")
+    return wq.raw_max_key(_stored(spark, d, "raw_events"), KeyMask(KEY, MASK)).select(key_lo(F.col("key")).alias("key_lo"), "max", "support")
 
 
 @query(f"""with {TE} select cast(coalesce(sum("value"), 0) as bigint) "sum", count(*) "count" from te where {_MATCH}""")
 def raw_stats_key(spark, d):
-    return wq.raw_stats_key(_events(spark, d), KeyMask(KEY, MASK))
+    return wq.raw_stats_key(_stored(spark, d, "raw_events"), KeyMask(KEY, MASK))
 
 
 @query(f"""with {TE} select count(*) filter ({BUCKET} = 12) "count", count(*) support from te where {_MATCH}""")
 def raw_hist_bucket_key(spark, d):
-    return wq.raw_hist_bucket_key(_events(spark, d), KeyMask(KEY, MASK), 12)
+    return wq.raw_hist_bucket_key(_stored(spark, d, "raw_events"), KeyMask(KEY, MASK), 12)
 
 
 @query(f"""with {TE}, v as (select "value" v, count(*) n from te where {_MATCH} group by 1), x as (select n, v, {', '.join(f'{_split("v::ubigint", r)} % 1024 c{r}, {_split("1234::ubigint", r)} % 1024 a{r}' for r in range(3))} from v)
  select cast(least({', '.join(f'coalesce(sum(n) filter (c{r} = a{r}), 0)' for r in range(3))}) as bigint) estimate, cast(coalesce(sum(n) filter (v = 1234), 0) as bigint) exact, cast(coalesce(sum(n), 0) as bigint) support from x""")
 def raw_cm_estimate_key(spark, d):
-    return wq.raw_sketch_estimate_key(_events(spark, d), KeyMask(KEY, MASK), 1234)
+    return wq.raw_sketch_estimate_key(_stored(spark, d, "raw_events"), KeyMask(KEY, MASK), 1234)
+
+
+@query(f"""with {BATCHED}, o as (select event_id, aggregator_id, sequence, row_number() over (partition by aggregator_id, sequence order by source_id, batch_seq, pos) k from bt) select event_id, aggregator_id, sequence from o where k <= 5""")
+def raw_first_of_epochs(spark, d):
+    return wq.first_of_epochs(_stored(spark, d, "raw_events"), 5).select("event_id", "aggregator_id", "sequence")
 
 
 # --- batches and integrity ------------------------------------------------------------------------------------------
@@ -335,7 +352,7 @@ _CHAIN = f"""{_COMMITS}, ch as (select source_id, batch_seq, c, sha256(unhex('{i
 
 @query(f"with {_COMMITS} select source_id, cast(batch_seq as bigint) batch_seq, n_events, lower(c) \"commit\" from cb")
 def commit_batches(spark, d):
-    return integrity.batch_commits(tele.batched(_events(spark, d))).select("source_id", "batch_seq", "n_events", F.lower(F.hex("commit")).alias("commit"))
+    return integrity.committed(_events(spark, d), ["ts", "event_id"], "sequence").select("source_id", "batch_seq", "n_events", F.lower(F.hex("commit")).alias("commit"))
 
 
 @query(f"with recursive {_CHAIN} select source_id, cast(batch_seq as bigint) batch_seq, lower(h) batch_hash from ch")
@@ -405,26 +422,105 @@ def epoch_chain_verify(spark, d):
     return integrity.epoch_chain_verified(integrity.epoch_chain(states), states).select("aggregator_id", "sequence", F.lower(F.hex("final_hash")).alias("final_hash"), "status")
 
 
-@query()
+_HIST_BYTES = f"""{CELLS}, hs as (select aggregator_id, sequence, key_lo, list_transform(range(32), lambda i: lpad(to_hex(coalesce(map_from_entries(list((bucket::bigint, n)))[i], 0)), 8, '0')) sl from hc group by 1, 2, 3),
+ hb as (select aggregator_id, sequence, key_lo, repeat('00', 7) || lpad(to_hex(key_lo), 16, '0') || lpad(to_hex(c), 16, '0') || lpad(to_hex(cast(s as bigint)), 16, '0') || array_to_string(sl, '') b
+ from hs join (select aggregator_id, sequence, key_lo, count(*) c, sum("value") s from te group by 1, 2, 3) using (aggregator_id, sequence, key_lo))"""
+_SLOTS = f"""{SKETCH}, est as (select en.aggregator_id, en.sequence, en.key_lo, min(n) e from en join kc using (key_lo) join cm using (aggregator_id, sequence, "row", col) group by all),
+ sl as (select * from (select *, row_number() over (partition by aggregator_id, sequence order by e desc, key_lo) - 1 k from est) where k < 100)"""
+_ALL_CELLS = """ac as (select a.aggregator_id, a.sequence, a."row", a.idx, lpad(to_hex(cast(coalesce(cm.n, 0) as bigint)), 8, '0') b from
+ (select aggregator_id, sequence, "row", unnest(range(1024)) idx from (select distinct aggregator_id, sequence from te), (select unnest([0, 1, 2]) "row")) a
+ left join cm on cm.aggregator_id = a.aggregator_id and cm.sequence = a.sequence and cm."row" = a."row" and cm.col = a.idx)"""
+
+
+@query(f"""with {_HIST_BYTES} select aggregator_id, sequence, lower(sha256(unhex('{integrity.TAGS['histogram'].hex()}' || string_agg(b, '' order by key_lo)))) state_commit from hb group by 1, 2""")
 def histogram_state_commit(spark, d):
     e = _events(spark, d)
     return integrity.histogram_commits(summaries.histogram_wide(summaries.histogram_cells(e)), summaries.histogram_keys(e)).select("aggregator_id", "sequence", F.lower(F.hex("state_commit")).alias("state_commit"))
 
 
-@query()
+@query(f"""with {_SLOTS}, {_ALL_CELLS}, cl as (select aggregator_id, sequence, string_agg(b, '' order by "row", idx) cells from ac group by 1, 2),
+ st as (select aggregator_id, sequence, string_agg(repeat('00', 7) || lpad(to_hex(key_lo), 16, '0') || lpad(to_hex(cast(e as bigint)), 16, '0'), '' order by k) slots from sl group by 1, 2)
+ select aggregator_id, sequence, lower(sha256(unhex('{integrity.TAGS['sketch'].hex()}' || cells || slots))) state_commit from cl join st using (aggregator_id, sequence)""")
 def sketch_state_commit(spark, d):
     e = _events(spark, d)
     cells = summaries.sketch_cells_table(e)
     return integrity.sketch_commits(cells, summaries.ranked_slots(e, cells)).select("aggregator_id", "sequence", F.lower(F.hex("state_commit")).alias("state_commit"))
 
 
-@query(f"with {TE} select aggregator_id, sequence, idx, true valid from (select distinct aggregator_id, sequence, cast({_mix('h')} & 1023 as bigint) idx from te join (with {TE}, {_fnv_cte('te')} select * from kh) using (key_lo)) where idx % 16 = 3")
-def merkle_proofs(spark, d):
+def _above(level: str) -> str:
+    """The level of a tree above one, as lists of hex digits."""
+    return f"list_transform(range(1, len({level}) // 2 + 1), lambda i: sha256(unhex('01' || {level}[2 * i - 1] || {level}[2 * i])))"
+
+
+def _tree_sql(leaves: str, size: int) -> str:
+    """l0 to lN: levels of each epoch's tree over `leaves`(aggregator_id, sequence, idx, h); gaps are leaves of nothing."""
+    depth = size.bit_length() - 1
+    empty = integrity.hashlib.sha256(b"\x00").hexdigest()
+    steps = [f"l0 as (select aggregator_id, sequence, list_transform(range({size}), lambda i: coalesce(map_from_entries(list((idx, h)))[i], '{empty}')) l from {leaves} group by 1, 2)"]
+    steps += [f"l{k + 1} as (select aggregator_id, sequence, {_above('l')} l from l{k})" for k in range(depth)]
+    return ", ".join(steps)
+
+
+_SAMPLE_LEAVES = f"""{ENTRIES}, {_fnv_cte('te')}, lv as (select aggregator_id, sequence, cast({_mix('h')} & 1023 as bigint) idx,
+ sha256(unhex('00' || string_agg(repeat('00', 7) || lpad(to_hex(key_lo), 16, '0') || lpad(to_hex(cast(s as bigint)), 16, '0') || lpad(to_hex(c), 8, '0'), '' order by key_lo::ubigint))) h from en join kh using (key_lo) group by 1, 2, 3)"""
+
+
+def _sample_trees(spark, d) -> tuple[DataFrame, DataFrame]:
     entries = summaries.samples(_events(spark, d))
-    leaves = integrity.sample_leaves(entries, sample_bucket(key_hash(F.col("key"))).cast("long"))
-    trees = integrity.dense_trees(leaves, summaries.EPOCH, 1024)
-    proofs = integrity.dense_proofs(trees, leaves.where("idx % 16 = 3").select(*summaries.EPOCH, "idx"), summaries.EPOCH)
-    return proofs.select(*summaries.EPOCH, "idx", (integrity.path_root(F.col("leaf"), F.col("path"), F.col("idx")) == F.col("root")).alias("valid"))
+    leaves = integrity.sample_leaves(entries, hash_buckets(F.col("key"), keys.SAMPLE_BUCKETS).cast("long"))
+    return leaves, integrity.dense_trees(leaves, summaries.EPOCH, keys.SAMPLE_BUCKETS)
+
+
+@query(f"with {_SAMPLE_LEAVES}, {_tree_sql('lv', 1024)} select aggregator_id, sequence, lower(l[1]) root from l10")
+def merkle_roots(spark, d):
+    _, trees = _sample_trees(spark, d)
+    return trees.select(*summaries.EPOCH, F.lower(F.hex(F.element_at("levels", -1)[0])).alias("root"))
+
+
+@query(f"""with {_SAMPLE_LEAVES}, {_tree_sql('lv', 1024)}, pt as (select lv.aggregator_id, lv.sequence, idx, h leaf, {" || ',' || ".join(f"l{k}.l[xor(idx >> {k}, 1) + 1]" for k in range(10))} "path", l10.l[1] root
+ from lv {" ".join(f"join l{k} on l{k}.aggregator_id = lv.aggregator_id and l{k}.sequence = lv.sequence" for k in range(11))}) select aggregator_id, sequence, idx, lower(leaf) leaf, lower(md5(lower("path"))) path_md5, lower(root) root, true valid from pt""")
+def merkle_proofs(spark, d):
+    leaves, trees = _sample_trees(spark, d)
+    proofs = integrity.dense_proofs(trees, leaves.select(*summaries.EPOCH, "idx"), summaries.EPOCH)
+    path = F.array_join(F.transform("path", lambda h: F.lower(F.hex(h))), ",")
+    return proofs.select(*summaries.EPOCH, "idx", F.lower(F.hex("leaf")).alias("leaf"), F.md5(path).alias("path_md5"), F.lower(F.hex("root")).alias("root"), (integrity.path_root(F.col("leaf"), F.col("path"), F.col("idx")) == F.col("root")).alias("valid"))
+
+
+@query(f"""with {_HIST_BYTES}, lv as (select aggregator_id, sequence, row_number() over (partition by aggregator_id, sequence order by key_lo) - 1 idx, sha256(unhex('00' || b)) h from hb), {_tree_sql('lv', 4096)}
+ select aggregator_id, sequence, lower(l[1]) root from l12""")
+def merkle_histograms(spark, d):
+    e = _events(spark, d)
+    rows = integrity.histogram_bytes(summaries.histogram_wide(summaries.histogram_cells(e)), summaries.histogram_keys(e))
+    return integrity.merkle_roots(integrity.ranked_leaves(rows, F.col("b"), ["key"]), summaries.EPOCH, 4096).select(*summaries.EPOCH, F.lower(F.hex("root")).alias("root"))
+
+
+@query(f"""with {SKETCH}, {_ALL_CELLS}, lv as (select aggregator_id, sequence * 4 + "row" sequence, idx, sha256(unhex('00' || b)) h from ac), {_tree_sql('lv', 1024)}
+ select aggregator_id, sequence // 4 sequence, cast(sequence % 4 as integer) "row", lower(l[1]) root from l10""")
+def merkle_sketch_rows(spark, d):
+    by = [*summaries.EPOCH, "row"]
+    trees = integrity.dense_trees(integrity.sketch_leaves(_stored(spark, d, "cm_cells")), by, keys.SKETCH_COLUMNS)
+    return trees.select(*by, F.lower(F.hex(F.element_at("levels", -1)[0])).alias("root"))
+
+
+@query(f"""with {_SLOTS}, lv as (select aggregator_id, sequence, k idx, sha256(unhex('00' || repeat('00', 7) || lpad(to_hex(key_lo), 16, '0') || lpad(to_hex(cast(e as bigint)), 16, '0'))) h from sl), {_tree_sql('lv', 128)}
+ select aggregator_id, sequence, lower(l[1]) root from l7""")
+def merkle_slots(spark, d):
+    trees = integrity.dense_trees(integrity.slot_leaves(_stored(spark, d, "cm_slots")), summaries.EPOCH, 128)
+    return trees.select(*summaries.EPOCH, F.lower(F.hex(F.element_at("levels", -1)[0])).alias("root"))
+
+
+@query(f"""with recursive {_STATE}, no as (select *, row_number() over (partition by aggregator_id order by sequence) k from sc),
+ ec as (select aggregator_id, sequence, k, sha256(unhex('{integrity.TAGS['epoch'].hex()}{integrity.ZERO}' || h)) f from no where k = 1
+ union all select no.aggregator_id, no.sequence, no.k, sha256(unhex('{integrity.TAGS['epoch'].hex()}' || ec.f || no.h)) from no join ec on no.aggregator_id = ec.aggregator_id and no.k = ec.k + 1)
+ select aggregator_id, sequence, sequence % 10 != 5 hash_ok, sequence % 10 != 5 and coalesce(lag(sequence) over w % 10, 0) != 8 link_ok, sequence % 10 != 3 state_ok,
+ case when sequence % 10 in (3, 5) or coalesce(lag(sequence) over w % 10, 0) = 8 then 'bad' else 'ok' end status from ec where sequence % 10 != 9 window w as (partition by aggregator_id order by sequence)""")
+def epoch_chain_bad_links(spark, d):
+    # links that name another predecessor, epochs that are lost, and states that differ from what is stored
+    states = _states(_events(spark, d))
+    other = integrity.sha(F.col("state_commit"))
+    claimed = integrity.epoch_chain(states).where("sequence % 10 != 9").withColumn("prev_hash", F.when(F.col("sequence") % 10 == 5, other).otherwise(F.col("prev_hash")))
+    held = states.withColumn("state_commit", F.when(F.col("sequence") % 10 == 3, other).otherwise(F.col("state_commit")))
+    return integrity.epoch_chain_verified(claimed, held).select(*summaries.EPOCH, "hash_ok", "link_ok", "state_ok", "status")
 
 
 @query(f"""with {ENTRIES} select aggregator_id, sequence, key_lo, cast(s + 1 as bigint) stored_sum, cast(s as bigint) raw_sum from en where (key_lo + sequence) % 97 = 5""")
@@ -523,9 +619,10 @@ def handoff_detect(spark, d):
     return ownership.transitions(_owned(spark, d))
 
 
-@query(f"""with {_OWNERS}, b as (select count(distinct "owner") busy from ow where epoch = 15 and "owner" between 0 and 4) select count(*) sources, cast(0 as bigint) uncovered, count(*) filter ("owner" > 4) out_of_range, 5 - busy idle, count(*) filter ("owner" > 4) = 0 and busy = 5 covered from ow, b where epoch = 15 group by busy""")
+@query(f"""with {_OWNERS}, b as (select epoch, count(*) sources, count(*) filter ("owner" > 4) out_of_range, count(distinct "owner") filter ("owner" between 0 and 4) busy from ow group by 1)
+ select epoch, sources, cast(0 as bigint) uncovered, out_of_range, 5 - busy idle, out_of_range = 0 and busy = 5 covered from b""")
 def coverage(spark, d):
-    return ownership.coverage(_owned(spark, d).where("epoch = 15"), 5)
+    return ownership.coverage(_owned(spark, d), 5, ["epoch"])
 
 
 @query(f"""with {_OWNERS}, t as (select source_id, epoch, p, "owner" from (select *, lag("owner") over (partition by source_id order by epoch) p from ow) where p is not null and p != "owner")
@@ -629,11 +726,51 @@ def offset_release(spark, d):
     return privacy.released(sums, "sum", "samples_sum", mode="offset")
 
 
+@query(f"""with {TE}, k as (select unnest([{', '.join(f"{{'kind': '{k}', 'dp_offset': {v[2]}}}" for k, v in privacy.CALIBRATION.items())}], recursive := true)) select event_type, kind, cast(sum("value") as bigint) "value", dp_offset from te, k group by event_type, kind, dp_offset""")
+def offset_releases(spark, d):
+    # every class of noise: its fixed offset beside an unchanged value
+    sums = _events(spark, d).groupBy("event_type").agg(F.sum("value").alias("value"))
+    each = [privacy.released(sums.withColumn("kind", F.lit(k)), "value", k, mode="offset") for k in privacy.CALIBRATION]
+    whole = each[0]
+    for part in each[1:]:
+        whole = whole.unionByName(part)
+    return whole
+
+
+@query()
+def laplace_signed_release(spark, d):
+    sums = _events(spark, d).groupBy("sequence").agg(F.sum("value").alias("sum"))
+    return privacy.released(sums, "sum", "samples_sum", seed=7, audit=True, signed=True)
+
+
 @query(f"""with {ENTRIES}, {SEL} select cast(coalesce(sum(s), 0) as bigint) "sum", cast(coalesce(sum(c), 0) as bigint) support, false suppressed from en semi join sel using (sequence)""")
 def facade_samples_sum(spark, d):
-    from tallybook.plans.facade import run_query
+    return run_query(tele.stored_tables(tele.stored(spark, d)), {"type": "samples_sum", "latest": LATEST})
+
+
+def _facade(kind: str, sql: str, **request) -> None:
+    """A request of this type over the stored summaries; keys come out as their low 8 bytes."""
+    def run(spark, d):
+        # what the policy blocks is asked without it: policy_screen has its verdicts
+        out = run_query(tele.stored_tables(tele.stored(spark, d)), {"type": kind, **request}, privacy.Policy(enforce=False))
+        out = out.withColumn("key_lo", key_lo(F.col("key"))).drop("key") if "key" in out.columns else out
+        return out.withColumn("sum_key_ids", F.col("sum_key_ids").cast("string")) if "sum_key_ids" in out.columns else out
 
-    return run_query(tele.epoch_summaries(_events(spark, d)), {"type": "samples_sum", "latest": LATEST})
+    run.__name__ = f"facade_{kind}"
+    query(sql)(run)
+
+
+for _kind, _same, _request in [
+    ("samples_avg", "samples_avg", {"latest": LATEST}), ("samples_sum_exact_key", "samples_sum_exact_key", {"key": KEY}), ("samples_sum_key", "samples_sum_key_mask", {"key": KEY, "mask": MASK}),
+    ("samples_sum_key_pattern", "samples_sum_key_ids", {"pattern": "000000000000000?"}), ("samples_avg_key", "samples_avg_key_mask", {"key": KEY, "mask": MASK}), ("samples_sum_topk", "samples_sum_topk", {"limit": 20}),
+    ("histogram_bucket", "histogram_bucket", {"bucket": 12, "latest": LATEST}), ("histogram_all", "histogram_all", {}), ("histogram_p90", "histogram_p90", {}), ("cm_topk", "cm_topk", {"limit": 20}),
+    # 15 bytes: the first seven are zero, the last hex digit is that of KEY
+    ("histogram_all_key", "histogram_all_key", {"pattern": f"{'0' * 14}{'?' * 15}{KEY:x}"}),
+    ("samples_raw_max_key", "raw_max_key", {"key": KEY, "mask": MASK}), ("samples_raw_stats_key", "raw_stats_key", {"key": KEY, "mask": MASK}),
+    ("samples_raw_histogram_bucket_key", "raw_hist_bucket_key", {"key": KEY, "mask": MASK, "bucket": 12}), ("samples_raw_cm_estimate_key", "raw_cm_estimate_key", {"key": KEY, "mask": MASK, "value": 1234}),
+]:
+    _facade(_kind, ORACLES[_same], **_request)
+_facade("cm_estimate", ORACLES["cm_estimate"].replace(f"({_ASKED})", f"({KEY})"), key=KEY)
 
 
 # --- encodings, order, joins ----------------------------------------------------------------------------------------
@@ -655,10 +792,10 @@ def key_encodings(spark, d):
     )
 
 
-@query(f"""with {TE} select ts start_time, key_lo, sequence, "value" from te order by ts, key_lo, sequence, "value" limit 500""")
+@query(f"""with {TE} select ts start_time, key_lo, sequence, "value" from te order by ts, key_lo, sequence, "value\"""")
 def time_merge(spark, d):
     rows = _events(spark, d).select(F.col("ts").alias("start_time"), "key", "key_lo", F.col("sequence").alias("file"), "value")
-    return batching.merged_by_time(rows, 500).select("start_time", "key_lo", F.col("file").alias("sequence"), "value")
+    return batching.merged_by_time(rows).select("start_time", "key_lo", F.col("file").alias("sequence"), "value")
 
 
 @query(f"""with {TE} select event_id, cast((row_number() over (partition by sequence order by ts, event_id) - 1) % 5 as integer) source_id from te""")
@@ -727,6 +864,15 @@ def output_commits(spark, d):
     return totals.select("aggregator_id", "sequence", F.lower(F.hex(commit)).alias("output_commit"))
 
 
+@query(f"""with {ENTRIES}, t as (select aggregator_id, sequence, sum(s) s, sum(c) c from en group by 1, 2), k as (select unnest(['samples_epoch', 'histogram_epoch', 'sketch_epoch']) kind)
+ select kind, aggregator_id, sequence, lower(sha256(unhex('{integrity.TAGS['output'].hex()}' || hex(kind::blob) || lpad(to_hex(cast(s as bigint)), 16, '0') || case when kind = 'sketch_epoch' then '' else lpad(to_hex(cast(c as bigint)), 16, '0') end))) output_commit from t, k""")
+def output_commits_by_kind(spark, d):
+    samples = summaries.samples_totals(_stored(spark, d, "samples_entries")).select(*summaries.EPOCH, integrity.output_commit("samples_epoch", keys.be(F.col("total_sum"), 8), keys.be(F.col("total_count"), 8)).alias("c"), F.lit("samples_epoch").alias("kind"))
+    histograms = _stored(spark, d, "hist_keys").groupBy(*summaries.EPOCH).agg(F.sum("sum").alias("s"), F.sum("count").alias("n")).select(*summaries.EPOCH, integrity.output_commit("histogram_epoch", keys.be(F.col("s"), 8), keys.be(F.col("n"), 8)).alias("c"), F.lit("histogram_epoch").alias("kind"))
+    sketches = _stored(spark, d, "cm_cells").where("row = 0").groupBy(*summaries.EPOCH).agg(F.sum("n").alias("n")).select(*summaries.EPOCH, integrity.output_commit("sketch_epoch", keys.be(F.col("n"), 8)).alias("c"), F.lit("sketch_epoch").alias("kind"))
+    return samples.unionByName(histograms).unionByName(sketches).select("kind", *summaries.EPOCH, F.lower(F.hex("c")).alias("output_commit"))
+
+
 @query(f"""with {TE} select ts // 21600 * 21600 window_start, key_lo, cast(sum("value") as bigint) "sum", count(*) "count" from te group by 1, 2""")
 def event_windows(spark, d):
     e = _events(spark, d).withColumn("event_time", F.timestamp_seconds("ts"))
@@ -756,7 +902,63 @@ def batch_messages(spark, d):
  select cast(s as integer) source_id, cast(n // 8 as bigint) batch_seq, count(*) n_events, lower(sha256(unhex(string_agg(repeat('00', 7) || lpad(to_hex((cast(l_suppkey as bigint) << 32) | l_partkey), 16, '0') || lpad(to_hex(cast(l_quantity as bigint)), 8, '0')
  || lpad(to_hex(cast(l_orderkey as bigint)), 8, '0'), '' order by n)))) "commit" from b group by 1, 2""")
 def commit_lines(spark, d):
-    lines = tele.batched(tele.tele_lines(spark, d), ("l_orderkey", "l_linenumber", "key_lo", "value"))
-    return integrity.batch_commits(lines).select("source_id", "batch_seq", "n_events", F.lower(F.hex("commit")).alias("commit"))
+    return integrity.committed(tele.tele_lines(spark, d), ["l_orderkey", "l_linenumber", "key_lo", "value"], "sequence").select("source_id", "batch_seq", "n_events", F.lower(F.hex("commit")).alias("commit"))
+
+
+# --- files and streams ----------------------------------------------------------------------------------------------
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query(f"""with {TE} select ts, 1 + event_id % 2 metric, key_lo % 5 machine, "value" from te""")
+def source_machine_tsv(spark, d):
+    path = _folder(spark, "tsv")
+    e = _events(spark, d)
+    name = F.concat(F.when(F.col("event_id") % 2 == 0, "avg_cpu").otherwise("avg_mem"), F.lit("_machine_id_"), F.col("key_lo") % 5)
+    e.select(name.alias("trace"), F.concat_ws("\t", "ts", "value").alias("line")).write.partitionBy("trace").text(path)
+    return files.read_events(spark, "tsv", path).select("ts", F.conv(F.hex(F.substring("key", 1, 1)), 16, 10).cast("long").alias("metric"), key_lo(F.col("key")).alias("machine"), "value")
 
 
+@query(f"""with {TE} select ts, 2 metric, key_lo % 5 machine, "value" from te""")
+def source_machine_csv(spark, d):
+    path = _folder(spark, "csv")
+    e = _events(spark, d).select((F.col("key_lo") % 5).alias("trace"), (F.col("value") / 1_000_000).cast("string").alias("avg mem"), (F.col("key_lo") % 5).alias("machine_id"), F.col("ts").alias("end_time"))
+    e.write.partitionBy("trace").option("header", True).option("quoteAll", True).csv(path)
+    return files.read_events(spark, "google", path).select("ts", F.conv(F.hex(F.substring("key", 1, 1)), 16, 10).cast("long").alias("metric"), key_lo(F.col("key")).alias("machine"), "value")
+
+
+@query(f"""with {TE} select cast(source_id as bigint) src_ip, key_lo dst_ip, "value", lpad(to_hex((cast(source_id as bigint) << 32) | key_lo), 30, '0') flow_key from te""")
+def source_flows(spark, d):
+    path = _folder(spark, "flows")
+    _events(spark, d).select(F.concat_ws(" ", "source_id", "key_lo", "value")).write.text(path)
+    return files.flow_text(spark, path).select("src_ip", "dst_ip", "value", F.hex("key").alias("flow_key"))
+
+
+def _fnv_text(x: str) -> str:
+    return f"list_reduce(list_concat([14695981039346656037::ubigint], list_transform(string_split({x}, ''), lambda c: ascii(c)::ubigint)), lambda h, b: (xor(h, b)::uhugeint * 1099511628211::uhugeint % {WRAP})::ubigint)"
+
+
+@query(f"""with {TE}, v as (select *, 'Make' || key_lo % 7 make, event_type model, least(key_lo % 300, 255) engine, key_lo % 16 cylinders from te)
+ select cast(epoch(make_date(1990 + cast(key_lo % 30 as integer), 1, 1)) as bigint) ts, "value", right(lpad(to_hex({_fnv_text('make')}), 16, '0'), 8) || right(lpad(to_hex({_fnv_text('model')}), 16, '0'), 8) || right(lpad(to_hex({_fnv_text("'Compact'")}), 16, '0'), 2)
+ || lpad(to_hex(engine), 2, '0') || lpad(to_hex(cylinders), 2, '0') || right(lpad(to_hex({_fnv_text("'AM8'")}), 16, '0'), 4) || '5A00' vehicle_key from v""")
+def source_vehicles(spark, d):
+    path = _folder(spark, "vehicles")
+    k = F.col("key_lo")
+    cells = [1990 + k % 30, F.concat(F.lit("Make"), k % 7), F.col("event_type"), F.lit("Compact"), (k % 300) / 10, k % 16, F.lit("AM8"), F.lit("Z"), *[F.lit(1)] * 4, F.col("value"), F.lit(1), F.lit(1)]
+    _events(spark, d).select(F.concat_ws(",", *(c.cast("string") for c in cells))).write.text(path)
+    return files.read_events(spark, "car_emission", path).select("ts", "value", F.hex("key").alias("vehicle_key"))
+
+
+@query(f"""with {ENTRIES} select key_lo, cast(sum(s) as bigint) "sum", cast(sum(c) as bigint) "count" from en group by 1""")
+def stream_equals_batch(spark, d):
+    """Batches sent as messages, gathered into epochs by the stream and stored: totals per key are those of the events."""
+    path = _folder(spark, "stream")
+    e = _events(spark, d)
+    held = tele.batched(e).groupBy("source_id", "batch_seq").agg(F.max("ingest_time_ms").alias("ingest_time_ms"), F.array_sort(F.collect_list(F.struct("pos", "key", "value", "ts"))).alias("events"))
+    messages.send(held.join(tele.claimed_batches(e).select("source_id", "batch_seq", "batch_hash"), ["source_id", "batch_seq"]), 4, path=f"{path}/topic")
+    use_rocksdb(spark)
+    store = EpochStore(spark, f"{path}/store")
+    assigned = epochs(messages.parsed(messages.stream(spark, path=f"{path}/topic")), tele.AGGREGATORS)
+    run(assigned, store, f"{path}/checkpoint").awaitTermination()
+    stored = store.read("samples_entries", "samples_epoch").groupBy("key").agg(F.sum("sum").alias("sum"), F.sum("count").alias("count"))
+    return stored.select(key_lo(F.col("key")).alias("key_lo"), "sum", "count")

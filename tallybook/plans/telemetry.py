@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybook.functions.keys import be, key_from_u64, zeros
+from tallybook.functions.keys import be, key_from_u64, key_hi, key_lo, zeros
 from tallybook.operators import batching, integrity, summaries
+from tallybook.sources.shared import shared_dir
+from tallybook.sources.tables import EpochStore
 
 SOURCES, AGGREGATORS = 8, 4
 
@@ -41,7 +45,7 @@ def batched(events: DataFrame, order: tuple[str, ...] = ("ts", "event_id")) -> D
 
 def claimed_batches(events: DataFrame, order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
     """(source_id, batch_seq, commit, prev_hash, batch_hash) of the events' batches."""
-    return integrity.chained(integrity.batch_commits(batched(events, order)))
+    return integrity.chained(integrity.committed(events, list(order), "sequence"))
 
 
 def arrivals(events: DataFrame) -> DataFrame:
@@ -79,3 +83,40 @@ def epoch_summaries(events: DataFrame) -> dict[str, DataFrame]:
         "cm_cells": cells, "cm_slots": summaries.ranked_slots(events, cells), "raw_events": b,
     }
 
+
+#: Stores of this process: (application, folder of tables) -> store.
+_STORES: dict[tuple[str, str], EpochStore] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, path: str | None = None) -> EpochStore:
+    """The summaries of a folder's events as a store, written once for each application (or to a path of one's own)."""
+    known = spark.sparkContext.applicationId, sf_dir
+    if path is None and known in _STORES:
+        return _STORES[known]
+    store = EpochStore(spark, path or f"{shared_dir(spark)}/summaries-{hashlib.md5(sf_dir.encode()).hexdigest()}")
+    e = tele_events(spark, sf_dir)
+    raw = batched(e).withColumn("idx", F.struct("source_id", "batch_seq", "pos"))
+    header = summaries.headers(raw)
+
+    def keyed(rows: DataFrame) -> DataFrame:
+        """With the numbers of the key and in its order, so that scans for keys and epochs skip most of a file."""
+        with_numbers = rows.withColumns({"key_hi": key_hi(F.col("key")), "key_lo": key_lo(F.col("key"))})
+        return with_numbers.sortWithinPartitions("aggregator_id", "sequence", "key_hi", "key_lo")
+
+    store.commit("histogram_epoch", {"hist_cells": keyed(summaries.histogram_cells(e)), "hist_keys": keyed(summaries.histogram_keys(e)), "epoch_header": header.withColumn("epoch_type", F.lit("histogram_epoch"))})
+    store.commit("sketch_epoch", {"cm_cells": summaries.sketch_cells_table(e), "epoch_header": header.withColumn("epoch_type", F.lit("sketch_epoch"))})
+    # slots are ranked by the cells that were written
+    store.commit("slots_epoch", {"cm_slots": summaries.ranked_slots(e, store.read("cm_cells", "sketch_epoch")), "epoch_header": header.withColumn("epoch_type", F.lit("slots_epoch"))})
+    store.commit("samples_epoch", {"samples_entries": keyed(summaries.samples(e)), "raw_events": raw.sortWithinPartitions("aggregator_id", "sequence", "key_lo"), "epoch_header": header})
+    if path is None:
+        _STORES[known] = store
+    return store
+
+
+#: The epoch type that each stored table is complete with.
+TYPE_OF = {"epoch_header": "samples_epoch", "samples_entries": "samples_epoch", "raw_events": "samples_epoch", "hist_cells": "histogram_epoch", "hist_keys": "histogram_epoch", "cm_cells": "sketch_epoch", "cm_slots": "slots_epoch"}
+
+
+def stored_tables(store: EpochStore) -> dict[str, DataFrame]:
+    """All summary tables of a store, as the facade takes them."""
+    return {name: store.read(name, kind) for name, kind in TYPE_OF.items()}

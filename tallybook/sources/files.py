@@ -26,7 +26,7 @@ def chosen_files(spark: SparkSession, folder: str, glob: str = "*", max_files: i
 
 
 def _file(df: DataFrame) -> DataFrame:
-    return df.withColumn("file", F.col("_metadata.file_name")).withColumn("pos", F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")))
+    return df.withColumn("file", F.col("_metadata.file_path")).withColumn("pos", F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line")))
 
 
 def _text(spark: SparkSession, paths: str | list[str], glob: str | None = None) -> DataFrame:
@@ -40,12 +40,12 @@ def _number(s: Column, kind: str = "bigint") -> Column:
 
 
 def machine_tsv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(start_time, value, key, file): tab-separated lines; metric and machine come from the file's name; bad lines and other files are dropped."""
+    """(start_time, value, key, file): tab-separated lines; metric and machine come from the file's name, or else its folder's; bad lines and other files are dropped."""
     parts = F.split("value", "\t")
     rows = _text(spark, paths).select("file", "pos", _number(F.try_element_at(parts, F.lit(1))).alias("start_time"), _number(F.try_element_at(parts, F.lit(2))).alias("v"))
-    name = F.lower("file")
-    metric = F.when(name.contains("cpu"), 1).when(name.contains("mem"), 2)
-    machine = F.coalesce(F.nullif(F.regexp_extract(name, r"machine_id_(\d+)", 1), F.lit("")), F.nullif(F.regexp_extract(name, r"machine_(\d+)", 1), F.lit(""))).try_cast("bigint")
+    names = [F.coalesce(F.try_element_at(F.split(F.lower("file"), "/"), F.lit(at)), F.lit("")) for at in (-1, -2)]
+    metric = F.coalesce(*(F.when(name.contains("cpu"), 1).when(name.contains("mem"), 2) for name in names))
+    machine = F.coalesce(*(F.nullif(F.regexp_extract(name, pattern, 1), F.lit("")) for name in names for pattern in (r"machine_id_(\d+)", r"machine_(\d+)"))).try_cast("bigint")
     rows = rows.withColumn("metric", metric).withColumn("machine", machine).where("start_time >= 0 and v >= 0 and metric is not null and machine is not null")
     return rows.select("start_time", F.col("v").alias("value"), key_from_metric(F.col("metric"), F.col("machine")).alias("key"), "file", "pos")
 
@@ -71,7 +71,7 @@ def flow_text(spark: SparkSession, paths: str | list[str], on_error: str = "fail
     rows = lines.select("file", "pos", *(c.alias(n) for c, n in zip(cells, ("src_ip", "dst_ip", "v"), strict=True)), problem.alias("problem"))
     if on_error == "fail":
         rows = rows.withColumn("v", F.when(F.col("problem").isNotNull(), F.raise_error(F.col("problem")).cast("long")).otherwise(F.col("v"))).drop("problem")
-    rows = interleaved(rows)
+    rows = interleaved(rows.withColumn("block", F.col("pos.block")), "block").drop("block")
     return rows.withColumn("value", F.col("v")).withColumn("key", key_from_flow(F.col("src_ip"), F.col("dst_ip"))).drop("v")
 
 

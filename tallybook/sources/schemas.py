@@ -13,4 +13,4 @@ VEHICLE = (
 )
 PACKET = "src_ip long, dst_ip long, length long, file string, problem string"
 #: Tables of epochs, partitioned by epoch_type and aggregator_id where they have both.
-EPOCH_TABLES = ["epoch_header", "samples_entries", "hist_cells", "hist_keys", "cm_cells", "cm_slots", "epoch_chain", "epoch_done", "raw_events"]
+EPOCH_TABLES = ["epoch_header", "samples_entries", "hist_cells", "hist_keys", "cm_cells", "cm_slots", "epoch_chain", "epoch_done", "raw_events", "source_tips"]

@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybook.operators.recovery import KEY, complete
+from tallybook.operators.recovery import KEY
+
+
+#: Tables that may stay empty for a whole commit.
+MAY_BE_EMPTY = ("raw_epochs_bad", "handoffs")
 
 
 class EpochStore:
-    """Tables below one folder; an epoch counts once its completion marker is written, which comes last."""
+    """Tables below one folder; an epoch counts once its completion marker is written, which comes last.
+
+    Each commit is an attempt with a name of its own, which its rows carry (as the folder they are in) and its markers
+    name. Rows of attempts that failed before their marker are never read, whatever is written later for the same
+    epochs, and `sweep` deletes them. One process writes a store.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -17,33 +28,79 @@ class EpochStore:
     def _at(self, table: str) -> str:
         return f"{self.path}/{table}"
 
+    def _folder(self, name: str):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self._at(name))
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
+
     def exists(self, table: str) -> bool:
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(self._at(table))
-        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
+        files, at = self._folder(table)
+        return files.exists(at)
 
     def append(self, table: str, rows: DataFrame, partitioned: bool = True) -> None:
         """Adds rows; a table that may stay empty is not partitioned, so that its schema is written all the same."""
-        parts = [c for c in ("epoch_type", "aggregator_id") if partitioned and c in rows.columns]
+        if set(KEY) <= set(rows.columns) and "attempt" not in rows.columns:
+            rows = rows.withColumn("attempt", F.lit("none"))
+        parts = [c for c in ("attempt", "epoch_type", "aggregator_id") if partitioned and c in rows.columns]
         writer = rows.write.mode("append")
         (writer.partitionBy(*parts) if parts else writer).parquet(self._at(table))
 
     def all_rows(self, table: str) -> DataFrame:
         return self.spark.read.parquet(self._at(table))
 
-    def read(self, table: str) -> DataFrame:
-        """Rows of complete epochs; tables that aren't by epoch type as they are."""
+    def done(self) -> DataFrame:
+        """One marker for each complete epoch: KEY, attempt, completed_at_ms. Of several attempts that were marked the first counts."""
+        first = F.min_by(F.struct("attempt", "completed_at_ms"), F.struct("completed_at_ms", "attempt"))
+        return self.all_rows("epoch_done").groupBy(*KEY).agg(first.alias("m")).select(*KEY, "m.*")
+
+    def read(self, table: str, epoch_type: str | None = None) -> DataFrame:
+        """Rows of complete epochs (of one type, so that other folders aren't read); tables that aren't by epoch type as they are."""
         rows = self.all_rows(table)
-        return complete(rows, self.all_rows("epoch_done")) if set(KEY) <= set(rows.columns) and table != "epoch_done" else rows
+        if table == "epoch_done" or not set(KEY) <= set(rows.columns):
+            return rows
+        rows = rows if epoch_type is None else rows.where(F.col("epoch_type") == epoch_type)
+        return rows.join(self.done().select(*KEY, "attempt"), [*KEY, "attempt"], "left_semi").drop("attempt")
 
     def commit(self, epoch_type: str, tables: dict[str, DataFrame], completed_at_ms: int | None = None) -> None:
         """Writes an epoch type's bodies, then its header, then the markers; epochs already marked are left as they are."""
+        attempt = f"a{uuid.uuid4().hex}"
         typed = {n: t.withColumn("epoch_type", F.lit(epoch_type)) if "epoch_type" not in t.columns else t for n, t in tables.items()}
         if self.exists("epoch_done"):
-            typed = {n: t.join(self.all_rows("epoch_done").select(*KEY), KEY, "left_anti") for n, t in typed.items()}
+            typed = {n: t.join(self.done().select(*KEY), KEY, "left_anti") for n, t in typed.items()}
         for name in sorted(typed, key=lambda n: n == "epoch_header"):
-            self.append(name, typed[name])
+            self.append(name, typed[name].withColumn("attempt", F.lit(attempt)), partitioned=name not in MAY_BE_EMPTY)
         now = F.lit(completed_at_ms) if completed_at_ms is not None else F.unix_millis(F.current_timestamp())
-        self.append("epoch_done", typed["epoch_header"].select(*KEY).distinct().withColumn("completed_at_ms", now.cast("long")))
+        if attempt not in self._attempts("epoch_header"):
+            return  # no new epoch
+        # what was written, not what would be worked out again
+        written = self.all_rows("epoch_header").where(F.col("attempt") == attempt)
+        self.append("epoch_done", written.select(*KEY, "attempt").distinct().withColumn("completed_at_ms", now.cast("long")), partitioned=False)
+
+    def _attempts(self, table: str) -> list[str]:
+        """Names of the attempts with a folder in a table: one for each commit."""
+        files, at = self._folder(table)
+        return [f.getPath().getName().removeprefix("attempt=") for f in files.listStatus(at) if f.getPath().getName().startswith("attempt=")]
+
+    def _delete(self, table: str, attempts: set[str]) -> int:
+        files, _ = self._folder(table)
+        for attempt in attempts:
+            files.delete(self._folder(f"{table}/attempt={attempt}")[1], True)
+        return len(attempts)
+
+    def sweep(self) -> int:
+        """Deletes what attempts without any marker wrote, and says how many folders; for use before writing, by the one writer."""
+        from tallybook.sources.schemas import EPOCH_TABLES
+
+        there = {t: set(self._attempts(t)) for t in EPOCH_TABLES if t != "epoch_done" and self.exists(t)}
+        if not any(there.values()):
+            return 0
+        marked = {r["attempt"] for r in self.all_rows("epoch_done").select("attempt").distinct().collect()} if self.exists("epoch_done") else set()
+        return sum(self._delete(t, found - marked) for t, found in there.items())
+
+    def retire(self, table: str, epochs: DataFrame) -> int:
+        """Deletes the folders of a table all of whose epochs are among epochs(aggregator_id, sequence), as recovery.droppable names them."""
+        held = self.all_rows(table).select("attempt", "aggregator_id", "sequence").distinct()
+        rest = held.join(epochs.select("aggregator_id", "sequence"), ["aggregator_id", "sequence"], "left_anti").select("attempt")
+        return self._delete(table, {r["attempt"] for r in held.select("attempt").distinct().join(rest, "attempt", "left_anti").collect()})
 
     def views(self) -> list[str]:
         """Registers the tables that are there as temporary views, for SQL."""

@@ -1,14 +1,19 @@
 """Streams of committed batches to epochs, and epochs to stored summaries.
 
-An aggregator's batches wait in state until its sources' next ones are there (gaps wait, duplicates and replays below
-the next sequence are dropped); an epoch leaves after EPOCH_BATCHES batches, after a timeout with batches ready, or in
-a drain run. State holds waiting batches only; the checkpoint holds offsets and state, so a restart goes on where the
-last committed micro-batch ended.
+An aggregator's batches wait in state until their source's earlier ones are there (gaps wait, duplicates and replays
+below the next sequence are dropped). An epoch leaves when EPOCH_BATCHES batches are ready, when the timeout has passed
+since the first of them got ready, or in a drain run. With min_sources an epoch takes batches of so many sources, in
+place of the latest of its slice if need be; where fewer sources are ready it waits for the timeout or the drain run,
+which let it leave with what there is, so that no batch waits for ever.
+
+State holds waiting batches, and the places of those that are ready; the checkpoint holds offsets and state, so a
+restart goes on where the last committed micro-batch ended.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -22,6 +27,39 @@ EVENTS = "array<struct<key: binary, value: long, ts: long>>"
 OUT = f"aggregator_id long, sequence long, source_id int, batch_seq long, ingest_time_ms long, batch_hash binary, events {EVENTS}"
 
 
+def picked(ready: list[tuple[int, int, int]], threshold: int, min_sources: int, partial: bool) -> list[tuple[int, int, int]]:
+    """Of ready (ingest time, source, sequence), in any order, those of the next epoch, in order; none if it has to wait. partial: it may leave with less."""
+    by_source: dict[int, list[tuple[int, int]]] = {}
+    for ingest, source, seq in ready:
+        by_source.setdefault(source, []).append((seq, ingest))
+    # a source's batches keep their order: none comes before an earlier one of its source
+    line = []
+    for source, batches in by_source.items():
+        batches.sort()
+        line += [(at, source, seq) for (seq, _), at in zip(batches, accumulate((ingest for _, ingest in batches), max), strict=True)]
+    line.sort()
+    if not line or len(line) < threshold and not partial:
+        return []
+    now = line[:threshold]
+    have = {source for _, source, _ in now}
+    want = min(min_sources, threshold, len(by_source))
+    if len(have) < min_sources and len(by_source) < min_sources and not partial:
+        return []
+    if len(have) < want:
+        # the first batches of further sources in place of the latest of those with several
+        first = {}
+        for x in line:
+            first.setdefault(x[1], x)
+        more = sorted(x for s, x in first.items() if s not in have)[: want - len(have)]
+        for _ in more:
+            counts: dict[int, int] = {}
+            for x in now:
+                counts[x[1]] = counts.get(x[1], 0) + 1
+            now.remove(max(x for x in now if counts[x[1]] > 1))
+        now = sorted([*now, *more])
+    return now
+
+
 class EpochAssigner(StatefulProcessor):
     """One aggregator's epochs. force: every ready batch leaves with its micro-batch (drain runs); else partial epochs leave by timer."""
 
@@ -31,61 +69,70 @@ class EpochAssigner(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.next_epoch = handle.getValueState("next_epoch", "n long")
+        self.deadline = handle.getValueState("deadline", "at long")
         self.expected = handle.getMapState("expected", "source_id int", "next_seq long")
+        self.run_end = handle.getMapState("run_end", "source_id int", "next_seq long")
         self.waiting = handle.getMapState("waiting", "source_id int, batch_seq long", f"ingest_time_ms long, batch_hash binary, events {EVENTS}")
+        self.ready = handle.getMapState("ready", "source_id int, batch_seq long", "ingest_time_ms long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        came = set()
         for pdf in rows:
             for r in pdf.itertuples(index=False):
                 at = (int(r.source_id), int(r.batch_seq))
-                if at[1] >= self._next(at[0]) and not self.waiting.containsKey(at):
+                if at[1] >= self._of(self.expected, at[0]) and not self.waiting.containsKey(at):
                     events = [(bytes(e["key"]), int(e["value"]), int(e["ts"])) for e in r.events]
                     self.waiting.updateValue(at, (int(r.ingest_time_ms), bytes(r.batch_hash), events))
+                    came.add(at)
+        if self.allow_gaps:
+            for at in came:
+                self.ready.updateValue(at, (int(self.waiting.getValue(at)[0]),))
+        else:
+            for source in sorted({s for s, _ in came}):
+                end = begun = max(self._of(self.run_end, source), self._of(self.expected, source))
+                while self.waiting.containsKey((source, end)):
+                    self.ready.updateValue((source, end), (int(self.waiting.getValue((source, end))[0]),))
+                    end += 1
+                if end != begun:
+                    self.run_end.updateValue((source,), (end,))
         yield from self._leave(key, self.force)
-        if not self.force and self._ready():
-            for old in list(self.handle.listTimers()):
-                self.handle.deleteTimer(old[0] if isinstance(old, tuple) else old)
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.timeout_ms)
+        self._arm(timerValues)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.deadline.clear()
         yield from self._leave(key, True)
+        self._arm(timerValues)
 
     def close(self) -> None:
         pass
 
-    def _next(self, source: int) -> int:
-        return int(self.expected.getValue((source,))[0]) if self.expected.containsKey((source,)) else 0
-
-    def _ready(self) -> list[tuple[int, int, int]]:
-        """(ingest time, source, sequence) of the waiting batches that may leave, in order."""
-        by_source: dict[int, list[tuple[int, int]]] = {}
-        for at, value in self.waiting.iterator():
-            by_source.setdefault(int(at[0]), []).append((int(at[1]), int(value[0])))
-        found = []
-        for source, batches in by_source.items():
-            want = self._next(source)
-            for seq, ingest in sorted(batches):
-                if seq != want and not self.allow_gaps:
-                    break
-                found.append((ingest, source, seq))
-                want = seq + 1
-        return sorted(found)
+    def _arm(self, timerValues) -> None:
+        """A timer from when the first batch got ready: later batches leave it as it is."""
+        if not self.force and not self.deadline.exists() and next(iter(self.ready.iterator()), None) is not None:
+            at = timerValues.getCurrentProcessingTimeInMs() + self.timeout_ms
+            self.handle.registerTimer(at)
+            self.deadline.update((at,))
+
+    def _of(self, state, source: int) -> int:
+        return int(state.getValue((source,))[0]) if state.containsKey((source,)) else 0
 
     def _leave(self, key, partial: bool) -> Iterator[pd.DataFrame]:
-        ready = self._ready()
-        while len(ready) >= self.threshold or partial and ready:
-            now, ready = ready[: self.threshold], ready[self.threshold:]
-            if len({s for _, s, _ in now}) < self.min_sources:
-                return
-            # a source's batches keep their order whatever their ingest times
+        ready = [(int(value[0]), int(at[0]), int(at[1])) for at, value in self.ready.iterator()]
+        while now := picked(ready, self.threshold, self.min_sources, partial):
+            gone = {x[1:] for x in now}
+            ready = [x for x in ready if x[1:] not in gone]
             epoch = int(self.next_epoch.get()[0]) if self.next_epoch.exists() else 0
             out = []
-            for _, source, seq in sorted(now, key=lambda x: (x[1], x[2])):
+            for source, seq in sorted(gone):
                 ingest, digest, events = self.waiting.getValue((source, seq))
                 out.append((key[0], epoch, source, seq, ingest, digest, [{"key": e[0], "value": e[1], "ts": e[2]} for e in events]))
                 self.waiting.removeKey((source, seq))
-                self.expected.updateValue((source,), (max(self._next(source), seq + 1),))
+                self.ready.removeKey((source, seq))
+                self.expected.updateValue((source,), (max(self._of(self.expected, source), seq + 1),))
             self.next_epoch.update((epoch + 1,))
+            if self.deadline.exists():  # what is still ready waits from now on
+                self.handle.deleteTimer(int(self.deadline.get()[0]))
+                self.deadline.clear()
             yield pd.DataFrame(out, columns=["aggregator_id", "sequence", "source_id", "batch_seq", "ingest_time_ms", "batch_hash", "events"])
 
 
@@ -102,44 +149,63 @@ def use_rocksdb(spark) -> None:
 
 
 def events_of(assigned: DataFrame) -> DataFrame:
-    """One row per event of assigned batches, idx in the order of source, batch and place."""
+    """One row per event of assigned batches; idx orders them by source, batch and place."""
     flat = assigned.select("aggregator_id", "sequence", "source_id", "batch_seq", "ingest_time_ms", F.posexplode("events").alias("pos", "e")).select("aggregator_id", "sequence", "source_id", "batch_seq", "ingest_time_ms", "pos", "e.key", "e.value", "e.ts")
-    return flat.withColumn("idx", F.col("batch_seq") * 1_000_000 + F.col("pos"))
+    return flat.withColumn("idx", F.struct("source_id", "batch_seq", "pos"))
 
 
-def processed(store, assigned: DataFrame) -> None:
-    """foreachBatch's work: verify chains, set bad batches aside, store summaries, tips and markers of the epochs that are new.
+def processed(store, assigned: DataFrame, maps: DataFrame | None = None, default_owner: int = -1) -> None:
+    """foreachBatch's work: verify chains, set bad batches aside, store summaries, tips, chain links and handoffs of the epochs that are new.
 
-    Epochs that are marked are left as they are, so a replayed micro-batch changes nothing.
+    Histograms and sketches are committed as epochs of their own type, samples last, with all that the next epochs go
+    on from: source tips, the epoch chain, batches set aside, and (maps: ownership) the tips handed to a source's next
+    owner. Only marked epochs are read, so a micro-batch that is replayed after a failure at any point starts from the
+    same tips and leaves the same tables. What unmarked attempts left behind is swept first.
     """
-    from tallybook.operators import integrity, summaries
+    from tallybook.operators import integrity, ownership, summaries
     from tallybook.operators.recovery import KEY
 
+    store.sweep()
     new = assigned.withColumn("epoch_type", F.lit("samples_epoch"))
     if store.exists("epoch_done"):
-        new = new.join(store.all_rows("epoch_done").select(*KEY), KEY, "left_anti")
+        new = new.join(store.done().select(*KEY), KEY, "left_anti")
     new = new.drop("epoch_type").persist()
+    if new.isEmpty():
+        return
     try:
         events = events_of(new)
         commits = integrity.batch_commits(events)
         claimed = commits.join(new.select("source_id", "batch_seq", "batch_hash", "aggregator_id", "sequence"), ["source_id", "batch_seq"])
-        known = None
+        known = last_link = None
         if store.exists("source_tips"):
-            known = store.all_rows("source_tips").groupBy("source_id").agg(F.max("last_seq").alias("last_seq"), F.max_by("chain_tip", "last_seq").alias("chain_tip"))
+            known = store.read("source_tips").groupBy("source_id").agg(F.max("last_seq").alias("last_seq"), F.max_by("chain_tip", "last_seq").alias("chain_tip"))
+        if store.exists("epoch_chain"):
+            last_link = store.read("epoch_chain").groupBy("aggregator_id").agg(F.max_by("final_hash", "sequence").alias("tip"))
         checked = integrity.verified(claimed, known)
         good, bad = integrity.split_verified(checked)
         kept = events.join(good.select("source_id", "batch_seq"), ["source_id", "batch_seq"], "left_semi")
-        entries = summaries.samples(kept)
-        store.append("raw_epochs_bad", bad, partitioned=False)
-        store.append("source_tips", integrity.tips(checked))
-        store.commit("samples_epoch", {"samples_entries": entries, "raw_events": kept, "epoch_header": summaries.headers(kept)})
+        # a source goes on from the last batch seen, as it does within one micro-batch
+        tips = checked.groupBy("aggregator_id", "sequence", "source_id").agg(F.max("batch_seq").alias("last_seq"), F.max_by("batch_hash", "batch_seq").alias("chain_tip"), F.max_by("status", "batch_seq").alias("status"))
+        # an epoch whose batches are all bad is complete as well
+        header = new.select("aggregator_id", "sequence").distinct().join(summaries.headers(kept).drop("epoch_type"), ["aggregator_id", "sequence"], "left").fillna(0).withColumn("epoch_type", F.lit("samples_epoch"))
+        entries, cells = summaries.samples(kept), summaries.sketch_cells_table(kept)
+        states = integrity.samples_commits(entries, summaries.samples_totals(entries))
+        store.commit("histogram_epoch", {"hist_cells": summaries.histogram_cells(kept), "hist_keys": summaries.histogram_keys(kept), "epoch_header": header.withColumn("epoch_type", F.lit("histogram_epoch"))})
+        store.commit("sketch_epoch", {"cm_cells": cells, "cm_slots": summaries.ranked_slots(kept, cells), "epoch_header": header.withColumn("epoch_type", F.lit("sketch_epoch"))})
+        tables = {"samples_entries": entries, "raw_events": kept, "raw_epochs_bad": bad, "source_tips": tips, "epoch_chain": integrity.epoch_chain(states, last_link), "epoch_header": header}
+        if maps is not None:
+            real = tips.where("status = 'ok'").select("aggregator_id", "sequence", "source_id", "last_seq", "chain_tip")
+            asked = real.select("source_id", F.explode(F.array(F.col("sequence"), F.col("sequence") + 1)).alias("epoch")).distinct()
+            moved = ownership.transitions(ownership.owners(maps, asked, default_owner))
+            tables["handoffs"] = real.join(moved.withColumn("sequence", F.col("at_epoch") - 1), ["source_id", "sequence"]).select("aggregator_id", "sequence", "source_id", "at_epoch", "from_aggregator", "to_aggregator", "chain_tip", "last_seq")
+        store.commit("samples_epoch", tables)
     finally:
         new.unpersist()
 
 
-def run(assigned: DataFrame, store, checkpoint: str, available_now: bool = True):
-    """Starts the query that stores the epochs; checkpoint: its folder."""
-    writer = assigned.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, _: processed(store, df))
+def run(assigned: DataFrame, store, checkpoint: str, available_now: bool = True, maps: DataFrame | None = None):
+    """Starts the query that stores the epochs; checkpoint: its folder; maps: ownership, for handoffs."""
+    writer = assigned.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, _: processed(store, df, maps))
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 second")).start()
 
 
