@@ -50,9 +50,10 @@ def batch_commits(events: DataFrame) -> DataFrame:
 
 
 def _event_matrix(key: pa.Array, value: np.ndarray, ts: np.ndarray) -> np.ndarray:
-    """Events in commit order, a row of bytes each."""
-    joined = b"".join(key.to_pylist())
-    return np.concatenate([np.frombuffer(joined, dtype=np.uint8).reshape(-1, KEY_BYTES), value.astype(">u4").view(np.uint8).reshape(-1, 4), ts.astype(">u4").view(np.uint8).reshape(-1, 4)], axis=1)
+    """Events in commit order, a row of bytes each; keys lie one after another in their Arrow buffer."""
+    _, places, data = key.buffers()
+    first, last = np.frombuffer(places, dtype=np.int32)[[key.offset, key.offset + len(key)]]
+    return np.concatenate([np.frombuffer(data, dtype=np.uint8)[first:last].reshape(-1, KEY_BYTES), value.astype(">u4").view(np.uint8).reshape(-1, 4), ts.astype(">u4").view(np.uint8).reshape(-1, 4)], axis=1)
 
 
 def _committed(size: int):
@@ -64,7 +65,7 @@ def _committed(size: int):
             sources, starts = batch.column(0).to_numpy(), batch.column(1).fill_null(0).to_numpy()
             at = np.arange(batch.num_rows)
             head = np.maximum.accumulate(np.where(begins, at, -1))
-            own = np.where(head >= 0, starts[head], after) + at - head - (head >= 0)
+            own = np.where(head >= 0, starts[head], after) + at - head - 1
             source, after = (int(sources[-1]), int(own[-1] + 1)) if batch.num_rows else (source, after)
             events = batch.filter(pa.array(~begins))
             if not events.num_rows:

@@ -898,11 +898,21 @@ def batch_messages(spark, d):
 
 
 # --- lines ----------------------------------------------------------------------------------------------------------
-@query("""with b as (select l_suppkey % 8 s, row_number() over (partition by l_suppkey % 8 order by l_orderkey, l_linenumber, (cast(l_suppkey as bigint) << 32) | l_partkey, l_quantity) - 1 n, * from lineitem)
- select cast(s as integer) source_id, cast(n // 8 as bigint) batch_seq, count(*) n_events, lower(sha256(unhex(string_agg(repeat('00', 7) || lpad(to_hex((cast(l_suppkey as bigint) << 32) | l_partkey), 16, '0') || lpad(to_hex(cast(l_quantity as bigint)), 8, '0')
- || lpad(to_hex(cast(l_orderkey as bigint)), 8, '0'), '' order by n)))) "commit" from b group by 1, 2""")
+_LINES = """b as (select l_suppkey % 8 s, row_number() over (partition by l_suppkey % 8 order by l_orderkey, l_linenumber, (cast(l_suppkey as bigint) << 32) | l_partkey, l_quantity) - 1 n, * from lineitem),
+ lc as (select cast(s as integer) source_id, cast(n // 8 as bigint) batch_seq, count(*) n_events, lower(sha256(unhex(string_agg(repeat('00', 7) || lpad(to_hex((cast(l_suppkey as bigint) << 32) | l_partkey), 16, '0') || lpad(to_hex(cast(l_quantity as bigint)), 8, '0')
+ || lpad(to_hex(cast(l_orderkey as bigint)), 8, '0'), '' order by n)))) "commit" from b group by 1, 2)"""
+_LINE_ORDER = ("l_orderkey", "l_linenumber", "key_lo", "value")
+
+
+@query(f"with {_LINES} select source_id, batch_seq, n_events, \"commit\" from lc")
 def commit_lines(spark, d):
-    return integrity.committed(tele.tele_lines(spark, d), ["l_orderkey", "l_linenumber", "key_lo", "value"], "sequence").select("source_id", "batch_seq", "n_events", F.lower(F.hex("commit")).alias("commit"))
+    return integrity.committed(tele.tele_lines(spark, d), list(_LINE_ORDER), "sequence").select("source_id", "batch_seq", "n_events", F.lower(F.hex("commit")).alias("commit"))
+
+
+@query(f"""with recursive {_LINES}, ch as (select source_id, batch_seq, sha256(unhex('{integrity.TAGS['chain'].hex()}{integrity.ZERO}' || "commit")) h from lc where batch_seq = 0
+ union all select lc.source_id, lc.batch_seq, sha256(unhex('{integrity.TAGS['chain'].hex()}' || ch.h || lc."commit")) from lc join ch on lc.source_id = ch.source_id and lc.batch_seq = ch.batch_seq + 1) select source_id, batch_seq, lower(h) batch_hash from ch""")
+def chain_lines(spark, d):
+    return tele.claimed_batches(tele.tele_lines(spark, d), _LINE_ORDER).select("source_id", "batch_seq", F.lower(F.hex("batch_hash")).alias("batch_hash"))
 
 
 # --- files and streams ----------------------------------------------------------------------------------------------

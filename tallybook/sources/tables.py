@@ -73,7 +73,7 @@ class EpochStore:
             return  # no new epoch
         # what was written, not what would be worked out again
         written = self.all_rows("epoch_header").where(F.col("attempt") == attempt)
-        self.append("epoch_done", written.select(*KEY, "attempt").distinct().withColumn("completed_at_ms", now.cast("long")), partitioned=False)
+        self.append("epoch_done", written.select("epoch_type", F.col("aggregator_id").cast("long").alias("aggregator_id"), "sequence", "attempt").distinct().withColumn("completed_at_ms", now.cast("long")), partitioned=False)
 
     def _attempts(self, table: str) -> list[str]:
         """Names of the attempts with a folder in a table: one for each commit."""

@@ -171,7 +171,9 @@ def processed(store, assigned: DataFrame, maps: DataFrame | None = None, default
         new = new.join(store.done().select(*KEY), KEY, "left_anti")
     new = new.drop("epoch_type").persist()
     if new.isEmpty():
+        new.unpersist()
         return
+    checked = kept = None
     try:
         events = events_of(new)
         commits = integrity.batch_commits(events)
@@ -181,9 +183,9 @@ def processed(store, assigned: DataFrame, maps: DataFrame | None = None, default
             known = store.read("source_tips").groupBy("source_id").agg(F.max("last_seq").alias("last_seq"), F.max_by("chain_tip", "last_seq").alias("chain_tip"))
         if store.exists("epoch_chain"):
             last_link = store.read("epoch_chain").groupBy("aggregator_id").agg(F.max_by("final_hash", "sequence").alias("tip"))
-        checked = integrity.verified(claimed, known)
+        checked = integrity.verified(claimed, known).persist()
         good, bad = integrity.split_verified(checked)
-        kept = events.join(good.select("source_id", "batch_seq"), ["source_id", "batch_seq"], "left_semi")
+        kept = events.join(good.select("source_id", "batch_seq"), ["source_id", "batch_seq"], "left_semi").persist()
         # a source goes on from the last batch seen, as it does within one micro-batch
         tips = checked.groupBy("aggregator_id", "sequence", "source_id").agg(F.max("batch_seq").alias("last_seq"), F.max_by("batch_hash", "batch_seq").alias("chain_tip"), F.max_by("status", "batch_seq").alias("status"))
         # an epoch whose batches are all bad is complete as well
@@ -200,7 +202,9 @@ def processed(store, assigned: DataFrame, maps: DataFrame | None = None, default
             tables["handoffs"] = real.join(moved.withColumn("sequence", F.col("at_epoch") - 1), ["source_id", "sequence"]).select("aggregator_id", "sequence", "source_id", "at_epoch", "from_aggregator", "to_aggregator", "chain_tip", "last_seq")
         store.commit("samples_epoch", tables)
     finally:
-        new.unpersist()
+        for held in (new, checked, kept):
+            if held is not None:
+                held.unpersist()
 
 
 def run(assigned: DataFrame, store, checkpoint: str, available_now: bool = True, maps: DataFrame | None = None):

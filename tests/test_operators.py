@@ -1,6 +1,7 @@
 """Batches, chains, Merkle trees, ownership, recovery, privacy and sketches on small cases with known results."""
 
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -109,20 +110,25 @@ def test_epochs_of_batches(spark):
 
 
 # --- ownership ----------------------------------------------------------------------------------------------------
-def test_owner_lookup(spark):
-    maps = spark.createDataFrame([(10, 7, 1), (10, 8, 2), (20, 7, 3), (20, 8, 2)], "epoch_seq long, source_id int, owner int")
-    asked = spark.createDataFrame([(7, 9), (7, 10), (8, 11), (42, 11), (7, 19), (7, 20)], "source_id int, epoch long")
-    got = {(r.source_id, r.epoch): r.owner for r in ownership.owners(maps, asked, 99).collect()}
-    assert got == {(7, 9): 99, (7, 10): 1, (8, 11): 2, (42, 11): 99, (7, 19): 1, (7, 20): 3}
+def test_owners_are_those_of_the_latest_map(spark):
+    """Random maps against a plain search: maps that lack a source, epochs before any map, blocks of epochs far apart."""
+    r = random.Random(17)
+    maps = {e: {s: r.randint(0, 4) for s in range(6) if r.random() < 0.7} for e in [3, 4, 900, 1023, 1024, 1025, 5000, 70_000]}
+    asked = [(s, e) for e in [0, 2, 3, 4, 5, 1022, 1023, 1024, 1026, 4999, 5000, 69_999, 70_000, 10**6] for s in range(7)]
+    rows = [(e, s, o) for e, m in maps.items() for s, o in m.items()]
+    got = {(x.source_id, x.epoch): x.owner for x in ownership.owners(spark.createDataFrame(rows, "epoch_seq long, source_id int, owner int"), spark.createDataFrame(asked, "source_id int, epoch long"), 77).collect()}
+    installed = sorted(e for e, m in maps.items() if m)
 
+    def plain(s, e):
+        before = [i for i in installed if i <= e]
+        return maps[before[-1]].get(s, 77) if before else 77
 
-def test_as_of_edges(spark):
-    maps = spark.createDataFrame([(e, 1, 1) for e in (5, 10, 25, 40, 100)], "epoch_seq long, source_id int, owner int")
-    asked = spark.createDataFrame([(e,) for e in (0, 4, 5, 9, 24, 39, 40, 99, 100, 10000)], "epoch long")
-    got = {r.epoch: r.epoch_seq for r in ownership.active_maps(maps, asked).collect()}
-    assert got == {0: None, 4: None, 5: 5, 9: 5, 24: 10, 39: 25, 40: 40, 99: 40, 100: 100, 10000: 100}
+    assert got == {(s, e): plain(s, e) for s, e in asked}
+    active = ownership.active_maps(spark.createDataFrame(rows, "epoch_seq long, source_id int, owner int"), spark.createDataFrame([(e,) for _, e in asked], "epoch long"))
+    assert {x.epoch: x.epoch_seq for x in active.collect()} == {e: max((i for i in installed if i <= e), default=None) for _, e in asked}
 
 
+# fixed values: how many of twelve sources change their owner
 @pytest.mark.parametrize(("x", "y", "moved"), [(3, 5, 9), (2, 4, 6), (4, 2, 6), (3, 3, 0)])
 def test_reshard_moves(spark, x, y, moved):
     maps = spark.createDataFrame([(0, s, s % x) for s in range(12)] + [(1, s, s % y) for s in range(12)], "epoch_seq long, source_id int, owner int")
