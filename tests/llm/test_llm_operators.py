@@ -228,6 +228,16 @@ def test_packing_is_whole_and_tight(spark, texts):
     assert packing.packed(empty(spark), vocabulary("byte_bpe_50k.json")).count() == 0
 
 
+def test_packing_of_null_and_repeated_ids(spark):
+    """Every row's pieces are packed as often as they come, without overlaps."""
+    docs = spark.createDataFrame([(None, prose(1, 2000)), (None, prose(1, 2000)), (5, prose(2, 40)), (5, prose(2, 40)), (5, None), (5, prose(3, 700))], "doc_id long, text string")
+    rows = packing.packed(docs, vocabulary("byte_bpe_50k.json")).collect()
+    want = packing.pieces(docs, vocabulary("byte_bpe_50k.json")).collect()
+    assert sorted((r.doc_id or 0, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == sorted((r.doc_id or 0, r.piece, r.start, r.length, r.ids_crc32) for r in want)
+    taken = sorted((r.sequence_id, r.offset, r.length) for r in rows)
+    assert all(a[0] != b[0] or a[1] + a[2] == b[1] for a, b in zip(taken, taken[1:])) and all(o + n <= 1024 for _, o, n in taken)
+
+
 def test_packing_plan_places_every_item_once():
     r = random.Random(2)
     for _ in range(30):
@@ -576,6 +586,13 @@ def test_quality_on_held_out_rows(spark):
     assert quality.scored(docs, quality.learnt(docs, labels.where("false"))).first().score == 0.5
 
 
+def test_filters_keep_columns_whatever_their_names(spark):
+    docs, labels = labelled(spark)
+    clash = docs.withColumns({"score": F.lit(1), "features": F.lit("f"), "raw": F.lit(2), "doc": F.lit(3)}).withColumn("a.b", F.lit(4)).drop("lang")
+    for kept in (toxicity.accepted(clash, toxicity.learnt(docs, labels)), quality.accepted(clash, quality.learnt(docs, labels)), simhash.deduplicated(clash)):
+        assert kept.columns == clash.columns and kept.where("score = 1 and features = 'f' and raw = 2 and doc = 3 and `a.b` = 4").count() == kept.count() > 0
+
+
 def test_toxicity_sees_words_split_by_any_sign():
     for text in ("what an i.d.i.o.t", "what an i-d-i-o-t", "what an i_d_i_o_t", "what an i*d*i*o*t", "what an id1ot"):
         got = dict(zip(toxicity.NAMES, toxicity.features(text, frozenset({"idiot"})), strict=True))
