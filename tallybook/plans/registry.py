@@ -452,11 +452,12 @@ def _above(level: str) -> str:
     return f"list_transform(range(1, len({level}) // 2 + 1), lambda i: sha256(unhex('01' || {level}[2 * i - 1] || {level}[2 * i])))"
 
 
-def _tree_sql(leaves: str, size: int) -> str:
-    """l0 to lN: levels of each epoch's tree over `leaves`(aggregator_id, sequence, idx, h); gaps are leaves of nothing."""
+def _tree_sql(leaves: str, size: int, dense: bool = False) -> str:
+    """l0 to lN: levels of each epoch's tree over `leaves`(aggregator_id, sequence, idx, h); gaps are leaves of nothing. dense: there are none."""
     depth = size.bit_length() - 1
     empty = integrity.hashlib.sha256(b"\x00").hexdigest()
-    steps = [f"l0 as (select aggregator_id, sequence, list_transform(range({size}), lambda i: coalesce(map_from_entries(list((idx, h)))[i], '{empty}')) l from {leaves} group by 1, 2)"]
+    whole = "list(h order by idx)" if dense else f"list_transform(range({size}), lambda i: coalesce(map_from_entries(list((idx, h)))[i], '{empty}'))"
+    steps = [f"l0 as (select aggregator_id, sequence, {whole} l from {leaves} group by 1, 2)"]
     steps += [f"l{k + 1} as (select aggregator_id, sequence, {_above('l')} l from l{k})" for k in range(depth)]
     return ", ".join(steps)
 
@@ -494,7 +495,7 @@ def merkle_histograms(spark, d):
     return integrity.merkle_roots(integrity.ranked_leaves(rows, F.col("b"), ["key"]), summaries.EPOCH, 4096).select(*summaries.EPOCH, F.lower(F.hex("root")).alias("root"))
 
 
-@query(f"""with {SKETCH}, {_ALL_CELLS}, lv as (select aggregator_id, sequence * 4 + "row" sequence, idx, sha256(unhex('00' || b)) h from ac), {_tree_sql('lv', 1024)}
+@query(f"""with {SKETCH}, {_ALL_CELLS}, lv as (select aggregator_id, sequence * 4 + "row" sequence, idx, sha256(unhex('00' || b)) h from ac), {_tree_sql('lv', 1024, dense=True)}
  select aggregator_id, sequence // 4 sequence, cast(sequence % 4 as integer) "row", lower(l[1]) root from l10""")
 def merkle_sketch_rows(spark, d):
     by = [*summaries.EPOCH, "row"]
