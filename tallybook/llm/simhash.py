@@ -34,6 +34,8 @@ SEED, WORDS, MAX_BITS = 42, 3, 2
 PAIR_JOIN, BLOCK = 32, 1024
 #: Fingerprints looked at for crowded variants about, and how many of them make one. This decides where a variant's members are compared, not whether.
 LOOKED_AT, CROWDED = 20_000, 64
+#: Rows from which a fingerprint's are looked up in several tasks, and the number of these.
+COPIES, SPREAD = 512, 32
 
 
 def fingerprint(text: str | None, words: int = WORDS) -> int:
@@ -126,19 +128,30 @@ def links(distinct: DataFrame) -> DataFrame:
     return pairs.unionByName(joined).unionByName(blocks).distinct()
 
 
-def _named(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, fp, root, component_id) of every row, written: root tells components apart; component_id is the smallest doc_id whose fingerprint is reachable."""
-    found = written(fingerprints(docs), "fingerprints")
-    distinct = written(found.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    linked = written(components(links(distinct.select(F.col("fp").alias("rep"), "fp"))).join(distinct, F.col("node") == F.col("fp")).select("fp", "component", "least"), "linked")
+def _components(found: DataFrame) -> DataFrame:
+    """(fp, n, first, root, component_id) of the distinct fingerprints of found(doc_id, text_hash, fp), written.
+
+    n: rows; first: the smallest of (doc_id is null, doc_id, text_hash); root tells components apart; component_id is the smallest doc_id whose fingerprint is reachable.
+    """
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    distinct = written(found.groupBy("fp").agg(F.count("*").alias("n"), F.min(first).alias("first")), "distinct")
+    linked = written(components(links(distinct.select(F.col("fp").alias("rep"), "fp"))).join(distinct, F.col("node") == F.col("fp")).select("fp", "component", F.col("first.doc_id").alias("least")), "linked")
     names = linked.groupBy("component").agg(F.min("least").alias("name"))
-    whole = distinct.join(linked.join(names, "component").select("fp", "component", "name"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("root"), F.coalesce("name", "least").alias("component_id"))
-    return found.join(whole, "fp")
+    named = linked.join(names, "component").select("fp", "component", "name")
+    return written(distinct.join(named, "fp", "left").select("fp", "n", "first", F.coalesce("component", "fp").alias("root"), F.coalesce("name", "first.doc_id").alias("component_id")), "components")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable by links)."""
-    return _named(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = written(fingerprints(docs), "fingerprints")
+    of = _components(found).select("fp", "n", "component_id")
+    # the rows of a fingerprint that many copies share are looked up in SPREAD tasks
+    spread = F.expr(f"cast(pmod(xxhash64(doc_id, text_hash), {SPREAD}) as int)")
+    shared = of.where(F.col("n") > COPIES).select("fp", F.struct("component_id").alias("of"), F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("spread"))
+    looked = written(found.withColumn("spread", spread).join(shared, ["fp", "spread"], "left").select("doc_id", "fp", "of"), "looked")
+    others = looked.where("of is null").join(of.where(F.col("n") <= COPIES), "fp").select("doc_id", "fp", "component_id")
+    rows = looked.where("of is not null").select("doc_id", "fp", "of.component_id").unionByName(others)
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
@@ -146,11 +159,12 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
     Of rows that agree in doc_id and text one stays, whichever. Columns stay as they are, whatever their names.
     """
-    named = written(_named(docs), "named")
-    texts = named.groupBy("doc_id", "text_hash").agg(F.first("root").alias("root"), F.count("*").alias("n"))
-    first = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
-    kept = texts.groupBy("root").agg(F.min_by(F.struct("doc_id", "text_hash", "n"), first).alias("k")).select("k.*")
-    once, more = (written(kept.where(f"n {how} 1").select("doc_id", "text_hash"), "kept") for how in ("=", ">"))
+    found = written(fingerprints(docs), "fingerprints")
+    kept = _components(found).groupBy("root").agg(F.min("first").alias("k")).select("k.doc_id", "k.text_hash")
+    # how often a kept row comes: its repeats are counted before anything is joined
+    times = found.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1")
+    rows = written(kept.alias("k").join(times.alias("t"), F.col("k.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("k.text_hash") == F.col("t.text_hash")), "left").select("k.*", F.col("n").isNotNull().alias("repeated")), "kept")
+    once, more = rows.where("not repeated"), rows.where("repeated")
     packed = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("doc"), F.col("doc_id").cast("long").alias("own_id"), text_hash().alias("own_hash"))
     same = F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_hash") == F.col("text_hash"))
     # repeats are few keys, maybe of many rows: each task brings one row of each

@@ -71,7 +71,9 @@ def linked(prints):
     return label
 
 
-def test_simhash_is_brute_force(spark, texts):
+@pytest.mark.parametrize("copies", [512, 1])
+def test_simhash_is_brute_force(spark, texts, monkeypatch, copies):
+    monkeypatch.setattr(simhash, "COPIES", copies)
     got = {r.doc_id: r for r in simhash.near_duplicates(documents(spark, texts)).collect()}
     prints = [by_hand(t) for t in texts]
     assert [got[i].fingerprint for i in range(len(texts))] == [f"{p:016x}" for p in prints]
