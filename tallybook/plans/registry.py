@@ -95,6 +95,10 @@ def _events(spark: SparkSession, d: str) -> DataFrame:
     return tele.tele_events(spark, d)
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def _latest(table: DataFrame, events: DataFrame) -> DataFrame:
     return selected(table, events.select("sequence"), latest=LATEST)
 
@@ -399,6 +403,18 @@ def checkpoint_audit(spark, d):
     return integrity.audited(claims, chain).select("source_id", "index", "verdict")
 
 
+@query(f"""with recursive {_CHAIN}, p as (select source_id, batch_seq + 1 i, h from ch where batch_seq % 4 = 3) select source_id, cast(i as bigint) "index",
+ '{integrity.TAGS['checkpoint'].hex()}' || lpad(to_hex(source_id), 8, '0') || lower(lpad(to_hex(i), 16, '0') || h) leaf, lower(sha256(unhex('{integrity.TAGS['checkpoint'].hex()}' || lpad(to_hex(source_id), 8, '0') || lpad(to_hex(i), 16, '0') || h))) leaf_hash from p""")
+def checkpoint_leaves(spark, d):
+    # published twice, as after a restart: a leaf comes once
+    store = EpochStore(spark, _folder(spark, "checkpoints"))
+    points = integrity.checkpoints(tele.claimed_batches(_events(spark, d)), 4)
+    store.publish_checkpoints(points)
+    store.publish_checkpoints(points)
+    leaf = keys.checkpoint_leaf(integrity.TAGS["checkpoint"], F.col("source_id"), F.col("index"), F.col("chain_hash"))
+    return store.all_rows("checkpoints").select("source_id", "index", F.lower(F.hex(leaf)).alias("leaf"), F.lower(F.hex("leaf_hash")).alias("leaf_hash"))
+
+
 def _states(e: DataFrame) -> DataFrame:
     entries = summaries.samples(e)
     return integrity.samples_commits(entries, summaries.samples_totals(entries))
@@ -917,10 +933,6 @@ def chain_lines(spark, d):
 
 
 # --- files and streams ----------------------------------------------------------------------------------------------
-def _folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 @query(f"""with {TE} select ts, 1 + event_id % 2 metric, key_lo % 5 machine, "value" from te""")
 def source_machine_tsv(spark, d):
     path = _folder(spark, "tsv")
@@ -973,3 +985,13 @@ def stream_equals_batch(spark, d):
     run(assigned, store, f"{path}/checkpoint").awaitTermination()
     stored = store.read("samples_entries", "samples_epoch").groupBy("key").agg(F.sum("sum").alias("sum"), F.sum("count").alias("count"))
     return stored.select(key_lo(F.col("key")).alias("key_lo"), "sum", "count")
+
+
+@query(f"""with {ENTRIES}, t as (select aggregator_id, sequence, count(*) n_keys, sum(s) s, sum(c) c from en group by 1, 2), h as (select aggregator_id, sequence, count(*) n_events, max(ts) max_ts from te group by 1, 2)
+ select aggregator_id, sequence, n_keys, cast(s as bigint) total_sum, cast(c as bigint) total_count, n_events, max_ts from t join h using (aggregator_id, sequence)""")
+def sql_over_store(spark, d):
+    """The stored tables as views, asked in SQL."""
+    tele.stored(spark, d).views()
+    return spark.sql("""
+        select e.aggregator_id, e.sequence, count(*) n_keys, sum(e.sum) total_sum, sum(e.count) total_count, max(h.n_events) n_events, max(h.max_ts) max_ts
+        from samples_entries e join epoch_header h on h.epoch_type = e.epoch_type and h.aggregator_id = e.aggregator_id and h.sequence = e.sequence group by e.aggregator_id, e.sequence""")
