@@ -12,7 +12,7 @@ from tallybook.functions import hashing, keys
 from tallybook.functions.keys import key_from_u64
 from tallybook.operators import batching, integrity, recovery, summaries
 from tallybook.operators import window_queries as wq
-from tallybook.sources import tables
+from tallybook.sources import messages, tables
 from tallybook.streaming import epochs
 
 ZERO = b"\0" * 32
@@ -271,3 +271,34 @@ def test_percentiles_by_counts(spark):
     assert wq.raw_extremes(spark.createDataFrame([], "value long")).first().suppressed
     e = spark.createDataFrame([(0, i % 3, i) for i in range(20)], "aggregator_id long, sequence long, idx long")
     assert sorted(x.idx for x in wq.first_of_epochs(e, 2).collect()) == [0, 1, 2, 3, 4, 5]
+
+
+# --- restarts -----------------------------------------------------------------------------------------------------
+def test_a_stream_with_timers_goes_on_after_a_restart(spark, tmp_path):
+    """Partial epochs leave by timer; a stopped query goes on with its state, and what it has stored stays."""
+    batches = assigned(spark, [0, 1, 2]).drop("aggregator_id", "sequence").persist()
+    store, topic = tables.EpochStore(spark, str(tmp_path / "store")), str(tmp_path / "topic")
+
+    def until(n):
+        stream = epochs.epochs(messages.parsed(messages.stream(spark, path=topic)), 4, timers=True, threshold=100, timeout_ms=1500)
+        q = epochs.run(stream, store, str(tmp_path / "checkpoint"), available_now=False)
+        try:
+            for _ in range(240):
+                if store.exists("raw_events") and store.read("raw_events", "samples_epoch").count() >= n:
+                    return
+                assert q.isActive, q.exception()
+                time.sleep(0.5)
+            raise AssertionError("the timer never came")
+        finally:
+            q.stop()
+
+    messages.send(batches.where("batch_seq = 0"), 4, path=topic)
+    until(4)
+    messages.send(batches.where("batch_seq != 1 or source_id = 0"), 4, path=topic)  # batch 0 again; batch 2 of source 4 waits for 1
+    until(8)
+    messages.send(batches.where("batch_seq = 1 and source_id = 4"), 4, path=topic)
+    until(12)
+    got = store.read("samples_entries").groupBy("key").agg(F.sum("sum").alias("sum"), F.sum("count").alias("n"))
+    want = batches.select(F.explode("events").alias("e")).groupBy("e.key").agg(F.sum("e.value").alias("sum"), F.count("*").alias("n"))
+    assert got.exceptAll(want).count() == 0 and got.count() == want.count() == 4
+    assert store.read("raw_epochs_bad").count() == 0 and store.read("epoch_chain").count() >= 3
