@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 #: Shift of Zipf's law; how far a byte that no piece covers is below the rarest piece; count added to each piece's; the mark that begins a pre-token.
 RANK_SHIFT, BELOW, SMOOTH, MARK = 2.7, 4.0, 0.5, "▁"
-#: Pre-tokens that a task keeps at a time, with their counts; characters of a trie about, and of texts taken together; such slices whose pre-tokens are kept.
+#: Pre-tokens that a task keeps at a time, with their counts; characters of a trie at most, and of texts taken together; such slices whose pre-tokens are kept.
 KEPT, TRIE_CHARS, TOGETHER, SLICES = 400_000, 1 << 21, 1 << 22, 16
 #: Pre-tokens longer than this walk the trie alone, since their paths are long and hardly shared.
 LONG = 48
@@ -184,9 +184,12 @@ class Unigram:
         marked = [w for w in words if len(w) > LONG or MARK in w]
         found = dict(self.walk(marked, used if weights else None, weights))
         short = sorted(w for w in words if len(w) <= LONG and MARK not in w)
-        step = TRIE_CHARS // 12
-        for start in range(0, len(short), step):
-            part = short[start: start + step]
+        places = np.cumsum(np.fromiter((len(w) + 2 for w in short), dtype=np.int64, count=len(short)))
+        start = 0
+        while start < len(short):
+            begun = int(places[start - 1]) if start else 0
+            end = max(start + 1, int(np.searchsorted(places, begun + TRIE_CHARS, side="right")))
+            part, start = short[start:end], end
             mine = np.fromiter(map(weights.__getitem__, part), dtype=np.int64, count=len(part)) if weights else None
             found.update(zip(part, self.trie(part, by_number if weights else None, mine).tolist(), strict=True))
         return found, used, by_number
