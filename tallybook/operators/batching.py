@@ -76,8 +76,11 @@ def contiguous(batches: DataFrame, expected: DataFrame, allow_gaps: bool = False
     held = batches.join(expected, "source_id", "left").withColumn("next_seq", F.coalesce("next_seq", F.lit(0)).cast("long")).where("batch_seq >= next_seq")
     if allow_gaps:
         return held.drop("next_seq")
-    w = Window.partitionBy("source_id").orderBy("batch_seq")
-    return held.withColumn("n", F.row_number().over(w) - 1).where("batch_seq - next_seq = n").drop("n", "next_seq")
+    # a source's first gap is the first number that should come, or comes next, and isn't there: equi-joins, however many batches a source has
+    there = held.select("source_id", "batch_seq").distinct()
+    wanted = held.select("source_id", F.col("next_seq").alias("batch_seq")).distinct().unionByName(there.select("source_id", (F.col("batch_seq") + 1).alias("batch_seq")))
+    gaps = wanted.join(there, ["source_id", "batch_seq"], "left_anti").groupBy("source_id").agg(F.min("batch_seq").alias("gap"))
+    return held.join(gaps, "source_id").where("batch_seq < gap").drop("gap", "next_seq")
 
 
 def epochs(batches: DataFrame, threshold: int = EPOCH_BATCHES, min_sources: int = 1, slice_ms: int = 3_600_000) -> DataFrame:
