@@ -2,8 +2,8 @@
 
 Features of a text: share of words in the lexicon (plain, and after undoing letter substitutions), share of
 lexicon words near a second-person pronoun, capitals, punctuation, digits, obfuscated words, repeats and length.
-The lexicon is learnt: words that far more toxic than other sampled documents use. Lexicon and trees learn from three
-of four sampled rows, the isotonic curve from the fourth, whose labels neither has seen.
+The lexicon is learnt: words that far more toxic than other sampled documents use. The isotonic curve learns from a
+quarter of the sampled rows, scored by a lexicon and trees that haven't seen them; those in use learn from all.
 
 Whole texts of any length are read; words, signs and capitals are counted, so that a long text counts as its parts do.
 Nulls and edges: a null text counts as empty (all features zero). Labels that are null are not learnt from; with
@@ -109,17 +109,23 @@ def learnt(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Mode
     if not 0 < bad < n:
         return Model(frozenset(), share=(bad + 1.0) / (n + 2.0))
     sample = sample.withColumn("part", F.expr("pmod(xxhash64(doc_id, 1), 4)"))
-    grow, apart = sample.where("part != 0"), sample.where("part = 0")
-    whole = grow.select("y").distinct().count() < 2 or apart.select("y").distinct().count() < 2  # too few rows to keep some apart
-    lexicon = learnt_lexicon(sample if whole else grow)
-    featured = with_features(sample.select("text", "part", F.col("y").cast("double").alias("y")), "text", lexicon).drop("text")
     # the classes weigh nearly the same, so that the rare one shapes the trees; the curve undoes the shift
     weight = F.when(F.col("y") == 1, min(10.0, (n - bad) / bad)).otherwise(1.0)
-    rows = written(featured.withColumn("weight", weight), "features")
-    grow, apart = (rows, rows) if whole else (rows.where("part != 0"), rows.where("part = 0"))
-    trees = GBTClassifier(featuresCol="features", labelCol="y", weightCol="weight", maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, maxBins=64, minInstancesPerNode=5, seed=7).fit(grow.coalesce(2))
-    curve = IsotonicRegression(featuresCol="raw", labelCol="y", predictionCol="prediction").fit(_raw(trees, apart, ["y"]))
-    return Model(lexicon, trees, curve)
+    rows = sample.select("text", "part", F.col("y").cast("double").alias("y"), weight.alias("weight"))
+    # the curve tells how well scores of rows apart are to be trusted; lexicon and trees that are used then learn from all rows
+    grow, apart = rows.where("part != 0"), rows.where("part = 0")
+    if grow.select("y").distinct().count() < 2 or apart.select("y").distinct().count() < 2:  # too few rows to keep some apart
+        grow, apart = rows, rows
+    held_lexicon, held_trees = _grown(grow)
+    curve = IsotonicRegression(featuresCol="raw", labelCol="y", predictionCol="prediction").fit(_raw(held_trees, with_features(apart, "text", held_lexicon), ["y"]))
+    return Model(*_grown(rows), curve)
+
+
+def _grown(rows: DataFrame) -> tuple[frozenset[str], object]:
+    """(lexicon, trees) of labelled rows(text, y, weight)."""
+    lexicon = learnt_lexicon(rows)
+    featured = written(with_features(rows, "text", lexicon).drop("text"), "features")
+    return lexicon, GBTClassifier(featuresCol="features", labelCol="y", weightCol="weight", maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, maxBins=64, minInstancesPerNode=5, seed=7).fit(featured.coalesce(2))
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
