@@ -103,6 +103,12 @@ def _latest(table: DataFrame, events: DataFrame) -> DataFrame:
     return selected(table, events.select("sequence"), latest=LATEST)
 
 
+def sum_of_latest(spark: SparkSession, d: str) -> DataFrame:
+    """The sum over the latest epochs straight from the events, without a store: what samples_sum answers from stored summaries."""
+    e = _events(spark, d)
+    return wq.samples_sum(_latest(summaries.samples_totals(summaries.samples(e)), e))
+
+
 def _stored(spark: SparkSession, d: str, name: str, latest: bool = False) -> DataFrame:
     """A stored summary table of complete epochs; of the latest ones, if asked for."""
     store = tele.stored(spark, d)

@@ -36,5 +36,5 @@ def test_runs_without_sql(spark, sf, name):
 
 
 def test_entry_and_names(spark):
-    assert __spark_entry__.entry(spark).count() == 1
+    assert __spark_entry__.entry(spark).collect() == registry.QUERIES["samples_sum"](spark, "/root/testdata/sf0.001").collect()
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
