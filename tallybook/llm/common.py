@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +57,24 @@ def dropped(table: DataFrame) -> None:
         files.delete(at, True)
 
 
+def in_ranges(df: DataFrame, order: list[Column]) -> DataFrame:
+    """df, written, with `part`: every row of a part comes before those of the next in `order`; rows that tie share a part."""
+    return written(df.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ranges")
+
+
+def numbered(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
+    """df with `part` and `nth`, from 0 in `order` within `by` (columns without nulls).
+
+    Ranges of rows are numbered each by itself and start where the counts of those before end, so a group that holds
+    most rows is many tasks' work.
+    """
+    parts = in_ranges(df, [*map(F.col, by), *order])
+    before = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.groupBy(*by, "part").agg(F.count("*").alias("c")).select(*by, "part", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("start"))
+    within = Window.partitionBy(*by, "part").orderBy(*order)
+    return parts.join(starts, [*by, "part"]).withColumn("nth", F.col("start") + F.row_number().over(within) - 1).drop("start")
+
+
 def id_remainder(doc_id: str, modulus: int) -> Column:
     """crc32 of the id's decimal text, mod modulus: the split between learning and held-out rows. A null id counts as the text ''."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % F.lit(modulus)

@@ -6,7 +6,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallybook.llm import ann, bpe, embed_dedup, langid, packing, quality, secrets, simhash, token_counts, toxicity
+from tallybook.llm import ann, bpe, embed_dedup, langid, mixing, packing, quality, secrets, simhash, token_counts, toxicity
 from tallybook.llm.common import table
 
 
@@ -61,7 +61,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_secrets, op3_ann, op4_embed_dedup, op5_token_counts, op6_quality, op7_langid, op8_simhash, op9_bpe, op10_packing)}
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_secrets, op3_ann, op4_embed_dedup, op5_token_counts, op6_quality, op7_langid, op8_simhash, op9_bpe, op10_packing, op11_mixing)}
 
 #: Exact links and components; the others' rows follow from trained models, tokenizers, hashes or searches that SQL can't express.
 ORACLES: dict[str, str] = {
