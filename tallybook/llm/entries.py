@@ -6,7 +6,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallybook.llm import ann, bpe, embed_dedup, langid, mixing, packing, quality, secrets, simhash, token_counts, toxicity
+from tallybook.llm import ann, bpe, embed_dedup, langid, mixing, packing, quality, secrets, simhash, spelling, token_counts, toxicity, trie
 from tallybook.llm.common import table
 
 
@@ -65,9 +65,17 @@ def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_secrets, op3_ann, op4_embed_dedup, op5_token_counts, op6_quality, op7_langid, op8_simhash, op9_bpe, op10_packing, op11_mixing)}
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
-#: Exact links and components; the others' rows follow from trained models, tokenizers, hashes or searches that SQL can't express.
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_secrets, op3_ann, op4_embed_dedup, op5_token_counts, op6_quality, op7_langid, op8_simhash, op9_bpe, op10_packing, op11_mixing, op12_prefix_trie, op13_spelling)}
+
+#: Exact links, components and tries; the others' rows follow from trained models, tokenizers, hashes or searches that SQL can't express.
 ORACLES: dict[str, str] = {
     "op4_embed_dedup": """
 with recursive v as (
@@ -79,5 +87,31 @@ with recursive v as (
   select vec_id x, vec_id y from embeddings union select r.x, l.y from r join l on r.y = l.x
 ), n as (select x, count(*) n from l group by x), c as (select x, min(y) c from r group by x)
 select vec_id, coalesce(n.n, 0) n_links, c.c component_id, c.c = vec_id kept from embeddings left join n on n.x = vec_id join c on c.x = vec_id
+""",
+    # h: the bits of crc32 one by one, eight after each character
+    "op12_prefix_trie": """
+with t as (
+  select conv_id c, row_number() over (partition by conv_id order by turn nulls first) p, {'r': coalesce(role, ''), 'x': coalesce(text, '')} e from conversations where conv_id is not null
+), b as (
+  select c, count(*) n, list_reduce(
+    list_prepend(cast(4294967295 as bigint), flatten(list_transform(string_split(cast(c as varchar), ''), lambda d: [cast(ascii(d) as bigint), -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda a, d: case when d >= 0 then xor(a, d) else xor(a >> 1, 3988292384 * (a & 1)) end) z
+  from t group by c
+), k as (select c, n, xor(z, 4294967295) % 6 h, c - c % 100 g from b
+), s as (
+  select k.c, t.p, t.e from k join t on t.c = k.g and t.p <= k.h
+  union all select k.c, t.p + least(k.h, coalesce(o.n, 0)) - k.h, t.e from k join t on t.c = k.c and t.p > k.h left join b o on o.c = k.g
+), w as (select k.c, list(s.e order by s.p) filter (s.p is not null) l from k left join s on s.c = k.c group by k.c
+), m as (select c, d, coalesce(l, [])[1:d] f, d = len(coalesce(l, [])) last from w, lateral (select unnest(range(0, len(coalesce(l, [])) + 1)) d)
+), v as (
+  select d, f, min(c) conv_id, count(*) n_convs, sha256(coalesce(string_agg(cast(c as varchar), ',' order by c) filter (last), '')) ends_sha256, (count(*) - 1) * case when d = 0 then 0 else length(f[d]['x']) end saved
+  from m group by d, f
+), u as (select v.d + 1 d, v.f, count(*) n from v join v a on a.d = v.d + 1 and a.f[1:v.d] = v.f group by v.d, v.f
+), r as (
+  select q.d, v.f[1:q.d] f, count(*) filter (u.n is null) n_leaves, sum(v.saved) saved_tokens
+  from v left join u on u.d = v.d + 1 and u.f = v.f, lateral (select unnest(range(0, v.d + 1)) d) q group by q.d, v.f[1:q.d]
+)
+select v.conv_id, v.d depth, a.conv_id parent_conv_id, v.n_convs, coalesce(u.n, 0) n_children, r.n_leaves, cast(r.saved_tokens as bigint) saved_tokens, v.ends_sha256
+from v join r on r.d = v.d and r.f = v.f left join u on u.d = v.d + 1 and u.f = v.f left join v a on a.d = v.d - 1 and a.f = v.f[1:v.d - 1]
 """,
 }
