@@ -113,5 +113,26 @@ with t as (
 )
 select v.conv_id, v.d depth, a.conv_id parent_conv_id, v.n_convs, coalesce(u.n, 0) n_children, r.n_leaves, cast(r.saved_tokens as bigint) saved_tokens, v.ends_sha256
 from v join r on r.d = v.d and r.f = v.f left join u on u.d = v.d + 1 and u.f = v.f left join v a on a.d = v.d - 1 and a.f = v.f[1:v.d - 1]
+""",
+    # t: crc32 of one byte, for each; z: crc32 of each document's runs, byte by byte
+    "op13_spelling": """
+with recursive t as materialized (
+  select list(list_reduce(list_prepend(cast(i as bigint), list_transform(range(8), lambda k: cast(k as bigint))), lambda a, k: xor(a >> 1, 3988292384 * (a & 1))) order by i) b from (select unnest(range(256)) i)
+), l as (
+  select id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') run, count(*) n
+  from (select coalesce(cast(doc_id as varchar), '') id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) run from documents) group by 1, 2
+), h as (select id, run, n, hex(encode(id || ':' || run)) x from l
+), z as (
+  select run, n, xor(list_reduce(list_prepend(cast(4294967295 as bigint), list_transform(range(len(x) // 2), lambda i: cast('0x' || substr(x, 2 * i + 1, 2) as bigint))), lambda a, d: xor(a >> 8, t.b[1 + (xor(a, d) & 255)])), 4294967295) z from h, t
+), w as materialized (
+  select case when z % 199 = 0 then substr(run, 1, z % length(run)) || substr(run, z % length(run) + 2) else run end w, cast(sum(n) as bigint) n from z group by 1 having length(w) >= 6 and sum(n) >= 5
+), s as (select w, n, substr(w, 1, i) a, substr(w, i + 2) b from (select w, n, unnest(range(length(w))) i from w)
+), p as (
+  select x.w, y.w v, y.n m from s x join s y on x.a = y.a and x.b = y.b and x.w != y.w where length(x.w) = length(y.w) and length(x.a) = length(y.a)
+  union select s.w, w.w, w.n from s join w on w.w = s.a || s.b union select w.w, s.w, s.n from s join w on w.w = s.a || s.b
+), f as (select w, count(*) n_near, first(v order by m desc, v) v, max(m) m from p group by w
+), o as (select w.w, w.n, coalesce(f.n_near, 0) n_near, case when f.m >= 5 * w.n then f.v end form, case when f.m >= 5 * w.n then f.m end form_n from w left join f using (w)
+), r as (select w, w here, form onto from o union all select r.w, r.onto, o.form from r join o on o.w = r.onto)
+select o.w word, form, r.here root, o.n, n_near, form_n from o join r on r.w = o.w and r.onto is null
 """,
 }

@@ -38,8 +38,8 @@ SECOND = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch
 #: Characters written for letters.
 WRITTEN_FOR = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "*": "", ".": "", "-": "", "_": ""})
 WORD = re.compile(r"[^\W\d_]+")
-#: Words with a digit or sign between letters.
-OBFUSCATED = re.compile(r"[^\W\d_]+[0-9@$!*]+[^\W\d_][\w@$!*]*|[^\W\d_](?:[.\-_*][^\W\d_]){2,}")
+#: Words with a digit or sign between letters, as the group; other letters but the last of a run are passed over at once, so that a run of any length is read once.
+OBFUSCATED = re.compile(r"([^\W\d_]++[0-9@$!*]++[^\W\d_][\w@$!*]*+|[^\W\d_](?:[.\-_*][^\W\d_]){2,})|[^\W\d_]+(?=[^\W\d_])")
 NAMES = ["lexicon", "lexicon_distinct", "lexicon_hidden", "near_second", "second", "capitals", "capital_words", "punctuation", "exclamation", "digits", "obfuscated", "repeats", "log_words", "lexicon_count"]
 
 
@@ -56,7 +56,7 @@ def features(text: str | None, lexicon: frozenset[str]) -> list[float]:
     hits = [i for i, w in enumerate(words) if w in lexicon]
     near = sum(any(words[j] in SECOND for j in range(max(0, i - NEAR), min(len(words), i + NEAR + 1))) for i in hits)
     # every match has a digit or sign
-    odd = OBFUSCATED.findall(text) if digits or signs else []
+    odd = [*filter(None, OBFUSCATED.findall(text))] if digits or signs else []
     hidden = [m for m in odd if m.lower().translate(WRITTEN_FOR) in lexicon]
     return [
         len(hits) / n, len({words[i] for i in hits}) / n, len(hidden) / n, near / n, sum(map(SECOND.__contains__, words)) / n,

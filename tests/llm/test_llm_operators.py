@@ -601,6 +601,19 @@ def test_toxicity_sees_words_split_by_any_sign():
         assert got["lexicon_hidden"] > 0 and got["lexicon_count"] > 0
 
 
+def test_toxicity_reads_long_runs_once():
+    """A million letters, in scripts with and without blanks, with signs between and without: seconds, not hours; short texts as a plain search has them."""
+    began = time.perf_counter()
+    for text in ("a" * 1_000_000 + "1", "石" * 1_000_000 + "1", "a1" * 500_000, "a." * 500_000, "!" * 1_000_000 + "a", "中文。" * 300_000 + "7"):
+        assert len(toxicity.features(text, frozenset(["ai"]))) == len(toxicity.NAMES)
+    assert time.perf_counter() - began < 30
+    plain = re.compile(r"[^\W\d_]+[0-9@$!*]+[^\W\d_][\w@$!*]*|[^\W\d_](?:[.\-_*][^\W\d_]){2,}")
+    r = random.Random(1)
+    for _ in range(20_000):
+        text = "".join(r.choice("aabcé中1٣2@$!*.-_ _.*") for _ in range(r.randint(0, 18)))
+        assert [x for x in toxicity.OBFUSCATED.findall(text) if x] == plain.findall(text)
+
+
 def test_toxicity_on_held_out_rows(spark):
     docs, labels = labelled(spark)
     model = toxicity.learnt(docs, labels)
