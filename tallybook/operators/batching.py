@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tallybook.sources.shared import parted, ranged
+
 #: Events in a commit batch, and batches in an epoch.
 BATCH_EVENTS, EPOCH_BATCHES = 8, 16
 
@@ -44,21 +46,32 @@ def merged_by_time(events: DataFrame, max_events: int | None = None) -> DataFram
 
 
 def interleaved(rows: DataFrame, slice_: str | None = None) -> DataFrame:
-    """rows(file, pos, ...) in turn from each file: order_key = nth in its file * number of files + number of the file. slice_: see numbered."""
+    """rows(file, pos, ...) in turn from each file: order_key = nth in its file * number of files + number of the file.
+
+    slice_: see numbered; without one, files are numbered range by range.
+    """
     files = rows.select("file").distinct()
-    counted = files.withColumn("file_no", F.row_number().over(Window.orderBy("file")) - 1).withColumn("files", F.count("*").over(Window.partitionBy()))  # one row a file
-    nth = numbered(rows, ["file"], ["pos"], slice_)
+    counted = ranged(files, [], [F.col("file")]).crossJoin(F.broadcast(files.agg(F.count("*").alias("files")))).withColumnRenamed("nth", "file_no")
+    nth = numbered(rows, ["file"], ["pos"], slice_) if slice_ else ranged(rows, ["file"], [F.col("pos")]).withColumnRenamed("nth", "n")
     return nth.join(counted, "file").withColumn("order_key", F.col("n").cast("long") * F.col("files") + F.col("file_no")).drop("n", "files", "file_no")
 
 
 def sequence_report(batches: DataFrame) -> DataFrame:
-    """Per arriving batch(source_id, batch_seq, arrival): first, next, gap, duplicate or restart, against the one before."""
-    w = Window.partitionBy("source_id").orderBy("arrival")
-    prev = F.lag("batch_seq").over(w)
-    seen = F.max("batch_seq").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return batches.withColumn("expected", prev + 1).withColumn(
-        "status", F.when(prev.isNull(), "first").when(F.col("batch_seq") == prev + 1, "next").when(F.col("batch_seq") > prev + 1, "gap").when((F.col("batch_seq") == 0) & (seen > 0), "restart").when(F.col("batch_seq") == prev, "duplicate").otherwise("restart")
-    )
+    """Per arriving batch(source_id, batch_seq, arrival): first, next, gap, duplicate or restart, against the one before.
+
+    Arrivals are looked at range by range; a range starts with what those before it leave: their last batch and their
+    highest. So a source with most of the batches is many tasks' work.
+    """
+    parts = parted(batches, ["source_id"], [F.col("arrival")])
+    over = Window.partitionBy("source_id").orderBy("part")
+    ends = parts.groupBy("source_id", "part").agg(F.max_by("batch_seq", "arrival").alias("last"), F.max("batch_seq").alias("top"))
+    carried = ends.select("source_id", "part", F.lag("last").over(over).alias("last"), F.max("top").over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("top"))
+    w = Window.partitionBy("source_id", "part").orderBy("arrival")
+    prev = F.coalesce(F.lag("batch_seq").over(w), F.col("last"))
+    seen = F.greatest(F.max("batch_seq").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("top"))
+    looked = parts.join(carried, ["source_id", "part"]).withColumn("prev", prev).withColumn("seen", seen)
+    status = F.when(F.col("prev").isNull(), "first").when(F.col("batch_seq") == F.col("prev") + 1, "next").when(F.col("batch_seq") > F.col("prev") + 1, "gap").when((F.col("batch_seq") == 0) & (F.col("seen") > 0), "restart").when(F.col("batch_seq") == F.col("prev"), "duplicate").otherwise("restart")
+    return looked.withColumn("expected", F.col("prev") + 1).withColumn("status", status).select(*batches.columns, "expected", "status")
 
 
 def deduplicated(batches: DataFrame, keep: str = "first") -> DataFrame:

@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,6 +21,7 @@ from pyspark.sql.window import Window
 from tallybook.functions.keys import KEY_BYTES, SKETCH_COLUMNS, SKETCH_SEEDS, be, checkpoint_leaf, event_bytes
 from tallybook.operators.batching import BATCH_EVENTS
 from tallybook.operators.summaries import EPOCH
+from tallybook.sources.shared import ranged, written
 
 ZERO = "00" * 32
 #: Tags that keep the hashes of different things apart.
@@ -72,11 +75,11 @@ def _committed(size: int):
                 continue
             sources, nth, own = sources[~begins], own[~begins], None
             raw = _event_matrix(events.column(2), events.column(3).to_numpy(), events.column(4).to_numpy())
-            number = nth // size if size else np.zeros_like(nth)
+            number = nth // size
             cuts = np.flatnonzero((np.diff(number) != 0) | (np.diff(sources) != 0) | (np.diff(nth) != 1)) + 1
             first, last = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(nth)]])
             data, width = raw.tobytes(), raw.shape[1]
-            whole = (last - first == size) if size else np.zeros(len(first), dtype=bool)
+            whole = last - first == size
             parts = [data[a * width: b * width] for a, b in zip(first.tolist(), last.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([
                 pa.array(sources[first], type=pa.int32()), pa.array(number[first], type=pa.int64()), pa.array(nth[first], type=pa.int64()), pa.array(last - first, type=pa.int64()),
@@ -93,6 +96,11 @@ def committed(events: DataFrame, order: list[str], slice_: str, size: int = BATC
     order; each slice is numbered from where those before it end, and hashed as it passes. Batches that lie across
     slices, or across the runs in which a task gets its rows, are put together from their pieces.
     """
+    if not size:
+        # a source's events in one digest, as they pass
+        raw = events.select(F.col("source_id").cast("int").alias("source_id"), F.col(slice_).alias("slice"), *(F.col(c).alias(f"o{i}") for i, c in enumerate(order)), event_bytes(F.col("key"), F.col("value"), F.col("ts")).alias("b"))
+        whole = digested(raw, ["source_id"], ["slice", *(f"o{i}" for i in range(len(order)))])
+        return raw.groupBy("source_id").agg(F.count("*").alias("n_events")).join(whole, "source_id").select("source_id", F.lit(0).cast("long").alias("batch_seq"), "n_events", F.col("digest").alias("commit"))
     by = ["source_id", slice_]
     before = Window.partitionBy("source_id").orderBy(slice_).rowsBetween(Window.unboundedPreceding, -1)
     starts = events.groupBy(*by).agg(F.count("*").alias("c")).select(*by, F.coalesce(F.sum("c").over(before), F.lit(0)).alias("start"))
@@ -105,6 +113,49 @@ def committed(events: DataFrame, order: list[str], slice_: str, size: int = BATC
     return whole.select("source_id", "batch_seq", "n_events", F.coalesce("whole", sha(F.col("pieces"))).alias("commit"))
 
 
+def digested(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """(by, digest): SHA-256 of the bytes of rows(by, order, b) in order, as if they were one value.
+
+    A group's rows pass through one task, since the hash can't be taken up in its middle; the task holds the hash's
+    state beside one Arrow batch, whatever the group's size. Columns of `by` are without nulls.
+    """
+    kinds = dict(rows.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, digest = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns, b = batch.columns[:-1], batch.column(len(by))
+            new = np.zeros(batch.num_rows, dtype=bool)
+            new[0] = True
+            for c in columns:
+                new[1:] |= pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(new).tolist()
+            _, places, data = b.buffers()
+            ends = np.frombuffer(places, dtype=np.int32)[b.offset: b.offset + len(b) + 1]
+            out = []
+            for first, last in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+                key = tuple(c[first].as_py() for c in columns)
+                if key != held:
+                    if held is not None:
+                        out.append((*held, digest.digest()))
+                    held, digest = key, hashlib.sha256()
+                if ends[last] > ends[first]:
+                    digest.update(memoryview(data)[ends[first]: ends[last]])
+            yield batch_of(out, batch)
+            kept = batch.slice(0, 0)
+        if held is not None:
+            yield batch_of([(*held, digest.digest())], kept)
+
+    def batch_of(found: list[tuple], like: pa.RecordBatch) -> pa.RecordBatch:
+        columns = list(zip(*found, strict=True)) if found else [()] * (len(by) + 1)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [*(like.schema.field(i).type for i in range(len(by))), pa.binary()], strict=True)], names=[*by, "digest"])
+
+    dealt = rows.select(*by, *order, F.coalesce("b", F.unhex(F.lit(""))).alias("b")).repartition(*by).sortWithinPartitions(*by, *order).select(*by, "b")
+    return dealt.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in by), "digest binary"]))
+
+
 def linked(prev: Column, commit: Column) -> Column:
     return sha(_tag("chain"), prev, commit)
 
@@ -173,33 +224,45 @@ def tips_commit(tip_rows: DataFrame) -> DataFrame:
     return rows.agg(joined_bytes("b", "source_id").alias("all")).select(sha(_tag("tips"), F.coalesce("all", F.unhex(F.lit("")))).alias("tips_commit"))
 
 
-def samples_commits(entries: DataFrame, totals: DataFrame, prev: DataFrame | None = None) -> DataFrame:
-    """(epoch, state_commit) of the samples summaries: totals, the chain hash before, and the entries by key.
+def _parts(*parts: DataFrame) -> DataFrame:
+    """Rows (epoch, nth, at, b) of a commitment's parts, each of (epoch, at, b), in turn."""
+    each = [p.select(*(F.col(c).cast("long").alias(c) for c in EPOCH), F.lit(n).alias("nth"), "at", "b") for n, p in enumerate(parts)]
+    return reduce(DataFrame.unionByName, each)
 
-    An epoch's entries become one value, so epochs must be bounded; merkle_roots has no such bound.
-    """
-    rows = entries.withColumn("b", F.concat("key", be(F.col("sum"), 8), be(F.col("count"), 4)))
-    body = rows.groupBy(*EPOCH).agg(joined_bytes("b", "key").alias("body"))
-    df = totals.join(body, EPOCH)
-    before = zero_hash()
+
+def _state(*parts: DataFrame) -> DataFrame:
+    """(epoch, state_commit) of parts whose rows' bytes follow each other by `at`."""
+    return digested(_parts(*parts), EPOCH, ["nth", "at"]).withColumnRenamed("digest", "state_commit")
+
+
+def _no_key() -> Column:
+    return F.unhex(F.lit(""))
+
+
+def samples_commits(entries: DataFrame, totals: DataFrame, prev: DataFrame | None = None) -> DataFrame:
+    """(epoch, state_commit) of the samples summaries: totals, the chain hash before, and the entries by key."""
+    df, before = totals.join(entries.select(*EPOCH).distinct(), EPOCH, "left_semi"), zero_hash()
     if prev is not None:
         df, before = df.join(prev.select(*EPOCH, "prev_hash"), EPOCH, "left"), F.coalesce("prev_hash", zero_hash())
-    return df.select(*EPOCH, sha(_tag("samples"), be(F.col("total_count"), 8), be(F.col("total_sum"), 8), before, F.col("body")).alias("state_commit"))
+    head = df.select(*EPOCH, _no_key().alias("at"), F.concat(_tag("samples"), be(F.col("total_count"), 8), be(F.col("total_sum"), 8), before).alias("b"))
+    return _state(head, entries.select(*EPOCH, F.col("key").alias("at"), F.concat("key", be(F.col("sum"), 8), be(F.col("count"), 4)).alias("b")))
 
 
 def histogram_commits(wide: DataFrame, keys: DataFrame) -> DataFrame:
     """(epoch, state_commit) of the histograms: all slots of every key, by key."""
-    return histogram_bytes(wide, keys).groupBy(*EPOCH).agg(joined_bytes("b", "key").alias("all")).select(*EPOCH, sha(_tag("histogram"), F.col("all")).alias("state_commit"))
+    head = keys.select(*EPOCH).distinct().select(*EPOCH, _no_key().alias("at"), _tag("histogram").alias("b"))
+    return _state(head, histogram_bytes(wide, keys).select(*EPOCH, F.col("key").alias("at"), "b"))
 
 
 def sketch_commits(cells: DataFrame, slots: DataFrame, columns: int = SKETCH_COLUMNS) -> DataFrame:
     """(epoch, state_commit) of the sketches: all cells row by row, then the slots."""
+    epochs = cells.select(*EPOCH).distinct()
     # dense: filled cells among zeros for the rest, in order; at most rows x columns cells an epoch
-    zeros = cells.select(*EPOCH).distinct().select(*EPOCH, F.explode(F.sequence(F.lit(0), F.lit(len(SKETCH_SEEDS) * columns - 1))).alias("at"), F.lit(0).cast("long").alias("n"))
+    zeros = epochs.select(*EPOCH, F.explode(F.sequence(F.lit(0), F.lit(len(SKETCH_SEEDS) * columns - 1))).alias("at"), F.lit(0).cast("long").alias("n"))
     filled = zeros.unionByName(cells.select(*EPOCH, (F.col("row") * columns + F.col("col")).alias("at"), "n")).groupBy(*EPOCH, "at").agg(be(F.sum("n"), 4).alias("b"))
-    table = filled.groupBy(*EPOCH).agg(joined_bytes("b", "at").alias("cells"))
-    tops = slots.withColumn("b", F.concat("key", be(F.col("est"), 8))).groupBy(*EPOCH).agg(joined_bytes("b", "slot").alias("slots"))
-    return table.join(tops, EPOCH, "left").select(*EPOCH, sha(_tag("sketch"), F.col("cells"), F.coalesce("slots", F.unhex(F.lit("")))).alias("state_commit"))
+    tops = slots.join(epochs, EPOCH, "left_semi").select(*EPOCH, F.col("slot").cast("long").alias("at"), F.concat("key", be(F.col("est"), 8)).alias("b"))
+    head = epochs.select(*EPOCH, F.lit(0).cast("long").alias("at"), _tag("sketch").alias("b"))
+    return _state(head, filled.select(*EPOCH, F.col("at").cast("long").alias("at"), "b"), tops)
 
 
 def epoch_linked(prev: Column, commit: Column) -> Column:
@@ -230,14 +293,31 @@ def chain_facts(checked: DataFrame) -> DataFrame:
     return checked.groupBy("aggregator_id").agg(F.min_by("prev_hash", "sequence").alias("first_prev"), F.max_by("final_hash", "sequence").alias("last_final"), F.count("*").alias("n_epochs"), F.bool_and(F.col("status") == "ok").alias("ok"))
 
 
+def leaf_hash(b: Column) -> Column:
+    return sha(F.unhex(F.lit(LEAF.hex())), b)
+
+
+def merkle_pads(levels: int) -> list[bytes]:
+    """Hashes of trees of nothing, by height."""
+    pads = [hashlib.sha256(LEAF).digest()]
+    for _ in range(levels):
+        pads.append(hashlib.sha256(NODE + pads[-1] * 2).digest())
+    return pads
+
+
+def _within(idx: Column, max_leaves: int) -> Column:
+    """idx, if the tree has such a leaf; else the job fails: a root that leaves entries out is worse than none."""
+    return F.when((idx >= 0) & (idx < max_leaves), idx).otherwise(F.raise_error(F.concat(F.lit(f"a leaf beyond the tree's {max_leaves}: "), idx.cast("string"))).cast("long"))
+
+
 def merkle_levels(leaves: DataFrame, by: list[str], max_leaves: int) -> list[DataFrame]:
     """Levels (by, idx, h) from leaves(by, idx, b) up to the root: padded with leaves of nothing to a power of two.
 
-    A level is one aggregation over pairs of the level below; log2(max_leaves) rounds.
+    A level is one aggregation over pairs of the level below; log2(max_leaves) rounds. A leaf beyond max_leaves fails
+    the job. Trees of any size: merkle_nodes.
     """
-    empty = sha(F.unhex(F.lit(LEAF.hex())), F.unhex(F.lit("")))
-    level = leaves.select(*by, F.col("idx").cast("long").alias("idx"), sha(F.unhex(F.lit(LEAF.hex())), F.col("b")).alias("h"))
-    out, pad = [level], empty
+    level = leaves.select(*by, _within(F.col("idx").cast("long"), max_leaves).alias("idx"), leaf_hash(F.col("b")).alias("h"))
+    out, pad = [level], leaf_hash(F.unhex(F.lit("")))
     for _ in range(max(0, (max_leaves - 1).bit_length())):
         pairs = level.groupBy(*by, F.expr("idx div 2").alias("up")).agg(F.max(F.when(F.col("idx") % 2 == 0, F.col("h"))).alias("l"), F.max(F.when(F.col("idx") % 2 == 1, F.col("h"))).alias("r"))
         level = pairs.select(*by, F.col("up").alias("idx"), sha(F.unhex(F.lit(NODE.hex())), F.coalesce("l", pad), F.coalesce("r", pad)).alias("h"))
@@ -246,8 +326,125 @@ def merkle_levels(leaves: DataFrame, by: list[str], max_leaves: int) -> list[Dat
     return out
 
 
-def merkle_roots(leaves: DataFrame, by: list[str], max_leaves: int) -> DataFrame:
-    return merkle_levels(leaves, by, max_leaves)[-1].select(*by, F.col("h").alias("root"))
+#: Levels of a tree that a task hashes at once: a block of 2 ** BLOCK_LEVELS nodes of the lowest of them.
+BLOCK_LEVELS, MAX_DEPTH = 10, 62
+
+
+def _hashed(by: int):
+    """Rows (by, block, level, idx, h, new, depth) come block by block: nodes that are there, and new ones of the lowest level. Gives the new nodes above them."""
+    pads = merkle_pads(MAX_DEPTH)
+
+    def above(nodes: dict[tuple[int, int], bytes], new: dict[int, bytes], level: int, depth: int) -> Iterator[tuple[int, int, bytes]]:
+        for at in range(level, min(level + BLOCK_LEVELS, depth)):
+            up = {}
+            for i in {i >> 1 for i in new}:
+                l, r = (new.get(j) or nodes.get((at, j)) or pads[at] for j in (2 * i, 2 * i + 1))
+                up[i] = hashlib.sha256(NODE + l + r).digest()
+            yield from ((at + 1, i, h) for i, h in up.items())
+            new = up
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, nodes, new, level, depth = None, {}, {}, 0, 0
+        kinds = None
+
+        def flushed() -> list[tuple]:
+            return [(*held[:by], *node, depth) for node in above(nodes, new, level, depth)] if new else []
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*rows, strict=True)) if rows else [()] * (by + 4)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [*(k.type for k in kinds[:by]), pa.int32(), pa.int64(), pa.binary(), pa.int32()], strict=True)], names=[*(k.name for k in kinds[:by]), "level", "idx", "h", "depth"])
+
+        for batch in batches:
+            out: list[tuple] = []
+            kinds = [batch.schema.field(i) for i in range(len(batch.schema))]
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if row[: by + 1] != held:
+                    if held is not None:
+                        out += flushed()
+                    held, nodes, new = row[: by + 1], {}, {}
+                at, idx, h, is_new, depth_ = row[by + 1:]
+                if is_new:
+                    new[idx], level, depth = h, at, depth_
+                else:
+                    nodes[at, idx] = h
+            yield batch_of(out)
+        if held is not None:
+            yield batch_of(flushed())
+
+    return run
+
+
+def _blocks(rows: DataFrame, by: list[str], base: int) -> DataFrame:
+    """Nodes above new ones of level `base`, up to the next base. rows(by, level, idx, h, new, depth): no level below base, none from the next base on."""
+    block = F.expr(f"shiftright(idx, cast({base + BLOCK_LEVELS} - level as int))")
+    dealt = rows.select(*by, block.alias("block"), "level", "idx", "h", "new", "depth").repartition(*by, "block").sortWithinPartitions(*by, "block")
+    kinds = dict(rows.dtypes)
+    return dealt.mapInArrow(_hashed(len(by)), ", ".join([*(f"`{c}` {kinds[c]}" for c in by), "level int, idx long, h binary, depth int"]))
+
+
+def _depth(leaves: Column, least: int) -> Column:
+    """Levels above the leaves of a tree of so many, padded to a power of two, `least` at least."""
+    return F.greatest(F.when(leaves > 1, F.length(F.bin(leaves - 1))).otherwise(0), F.lit(max(0, (least - 1).bit_length()))).cast("int")
+
+
+def merkle_nodes(leaves: DataFrame, by: list[str], least: int = 1) -> DataFrame:
+    """(by, level, idx, h, depth): all nodes of the trees of leaves(by, idx, b), written; padding isn't stored.
+
+    Each tree is as deep as its own leaves ask for (2 ** depth of them, `least` at least). Blocks of 1024 nodes are
+    hashed in tasks, ten levels at a time, so a tree of a billion leaves takes three rounds.
+    """
+    depths = leaves.groupBy(*by).agg(_depth(F.max(F.col("idx").cast("long")) + 1, least).alias("depth"))
+    now = written(leaves.select(*by, F.lit(0).alias("level"), F.col("idx").cast("long").alias("idx"), leaf_hash(F.col("b")).alias("h")).join(depths, by), "leaves")
+    deepest = now.agg(F.max("depth")).first()[0] or 0
+    out = now
+    for base in range(0, deepest, BLOCK_LEVELS):
+        above = written(_blocks(now.where(F.col("level") < F.col("depth")).withColumn("new", F.lit(True)), by, base), "nodes")
+        out = out.unionByName(above)
+        now = above.where(F.col("level") == base + BLOCK_LEVELS)
+    return out
+
+
+def merkle_changed(nodes: DataFrame, changed: DataFrame, by: list[str]) -> DataFrame:
+    """The nodes of merkle_nodes with the leaves of changed(by, idx, b) in place of those that were there; only paths above changed leaves are hashed.
+
+    A leaf that the tree has no place for fails the job: the tree has to be built anew, deeper.
+    """
+    depths = nodes.select(*by, "depth").distinct()
+    there = _within(F.col("idx").cast("long"), 1 << MAX_DEPTH)
+    room = F.when(there < F.expr("shiftleft(1L, depth)"), there).otherwise(F.raise_error(F.lit("a leaf beyond the tree's depth")).cast("long"))
+    now = written(changed.select(*by, "idx", leaf_hash(F.col("b")).alias("h")).join(depths, by).select(*by, F.lit(0).alias("level"), room.alias("idx"), "h", "depth"), "changed")
+    deepest, new = now.agg(F.max("depth")).first()[0] or 0, now
+    for base in range(0, deepest, BLOCK_LEVELS):
+        # of the blocks that hold a changed node, what is stored, for siblings
+        touched = now.select(*by, F.expr(f"shiftright(idx, {BLOCK_LEVELS})").alias("block")).distinct()
+        held = nodes.where((F.col("level") >= base) & (F.col("level") < base + BLOCK_LEVELS)).withColumn("block", F.expr(f"shiftright(idx, cast({base + BLOCK_LEVELS} - level as int))"))
+        old = held.join(touched, [*by, "block"], "left_semi").select(*by, "level", "idx", "h", F.lit(False).alias("new"), "depth")
+        above = written(_blocks(old.unionByName(now.where(F.col("level") < F.col("depth")).withColumn("new", F.lit(True))), by, base), "nodes")
+        new = new.unionByName(above)
+        now = above.where(F.col("level") == base + BLOCK_LEVELS)
+    return nodes.join(new.select(*by, "level", "idx"), [*by, "level", "idx"], "left_anti").unionByName(new)
+
+
+def merkle_tops(nodes: DataFrame, by: list[str]) -> DataFrame:
+    """(by, root) of merkle_nodes."""
+    return nodes.where(F.col("level") == F.col("depth")).select(*by, F.col("h").alias("root"))
+
+
+def merkle_roots(leaves: DataFrame, by: list[str], least: int = 1) -> DataFrame:
+    """(by, root) of trees over all of leaves(by, idx, b), padded to a power of two and to `least` leaves at least."""
+    return merkle_tops(merkle_nodes(leaves, by, least), by)
+
+
+def merkle_paths(nodes: DataFrame, wanted: DataFrame, by: list[str]) -> DataFrame:
+    """wanted(by, idx) with leaf, path (sibling hashes from below) and root, of merkle_nodes: one join on all siblings' places."""
+    depths = nodes.where(F.col("level") == F.col("depth")).select(*by, "depth", F.col("h").alias("root"))
+    leaf = nodes.where("level = 0").select(*by, "idx", F.col("h").alias("leaf"))
+    asked = wanted.select(*by, F.col("idx").cast("long").alias("idx")).join(leaf, [*by, "idx"]).join(depths, by)
+    pads = F.array(*(F.unhex(F.lit(p.hex())) for p in merkle_pads(MAX_DEPTH)))
+    steps = asked.where("depth > 0").select(*by, "idx", F.explode(F.expr("sequence(0, depth - 1)")).alias("level"))
+    siblings = steps.withColumn("at", F.expr("shiftright(idx, level) ^ 1L")).join(nodes.select(*by, "level", F.col("idx").alias("at"), "h"), [*by, "level", "at"], "left")
+    paths = siblings.groupBy(*by, "idx").agg(F.sort_array(F.collect_list(F.struct("level", F.coalesce("h", F.get(pads, F.col("level"))).alias("h")))).alias("p"))
+    return asked.join(paths, [*by, "idx"], "left").select(*by, "idx", "leaf", F.coalesce(F.transform("p", lambda x: x["h"]), F.array().cast("array<binary>")).alias("path"), "root")
 
 
 def sample_leaves(entries: DataFrame, bucket: Column) -> DataFrame:
@@ -257,9 +454,9 @@ def sample_leaves(entries: DataFrame, bucket: Column) -> DataFrame:
 
 
 def ranked_leaves(rows: DataFrame, bytes_: Column, order: list[str], by: list[str] | None = None) -> DataFrame:
-    """Leaves (by, idx, b) numbered in order: per-key histograms, a sketch's row, or its slots."""
+    """Leaves (by, idx, b) numbered in order, range by range: per-key histograms, a sketch's row, or its slots."""
     by = by or EPOCH
-    return rows.select(*by, (F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).alias("idx"), bytes_.alias("b"))
+    return ranged(rows.select(*by, *order, bytes_.alias("b")), by, [F.col(c) for c in order]).select(*by, F.col("nth").alias("idx"), "b")
 
 
 def sketch_leaves(cells: DataFrame, columns: int = SKETCH_COLUMNS) -> DataFrame:
@@ -280,12 +477,15 @@ def histogram_bytes(wide: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def dense_trees(leaves: DataFrame, by: list[str], max_leaves: int) -> DataFrame:
-    """(by, levels): all levels of small trees (at most 4096 leaves, padded) as arrays in one row each, without shuffles beyond the first."""
+    """(by, levels): all levels of small trees (at most 4096 leaves, padded) as arrays in one row each, without shuffles beyond the first.
+
+    A leaf beyond max_leaves fails the job.
+    """
     if max_leaves > 4096:
-        raise ValueError("larger trees are built level by level: merkle_levels")
+        raise ValueError("larger trees are built in blocks: merkle_nodes")
     size = 1 << max(0, (max_leaves - 1).bit_length())
     empty = sha(F.unhex(F.lit(LEAF.hex())), F.unhex(F.lit("")))
-    held = leaves.select(*by, F.col("idx").cast("int").alias("idx"), sha(F.unhex(F.lit(LEAF.hex())), F.col("b")).alias("h")).groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("idx", "h"))).alias("m"))
+    held = leaves.select(*by, _within(F.col("idx").cast("long"), max_leaves).cast("int").alias("idx"), sha(F.unhex(F.lit(LEAF.hex())), F.col("b")).alias("h")).groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("idx", "h"))).alias("m"))
     df = held.select(*by, F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at("m", i), empty)).alias("l0"))
     depth = size.bit_length() - 1
     def above(below: Column, n: int) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -70,20 +71,31 @@ def suppressed(result: DataFrame, values: list[str], min_support: int = MIN_SUPP
     return result.withColumn("suppressed", low).withColumns({c: F.when(F.col("suppressed"), F.lit(0)).otherwise(F.col(c)).cast(kinds[c]) for c in [*values, "support"]})
 
 
-def laplace(epsilon: float, sensitivity: float, seed: int | None = None) -> Column:
-    """A draw of Laplace(0, sensitivity / epsilon) per row, by the inverse of its distribution."""
+def keyed_uniform(seed: str, kind: str, by: list[str]) -> Column:
+    """A number in [0, 1) from the SHA-256 of seed, kind and the row's key: the same wherever and whenever the row is computed. Keys are told apart by their text."""
+    text = F.concat_ws(chr(31), F.lit(seed), F.lit(kind), *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in by))
+    return F.conv(F.substring(F.sha2(text, 256), 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
+
+
+def laplace(epsilon: float, sensitivity: float, seed: int | None = None, uniform: Column | None = None) -> Column:
+    """A draw of Laplace(0, sensitivity / epsilon) per row, by the inverse of its distribution; uniform: the number in [0, 1) it is drawn by, else a random one."""
     scale = sensitivity / epsilon
-    u = F.rand(seed) - 0.5
+    u = (F.rand(seed) if uniform is None else uniform) - 0.5
     return F.transform(F.array(u), lambda x: F.when(F.abs(x) >= 0.5, F.when(x >= 0, scale * 10).otherwise(-scale * 10)).otherwise(-scale * F.signum(x) * F.log(1 - 2 * F.abs(x))))[0]
 
 
-def released(result: DataFrame, value: str, kind: str, seed: int | None = None, audit: bool = False, mode: str = "laplace", signed: bool = False) -> DataFrame:
-    """value with noise of its class, never below 0 unless signed; `audit` keeps the noise beside it. mode "offset": the fixed offset instead, value unchanged."""
+def released(result: DataFrame, value: str, kind: str, seed: int | None = None, audit: bool = False, mode: str = "laplace", signed: bool = False, by: list[str] | None = None) -> DataFrame:
+    """value with noise of its class, never below 0 unless signed; `audit` keeps the noise beside it. mode "offset": the fixed offset instead, value unchanged.
+
+    by: columns that tell rows apart (none, for a result of one row). Noise then depends on seed, class and row alone,
+    not on how rows are dealt out, so that the same release can be repeated; without a seed a secret one is drawn.
+    """
     epsilon, sensitivity, offset = CALIBRATION[kind]
     if mode == "offset":
         return result.withColumn("dp_offset", F.lit(offset))
+    uniform = None if by is None else keyed_uniform(secrets.token_hex(32) if seed is None else str(seed), kind, by)
     # one draw: value and audit see the same
-    noisy = result.withColumn("noise", F.round(laplace(epsilon, sensitivity, seed)).cast("long")).withColumn(value, F.col(value) + F.col("noise") if signed else F.greatest(F.lit(0), F.col(value) + F.col("noise")))
+    noisy = result.withColumn("noise", F.round(laplace(epsilon, sensitivity, seed, uniform)).cast("long")).withColumn(value, F.col(value) + F.col("noise") if signed else F.greatest(F.lit(0), F.col(value) + F.col("noise")))
     return noisy if audit else noisy.drop("noise")
 
 

@@ -6,7 +6,9 @@ Totals are partial sums per task before any shuffle, so a hot key or cell costs
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -85,36 +87,47 @@ def ranked_slots(events: DataFrame, cells: DataFrame, slots: int = SLOTS) -> Dat
 def replayed_slots(events: DataFrame, slots: int = SLOTS, by: tuple[str, ...] = ("idx",)) -> DataFrame:
     """Per epoch the slots as an in-order pass leaves them: an event's estimate replaces the least slot if larger.
 
-    by: the columns that order an epoch's events. Order dependent by definition, so each epoch (bounded by its batches) is one group; `ranked_slots` has no such bound.
+    by: the columns that order an epoch's events. Order dependent by definition, so an epoch passes through one task,
+    which holds its sketch and slots beside one Arrow batch, whatever the epoch's size; `ranked_slots` is free of order.
     """
     cells = sketch_cells(F.col("key"), SKETCH_SEEDS, SKETCH_COLUMNS)
     order = [f"o{i}" for i in range(len(by))]
-    hashed = events.withColumn("c", cells).select(*EPOCH, "key", "value", F.transform("c", lambda c: c["col"]).alias("cols"), *(F.col(c).alias(o) for c, o in zip(by, order, strict=True)))
-
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        table = [dict() for _ in SKETCH_SEEDS]
-        keys: list[bytes] = []
-        score: list[int] = []
-        place: dict[bytes, int] = {}
-        for key, value, cols in pdf.sort_values(order)[["key", "value", "cols"]].itertuples(index=False):
-            key = bytes(key)
-            for t, c in zip(table, cols, strict=True):
-                t[c] = min(U32, t.get(c, 0) + int(value))
-            est = min(t[c] for t, c in zip(table, cols, strict=True))
-            if key in place:
-                score[place[key]] = max(score[place[key]], est)
-            elif len(keys) < slots:
-                place[key] = len(keys)
-                keys.append(key)
-                score.append(est)
-            else:
-                least = min(range(slots), key=score.__getitem__)
-                if est > score[least]:
+    hashed = events.withColumn("c", cells).select(*(F.col(c).cast("long").alias(c) for c in EPOCH), "key", F.col("value").cast("long").alias("value"), F.transform("c", lambda c: c["col"]).alias("cols"), *(F.col(c).alias(o) for c, o in zip(by, order, strict=True)))
+
+    def replay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        epoch, table, keys, score, place = None, [], [], [], {}
+
+        def left() -> list[tuple]:
+            return [(*epoch, k, s, i) for i, (k, s) in enumerate(zip(keys, score, strict=True))] if epoch else []
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*rows, strict=True)) if rows else [()] * 5
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32()), strict=True)], names=[*EPOCH, "key", "est", "slot"])
+
+        for batch in batches:
+            out: list[tuple] = []
+            for a, n, key, value, cols in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if (a, n) != epoch:
+                    out += left()
+                    epoch, table, keys, score, place = (a, n), [{} for _ in SKETCH_SEEDS], [], [], {}
+                for t, c in zip(table, cols, strict=True):
+                    t[c] = min(U32, t.get(c, 0) + value)
+                est = min(t[c] for t, c in zip(table, cols, strict=True))
+                if key in place:
+                    score[place[key]] = max(score[place[key]], est)
+                elif len(keys) < slots:
+                    place[key] = len(keys)
+                    keys.append(key)
+                    score.append(est)
+                elif est > (low := min(score)):
+                    least = score.index(low)
                     del place[keys[least]]
                     place[key], keys[least], score[least] = least, key, est
-        return pd.DataFrame({**{c: [pdf[c].iloc[0]] * len(keys) for c in EPOCH}, "key": keys, "est": score, "slot": range(len(keys))})
+            yield batch_of(out)
+        yield batch_of(left())
 
-    return hashed.groupBy(*EPOCH).applyInPandas(replay, "aggregator_id long, sequence long, key binary, est long, slot int")
+    dealt = hashed.repartition(*EPOCH).sortWithinPartitions(*EPOCH, *order).select(*EPOCH, "key", "value", "cols")
+    return dealt.mapInArrow(replay, "aggregator_id long, sequence long, key binary, est long, slot int")
 
 
 def headers(events: DataFrame, epoch_type: str = "samples_epoch") -> DataFrame:

@@ -16,10 +16,11 @@ from tallybook.functions.hashing import key_hash
 from tallybook.functions.keys import KeyMask, hist_bucket, key_hi, key_lo, sketch_column
 from tallybook.operators.privacy import MIN_SUPPORT, suppressed
 from tallybook.operators.summaries import capped, estimates
+from tallybook.sources.shared import written
 
 TOP = 100
-#: Values in a range that percentiles look at as one.
-WIDTH = 4096
+#: Bits of a value that a round of rank selection counts by.
+DIGIT = 16
 
 
 def _zero(x: Column) -> Column:
@@ -80,22 +81,36 @@ def samples_count(totals: DataFrame, min_support: int = MIN_SUPPORT) -> DataFram
     return suppressed(totals.agg(_zero(F.sum("total_count")).alias("count"), _zero(F.sum("total_count")).alias("support")), ["count"], min_support)
 
 
-def raw_extremes(events: DataFrame, percentiles: tuple[float, ...] = (0.5, 0.9, 0.95, 0.99), min_support: int = MIN_SUPPORT) -> DataFrame:
-    """Least, greatest and discrete percentiles of raw values (summaries can't give them).
+def ranked_values(counts: DataFrame, ranks: DataFrame) -> DataFrame:
+    """ranks(q, rank) with the value of that rank, from 1, among counts(value, n).
 
-    Values are counted first; ranges of WIDTH values are summed, so that a value's place is known from its range's
-    start and the values before it in the range, and no task or buffer holds all values.
+    Rank selection by digits: of 65,536 digits at a time those are counted whose higher digits are right, so that four
+    rounds find a 64-bit value, and no window has more rows than digits, however far apart values lie.
     """
-    counts = events.groupBy("value").agg(F.count("*").alias("n")).withColumn("range", F.floor(F.col("value") / WIDTH))
-    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.groupBy("range").agg(F.sum("n").alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))  # a row for each range
-    placed = counts.join(starts, "range").withColumn("upto", F.col("start") + F.sum("n").over(Window.partitionBy("range").orderBy("value")))
-    total = events.agg(F.count("*").alias("support"))
-    found = placed.crossJoin(F.broadcast(total)).agg(
-        _zero(F.min("value")).alias("min"), _zero(F.max("value")).alias("max"),
-        *(_zero(F.min(F.when(F.col("upto") >= F.ceil(F.col("support") * q), F.col("value")))).alias(f"p{round(q * 100)}") for q in percentiles), _zero(F.max("support")).alias("support"),
-    )
-    return suppressed(found, ["min", "max", *(f"p{round(q * 100)}" for q in percentiles)], min_support)
+    digits, rest = 1 << DIGIT, 64 - DIGIT
+    # in the order of unsigned numbers
+    unsigned = counts.select(F.col("value").cast("long").bitwiseXOR(F.lit(-(2**63))).alias("u"), "n")
+    asked = ranks.select("q", F.col("rank").cast("long").alias("rank"), F.lit(0).cast("long").alias("prefix"))
+    order = Window.partitionBy("q").orderBy("digit").rowsBetween(Window.unboundedPreceding, 0)
+    for shift in range(rest, -1, -DIGIT):
+        higher = F.lit(0).cast("long") if shift == rest else F.shiftrightunsigned("u", shift + DIGIT)
+        rows = unsigned.select(higher.alias("prefix"), F.shiftrightunsigned("u", shift).bitwiseAND(F.lit(digits - 1)).alias("digit"), "n")
+        # one row for each rank that is asked for
+        held = rows.join(F.broadcast(asked), "prefix").groupBy("q", "prefix", "rank", "digit").agg(F.sum("n").alias("n"))
+        upto = held.withColumn("upto", F.sum("n").over(order)).where(F.col("upto") >= F.col("rank"))
+        found = upto.groupBy("q", "prefix", "rank").agg(F.min_by(F.struct("digit", (F.col("upto") - F.col("n")).alias("before")), "digit").alias("d"))
+        asked = written(found.select("q", (F.col("rank") - F.col("d.before")).alias("rank"), F.shiftleft("prefix", DIGIT).bitwiseOR(F.col("d.digit")).alias("prefix")), "ranks")
+    return asked.select("q", F.col("prefix").bitwiseXOR(F.lit(-(2**63))).alias("value"))
+
+
+def raw_extremes(events: DataFrame, percentiles: tuple[float, ...] = (0.5, 0.9, 0.95, 0.99), min_support: int = MIN_SUPPORT) -> DataFrame:
+    """Least, greatest and discrete percentiles of raw values (summaries can't give them): values are counted, then selected by rank."""
+    counts = written(events.groupBy("value").agg(F.count("*").alias("n")), "values")
+    total = counts.agg(_zero(F.min("value")).alias("min"), _zero(F.max("value")).alias("max"), _zero(F.sum("n")).alias("support"))
+    asked = total.where("support > 0").select(F.explode(F.array(*(F.struct(F.lit(i).alias("q"), F.ceil(F.col("support") * q).alias("rank")) for i, q in enumerate(percentiles)))).alias("a")).select("a.*")
+    names = [f"p{round(q * 100)}" for q in percentiles]
+    found = ranked_values(counts, asked).agg(*(_zero(F.min(F.when(F.col("q") == i, F.col("value")))).alias(n) for i, n in enumerate(names)))
+    return suppressed(total.crossJoin(F.broadcast(found)).select("min", "max", *names, "support"), ["min", "max", *names], min_support)
 
 
 def histogram_bucket(cells: DataFrame, bucket: int, min_support: int = MIN_SUPPORT) -> DataFrame:
@@ -193,6 +208,17 @@ def prefix_sum(events: DataFrame, name: str, prefix: str, min_support: int = MIN
     return suppressed(out, ["sum"], min_support)
 
 
+class TooManyEvents(ValueError):
+    """A raw request that more events would have to be read for than it may."""
+
+
+def guarded(events: DataFrame, most: int) -> DataFrame:
+    """events, if there are at most so many; else the request fails before it is answered. Looks at one event more than that, of no column."""
+    if events.select(F.lit(1).alias("one")).limit(most + 1).count() > most:
+        raise TooManyEvents(f"more than {most} events")
+    return events
+
+
 def raw_events_by_time(events: DataFrame, start_ms: int, end_ms: int, limit: int | None = None, guard: int | None = None) -> DataFrame:
     """Events ingested within both ends, in order; guard fails the read if there are more than so many."""
     found = events.where(F.col("ingest_time_ms").between(start_ms, end_ms))

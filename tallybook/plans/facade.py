@@ -20,12 +20,16 @@ _NOISE = {
 }
 
 
+#: Events that a raw request reads at most.
+MAX_EVENTS = 1_000_000
+
+
 class PolicyViolation(ValueError):
     """A request that the policy doesn't allow."""
 
 
-def run_query(tables: dict[str, DataFrame], request: dict, policy: Policy = Policy(), dp: str | None = None, seed: int | None = None) -> DataFrame:
-    """The answer to a request as a DataFrame.
+def run_query(tables: dict[str, DataFrame], request: dict, policy: Policy = Policy(), dp: str | None = None, seed: int | None = None, max_events: int = MAX_EVENTS) -> DataFrame:
+    """The answer to a request as a DataFrame. Raw requests over more than max_events events fail before they are answered.
 
     tables: epoch_header, samples_entries, hist_cells, hist_keys, cm_cells, cm_slots and raw_events, as far as the
     request needs them. request: {"type": ..., "latest": n or "window": "5m", "end_ms": t, key, mask, pattern, bucket,
@@ -40,6 +44,9 @@ def run_query(tables: dict[str, DataFrame], request: dict, policy: Policy = Poli
     def of(name: str) -> DataFrame:
         return selected(tables[name], headers, request.get("latest"), request.get("window"), request.get("end_ms"))
 
+    def raw() -> DataFrame:
+        return q.guarded(of("raw_events"), max_events)
+
     def mask() -> KeyMask:
         m = request.get("mask")
         return KeyMask(request["key"], ALL_BITS if m is None else m)
@@ -72,18 +79,19 @@ def run_query(tables: dict[str, DataFrame], request: dict, policy: Policy = Poli
             keys = tables["cm_cells"].sparkSession.range(1).select(key_from_u64(F.lit(request["key"]).cast("long")).alias("key"))
             out = q.sketch_estimate(of("cm_cells"), keys, support, low)
     elif kind == "samples_raw_max_key":
-        out = q.raw_max_key(of("raw_events"), mask())
+        out = q.raw_max_key(raw(), mask())
     elif kind == "samples_raw_stats_key":
-        out = q.raw_stats_key(of("raw_events"), mask())
+        out = q.raw_stats_key(raw(), mask())
     elif kind == "samples_raw_histogram_bucket_key":
-        out = q.raw_hist_bucket_key(of("raw_events"), mask(), request["bucket"])
+        out = q.raw_hist_bucket_key(raw(), mask(), request["bucket"])
     elif kind == "samples_raw_cm_estimate_key":
-        out = q.raw_sketch_estimate_key(of("raw_events"), mask(), request["value"])
+        out = q.raw_sketch_estimate_key(raw(), mask(), request["value"])
     else:
         raise ValueError(f"{kind!r} has no answer")
     if dp and kind in _NOISE:
         value, noise = _NOISE[kind]
-        out = released(out, value, noise, seed, mode=dp)
+        # rows are told apart by what they are grouped by
+        out = released(out, value, noise, seed, mode=dp, by=[c for c in ("key", "key_hi", "key_lo", "bucket") if c in out.columns])
     return out
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallybook.functions.bits import unsigned_decimal
@@ -17,8 +17,8 @@ from tallybook.operators import batching, integrity, ownership, privacy, recover
 from tallybook.operators import window_queries as wq
 from tallybook.plans import telemetry as tele
 from tallybook.plans.facade import run_query
-from tallybook.sources import files, messages
-from tallybook.sources.shared import shared_dir
+from tallybook.sources import captures, files, messages
+from tallybook.sources.shared import ranged, shared_dir, written
 from tallybook.sources.tables import EpochStore
 from tallybook.streaming.epochs import epochs, run, sessions, use_rocksdb, windowed_samples
 
@@ -33,6 +33,7 @@ LATEST, KEY, MASK, LOW, PREFIX = 7, 7, 0xF, 10, "c"
 TE = """te as (select event_id, event_type, cast(user_id as bigint) key_lo, cast(round(value * 100) as bigint) "value", cast(floor(epoch(ts)) as bigint) ts,
   cast(user_id % 8 as integer) source_id, cast(user_id % 8 % 4 as bigint) aggregator_id, cast(date_diff('day', date '2024-01-01', cast(ts as date)) as bigint) sequence,
   cast(floor(epoch(ts)) as bigint) * 1000 ingest_time_ms from events where user_id is not null and value is not null and ts is not null)"""
+LINES = """tl as (select l_linenumber, (cast(l_suppkey as bigint) << 32) | cast(l_partkey as bigint) key_lo, cast(l_quantity as bigint) "value", cast(l_suppkey % 8 % 4 as bigint) aggregator_id from lineitem)"""
 ENTRIES = f"""{TE}, en as (select aggregator_id, sequence, key_lo, sum("value") s, count(*) c from te group by all)"""
 SEL = f"sel as (select distinct sequence from te order by sequence desc limit {LATEST})"
 BUCKET = """(case when "value" < 2 then 0 else length(ltrim(bin("value"), '0')) - 1 end)"""
@@ -484,6 +485,14 @@ def _tree_sql(leaves: str, size: int, dense: bool = False) -> str:
     return ", ".join(steps)
 
 
+def _levels_sql(leaves: str, by: str, least: int = 1) -> str:
+    """tr(by, n, depth, lv): all levels of each tree over `leaves`(by, idx, h), whose idx has no gaps; as deep as the tree asks for, and for `least` leaves at least."""
+    empty = integrity.hashlib.sha256(b"\x00").hexdigest()
+    levels = f"list_reduce(list_prepend([l], list_transform(range(40), lambda i: cast([] as varchar[][]))), lambda a, b: case when len(a[-1]) <= 1 then a else list_append(a, {_above('a[-1]')}) end)"
+    return f"""t0 as (select {by}, count(*) n, list(h order by idx) l, greatest({least}, cast(pow(2, ceil(log2(count(*)))) as bigint)) size from {leaves} group by {by}),
+ t1 as (select {by}, n, l || list_transform(range(size - n), lambda i: '{empty}') l from t0), tr as (select {by}, n, len(lv) - 1 depth, lv from (select {by}, n, {levels} lv from t1))"""
+
+
 _SAMPLE_LEAVES = f"""{ENTRIES}, {_fnv_cte('te')}, lv as (select aggregator_id, sequence, cast({_mix('h')} & 1023 as bigint) idx,
  sha256(unhex('00' || string_agg(repeat('00', 7) || lpad(to_hex(key_lo), 16, '0') || lpad(to_hex(cast(s as bigint)), 16, '0') || lpad(to_hex(c), 8, '0'), '' order by key_lo::ubigint))) h from en join kh using (key_lo) group by 1, 2, 3)"""
 
@@ -509,14 +518,61 @@ def merkle_proofs(spark, d):
     return proofs.select(*summaries.EPOCH, "idx", F.lower(F.hex("leaf")).alias("leaf"), F.md5(path).alias("path_md5"), F.lower(F.hex("root")).alias("root"), (integrity.path_root(F.col("leaf"), F.col("path"), F.col("idx")) == F.col("root")).alias("valid"))
 
 
-@query(f"""with {_HIST_BYTES}, lv as (select aggregator_id, sequence, row_number() over (partition by aggregator_id, sequence order by key_lo) - 1 idx, sha256(unhex('00' || b)) h from hb), {_tree_sql('lv', 4096)}
- select aggregator_id, sequence, lower(l[1]) root from l12""")
+@query(f"""with {_HIST_BYTES}, lv as (select aggregator_id, sequence, row_number() over (partition by aggregator_id, sequence order by key_lo) - 1 idx, sha256(unhex('00' || b)) h from hb), {_levels_sql('lv', 'aggregator_id, sequence', 4096)}
+ select aggregator_id, sequence, lower(lv[-1][1]) root from tr""")
 def merkle_histograms(spark, d):
     e = _events(spark, d)
     rows = integrity.histogram_bytes(summaries.histogram_wide(summaries.histogram_cells(e)), summaries.histogram_keys(e))
     return integrity.merkle_roots(integrity.ranked_leaves(rows, F.col("b"), ["key"]), summaries.EPOCH, 4096).select(*summaries.EPOCH, F.lower(F.hex("root")).alias("root"))
 
 
+#: Trees over all keys of an aggregator's order lines, one leaf a key: as many leaves as there are keys.
+_LINE_LEAVES = f"""{LINES}, lk as (select aggregator_id, key_lo, sum("value") s, count(*) c, count(*) filter (l_linenumber > 1) later from tl group by 1, 2),
+ lv as (select aggregator_id, row_number() over (partition by aggregator_id order by key_lo) - 1 idx, later,
+ sha256(unhex('00' || repeat('00', 7) || lpad(to_hex(key_lo), 16, '0') || lpad(to_hex(cast(s as bigint)), 16, '0') || lpad(to_hex(c), 8, '0'))) h from lk), {_levels_sql('lv', 'aggregator_id')}"""
+
+
+def _line_leaves(spark, d) -> DataFrame:
+    """(aggregator_id, idx, b, first, later): leaves with the totals of all lines, and of each order's first lines alone; later: how many others there are."""
+    firsts = F.col("l_linenumber") == 1
+    totals = tele.tele_lines(spark, d).groupBy("aggregator_id", "key").agg(
+        F.sum("value").alias("s"), F.count("*").alias("c"), F.coalesce(F.sum(F.when(firsts, F.col("value"))), F.lit(0)).alias("s1"), F.count_if(firsts).alias("c1"),
+    )
+    rows = ranged(totals, ["aggregator_id"], [F.col("key")])
+    leaf = lambda s, c: F.concat("key", keys.be(F.col(s), 8), keys.be(F.col(c), 4))
+    return rows.select("aggregator_id", F.col("nth").alias("idx"), leaf("s", "c").alias("b"), leaf("s1", "c1").alias("first"), (F.col("c") - F.col("c1")).alias("later"))
+
+
+@query(f"with {_LINE_LEAVES} select aggregator_id, n leaves, cast(depth as integer) depth, lower(lv[-1][1]) root from tr")
+def merkle_line_trees(spark, d):
+    leaves = _line_leaves(spark, d)
+    nodes = integrity.merkle_nodes(leaves.select("aggregator_id", "idx", "b"), ["aggregator_id"])
+    tops = nodes.groupBy("aggregator_id").agg(F.count_if(F.col("level") == 0).alias("leaves"), F.max("depth").alias("depth"))
+    return tops.join(integrity.merkle_tops(nodes, ["aggregator_id"]), "aggregator_id").select("aggregator_id", "leaves", "depth", F.lower(F.hex("root")).alias("root"))
+
+
+@query(f"""with {_LINE_LEAVES}, nd as (select aggregator_id, k, unnest(lv[k + 1]) h, generate_subscripts(lv[k + 1], 1) - 1 i from (select aggregator_id, lv, unnest(range(depth)) k from tr)),
+ sz as materialized (select aggregator_id, depth, lower(lv[-1][1]) root from tr),
+ pt as (select q.aggregator_id, q.idx, string_agg(nd.h, ',' order by q.k) p from (select lv.aggregator_id, idx, unnest(range(depth)) k from lv join sz using (aggregator_id)) q join nd on nd.aggregator_id = q.aggregator_id and nd.k = q.k and nd.i = xor(q.idx >> q.k, 1) group by 1, 2)
+ select aggregator_id, idx, lower(lv.h) leaf, lower(md5(lower(p))) path_md5, root, true valid from lv join pt using (aggregator_id, idx) join sz using (aggregator_id)""")
+def merkle_line_proofs(spark, d):
+    leaves, by = _line_leaves(spark, d), ["aggregator_id"]
+    nodes = integrity.merkle_nodes(leaves.select("aggregator_id", "idx", "b"), by)
+    proofs = integrity.merkle_paths(nodes, leaves.select("aggregator_id", "idx"), by)
+    path = F.array_join(F.transform("path", lambda h: F.lower(F.hex(h))), ",")
+    return proofs.select("aggregator_id", "idx", F.lower(F.hex("leaf")).alias("leaf"), F.md5(path).alias("path_md5"), F.lower(F.hex("root")).alias("root"), (integrity.path_root(F.col("leaf"), F.col("path"), F.col("idx")) == F.col("root")).alias("valid"))
+
+
+@query(f"with {_LINE_LEAVES}, ch as (select aggregator_id, count(*) filter (later > 0) changed from lv group by 1) select aggregator_id, changed, lower(tr.lv[-1][1]) root from tr join ch using (aggregator_id)")
+def merkle_line_changes(spark, d):
+    """Trees of each order's first lines, with the leaves that further lines change hashed again: the roots of all lines."""
+    leaves, by = _line_leaves(spark, d), ["aggregator_id"]
+    nodes = integrity.merkle_nodes(leaves.select("aggregator_id", "idx", F.col("first").alias("b")), by)
+    changed = leaves.where("later > 0").select("aggregator_id", "idx", "b")
+    roots = integrity.merkle_tops(integrity.merkle_changed(nodes, changed, by), by)
+    return roots.join(leaves.groupBy("aggregator_id").agg(F.count_if(F.col("later") > 0).alias("changed")), "aggregator_id").select("aggregator_id", "changed", F.lower(F.hex("root")).alias("root"))
+
+
 @query(f"""with {SKETCH}, {_ALL_CELLS}, lv as (select aggregator_id, sequence * 4 + "row" sequence, idx, sha256(unhex('00' || b)) h from ac), {_tree_sql('lv', 1024, dense=True)}
  select aggregator_id, sequence // 4 sequence, cast(sequence % 4 as integer) "row", lower(l[1]) root from l10""")
 def merkle_sketch_rows(spark, d):
@@ -737,10 +793,19 @@ def suppression_by_group(spark, d):
     return privacy.suppressed(grouped, ["sum"])
 
 
-@query()
+def _laplace_sql(kind: str, seed: int, key: str) -> str:
+    """ns: sums with noise, drawn by a hash of seed, kind and key."""
+    epsilon, sensitivity, _ = privacy.CALIBRATION[kind]
+    scale = sensitivity / epsilon
+    uniform = f"cast(('0x' || substr(sha256('{seed}' || chr(31) || '{kind}' || chr(31) || cast({key} as varchar)), 1, 13)) as bigint) / {float(1 << 52)!r} - 0.5"
+    return f"""ns as (select {key}, s, cast(round(case when abs(u) >= 0.5 then (case when u >= 0 then 1 else -1 end) * {scale * 10!r} else -{scale!r} * sign(u) * ln(1 - 2 * abs(u)) end) as bigint) noise
+ from (select {key}, cast(sum("value") as bigint) s, {uniform} u from te group by 1))"""
+
+
+@query(f"""with {TE}, {_laplace_sql('samples_sum', 7, 'sequence')} select sequence, greatest(0, s + noise) "sum" from ns""")
 def laplace_release(spark, d):
     sums = _events(spark, d).groupBy("sequence").agg(F.sum("value").alias("sum"))
-    return privacy.released(sums, "sum", "samples_sum", seed=7)
+    return privacy.released(sums, "sum", "samples_sum", seed=7, by=["sequence"])
 
 
 @query(f"""with {TE} select sequence, cast(sum("value") as bigint) "sum", 50 dp_offset from te group by 1""")
@@ -760,10 +825,10 @@ def offset_releases(spark, d):
     return whole
 
 
-@query()
+@query(f"""with {TE}, {_laplace_sql('samples_sum', 7, 'sequence')} select sequence, s + noise "sum", noise from ns""")
 def laplace_signed_release(spark, d):
     sums = _events(spark, d).groupBy("sequence").agg(F.sum("value").alias("sum"))
-    return privacy.released(sums, "sum", "samples_sum", seed=7, audit=True, signed=True)
+    return privacy.released(sums, "sum", "samples_sum", seed=7, audit=True, signed=True, by=["sequence"])
 
 
 @query(f"""with {ENTRIES}, {SEL} select cast(coalesce(sum(s), 0) as bigint) "sum", cast(coalesce(sum(c), 0) as bigint) support, false suppressed from en semi join sel using (sequence)""")
@@ -993,6 +1058,64 @@ def stream_equals_batch(spark, d):
     return stored.select(key_lo(F.col("key")).alias("key_lo"), "sum", "count")
 
 
+def _scripted(spark, d, script: list[Column], **settings) -> DataFrame:
+    """(aggregator_id, sequence, source_id, batch_seq) that the stream stores when batches come in turns: script has how often each batch comes, turn by turn; each turn is a run of its own that goes on from the last one's state."""
+    path, e = _folder(spark, "script"), _events(spark, d)
+    held = tele.batched(e).groupBy("source_id", "batch_seq").agg(F.max("ingest_time_ms").alias("ingest_time_ms"), F.array_sort(F.collect_list(F.struct("pos", "key", "value", "ts"))).alias("events"))
+    held = written(held.join(tele.claimed_batches(e).select("source_id", "batch_seq", "batch_hash"), ["source_id", "batch_seq"]), "batches")
+    use_rocksdb(spark)
+    store = EpochStore(spark, f"{path}/store")
+    for times in script:
+        messages.send(held.withColumn("again", F.explode(F.array_repeat(F.lit(0), times.cast("int")))).drop("again"), tele.AGGREGATORS, path=f"{path}/topic")
+        assigned = epochs(messages.parsed(messages.stream(spark, path=f"{path}/topic")), tele.AGGREGATORS, **settings)
+        run(assigned, store, f"{path}/checkpoint").awaitTermination()
+    return store.read("raw_events", "samples_epoch").select("aggregator_id", "sequence", "source_id", "batch_seq").distinct()
+
+
+def _turns_sql(turn: str) -> str:
+    """ep: the epochs of batches that get ready in turns; turn: the turn in which a batch comes first, null for never. What is ready leaves with its turn."""
+    return f"""{BATCHED}, ba as (select source_id, aggregator_id, batch_seq, max(ingest_time_ms) m, cast({turn} as integer) t from bt group by 1, 2, 3),
+ rd as (select *, max(coalesce(t, 99)) over (partition by source_id order by batch_seq) r from ba), li as (select *, max(m) over (partition by source_id, r order by batch_seq) k from rd where r < 99),
+ nb as (select *, row_number() over (partition by aggregator_id, r order by k, source_id, batch_seq) - 1 i from li), pe as (select aggregator_id, r, (count(*) + 15) // 16 n from nb group by 1, 2),
+ ep as (select nb.aggregator_id, cast(coalesce((select sum(n) from pe where pe.aggregator_id = nb.aggregator_id and pe.r < nb.r), 0) + nb.i // 16 as bigint) sequence, source_id, cast(batch_seq as bigint) batch_seq from nb)"""
+
+
+@query(f"with {_turns_sql('case when (batch_seq + source_id) % 23 != 7 then 0 when (batch_seq + source_id) % 115 != 99 then 1 end')} select * from ep")
+def stream_holdback(spark, d):
+    """Batches are missing, some come in the second turn, others never: what follows a gap waits until it is closed."""
+    place = F.col("batch_seq") + F.col("source_id")
+    lost, late = place % 23 == 7, place % 115 != 99
+    return _scripted(spark, d, [(~lost).cast("int"), (lost & late).cast("int")], threshold=16)
+
+
+@query(f"with {_turns_sql('case when batch_seq < 4 then 0 else 1 end')} select * from ep")
+def stream_duplicates(spark, d):
+    """A source that restarts sends all again, twice, and once more: each batch is in one epoch."""
+    return _scripted(spark, d, [F.when(F.col("batch_seq") < 4, 1).otherwise(0), F.lit(2), F.lit(1)], threshold=16)
+
+
+@query(f"""with {BATCHED}, ba as (select source_id, aggregator_id, batch_seq, max(ingest_time_ms) m from bt group by 1, 2, 3), l0 as (select *, max(m) over (partition by source_id order by batch_seq) k from ba where batch_seq < 5),
+ n0 as (select *, row_number() over (partition by aggregator_id order by k, source_id, batch_seq) - 1 i, count(*) over (partition by aggregator_id) // 16 f from l0), g as (select aggregator_id, max(f) done from n0 group by 1),
+ l1 as (select ba.*, max(ba.m) over (partition by ba.source_id order by ba.batch_seq) k from ba anti join (select * from n0 where i // 16 < f) x on x.source_id = ba.source_id and x.batch_seq = ba.batch_seq),
+ n1 as (select *, row_number() over (partition by aggregator_id order by k, source_id, batch_seq) - 1 i, count(*) over (partition by aggregator_id) // 16 f from l1)
+ select aggregator_id, cast(i // 16 as bigint) sequence, source_id, cast(batch_seq as bigint) batch_seq from n0 where i // 16 < f
+ union all select n1.aggregator_id, cast(coalesce(g.done, 0) + i // 16 as bigint), source_id, cast(batch_seq as bigint) from n1 left join g using (aggregator_id) where i // 16 < f""")
+def stream_full_epochs(spark, d):
+    """Epochs leave when they are full, and what is left waits for the next turn."""
+    return _scripted(spark, d, [F.when(F.col("batch_seq") < 5, 1).otherwise(0), F.when(F.col("batch_seq") < 5, 0).otherwise(1)], threshold=16, force=False)
+
+
+@query(f"""with {TE} select source_id + 167772160 src_ip, key_lo dst_ip, count(*) packets, cast(sum(greatest("value" % 1400, 20)) as bigint) bytes from te group by 1, 2""")
+def capture_flows(spark, d):
+    """Events written as packets of a capture for each source, read back in stretches: packets and bytes per pair of addresses."""
+    path = _folder(spark, "captures")
+    e = _events(spark, d)
+    length = F.greatest(F.col("value") % 1400, F.lit(20))
+    captures.write_captures(e.select(F.col("source_id").alias("file"), F.col("ts").alias("second"), (F.col("source_id") + 167772160).alias("src_ip"), F.col("key_lo").alias("dst_ip"), length.alias("length")), path)
+    got = captures.split_captures(spark, path, 1 << 16)
+    return got.groupBy("src_ip", "dst_ip").agg(F.count("*").alias("packets"), F.sum("length").alias("bytes"))
+
+
 @query(f"""with {ENTRIES}, t as (select aggregator_id, sequence, count(*) n_keys, sum(s) s, sum(c) c from en group by 1, 2), h as (select aggregator_id, sequence, count(*) n_events, max(ts) max_ts from te group by 1, 2)
  select aggregator_id, sequence, n_keys, cast(s as bigint) total_sum, cast(c as bigint) total_count, n_events, max_ts from t join h using (aggregator_id, sequence)""")
 def sql_over_store(spark, d):

@@ -96,7 +96,7 @@ def stored(spark: SparkSession, sf_dir: str, path: str | None = None) -> EpochSt
     store = EpochStore(spark, path or f"{shared_dir(spark)}/summaries-{hashlib.md5(sf_dir.encode()).hexdigest()}")
     e = tele_events(spark, sf_dir)
     raw = batched(e).withColumn("idx", F.struct("source_id", "batch_seq", "pos"))
-    header = summaries.headers(raw)
+    header = summaries.headers(raw).persist()
 
     def keyed(rows: DataFrame) -> DataFrame:
         """With the numbers of the key and in its order, so that scans for keys and epochs skip most of a file."""
@@ -108,6 +108,7 @@ def stored(spark: SparkSession, sf_dir: str, path: str | None = None) -> EpochSt
     # slots are ranked by the cells that were written
     store.commit("slots_epoch", {"cm_slots": summaries.ranked_slots(e, store.read("cm_cells", "sketch_epoch")), "epoch_header": header.withColumn("epoch_type", F.lit("slots_epoch"))})
     store.commit("samples_epoch", {"samples_entries": keyed(summaries.samples(e)), "raw_events": raw.sortWithinPartitions("aggregator_id", "sequence", "key_lo"), "epoch_header": header})
+    header.unpersist()
     if path is None:
         _STORES[known] = store
     return store

@@ -14,15 +14,42 @@ from tallybook.functions.keys import key_from_flow, key_from_metric, key_from_ve
 from tallybook.functions.windows import year_ts
 from tallybook.operators.batching import interleaved
 from tallybook.sources.schemas import PACKET
+from tallybook.sources.shared import ranged
 
 VALUE_SCALE = 1_000_000
 
 
-def chosen_files(spark: SparkSession, folder: str, glob: str = "*", max_files: int | None = None, by_size: bool = False) -> list[str]:
-    """Paths of a folder's matching files, by name (or by size, largest first), the first max_files of them."""
+def listed_files(spark: SparkSession, folder: str, kind: str | None = None, glob: str = "*", max_files: int | None = None, by_size: bool = False) -> DataFrame:
+    """(path, length, nth, problem) of a folder's matching files: nth by name (or by size, largest first) among those without a problem.
+
+    kind "tsv" or "google": what files of machines are called. Problems: another suffix, no machine or metric in the
+    name, or beyond max_files.
+    """
     listed = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(folder).select("path", "length")
-    listed = listed.orderBy(F.desc("length"), "path") if by_size else listed.orderBy("path")
-    return [r["path"] for r in (listed if max_files is None else listed.limit(max_files)).collect()]
+    name = F.lower(F.element_at(F.split("path", "/"), -1))
+    problem = F.lit(None).cast("string")
+    if kind in ("tsv", "google"):
+        machine = name.rlike(r"machine_(id_)?\d") | F.lower("path").rlike(r"/machine_(id_)?\d+/[^/]*$")
+        metric = F.lower("path").rlike("(cpu|mem)[^/]*(/[^/]*)?$")
+        problem = F.when(~name.rlike(r"\.(tsv|txt|csv)$"), "another suffix").when(~name.endswith(".csv") & ~machine, "no machine in the name").when(~name.endswith(".csv") & ~metric, "no metric in the name")
+    named = listed.withColumn("problem", problem)
+    fine = ranged(named.where("problem is null"), [], [F.desc("length"), F.col("path")] if by_size else [F.col("path")])
+    late = F.when(F.col("nth") >= max_files, f"beyond the first {max_files} files") if max_files is not None else F.lit(None).cast("string")
+    return fine.withColumn("problem", late).unionByName(named.where("problem is not null"), allowMissingColumns=True).select("path", "length", F.col("nth").cast("long").alias("nth"), "problem")
+
+
+def chosen_files(spark: SparkSession, folder: str, glob: str = "*", max_files: int | None = None, by_size: bool = False, kind: str | None = None) -> list[str]:
+    """Paths of a folder's matching files, by name (or by size, largest first), the first max_files of them: a list that the reader needs on the driver."""
+    return [r["path"] for r in listed_files(spark, folder, kind, glob, max_files, by_size).where("problem is null").orderBy("nth").select("path").collect()]
+
+
+def file_report(spark: SparkSession, kind: str, folder: str, glob: str = "*", max_files: int | None = None, **options) -> DataFrame:
+    """(path, length, events, problem) of all files that a read of this kind looks at: files left out, and files without a good line, with the reason."""
+    same = lambda c: F.regexp_replace(c, "^file:/+", "file:/")
+    listed = listed_files(spark, folder, kind, glob, max_files).withColumn("at", same(F.col("path")))
+    events = read_events(spark, kind, folder, glob=glob, max_files=max_files, **options).groupBy(same(F.col("file")).alias("at")).agg(F.count("*").alias("events"))
+    joined = listed.join(events, "at", "left").withColumn("events", F.coalesce("events", F.lit(0)))
+    return joined.select("path", "length", "events", F.coalesce("problem", F.when(F.col("events") == 0, "no good line")).alias("problem"))
 
 
 def _file(df: DataFrame) -> DataFrame:
@@ -87,7 +114,7 @@ def vehicle_csv(spark: SparkSession, paths: str | list[str], scale: float = 1.0)
     return rows.select(year_ts(F.col("year")).alias("ts"), F.round(F.col("co2") * scale).cast("long").alias("value"), key.alias("key"), "file", "pos").orderBy("ts", "file", "pos")
 
 
-def _ipv4(link: int, frame: bytes) -> tuple[int, int] | None:
+def ipv4_pair(link: int, frame: bytes) -> tuple[int, int] | None:
     """Source and destination of a frame's IPv4 packet; None if it has none."""
     at = {1: 14, 101: 0, 12: 0, 113: 16, 0: 4, 108: 4}.get(link)  # Ethernet, raw, raw, cooked, loopback
     if at is None:
@@ -105,19 +132,26 @@ def _ipv4(link: int, frame: bytes) -> tuple[int, int] | None:
     return int.from_bytes(frame[at + 12: at + 16], "big"), int.from_bytes(frame[at + 16: at + 20], "big")
 
 
+def capture_magic(head: bytes) -> tuple[str, int]:
+    """(byte order, parts of a second) by a capture's first bytes."""
+    # fixed values: microseconds and nanoseconds, in both byte orders
+    known = {b"\xd4\xc3\xb2\xa1": ("<", 10**6), b"\x4d\x3c\xb2\xa1": ("<", 10**9), b"\xa1\xb2\xc3\xd4": (">", 10**6), b"\xa1\xb2\x3c\x4d": (">", 10**9)}
+    if head[:4] not in known or len(head) < 24:
+        raise ValueError("not a capture file")
+    return known[head[:4]]
+
+
 def packets(content: bytes, captured_length: bool = False) -> Iterator[tuple[int, int, int]]:
     """(source, destination, length) of the IPv4 packets of a capture (classic format, plain or gzip)."""
     if content[:2] == b"\x1f\x8b":
         content = gzip.decompress(content)
-    order = {b"\xd4\xc3\xb2\xa1": "<", b"\x4d\x3c\xb2\xa1": "<", b"\xa1\xb2\xc3\xd4": ">", b"\xa1\xb2\x3c\x4d": ">"}.get(content[:4])
-    if order is None or len(content) < 24:
-        raise ValueError("not a capture file")
+    order, _ = capture_magic(content[:24])
     link, at = struct.unpack(order + "I", content[20:24])[0] & 0xFFFF, 24
     while at < len(content):
         if at + 16 > len(content):
             raise ValueError("truncated packet header")
         _, _, kept, whole = struct.unpack(order + "IIII", content[at: at + 16])
-        pair = _ipv4(link, content[at + 16: at + 16 + kept])
+        pair = ipv4_pair(link, content[at + 16: at + 16 + kept])
         at += 16 + kept
         if pair:
             yield *pair, kept if captured_length else whole
@@ -150,8 +184,20 @@ def capture_report(decoded: DataFrame) -> DataFrame:
     return decoded.groupBy("file").agg(F.count("src_ip").alias("packets"), F.max("problem").alias("problem"))
 
 
-def read_events(spark: SparkSession, kind: str, paths: str | list[str], max_events: int | None = None, **options) -> DataFrame:
-    """(ts, key, value, file) by kind: tsv, google (csv), caida (flows), car_emission; or synthetic, from a table with these columns."""
+def read_events(spark: SparkSession, kind: str, paths: str | list[str], max_events: int | None = None, glob: str | None = None, max_files: int | None = None, **options) -> DataFrame:
+    """(ts, key, value, file) by kind: tsv, google (csv), caida (flows), car_emission; or synthetic, from a table with these columns.
+
+    glob, max_files: files of a folder by name, the first max_files of them; none left is an error, as files that can't
+    be read are. Files without a good line give no events and are named by file_report.
+    """
+    if kind not in ("tsv", "google", "caida", "car_emission", "synthetic"):
+        raise ValueError(f"unknown kind of source {kind!r}")
+    if glob is not None or max_files is not None:
+        if not isinstance(paths, str):
+            raise ValueError("glob and max_files choose among the files of one folder")
+        paths = chosen_files(spark, paths, glob or "*", max_files, kind=kind)
+        if not paths:
+            raise ValueError(f"no files of kind {kind!r} are left")
     if kind == "tsv":
         df = machine_tsv(spark, paths).withColumnRenamed("start_time", "ts").orderBy("ts", "key", "file", "value")
     elif kind == "google":
@@ -161,11 +207,7 @@ def read_events(spark: SparkSession, kind: str, paths: str | list[str], max_even
         df = flow_text(spark, paths, **options).withColumn("ts", F.lit(base) + F.col("order_key")).orderBy("order_key")
     elif kind == "car_emission":
         df = vehicle_csv(spark, paths, **options)
-    elif kind == "synthetic":
-        df = spark.read.parquet(*([paths] if isinstance(paths, str) else paths))
     else:
-        raise ValueError(f"unknown kind of source {kind!r}")
+        df = spark.read.parquet(*([paths] if isinstance(paths, str) else paths))
     df = df.select("ts", "key", "value", *(["file"] if "file" in df.columns else []))
     return df if max_events is None else df.limit(max_events)
-
-

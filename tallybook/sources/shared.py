@@ -1,10 +1,13 @@
-"""The folder that driver and executors share."""
+"""The folder that driver and executors share, and tables in it that cut a lineage."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -17,3 +20,31 @@ def shared_dir(spark: SparkSession) -> str:
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tallybook-"))
         found = context.getCheckpointDir()
     return f"{found.rstrip('/')}/{context.applicationId}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder, which survives lost executors; it goes when the application ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def parted(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
+    """df, written, with `part`: ranges of rows in (by, order), each before the next; rows that tie share one."""
+    return written(df.repartitionByRange(*map(F.col, by), *order).withColumn("part", F.spark_partition_id()), "parts")
+
+
+def ranged(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
+    """df, written, with nth: its place from 0 in order within `by` (columns without nulls).
+
+    Rows are dealt by ranges of (by, order), each numbered from where the counts of those before it end, so that one
+    `by` with most of the rows is many tasks' work.
+    """
+    parts = parted(df, by, order)
+    before = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.groupBy(*by, "part").agg(F.count("*").alias("c")).select(*by, "part", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("start"))
+    inside = Window.partitionBy(*by, "part").orderBy(*order)
+    return parts.join(starts, [*by, "part"]).withColumn("nth", F.col("start") + F.row_number().over(inside) - 1).drop("start", "part")

@@ -61,9 +61,9 @@ def picked(ready: list[tuple[int, int, int]], threshold: int, min_sources: int,
 
 
 class EpochAssigner(StatefulProcessor):
-    """One aggregator's epochs. force: every ready batch leaves with its micro-batch (drain runs); else partial epochs leave by timer."""
+    """One aggregator's epochs. force: every ready batch leaves with its micro-batch (drain runs); else partial epochs leave by timer, or without a timeout wait until they are full."""
 
-    def __init__(self, threshold: int = EPOCH_BATCHES, timeout_ms: int = TIMEOUT_MS, force: bool = False, min_sources: int = 1, allow_gaps: bool = False):
+    def __init__(self, threshold: int = EPOCH_BATCHES, timeout_ms: int | None = TIMEOUT_MS, force: bool = False, min_sources: int = 1, allow_gaps: bool = False):
         self.threshold, self.timeout_ms, self.force, self.min_sources, self.allow_gaps = threshold, timeout_ms, force, min_sources, allow_gaps
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -108,7 +108,7 @@ class EpochAssigner(StatefulProcessor):
 
     def _arm(self, timerValues) -> None:
         """A timer from when the first batch got ready: later batches leave it as it is."""
-        if not self.force and not self.deadline.exists() and next(iter(self.ready.iterator()), None) is not None:
+        if not self.force and self.timeout_ms is not None and not self.deadline.exists() and next(iter(self.ready.iterator()), None) is not None:
             at = timerValues.getCurrentProcessingTimeInMs() + self.timeout_ms
             self.handle.registerTimer(at)
             self.deadline.update((at,))
@@ -136,10 +136,12 @@ class EpochAssigner(StatefulProcessor):
             yield pd.DataFrame(out, columns=["aggregator_id", "sequence", "source_id", "batch_seq", "ingest_time_ms", "batch_hash", "events"])
 
 
-def epochs(batches: DataFrame, aggregators: int, timers: bool = False, **settings) -> DataFrame:
-    """A stream of batches with their epochs. timers: for long-running queries; without them a drain run ends by itself."""
+def epochs(batches: DataFrame, aggregators: int, timers: bool = False, force: bool | None = None, **settings) -> DataFrame:
+    """A stream of batches with their epochs. timers: for long-running queries; without them a drain run ends by itself, with all that is ready, or with force=False with full epochs only."""
     keyed = batches.withColumn("aggregator_id", (F.col("source_id") % aggregators).cast("long"))
-    processor = EpochAssigner(force=not timers, **settings)
+    if not timers:
+        settings["timeout_ms"] = None
+    processor = EpochAssigner(force=not timers if force is None else force, **settings)
     return keyed.groupBy("aggregator_id").transformWithStateInPandas(statefulProcessor=processor, outputStructType=OUT, outputMode="Append", timeMode="ProcessingTime" if timers else "None")
 
 
@@ -159,19 +161,22 @@ def processed(store, assigned: DataFrame, maps: DataFrame | None = None, default
 
     Histograms and sketches are committed as epochs of their own type, samples last, with all that the next epochs go
     on from: source tips, the epoch chain, batches set aside, and (maps: ownership) the tips handed to a source's next
-    owner. Only marked epochs are read, so a micro-batch that is replayed after a failure at any point starts from the
+    owner. Tips and links are read as they stand, not from history. Only marked epochs are read, so a micro-batch that is replayed after a failure at any point starts from the
     same tips and leaves the same tables. What unmarked attempts left behind is swept first.
     """
     from tallybook.operators import integrity, ownership, summaries
     from tallybook.operators.recovery import KEY
 
     store.sweep()
-    new = assigned.withColumn("epoch_type", F.lit("samples_epoch"))
-    if store.exists("epoch_done"):
-        new = new.join(store.done().select(*KEY), KEY, "left_anti")
+    held = assigned.persist()
+    since = held.agg(F.min("sequence")).first()[0]
+    new = held.withColumn("epoch_type", F.lit("samples_epoch"))
+    if since is not None and store.exists("epoch_done"):
+        new = new.join(store.done(since).select(*KEY), KEY, "left_anti")
     new = new.drop("epoch_type").persist()
     if new.isEmpty():
         new.unpersist()
+        held.unpersist()
         return
     checked = kept = None
     try:
@@ -180,9 +185,9 @@ def processed(store, assigned: DataFrame, maps: DataFrame | None = None, default
         claimed = commits.join(new.select("source_id", "batch_seq", "batch_hash", "aggregator_id", "sequence"), ["source_id", "batch_seq"])
         known = last_link = None
         if store.exists("source_tips"):
-            known = store.read("source_tips").groupBy("source_id").agg(F.max("last_seq").alias("last_seq"), F.max_by("chain_tip", "last_seq").alias("chain_tip"))
+            known = store.latest("source_tips").select("source_id", "last_seq", "chain_tip")
         if store.exists("epoch_chain"):
-            last_link = store.read("epoch_chain").groupBy("aggregator_id").agg(F.max_by("final_hash", "sequence").alias("tip"))
+            last_link = store.latest("epoch_chain").select("aggregator_id", F.col("final_hash").alias("tip"))
         checked = integrity.verified(claimed, known).persist()
         good, bad = integrity.split_verified(checked)
         kept = events.join(good.select("source_id", "batch_seq"), ["source_id", "batch_seq"], "left_semi").persist()
@@ -201,10 +206,11 @@ def processed(store, assigned: DataFrame, maps: DataFrame | None = None, default
             moved = ownership.transitions(ownership.owners(maps, asked, default_owner))
             tables["handoffs"] = real.join(moved.withColumn("sequence", F.col("at_epoch") - 1), ["source_id", "sequence"]).select("aggregator_id", "sequence", "source_id", "at_epoch", "from_aggregator", "to_aggregator", "chain_tip", "last_seq")
         store.commit("samples_epoch", tables)
+        store.compact()
     finally:
-        for held in (new, checked, kept):
-            if held is not None:
-                held.unpersist()
+        for rows in (new, checked, kept, held):
+            if rows is not None:
+                rows.unpersist()
 
 
 def run(assigned: DataFrame, store, checkpoint: str, available_now: bool = True, maps: DataFrame | None = None):

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tallybook.functions import hashing, keys
 from tallybook.functions.keys import KeyMask, be, key_from_u64, sketch_cells
 from tallybook.operators import batching, integrity, ownership, privacy, recovery, summaries
 from tallybook.operators import window_queries as wq
@@ -80,6 +81,42 @@ def test_merkle_roots_and_proofs(spark):
         assert len(rows) == 11 and all(bytes(r.got) == level[0] == bytes(r.root) for r in rows)
 
 
+def test_merkle_trees_of_any_size(spark):
+    """Depth from each tree's own leaves, over several blocks; gaps are leaves of nothing; changed leaves' paths alone are hashed again."""
+    by, sizes = ["aggregator_id", "sequence"], {0: 1, 1: 2, 2: 6, 3: 1024, 4: 1025, 5: 5000}
+    byte = lambda i: b"%d" % i
+    rows = [(0, s, i, byte(i)) for s, n in sizes.items() for i in range(n) if i % 97 != 5 or i == n - 1]
+    leaves = spark.createDataFrame(rows, "aggregator_id long, sequence long, idx long, b binary")
+
+    def levels(n, of, least=1):
+        size = max(least, 1 << (n - 1).bit_length())
+        level = [sha(b"\0", of(i)) if i < n and (i % 97 != 5 or i == n - 1) else sha(b"\0") for i in range(size)]
+        out = [level]
+        while len(level) > 1:
+            level = [sha(b"\1", level[i], level[i + 1]) for i in range(0, len(level), 2)]
+            out.append(level)
+        return out
+
+    nodes = integrity.merkle_nodes(leaves, by)
+    tops = {r.sequence: bytes(r.root) for r in integrity.merkle_tops(nodes, by).collect()}
+    assert tops == {s: levels(n, byte)[-1][0] for s, n in sizes.items()}
+    assert {r.sequence: bytes(r.root) for r in integrity.merkle_roots(leaves, by, 2048).collect()} == {s: levels(n, byte, 2048)[-1][0] for s, n in sizes.items()}
+    paths = integrity.merkle_paths(nodes, leaves.select(*by, "idx"), by).withColumn("got", integrity.path_root(F.col("leaf"), F.col("path"), F.col("idx"))).collect()
+    assert len(paths) == len(rows) and all(bytes(r.got) == bytes(r.root) == tops[r.sequence] and len(r.path) == (sizes[r.sequence] - 1).bit_length() for r in paths)
+    change = {(3, 1000), (5, 0), (5, 1), (5, 2047), (5, 4999), (2, 3), (0, 0)}
+    changed = integrity.merkle_changed(nodes, spark.createDataFrame([(0, s, i, b"new") for s, i in change], "aggregator_id long, sequence long, idx long, b binary"), by)
+    want = {s: levels(n, lambda i, s=s: b"new" if (s, i) in change else byte(i)) for s, n in sizes.items()}
+    got = {(r.sequence, r.level, r.idx): bytes(r.h) for r in changed.collect()}
+    assert len(got) == nodes.count() and all(want[s][level][i] == h for (s, level, i), h in got.items())
+    with pytest.raises(Exception, match="a leaf beyond"):
+        integrity.merkle_changed(nodes, spark.createDataFrame([(0, 2, 8, b"new")], "aggregator_id long, sequence long, idx long, b binary"), by)
+    few = spark.createDataFrame([(0, 0, i, bytes([i])) for i in range(6)], "aggregator_id long, sequence long, idx long, b binary")
+    for cut in (integrity.merkle_levels(few, by, 4)[-1], integrity.dense_trees(few, by, 4)):
+        with pytest.raises(Exception, match="a leaf beyond"):
+            cut.collect()
+    assert integrity.merkle_roots(few.where("false"), by).count() == 0
+
+
 def test_checkpoints_and_audit(chain):
     published = integrity.checkpoints(chain, 2)
     assert {(r.source_id, r["index"]) for r in published.collect()} == {(s, i) for s in (1, 2) for i in (2, 4)}
@@ -255,3 +292,99 @@ def test_facade_answers_all_kinds(spark, sf):
     assert run_query(tables, {"type": "samples_sum", "window": "2d", "end_ms": 1704067200000 + 5 * 86400000}).count() == 1
     exact, noisy = (run_query(tables, {"type": "samples_sum"}, dp=d, seed=5).first()["sum"] for d in (None, "laplace"))
     assert exact != noisy and run_query(tables, {"type": "samples_sum"}, dp="offset").first().dp_offset == 50
+
+
+def test_raw_requests_have_a_guard(spark, sf):
+    tables = epoch_summaries(tele_events(spark, sf))
+    n = tables["raw_events"].count()
+    request = {"type": "samples_raw_stats_key", "key": 0, "mask": 0}
+    assert run_query(tables, request, policy=privacy.Policy(enforce=False), max_events=n).count() == 1
+    with pytest.raises(wq.TooManyEvents, match=f"more than {n - 1} events"):
+        run_query(tables, request, policy=privacy.Policy(enforce=False), max_events=n - 1)
+
+
+def test_ranks_of_values_however_far_apart(spark):
+    r = random.Random(8)
+    values = [r.choice([r.getrandbits(64) - 2**63, r.randint(-5, 5), 2**63 - 1, -(2**63)]) for _ in range(500)]
+    counts = spark.createDataFrame([(v,) for v in values], "value long").groupBy("value").agg(F.count("*").alias("n"))
+    got = {x.q: x.value for x in wq.ranked_values(counts, spark.createDataFrame([(i, i) for i in range(1, 501)], "q int, rank long")).collect()}
+    assert got == dict(enumerate(sorted(values), 1))
+
+
+def test_reports_of_one_source_are_many_tasks_work(spark):
+    r = random.Random(6)
+    arrived = [r.choice([i, i, i, i + 2, 0, max(0, i - 1)]) for i in range(600)]
+    df = spark.createDataFrame([(1, s, i) for i, s in enumerate(arrived)], "source_id int, batch_seq long, arrival long").repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = [(x.expected, x.status) for x in batching.sequence_report(df).orderBy("arrival").collect()]
+        files = spark.createDataFrame([(f"f{k}", i) for k in range(3) for i in range(50 * (k + 1))], "file string, pos long")
+        keys = [x.order_key for x in batching.interleaved(files.repartition(5)).orderBy("order_key").collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want, top = [], None
+    for i, s in enumerate(arrived):
+        prev = arrived[i - 1] if i else None
+        want.append((None if prev is None else prev + 1, "first" if prev is None else "next" if s == prev + 1 else "gap" if s > prev + 1 else "restart" if s == 0 and top > 0 else "duplicate" if s == prev else "restart"))
+        top = s if top is None else max(top, s)
+    assert got == want
+    assert sorted(keys) == sorted(3 * i + k for k in range(3) for i in range(50 * (k + 1)))
+
+
+def test_digests_are_those_of_whole_values(spark):
+    """A group's bytes as they pass, over many Arrow batches, against one value."""
+    rows = [(a, s, i, b"%d." % i if i % 5 else None) for a, s, n in ((0, 0, 1), (0, 1, 0), (1, 0, 400), (2, 5, 33)) for i in range(n)]
+    df = spark.createDataFrame(rows, "aggregator_id long, sequence long, i long, b binary").repartition(6)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 16)
+    try:
+        got = {(r.aggregator_id, r.sequence): bytes(r.digest) for r in integrity.digested(df, ["aggregator_id", "sequence"], ["i"]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {}
+    for a, s, _, b in sorted(rows, key=lambda x: x[:3]):
+        want[a, s] = want.get((a, s), b"") + (b or b"")
+    assert got == {k: hashlib.sha256(v).digest() for k, v in want.items()}
+    assert integrity.digested(df.where("false"), ["sequence"], ["i"]).count() == 0
+
+
+def test_noise_by_key_is_the_same_however_rows_are_dealt(spark):
+    sums = spark.range(2000).select(F.col("id").alias("k"), F.lit(10**9).cast("long").alias("sum"))
+    a, b = ({r.k: r["sum"] for r in privacy.released(df, "sum", "samples_sum", seed=4, by=["k"]).collect()} for df in (sums.repartition(3), sums.repartition(11)))
+    assert a == b and len(set(a.values())) > 100
+    other = {r.k: r["sum"] for r in privacy.released(sums, "sum", "samples_sum", seed=5, by=["k"]).collect()}
+    assert sum(other[k] == v for k, v in a.items()) < 200
+    epsilon, sensitivity, _ = privacy.CALIBRATION["samples_sum"]
+    mean = sum(abs(v - 10**9) for v in a.values()) / len(a)
+    assert 0.8 < mean / (sensitivity / epsilon) < 1.2  # the mean size of Laplace noise is its scale
+    hidden = [privacy.released(sums, "sum", "samples_sum", by=["k"]).agg(F.sum("sum")).first()[0] for _ in range(2)]
+    assert hidden[0] != hidden[1]
+
+
+def test_ordered_replay_is_that_of_a_plain_loop(spark, sf):
+    """Slots after each epoch's events in order, over many Arrow batches; an epoch of most events among them."""
+    e = tele_events(spark, sf).withColumn("sequence", F.when(F.col("sequence") < 20, 0).otherwise(F.col("sequence")).cast("long")).withColumn("idx", F.col("event_id"))
+    hashed = e.select("*", hashing.sketch_cells(F.col("key"), keys.SKETCH_SEEDS, keys.SKETCH_COLUMNS).alias("cells"))
+    want = {}
+    for row in hashed.orderBy("aggregator_id", "sequence", "idx").collect():
+        table, slots = want.setdefault((row.aggregator_id, row.sequence), ({}, []))
+        cells = [(i, c["col"]) for i, c in enumerate(row.cells)]
+        for c in cells:
+            table[c] = table.get(c, 0) + row.value
+        est, key = min(table[c] for c in cells), bytes(row.key)
+        held = [s[0] for s in slots]
+        if key in held:
+            slots[held.index(key)][1] = max(slots[held.index(key)][1], est)
+        elif len(slots) < 5:
+            slots.append([key, est])
+        else:
+            least = min(range(5), key=lambda i: slots[i][1])
+            if est > slots[least][1]:
+                slots[least] = [key, est]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    try:
+        got = {}
+        for r in summaries.replayed_slots(e, 5).orderBy("slot").collect():
+            got.setdefault((r.aggregator_id, r.sequence), []).append([bytes(r.key), r.est])
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {k: v[1] for k, v in want.items()} and len(got) > 8

@@ -2,6 +2,7 @@
 
 import gzip
 import json
+import random
 import struct
 
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallybook.operators import integrity
 from tallybook.plans.telemetry import claimed_batches, tele_events
-from tallybook.sources import files, messages, tables
+from tallybook.sources import captures, files, messages, tables
 from tallybook.streaming import epochs
 
 
@@ -70,6 +71,53 @@ def test_captures(spark, tmp_path):
     assert sorted(r.problem for r in files.capture_report(got).where("problem is not null").collect()) == ["not a capture file", "truncated packet header"]
 
 
+@pytest.mark.parametrize("order", ["<", ">"])
+def test_captures_are_split_between_records(spark, tmp_path, order):
+    """Stretches of every size give each packet once, though records hold what looks like headers."""
+    r = random.Random(5)
+    decoy = struct.pack(order + "IIII", 0, 0, 40, 45)
+    frames = [ip(i, r.getrandbits(32)) + r.choice([b"", decoy, decoy * 3, r.randbytes(r.randint(0, 200)), bytes(40)]) for i in range(400)]
+    (tmp_path / "a.pcap").write_bytes(capture(101, *frames, order=order))
+    (tmp_path / "b.pcap").write_bytes(b"nothing at all, but longer than a header is")
+    (tmp_path / "c.pcap").write_bytes(capture(101, *frames[:9], order=order) + b"\0\0\0")
+    (tmp_path / "d.pcap.gz").write_bytes(gzip.compress(capture(101, *frames[:50], order=order)) + gzip.compress(b""))
+    (tmp_path / "e.pcap").write_bytes(b"")
+    whole = files.captures(spark, str(tmp_path)).where("problem is null").select("src_ip", "dst_ip", "length")
+    assert whole.count() == 459
+    for split in (1 << 20, 4000, 333):
+        got = captures.split_captures(spark, str(tmp_path), split)
+        assert got.rdd.getNumPartitions() >= 30_000 // split
+        found = got.where("problem is null").select("src_ip", "dst_ip", "length")
+        assert found.exceptAll(whole).count() == 0 and found.count() == 459
+        assert sorted((x.file[-6:], x.problem) for x in got.where("problem is not null").collect()) == [("b.pcap", "not a capture file"), ("c.pcap", "truncated packet header"), ("e.pcap", "not a capture file")]
+
+
+def test_captures_there_and_back(spark, tmp_path):
+    rows = spark.range(3000).select((F.col("id") % 3).alias("file"), (F.col("id") + 1_700_000_000).alias("second"), F.col("id").alias("src_ip"), (F.col("id") * 7).alias("dst_ip"), (F.col("id") % 90 + 20).alias("length"))
+    captures.write_captures(rows, str(tmp_path / "out"))
+    got = captures.split_captures(spark, str(tmp_path / "out"), 5000)
+    assert got.select("src_ip", "dst_ip", "length").exceptAll(rows.select("src_ip", "dst_ip", "length")).count() == 0 and got.count() == 3000 and got.rdd.getNumPartitions() > 12
+
+
+def test_files_are_chosen_and_reported(spark, tmp_path):
+    (tmp_path / "avg_cpu_machine_id_7.txt").write_text("10\t5\n11\t6\n")
+    (tmp_path / "avg_cpu_machine_id_8.txt").write_text("no\tnumbers\n")
+    (tmp_path / "avg_mem_machine_id_9.tsv").write_text("10\t1\n")
+    (tmp_path / "machine_3.txt").write_text("10\t1\n")
+    (tmp_path / "notes.md").write_text("10\t1\n")
+    (tmp_path / "other.txt").write_text("1\t1\n")
+    report = {r.path.rsplit("/", 1)[-1]: (r.events, r.problem) for r in files.file_report(spark, "tsv", str(tmp_path), max_files=2).collect()}
+    assert report == {
+        "avg_cpu_machine_id_7.txt": (2, None), "avg_cpu_machine_id_8.txt": (0, "no good line"), "avg_mem_machine_id_9.tsv": (0, "beyond the first 2 files"),
+        "machine_3.txt": (0, "no metric in the name"), "notes.md": (0, "another suffix"), "other.txt": (0, "no machine in the name"),
+    }
+    assert files.read_events(spark, "tsv", str(tmp_path), glob="*.tsv").count() == 1 and files.read_events(spark, "tsv", str(tmp_path), max_files=1).count() == 2
+    with pytest.raises(ValueError, match="no files"):
+        files.read_events(spark, "tsv", str(tmp_path), glob="*.md")
+    with pytest.raises(ValueError, match="unknown kind"):
+        files.read_events(spark, "other", str(tmp_path))
+
+
 def batch_rows(spark, sf):
     e = tele_events(spark, sf)
     from tallybook.plans.telemetry import batched
