@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tallybook.llm import packing, quality, secrets, simhash, toxicity
-from tallybook.llm.common import table, written
+from tallybook.llm.common import dropped, saved, table, tidied
 from tallybook.llm.entries import vocabulary
 
 
@@ -47,8 +47,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each reading what the one before has written."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents, each reading what the one before has written; a stage's input and its own tables go once its result is there."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        with tidied(spark):
+            docs = saved(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            dropped(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -9,8 +9,9 @@ may still be continued shares them. What it keeps is bounded by the longest toke
 A pre-token of at most `lookahead` symbols ends before any of its tokens is sure, so `word` runs the same steps over it
 whole; longer ones are streamed. Pre-tokens repeat, so encodings of short chunks are kept in tables of fixed size
 (KEPT_CHUNKS, KEPT_WORDS; nothing longer than KEPT_CHARS is kept, and what was not asked for lately goes). A text is
-read in stretches of some STRETCH characters cut at blanks, whose ids are digested and decoded before the next is read,
-so that beside the text itself memory stays the same however long it is.
+read in stretches of some STRETCH characters cut at white space, whose ids are digested and decoded before the next is
+read. Where there is no white space for so long, the tokens of the run leave the transducer STRETCH at a time. Beside the
+text itself, what is kept so stays the same however long it is, but for such a run's own pre-tokens.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import hashlib
 import json
 import unicodedata
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +31,7 @@ from pyspark.sql import functions as F
 
 #: White space as the vocabulary's patterns see it.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
+BREAK = regex.compile(f"[{SPACE}]")
 #: Fixed value: how the vocabulary cuts text into pre-tokens.
 PRE_TOKEN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
 #: Chunks and pre-tokens kept with their encoding (two generations of so many each), the longest worth keeping, and pairs of tokens kept.
@@ -182,10 +185,13 @@ class MergeList:
         # the token before the cut stays known: it decides what may follow
         return (self._back(last, meet), text[meet:], last[meet:]) if meet else ([], text, last)
 
+    def bytes_shown(self, pre: str) -> str:
+        """The symbols of a pre-token's bytes."""
+        return pre if pre.isascii() and pre.isprintable() else pre.encode("utf-8").decode("latin-1").translate(self.shown)
+
     def word(self, pre: str) -> list[str]:
         """Tokens of one pre-token. One that is no longer than the lookahead is held whole before any token is stable."""
-        if not (pre.isascii() and pre.isprintable()):
-            pre = pre.encode("utf-8").decode("latin-1").translate(self.shown)
+        pre = self.bytes_shown(pre)
         n, longest = len(pre), self.longest
         if n > self.lookahead:
             return list(self.stream(pre))
@@ -234,9 +240,10 @@ class MergeList:
             return [text[:-1], text[-1]]
         return PRE_TOKEN.findall(text)
 
-    def chunk(self, chunk: str) -> list[str]:
-        """Tokens of a piece of text without special tokens in it."""
-        return [token for pre in self.words(chunk) for token in self.word(pre)]
+    def chunk(self, chunk: str) -> Iterator[str]:
+        """Tokens of a piece of text without special tokens in it, those of long pre-tokens as they get sure."""
+        for pre in self.words(chunk):
+            yield from self.stream(self.bytes_shown(pre)) if len(pre) > self.lookahead else self.word(pre)
 
     def tokens(self, text: str) -> Iterator[str]:
         """Tokens of a whole text, special ones included."""
@@ -319,9 +326,15 @@ class Encoder:
         """Little-endian unsigned 32-bit ids of a whole text, a stretch of it at a time."""
         start = 0
         while start <= len(text):
-            end = text.find(" ", start + STRETCH)
-            end = len(text) if end < 0 else end
-            yield b"".join(map(self.chunks.__getitem__, text[start:end].split(" ")))
+            gap = BREAK.search(text, start + STRETCH)
+            end = gap.start() if gap else len(text)
+            stretch = text[start:end]
+            if len(stretch) <= 2 * STRETCH:
+                yield b"".join(map(self.chunks.__getitem__, stretch.split(" ")))
+            else:
+                tokens = self.merges.tokens(stretch)
+                while part := self._ids(islice(tokens, STRETCH)):
+                    yield part
             start = end + 1
 
 

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: Folders written since the innermost `tidied` began.
+_made: ContextVar[list | None] = ContextVar("made", default=None)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -46,9 +52,33 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     files, at = _folder(spark, path)
     files.deleteOnExit(at)
+    if (made := _made.get()) is not None:
+        made.append(at)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextlib.contextmanager
+def tidied(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what `written` makes within it; a result that is to stay is written by `saved`."""
+    made: list = []
+    before = _made.set(made)
+    try:
+        yield
+    finally:
+        _made.reset(before)
+        for at in made:
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """`written`, and kept beyond `tidied`."""
+    before = _made.set(None)
+    try:
+        return written(df, name)
+    finally:
+        _made.reset(before)
+
+
 def dropped(table: DataFrame) -> None:
     """Deletes a table that `written` gave and that nothing reads any more."""
     path = table.inputFiles()[0].rsplit("/", 1)[0] if table.inputFiles() else None
@@ -98,12 +128,22 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Colu
     return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y"))
 
 
+def joined(rows: DataFrame, ones: DataFrame, on: str | list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows joined with ones, which has one row for each value of `on`; the table to drop once the join is written).
+
+    ones is written first. Were it an aggregate in the join's own stage, Spark could not split a value that most rows
+    have; with two plain shuffles AQE does, and rows is to be a written table too.
+    """
+    held = written(ones, "ones")
+    return rows.join(held, on), held
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges(a, b): component is the smallest node reachable.
 
     Alternates large-star and small-star rounds over the edge table until it no longer changes. Each round is
-    two min-aggregations (combined before the shuffle) and two equi-joins that AQE may split where one node has
-    most of the edges; its result is written to the shared folder. Self links count as nodes of their own.
+    two min-aggregations (combined before the shuffle) and two joins on a node (`joined`), which split where one node
+    has most of the edges; its result is written to the shared folder. Self links count as nodes of their own.
     """
     def linked(e: DataFrame) -> DataFrame:
         return e.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -116,13 +156,14 @@ def components(edges: DataFrame) -> DataFrame:
     seen = mark(now)
     while seen[0]:
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = linked(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")))
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*")
+        met, least = joined(both, both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "a")
+        large = written(linked(met.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))), "edges")
+        met, low = joined(large, large.groupBy("a").agg(F.min("b").alias("m")), "a")
+        small = met.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*")
         before, now = now, written(linked(small), "edges")
         last, seen = seen, mark(now)
-        dropped(before)
+        for gone in (before, least, large, low):
+            dropped(gone)
         if last == seen:
             break
     return nodes.join(now.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").select("node", F.coalesce("root", "node").alias("component"))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallybook.llm.common import components, written
+from tallybook.llm.common import components, joined, written
 from tallybook.llm.embeddings import matrix, usable, width
 
 #: Cosine from which two vectors link; tables with up to two hashes; buckets visited besides a vector's own in each table.
@@ -228,8 +228,8 @@ def _named(numbered: DataFrame) -> DataFrame:
     named = components(met.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
     # classes come with numbers of their own; a component's name is the smallest id in it
     of_class = written(classes.select("rep", "h1", "h2", "least", "copies").join(counts, "rep", "left").join(named, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "of class")
-    names = of_class.groupBy("component").agg(F.min("least").alias("name"))
-    told = of_class.join(names, "component").select("h1", "h2", F.col("name").alias("component"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    met, _ = joined(of_class, of_class.groupBy("component").agg(F.min("least").alias("name")), "component")
+    told = met.select("h1", "h2", F.col("name").alias("component"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
     of_row = vectors.select("row", *_hashed()).join(told, ["h1", "h2"]).select("row", "component", "n_links")
     return rows.select("row", "vec_id").join(of_row, "row", "left").select(
         "row", "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),

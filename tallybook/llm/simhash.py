@@ -26,11 +26,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallybook.llm.common import components, written
+from tallybook.llm.common import components, joined, written
 
 #: Seed of the shingle hash; words per shingle; bits that two linked fingerprints may differ in.
 SEED, WORDS, MAX_BITS = 42, 3, 2
-#: Members of one variant up to which pairs are joined as rows; above, blocks of BLOCK members are compared in numpy.
+#: Members of one variant up to which pairs are joined as rows; above, up to BLOCK members are compared in numpy at once.
 PAIR_JOIN, BLOCK = 32, 1024
 #: Fingerprints looked at for crowded variants about, and how many of them make one. This decides where a variant's members are compared, not whether.
 LOOKED_AT, CROWDED = 20_000, 64
@@ -114,18 +114,27 @@ def links(distinct: DataFrame) -> DataFrame:
     held = written(few.unionByName(variants.join(counted, "key").select("key", "n", "rep", "fp")), "members")
     pairs = held.where("n = 2").groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("b"), F.bit_xor("fp").alias("x")).where(f"bit_count(x) <= {MAX_BITS}").select("a", "b")
     more = held.where("n > 2")
-    few = more.where(f"n <= {PAIR_JOIN}").select("key", "rep", "fp")
-    joined = (
-        few.alias("l").join(few.alias("r"), "key")
+    # a variant of more than a block is split by what its members' other segment holds in each third: of at most two
+    # bits that differ one third at least has none, so every link is within a part, and members are copied three times
+    whole = more.where(f"n <= {BLOCK}").selectExpr("key", "-1 as third", "0L as part", "n", "rep", "fp")
+    other = "shiftrightunsigned(fp, 32 - 32 * cast(shiftright(key, 32) div 32 as int)) & 4294967295L"
+    thirds = more.where(f"n > {BLOCK}").select("key", "rep", "fp", F.explode(F.array(*map(F.lit, range(3)))).alias("third"), F.expr(other).alias("other"))
+    thirds = thirds.selectExpr("key", "third", "shiftright(other, 11 * third) & 2047 as part", "rep", "fp")
+    by = ["key", "third", "part"]
+    split, _ = joined(thirds, thirds.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1"), by)
+    places = whole.unionByName(written(split, "parts"))
+    few = places.where(f"n <= {PAIR_JOIN}").select(*by, "rep", "fp")
+    met = (
+        few.alias("l").join(few.alias("r"), by)
         .where(f"l.rep < r.rep and bit_count(l.fp ^ r.fp) <= {MAX_BITS}").select(F.col("l.rep").alias("a"), F.col("r.rep").alias("b"))
     )
     # many members: blocks of about BLOCK, each pair of blocks a group of its own
-    many = more.where(f"n > {PAIR_JOIN}").withColumn("nb", F.expr(f"cast(ceil(n / {BLOCK}.0) as int)")).withColumn("i", F.expr("cast(pmod(xxhash64(fp), nb) as int)"))
-    blocked = many.select("key", "rep", "fp", "i", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("j")).select(
-        "key", "rep", "fp", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), F.when(F.col("i") <= F.col("j"), 0).otherwise(1).alias("side")
+    many = places.where(f"n > {PAIR_JOIN}").withColumn("nb", F.expr(f"cast(ceil(n / {BLOCK}.0) as int)")).withColumn("i", F.expr("cast(pmod(xxhash64(fp), nb) as int)"))
+    blocked = many.select(*by, "rep", "fp", "i", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("j")).select(
+        *by, "rep", "fp", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), F.when(F.col("i") <= F.col("j"), 0).otherwise(1).alias("side")
     )
-    blocks = blocked.groupBy("key", "i", "j").applyInPandas(_close, "a long, b long")
-    return pairs.unionByName(joined).unionByName(blocks).distinct()
+    blocks = blocked.groupBy(*by, "i", "j").applyInPandas(_close, "a long, b long")
+    return pairs.unionByName(met).unionByName(blocks).distinct()
 
 
 def _components(found: DataFrame) -> DataFrame:
@@ -136,8 +145,8 @@ def _components(found: DataFrame) -> DataFrame:
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     distinct = written(found.groupBy("fp").agg(F.count("*").alias("n"), F.min(first).alias("first")), "distinct")
     linked = written(components(links(distinct.select(F.col("fp").alias("rep"), "fp"))).join(distinct, F.col("node") == F.col("fp")).select("fp", "component", F.col("first.doc_id").alias("least")), "linked")
-    names = linked.groupBy("component").agg(F.min("least").alias("name"))
-    named = linked.join(names, "component").select("fp", "component", "name")
+    met, _ = joined(linked, linked.groupBy("component").agg(F.min("least").alias("name")), "component")
+    named = met.select("fp", "component", "name")
     return written(distinct.join(named, "fp", "left").select("fp", "n", "first", F.coalesce("component", "fp").alias("root"), F.coalesce("name", "first.doc_id").alias("component_id")), "components")
 
 

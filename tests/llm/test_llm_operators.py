@@ -15,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallybook.llm import ann, bpe, embed_dedup, langid, packing, quality, secrets, simhash, token_counts, toxicity
-from tallybook.llm.common import components, labelled_sample
+from tallybook.llm.common import components, dropped, joined, labelled_sample, written
 from tallybook.llm.entries import vocabulary
 
 DOCS = "doc_id long, text string, lang string, key string, score double"
@@ -52,6 +52,26 @@ def test_components_of_chains_stars_and_loops(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_joins_on_a_hub_are_split(spark):
+    """A node with most of the edges is several tasks' work, not one's."""
+    small = {"autoBroadcastJoinThreshold": "-1", "adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k", "adaptive.advisoryPartitionSizeInBytes": "64k", "shuffle.partitions": "16"}
+    before = {k: spark.conf.get(f"spark.sql.{k}") for k in small}
+    for k, v in small.items():
+        spark.conf.set(f"spark.sql.{k}", v)
+    try:
+        star = written(spark.range(1, 400_001, numPartitions=8).select(F.when(F.col("id") % 50 == 0, F.col("id")).otherwise(0).alias("a"), F.col("id").alias("b")), "star")
+        met, held = joined(star, star.groupBy("a").agg(F.min("b").alias("m")), "a")
+        total = met.agg(F.count("m").alias("n"), F.sum("b").alias("s"))
+        assert total.collect()[0].n == 400_000
+        assert "skew=true" in total._jdf.queryExecution().executedPlan().toString()
+        dropped(held)
+        edges = spark.range(1, 60_001, numPartitions=8).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"))
+        assert components(edges).where("component = 0").count() == 60_001
+    finally:
+        for k, v in before.items():
+            spark.conf.set(f"spark.sql.{k}", v)
+
+
 # --- simhash ------------------------------------------------------------------------------------------------------
 def by_hand(text):
     import xxhash
@@ -81,10 +101,12 @@ def test_simhash_is_brute_force(spark, texts, monkeypatch, copies):
     assert simhash.near_duplicates(empty(spark)).count() == 0
 
 
-@pytest.mark.parametrize("crowded", [8, 1 << 30])
-def test_simhash_links_crowded_variants(spark, monkeypatch, crowded):
-    """More fingerprints in a variant than are joined as pairs: blocks find the same components, whether it is known as crowded or not."""
+@pytest.mark.parametrize(("crowded", "block", "pairs"), [(8, 1024, 32), (1 << 30, 1024, 32), (8, 16, 8), (8, 16, 32)])
+def test_simhash_links_crowded_variants(spark, monkeypatch, crowded, block, pairs):
+    """More fingerprints in a variant than are joined as pairs, or than one block takes: the same components, whether it is known as crowded or not."""
     monkeypatch.setattr(simhash, "CROWDED", crowded)
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "PAIR_JOIN", pairs)
     r = random.Random(3)
     base = r.getrandbits(64)
     prints = {base ^ (1 << a) ^ (1 << b) for a in range(0, 40, 3) for b in range(1, 64, 5)} | {r.getrandbits(64) for _ in range(30)}
@@ -174,6 +196,18 @@ def test_bpe_reads_stretches_and_restores_bytes(spark, texts, library, monkeypat
     assert [r.restored_sha256 for r in rows if r.doc_id and r.n_tokens > 1] == [hashlib.sha256("größe 😀 ".encode()).hexdigest()] * 2
 
 
+def test_bpe_cuts_stretches_at_any_white_space(library, monkeypatch):
+    """Texts with line breaks alone, with every kind of white space, and with none at all go a stretch at a time."""
+    of = bpe.encoder(vocabulary("word_bpe_49k.json"))
+    monkeypatch.setattr(bpe, "STRETCH", 500)
+    word = prose(4, 40).replace(" ", "")
+    texts = [prose(3, 900).replace(" ", "\n"), *(prose(n, 400).replace(" ", c) for n, c in enumerate(bpe.SPACE)), word * 40, "中文字" * 2000, f"{word * 9}<|endoftext|>é\u0301{word * 9} \u0301b\n\u0301c"]
+    for t in texts:
+        parts = list(of.stretches(t))
+        assert len(parts) > 1 and max(map(len, parts)) <= 4 * 1200
+        assert np.frombuffer(b"".join(parts), dtype="<u4").tolist() == library.encode(t, add_special_tokens=False).ids
+
+
 def test_bpe_streams_long_words_in_constant_memory(library):
     merges = bpe.encoder(vocabulary("word_bpe_49k.json")).merges
     r = random.Random(5)

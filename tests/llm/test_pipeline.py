@@ -1,7 +1,10 @@
 """The pipeline's stages against what their operators say of the same rows."""
 
+from pathlib import Path
+
 import corpus_pipeline as p
 from tallybook.llm import quality, simhash, toxicity
+from tallybook.llm.common import shared_dir
 
 
 def test_stages_keep_columns_and_decide(spark, sf):
@@ -25,5 +28,18 @@ def test_stages_keep_columns_and_decide(spark, sf):
     assert packed.select("doc_id").distinct().count() == safe.count()
 
 
+def test_stages_leave_no_tables_behind(spark, sf):
+    """Of the stages before the last only the result of the fourth is still there."""
+    here = Path(shared_dir(spark).removeprefix("file:"))
+    before = {x.name for x in here.iterdir()} if here.exists() else set()
+    packing, p.STAGES[-1] = p.STAGES[-1], ("packing", lambda spark, docs, sf_dir: docs)
+    try:
+        rows = p.run(spark, sf)
+        assert [x.name.rsplit("-", 1)[0] for x in here.iterdir() if x.name not in before] == ["secrets"]
+        assert rows.count() > 0
+    finally:
+        p.STAGES[-1] = packing
+
+
 def test_run_gives_the_last_stage(spark, sf):
     assert set(p.run(spark, sf).columns) >= {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"}
