@@ -40,11 +40,14 @@ def parted(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
 def ranged(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     """df, written, with nth: its place from 0 in order within `by` (columns without nulls).
 
-    Rows are dealt by ranges of (by, order), each numbered from where the counts of those before it end, so that one
-    `by` with most of the rows is many tasks' work.
+    Rows are dealt by ranges of (by, order) and numbered as they are written, so that one `by` with most of the rows is
+    many tasks' work. What is added to a row's number is where its range starts within `by`, less where `by` starts in
+    its range: one row for each `by` and range, written as well, so that its join is planned by its real size.
     """
-    parts = parted(df, by, order)
+    own = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # a row's place in its partition
+    sorted_ = df.repartitionByRange(*map(F.col, by), *order).sortWithinPartitions(*map(F.col, by), *order)
+    parts = written(sorted_.withColumn("part", F.spark_partition_id()).withColumn("nth", own), "parts")
     before = Window.partitionBy(*by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = parts.groupBy(*by, "part").agg(F.count("*").alias("c")).select(*by, "part", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("start"))
-    inside = Window.partitionBy(*by, "part").orderBy(*order)
-    return parts.join(starts, [*by, "part"]).withColumn("nth", F.col("start") + F.row_number().over(inside) - 1).drop("start", "part")
+    spans = parts.groupBy(*by, "part").agg(F.count("*").alias("c"), F.min("nth").alias("first"))
+    starts = written(spans.select(*by, "part", (F.coalesce(F.sum("c").over(before), F.lit(0)) - F.col("first")).alias("start")), "starts")
+    return parts.join(starts, [*by, "part"]).withColumn("nth", F.col("start") + F.col("nth")).drop("start", "part")
