@@ -7,11 +7,13 @@ place of the latest of its slice if need be; where fewer sources are ready it wa
 which let it leave with what there is, so that no batch waits for ever.
 
 State holds waiting batches, and the places of those that are ready; the checkpoint holds offsets and state, so a
-restart goes on where the last committed micro-batch ended.
+restart goes on where the last committed micro-batch ended. Batches that leave with the micro-batch they came in never
+touch the state: an aggregator's task holds those of one micro-batch, packed.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -60,6 +62,32 @@ def picked(ready: list[tuple[int, int, int]], threshold: int, min_sources: int,
     return now
 
 
+def drawn(ready: list[tuple[int, int, int]], threshold: int, min_sources: int, partial: bool) -> Iterator[list[tuple[int, int, int]]]:
+    """The epochs that `picked` gives one after the other, in time that grows with the batches, not with batches times epochs."""
+    by_source: dict[int, list[tuple[int, int]]] = {}
+    for ingest, source, seq in ready:
+        by_source.setdefault(source, []).append((seq, ingest))
+    for batches in by_source.values():
+        batches.sort()
+    if min_sources <= 1:
+        # an epoch is the next slice of one line, whose order stays as epochs leave
+        line = sorted((at, source, seq) for source, batches in by_source.items() for (seq, _), at in zip(batches, accumulate((ingest for _, ingest in batches), max), strict=True))
+        for first in range(0, len(line), threshold):
+            if first + threshold <= len(line) or partial:
+                yield line[first: first + threshold]
+        return
+    # an epoch takes the first batches of each source: `threshold` of each are enough to pick from
+    gone = dict.fromkeys(by_source, 0)
+    while now := picked([(ingest, source, seq) for source, batches in by_source.items() for seq, ingest in batches[gone[source]: gone[source] + threshold]], threshold, min_sources, partial):
+        for _, source, _ in now:
+            gone[source] += 1
+        yield now
+
+
+#: Rows of a frame of epochs, about.
+FRAME_ROWS = 2048
+
+
 class EpochAssigner(StatefulProcessor):
     """One aggregator's epochs. force: every ready batch leaves with its micro-batch (drain runs); else partial epochs leave by timer, or without a timeout wait until they are full."""
 
@@ -76,31 +104,32 @@ class EpochAssigner(StatefulProcessor):
         self.ready = handle.getMapState("ready", "source_id int, batch_seq long", "ingest_time_ms long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        came = set()
+        came: dict[tuple[int, int], tuple[int, bytes, bytes]] = {}
+        expected, stored = {}, next(iter(self.waiting.iterator()), None) is not None
         for pdf in rows:
-            for r in pdf.itertuples(index=False):
-                at = (int(r.source_id), int(r.batch_seq))
-                if at[1] >= self._of(self.expected, at[0]) and not self.waiting.containsKey(at):
-                    events = [(bytes(e["key"]), int(e["value"]), int(e["ts"])) for e in r.events]
-                    self.waiting.updateValue(at, (int(r.ingest_time_ms), bytes(r.batch_hash), events))
-                    came.add(at)
+            for source, seq, ingest, digest, events in zip(*(pdf[c] for c in ("source_id", "batch_seq", "ingest_time_ms", "batch_hash", "events")), strict=True):
+                at = (int(source), int(seq))
+                if at[0] not in expected:
+                    expected[at[0]] = self._of(self.expected, at[0])
+                if at[1] >= expected[at[0]] and at not in came and not (stored and self.waiting.containsKey(at)):
+                    came[at] = (int(ingest), bytes(digest), pickle.dumps([(bytes(e["key"]), int(e["value"]), int(e["ts"])) for e in events]))
         if self.allow_gaps:
-            for at in came:
-                self.ready.updateValue(at, (int(self.waiting.getValue(at)[0]),))
+            fresh = {at: batch[0] for at, batch in came.items()}
         else:
+            fresh = {}
             for source in sorted({s for s, _ in came}):
-                end = begun = max(self._of(self.run_end, source), self._of(self.expected, source))
-                while self.waiting.containsKey((source, end)):
-                    self.ready.updateValue((source, end), (int(self.waiting.getValue((source, end))[0]),))
+                end = begun = max(self._of(self.run_end, source), expected[source])
+                while (at := (source, end)) in came or stored and self.waiting.containsKey(at):
+                    fresh[at] = came[at][0] if at in came else int(self.waiting.getValue(at)[0])
                     end += 1
                 if end != begun:
                     self.run_end.updateValue((source,), (end,))
-        yield from self._leave(key, self.force)
+        yield from self._leave(key, self.force, came, fresh)
         self._arm(timerValues)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.deadline.clear()
-        yield from self._leave(key, True)
+        yield from self._leave(key, True, {}, {})
         self._arm(timerValues)
 
     def close(self) -> None:
@@ -116,24 +145,48 @@ class EpochAssigner(StatefulProcessor):
     def _of(self, state, source: int) -> int:
         return int(state.getValue((source,))[0]) if state.containsKey((source,)) else 0
 
-    def _leave(self, key, partial: bool) -> Iterator[pd.DataFrame]:
-        ready = [(int(value[0]), int(at[0]), int(at[1])) for at, value in self.ready.iterator()]
-        while now := picked(ready, self.threshold, self.min_sources, partial):
-            gone = {x[1:] for x in now}
-            ready = [x for x in ready if x[1:] not in gone]
-            epoch = int(self.next_epoch.get()[0]) if self.next_epoch.exists() else 0
-            out = []
-            for source, seq in sorted(gone):
-                ingest, digest, events = self.waiting.getValue((source, seq))
-                out.append((key[0], epoch, source, seq, ingest, digest, [{"key": e[0], "value": e[1], "ts": e[2]} for e in events]))
-                self.waiting.removeKey((source, seq))
-                self.ready.removeKey((source, seq))
-                self.expected.updateValue((source,), (max(self._of(self.expected, source), seq + 1),))
-            self.next_epoch.update((epoch + 1,))
+    def _leave(self, key, partial: bool, came: dict[tuple[int, int], tuple[int, bytes, bytes]], fresh: dict[tuple[int, int], int]) -> Iterator[pd.DataFrame]:
+        """Epochs of what is ready; what came and doesn't leave, and the places of fresh ready ones, are put into the state after that."""
+        ready = {(int(at[0]), int(at[1])): int(value[0]) for at, value in self.ready.iterator()}
+        old = set(ready)
+        ready |= fresh
+        epoch = begun = int(self.next_epoch.get()[0]) if self.next_epoch.exists() else 0
+        upto: dict[int, int] = {}
+        out = []
+        for now in drawn([(ingest, *at) for at, ingest in ready.items()], self.threshold, self.min_sources, partial):
+            for at in sorted(x[1:] for x in now):
+                batch = came.pop(at, None)
+                if batch is None:
+                    ingest, digest, events = self.waiting.getValue(at)
+                    self.waiting.removeKey(at)
+                else:
+                    ingest, digest, events = batch[0], batch[1], pickle.loads(batch[2])
+                out.append((key[0], epoch, *at, ingest, digest, [{"key": e[0], "value": e[1], "ts": e[2]} for e in events]))
+                if at in old:
+                    self.ready.removeKey(at)
+                del ready[at]
+                upto[at[0]] = max(upto.get(at[0], 0), at[1] + 1)
+            epoch += 1
+            if len(out) >= FRAME_ROWS:
+                yield self._frame(out)
+                out = []
+        if out:
+            yield self._frame(out)
+        for source, next_seq in upto.items():
+            self.expected.updateValue((source,), (max(self._of(self.expected, source), next_seq),))
+        for at, (ingest, digest, events) in came.items():
+            self.waiting.updateValue(at, (ingest, digest, pickle.loads(events)))
+        for at in fresh:
+            if at in ready:
+                self.ready.updateValue(at, (ready[at],))
+        if epoch != begun:
+            self.next_epoch.update((epoch,))
             if self.deadline.exists():  # what is still ready waits from now on
                 self.handle.deleteTimer(int(self.deadline.get()[0]))
                 self.deadline.clear()
-            yield pd.DataFrame(out, columns=["aggregator_id", "sequence", "source_id", "batch_seq", "ingest_time_ms", "batch_hash", "events"])
+
+    def _frame(self, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["aggregator_id", "sequence", "source_id", "batch_seq", "ingest_time_ms", "batch_hash", "events"])
 
 
 def epochs(batches: DataFrame, aggregators: int, timers: bool = False, force: bool | None = None, **settings) -> DataFrame:
