@@ -279,7 +279,7 @@ def windowed_samples(events: DataFrame, window: str, delay: str, slide: str | No
 
 
 def sessions(events: DataFrame, gap: str, delay: str) -> DataFrame:
-    """Per session and key: sum and count; a session ends after `gap` without an event."""
+    """Per session and key: sum and count; a session ends after `gap` without an event; one that comes just `gap` after the last still belongs to it."""
     return events.withWatermark("event_time", delay).groupBy(F.session_window("event_time", gap).alias("w"), "key").agg(F.sum("value").alias("sum"), F.count("*").alias("count")).select(F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "key", "sum", "count")
 
 
