@@ -71,7 +71,8 @@ def estimates(cells: DataFrame, keys: DataFrame, by: list[str] = EPOCH) -> DataF
     """(by, key, est): the least of each key's cells; a cell that the sketch lacks counts 0. keys has the columns of by, and key."""
     distinct = keys.select(*by, "key").distinct()
     if by:
-        found = with_cells(distinct).join(cells, [*by, "row", "col"], "left")
+        # cells grow with the epochs: never broadcast, which would pass them through the driver
+        found = with_cells(distinct).join(cells.hint("merge"), [*by, "row", "col"], "left")
         return found.groupBy(*by, "key").agg(F.min(F.coalesce("n", F.lit(0))).alias("est"))
     # one sketch: at most rows x columns cells, whatever the table
     found = with_cells(distinct).join(F.broadcast(cells), ["row", "col"], "left")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,16 +85,24 @@ def epoch_summaries(events: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-#: Stores of this process: (application, folder of tables) -> store.
-_STORES: dict[tuple[str, str], EpochStore] = {}
+#: Stores of this process, and the epoch types that they hold: (application, folder of tables) -> (store, types).
+_STORES: dict[tuple[str, str], tuple[EpochStore, set[str]]] = {}
+
+#: The epoch type that each stored table is complete with.
+TYPE_OF = {"epoch_header": "samples_epoch", "samples_entries": "samples_epoch", "raw_events": "samples_epoch", "hist_cells": "histogram_epoch", "hist_keys": "histogram_epoch", "cm_cells": "sketch_epoch", "cm_slots": "slots_epoch"}
+#: The epoch types, each after those that it is made from.
+TYPES = ("histogram_epoch", "sketch_epoch", "slots_epoch", "samples_epoch")
 
 
-def stored(spark: SparkSession, sf_dir: str, path: str | None = None) -> EpochStore:
-    """The summaries of a folder's events as a store, written once for each application (or to a path of one's own)."""
+def stored(spark: SparkSession, sf_dir: str, path: str | None = None, types: Iterable[str] = TYPES) -> EpochStore:
+    """The summaries of a folder's events as a store that holds these epoch types, each written once for each application (or to a path of one's own)."""
     known = spark.sparkContext.applicationId, sf_dir
-    if path is None and known in _STORES:
-        return _STORES[known]
-    store = EpochStore(spark, path or f"{shared_dir(spark)}/summaries-{hashlib.md5(sf_dir.encode()).hexdigest()}")
+    store, held = _STORES.get(known, (None, set())) if path is None else (None, set())
+    if store is None:
+        store = EpochStore(spark, path or f"{shared_dir(spark)}/summaries-{hashlib.md5(sf_dir.encode()).hexdigest()}")
+    wanted = {*types, *(("sketch_epoch",) if "slots_epoch" in types else ())}  # slots are ranked by the cells that were written
+    if wanted <= held:
+        return store
     e = tele_events(spark, sf_dir)
     raw = batched(e).withColumn("idx", F.struct("source_id", "batch_seq", "pos"))
     header = summaries.headers(raw).persist()
@@ -103,21 +112,32 @@ def stored(spark: SparkSession, sf_dir: str, path: str | None = None) -> EpochSt
         with_numbers = rows.withColumns({"key_hi": key_hi(F.col("key")), "key_lo": key_lo(F.col("key"))})
         return with_numbers.sortWithinPartitions("aggregator_id", "sequence", "key_hi", "key_lo")
 
-    store.commit("histogram_epoch", {"hist_cells": keyed(summaries.histogram_cells(e)), "hist_keys": keyed(summaries.histogram_keys(e)), "epoch_header": header.withColumn("epoch_type", F.lit("histogram_epoch"))})
-    store.commit("sketch_epoch", {"cm_cells": summaries.sketch_cells_table(e), "epoch_header": header.withColumn("epoch_type", F.lit("sketch_epoch"))})
-    # slots are ranked by the cells that were written
-    store.commit("slots_epoch", {"cm_slots": summaries.ranked_slots(e, store.read("cm_cells", "sketch_epoch")), "epoch_header": header.withColumn("epoch_type", F.lit("slots_epoch"))})
-    store.commit("samples_epoch", {"samples_entries": keyed(summaries.samples(e)), "raw_events": raw.sortWithinPartitions("aggregator_id", "sequence", "key_lo"), "epoch_header": header})
+    tables = {
+        "histogram_epoch": lambda: {"hist_cells": keyed(summaries.histogram_cells(e)), "hist_keys": keyed(summaries.histogram_keys(e))},
+        "sketch_epoch": lambda: {"cm_cells": summaries.sketch_cells_table(e)},
+        "slots_epoch": lambda: {"cm_slots": summaries.ranked_slots(e, store.read("cm_cells", "sketch_epoch"))},
+        "samples_epoch": lambda: {"samples_entries": keyed(summaries.samples(e)), "raw_events": raw.sortWithinPartitions("aggregator_id", "sequence", "key_lo")},
+    }
+    for kind in TYPES:
+        if kind in wanted - held:
+            store.commit(kind, {**tables[kind](), "epoch_header": header.withColumn("epoch_type", F.lit(kind))})
+            held.add(kind)
     header.unpersist()
     if path is None:
-        _STORES[known] = store
+        _STORES[known] = store, held
     return store
 
 
-#: The epoch type that each stored table is complete with.
-TYPE_OF = {"epoch_header": "samples_epoch", "samples_entries": "samples_epoch", "raw_events": "samples_epoch", "hist_cells": "histogram_epoch", "hist_keys": "histogram_epoch", "cm_cells": "sketch_epoch", "cm_slots": "slots_epoch"}
+def types_of(kind: str) -> tuple[str, ...]:
+    """The epoch types that a request of this type is answered from."""
+    if kind.startswith("histogram"):
+        return ("histogram_epoch",)
+    if kind.startswith("cm"):
+        return ("sketch_epoch", "slots_epoch") if kind == "cm_topk" else ("sketch_epoch",)
+    return ("samples_epoch",)
 
 
-def stored_tables(store: EpochStore) -> dict[str, DataFrame]:
-    """All summary tables of a store, as the facade takes them."""
-    return {name: store.read(name, kind) for name, kind in TYPE_OF.items()}
+def stored_tables(store: EpochStore, types: Iterable[str] = TYPES) -> dict[str, DataFrame]:
+    """The summary tables of these epoch types in a store, as the facade takes them."""
+    header = "samples_epoch" if "samples_epoch" in types else min(types)
+    return {"epoch_header": store.read("epoch_header", header), **{name: store.read(name, kind) for name, kind in TYPE_OF.items() if kind in types and name != "epoch_header"}}
