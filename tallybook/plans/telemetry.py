@@ -7,10 +7,11 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tallybook.functions.keys import be, key_from_u64, key_hi, key_lo, zeros
 from tallybook.operators import batching, integrity, summaries
-from tallybook.sources.shared import shared_dir
+from tallybook.sources.shared import shared_dir, written
 from tallybook.sources.tables import EpochStore
 
 SOURCES, AGGREGATORS = 8, 4
@@ -44,6 +45,22 @@ def batched(events: DataFrame, order: tuple[str, ...] = ("ts", "event_id")) -> D
     return batching.with_batches(events, list(order), slice_="sequence")
 
 
+def epoch_headers(events: DataFrame) -> DataFrame:
+    """What summaries.headers gives of `batched` events, from counts: no event is numbered.
+
+    A source has one aggregator and an epoch is a slice, so that a source's events of an epoch follow each other: where
+    they start and end says which batches they lie in.
+    """
+    per = events.groupBy(*summaries.EPOCH, "source_id").agg(F.min("ts").alias("min_ts"), F.max("ts").alias("max_ts"), F.max("ingest_time_ms").alias("ingest_time_ms"), F.count("*").alias("c"))
+    before = Window.partitionBy("source_id").orderBy("sequence").rowsBetween(Window.unboundedPreceding, -1)
+    placed = per.withColumn("start", F.coalesce(F.sum("c").over(before), F.lit(0)))  # one row for each source and epoch
+    n_batches = F.expr(f"(start + c - 1) div {batching.BATCH_EVENTS} - start div {batching.BATCH_EVENTS} + 1")
+    return placed.groupBy(*summaries.EPOCH).agg(
+        F.min("min_ts").alias("min_ts"), F.max("max_ts").alias("max_ts"), F.max("ingest_time_ms").alias("ingest_time_ms"), F.sum("c").alias("n_events"),
+        F.sum(n_batches).alias("n_batches"), F.count("*").alias("n_sources"),
+    ).withColumn("epoch_type", F.lit("samples_epoch"))
+
+
 def claimed_batches(events: DataFrame, order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
     """(source_id, batch_seq, commit, prev_hash, batch_hash) of the events' batches."""
     return integrity.chained(integrity.committed(events, list(order), "sequence"))
@@ -85,27 +102,26 @@ def epoch_summaries(events: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-#: Stores of this process, and the epoch types that they hold: (application, folder of tables) -> (store, types).
-_STORES: dict[tuple[str, str], tuple[EpochStore, set[str]]] = {}
+#: Stores of this process, the epoch types that they hold, and the headers: (application, folder of tables) -> (store, types, headers).
+_STORES: dict[tuple[str, str], tuple[EpochStore, set[str], DataFrame | None]] = {}
 
 #: The epoch type that each stored table is complete with.
-TYPE_OF = {"epoch_header": "samples_epoch", "samples_entries": "samples_epoch", "raw_events": "samples_epoch", "hist_cells": "histogram_epoch", "hist_keys": "histogram_epoch", "cm_cells": "sketch_epoch", "cm_slots": "slots_epoch"}
+TYPE_OF = {"epoch_header": "samples_epoch", "samples_entries": "samples_epoch", "raw_events": "raw_epoch", "hist_cells": "histogram_epoch", "hist_keys": "histogram_epoch", "cm_cells": "sketch_epoch", "cm_slots": "slots_epoch"}
 #: The epoch types, each after those that it is made from.
-TYPES = ("histogram_epoch", "sketch_epoch", "slots_epoch", "samples_epoch")
+TYPES = ("histogram_epoch", "sketch_epoch", "slots_epoch", "samples_epoch", "raw_epoch")
 
 
 def stored(spark: SparkSession, sf_dir: str, path: str | None = None, types: Iterable[str] = TYPES) -> EpochStore:
     """The summaries of a folder's events as a store that holds these epoch types, each written once for each application (or to a path of one's own)."""
     known = spark.sparkContext.applicationId, sf_dir
-    store, held = _STORES.get(known, (None, set())) if path is None else (None, set())
+    store, held, header = (_STORES.get(known) if path is None else None) or (None, set(), None)
     if store is None:
         store = EpochStore(spark, path or f"{shared_dir(spark)}/summaries-{hashlib.md5(sf_dir.encode()).hexdigest()}")
     wanted = {*types, *(("sketch_epoch",) if "slots_epoch" in types else ())}  # slots are ranked by the cells that were written
     if wanted <= held:
         return store
     e = tele_events(spark, sf_dir)
-    raw = batched(e).withColumn("idx", F.struct("source_id", "batch_seq", "pos"))
-    header = summaries.headers(raw).persist()
+    header = written(epoch_headers(e), "headers") if header is None else header
 
     def keyed(rows: DataFrame) -> DataFrame:
         """With the numbers of the key and in its order, so that scans for keys and epochs skip most of a file."""
@@ -116,15 +132,15 @@ def stored(spark: SparkSession, sf_dir: str, path: str | None = None, types: Ite
         "histogram_epoch": lambda: {"hist_cells": keyed(summaries.histogram_cells(e)), "hist_keys": keyed(summaries.histogram_keys(e))},
         "sketch_epoch": lambda: {"cm_cells": summaries.sketch_cells_table(e)},
         "slots_epoch": lambda: {"cm_slots": summaries.ranked_slots(e, store.read("cm_cells", "sketch_epoch"))},
-        "samples_epoch": lambda: {"samples_entries": keyed(summaries.samples(e)), "raw_events": raw.sortWithinPartitions("aggregator_id", "sequence", "key_lo")},
+        "samples_epoch": lambda: {"samples_entries": keyed(summaries.samples(e))},
+        "raw_epoch": lambda: {"raw_events": batched(e).withColumn("idx", F.struct("source_id", "batch_seq", "pos")).sortWithinPartitions("aggregator_id", "sequence", "key_lo")},
     }
     for kind in TYPES:
         if kind in wanted - held:
             store.commit(kind, {**tables[kind](), "epoch_header": header.withColumn("epoch_type", F.lit(kind))})
             held.add(kind)
-    header.unpersist()
     if path is None:
-        _STORES[known] = store, held
+        _STORES[known] = store, held, header
     return store
 
 
@@ -134,7 +150,7 @@ def types_of(kind: str) -> tuple[str, ...]:
         return ("histogram_epoch",)
     if kind.startswith("cm"):
         return ("sketch_epoch", "slots_epoch") if kind == "cm_topk" else ("sketch_epoch",)
-    return ("samples_epoch",)
+    return ("raw_epoch",) if kind.startswith("samples_raw") else ("samples_epoch",)
 
 
 def stored_tables(store: EpochStore, types: Iterable[str] = TYPES) -> dict[str, DataFrame]:

@@ -22,6 +22,8 @@ MARKERS = "epoch_done"
 FAN_IN, MERGED_BYTES = 8, 256 << 20
 #: Bytes of a file that merging writes, about.
 FILE_BYTES = 128 << 20
+#: Tasks over the keys of a commit's epochs.
+KEY_TASKS = 8
 #: How long folders and versions that nothing refers to any more stay for readers that have begun with them.
 GRACE_MS = 600_000
 
@@ -230,7 +232,8 @@ class EpochStore:
         typed = {n: t.withColumn("epoch_type", F.lit(epoch_type)) if "epoch_type" not in t.columns else t for n, t in tables.items()}
         typed["epoch_header"] = typed["epoch_header"].persist()  # one row an epoch, asked for twice
         head = typed["epoch_header"]
-        epochs = head.select("epoch_type", F.col("aggregator_id").cast("long").alias("aggregator_id"), F.col("sequence").cast("long").alias("sequence")).distinct().persist()
+        keys = head.select("epoch_type", F.col("aggregator_id").cast("long").alias("aggregator_id"), F.col("sequence").cast("long").alias("sequence"))
+        epochs = keys.distinct().coalesce(KEY_TASKS).persist()  # each table is joined with them
         new = epochs
         try:
             lo, hi = epochs.agg(F.min("sequence"), F.max("sequence")).first()
