@@ -33,10 +33,13 @@ def owners(maps: DataFrame, asked: DataFrame, default: int) -> DataFrame:
 
 
 def owned_batches(batches: DataFrame, maps: DataFrame, aggregator_id: int, default: int) -> DataFrame:
-    """The batches(source_id, epoch, ...) whose source this aggregator owns in their epoch."""
+    """The batches(source_id, epoch, ...) whose source this aggregator owns in their epoch.
+
+    Batches pass by a hash table of the pairs, one row for each source and epoch, so that none are sorted.
+    """
     pairs = batches.select("source_id", "epoch").distinct()
     mine = owners(maps, pairs, default).where(F.col("owner") == aggregator_id).select("source_id", "epoch")
-    return batches.join(mine, ["source_id", "epoch"], "left_semi")
+    return batches.join(mine.hint("shuffle_hash"), ["source_id", "epoch"], "left_semi")
 
 
 def map_changes(maps: DataFrame, before: int, after: int) -> DataFrame:
